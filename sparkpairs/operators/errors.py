@@ -19,6 +19,7 @@ fired. Decisions that differ from a literal row loop are deliberate:
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -319,6 +320,18 @@ OPERATORS = {
 _TEMPS = ["_h", "_g", "_p", "_c", "_k", "_w", "_new"]
 
 
+def plan_barrier(df: DataFrame, tag: str) -> DataFrame:
+    """Stop the optimizer from substituting this step's columns into later ones.
+
+    Each step reads the previous text several times; pushing a later filter
+    (or a filter inferred from ``explode``) down through many steps would copy
+    the whole chain into one expression, exponentially. A metrics observation
+    node is not crossed by predicate pushdown or project collapsing, and costs
+    one counter per task.
+    """
+    return df.observe(f"sparkpairs_{tag}_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
+
+
 def apply_error(df: DataFrame, op: str, text: str = "text", key_cols=("doc_id",), rate: float = 1.0,
                 seed: int = 42, active: Column | None = None, n_col: str = "n_errors",
                 applied_col: str = "applied") -> DataFrame:
@@ -335,11 +348,11 @@ def apply_error(df: DataFrame, op: str, text: str = "text", key_cols=("doc_id",)
     df = df.withColumn("_h", digest(seed, op, *key_cols)).withColumn("_g", gate)
     df, fired, counts = OPERATORS[op](df, text)
     changed = fired & (F.col("_new") != F.col(text))
-    df = df.withColumn(applied_col, F.when(changed, F.concat(F.col(applied_col), F.array(F.lit(op))))
-                       .otherwise(F.col(applied_col)))
+    df = df.withColumn(applied_col, F.concat(F.col(applied_col),
+                                             F.when(changed, F.array(F.lit(op))).otherwise(F.array().cast("array<string>"))))
     df = df.withColumn(n_col, F.col(n_col) + F.when(counts, 1).otherwise(0))
     df = df.withColumn(text, F.when(fired, F.col("_new")).otherwise(F.col(text)))
-    return df.drop(*[c for c in _TEMPS if c in df.columns])
+    return plan_barrier(df.drop(*[c for c in _TEMPS if c in df.columns]), op)
 
 
 def insert_errors(df: DataFrame, text: str = "text", key_cols=("doc_id",),

@@ -49,18 +49,18 @@ def running_agg(df: DataFrame, part_cols: list[str], ordinal_col: str, value: Co
     """
     part = list(part_cols)
     agg = _AGG[fn]
-    x = df.withColumn("_v", value).withColumn("_chunk", F.floor(F.col(ordinal_col) / chunk))
+    x = df.withColumn("_ra_v", value).withColumn("_ra_chunk", F.floor(F.col(ordinal_col) / chunk))
     hi = 0 if inclusive else -1
-    w_local = Window.partitionBy(*part, "_chunk").orderBy(ordinal_col).rowsBetween(Window.unboundedPreceding, hi)
-    x = x.withColumn("_local", agg("_v").over(w_local))
-    tot = x.groupBy(*part, "_chunk").agg(agg("_v").alias("_ct"))
-    w_chunks = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*part, "_chunk", agg("_ct").over(w_chunks).alias("_carry"))
-    j = x.join(tot, [*part, "_chunk"])
+    w_local = Window.partitionBy(*part, "_ra_chunk").orderBy(ordinal_col).rowsBetween(Window.unboundedPreceding, hi)
+    x = x.withColumn("_ra_local", agg("_ra_v").over(w_local))
+    tot = x.groupBy(*part, "_ra_chunk").agg(agg("_ra_v").alias("_ra_ct"))
+    w_chunks = Window.partitionBy(*part).orderBy("_ra_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*part, "_ra_chunk", agg("_ra_ct").over(w_chunks).alias("_ra_carry"))
+    j = x.join(tot, [*part, "_ra_chunk"])
     if fn == "sum":
-        combined = F.coalesce(F.col("_carry"), F.lit(0)) + F.coalesce(F.col("_local"), F.lit(0))
+        combined = F.coalesce(F.col("_ra_carry"), F.lit(0)) + F.coalesce(F.col("_ra_local"), F.lit(0))
         if not inclusive:
-            combined = F.when(F.col("_carry").isNull() & F.col("_local").isNull(), F.lit(None)).otherwise(combined)
+            combined = F.when(F.col("_ra_carry").isNull() & F.col("_ra_local").isNull(), F.lit(None)).otherwise(combined)
     else:
-        combined = _COMBINE[fn](F.col("_carry"), F.col("_local"))
-    return j.withColumn(out_col, combined).drop("_v", "_chunk", "_local", "_carry")
+        combined = _COMBINE[fn](F.col("_ra_carry"), F.col("_ra_local"))
+    return j.withColumn(out_col, combined).drop("_ra_v", "_ra_chunk", "_ra_local", "_ra_carry")

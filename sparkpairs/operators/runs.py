@@ -18,7 +18,7 @@ STEP_BUCKET_SECONDS = 60
 def with_steps(log: DataFrame, run_col: str = "run_id", metric_col: str = "metric",
                ts_col: str = "ts", tie_col: str = "event_id") -> DataFrame:
     """0-based evaluation step per (run, metric) in time order."""
-    sub = F.floor(F.unix_micros(F.col(ts_col)) / (STEP_BUCKET_SECONDS * 1_000_000))
+    sub = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / (STEP_BUCKET_SECONDS * 1_000_000))
     return ordinal_within(log, [run_col, metric_col], [ts_col, tie_col], sub, "step")
 
 
