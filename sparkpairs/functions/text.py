@@ -24,6 +24,8 @@ PIECES_RE = (
     r"(?U)\p{L}+?(?=n't(?![\p{L}\p{N}_]))|n't(?![\p{L}\p{N}_])"
     r"|'(?:s|re|ve|ll|d|m)(?![\p{L}\p{N}_])|[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 )
+# Same pieces as PIECES_RE on any text without an apostrophe, about 4x cheaper.
+PLAIN_PIECES_RE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 ALPHA_RE = r"^\p{L}+$"
 ALPHA2_RE = r"^\p{L}{2,}$"
 ALPHA3_RE = r"^\p{L}{3,}$"
@@ -94,8 +96,14 @@ def is_upper_char(c) -> Column:
 
 
 def word_pieces(text) -> Column:
-    """piece array (words, contraction suffixes, separator runs)."""
-    return F.regexp_extract_all(col_(text), F.lit(PIECES_RE), 0)
+    """piece array (words, contraction suffixes, separator runs).
+
+    Contraction-aware splitting only matters next to an apostrophe; other rows
+    take the plain alternation, which yields the same pieces.
+    """
+    t = col_(text)
+    return F.when(F.instr(t, "'") > 0, F.regexp_extract_all(t, F.lit(PIECES_RE), 0)) \
+            .otherwise(F.regexp_extract_all(t, F.lit(PLAIN_PIECES_RE), 0))
 
 
 def piece_indexes(pieces, pattern: str) -> Column:
@@ -109,3 +117,15 @@ def piece_indexes(pieces, pattern: str) -> Column:
 def exact_match(a, b) -> Column:
     """``a.strip() == b.strip()``."""
     return py_strip(a) == py_strip(b)
+
+
+def posexplode_rows(df, arr: Column, keep: list, pos_name: str = "pos", val_name: str = "col"):
+    """``posexplode`` without the filter Catalyst infers for it.
+
+    For ``posexplode`` the optimizer adds ``size(arr) > 0`` and pushes it below
+    the projection that computes ``arr``, which evaluates an expensive array
+    twice. The outer variant infers nothing; empty arrays give one null row,
+    dropped by a filter on the generator output (which cannot move down).
+    """
+    out = df.select(*keep, F.posexplode_outer(arr).alias(pos_name, val_name))
+    return out.filter(F.col(pos_name).isNotNull())

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkpairs.functions.constants import DEFAULT_MAX_WORDS, DEFAULT_NPARA, DEFAULT_SEED
 from sparkpairs.functions.rand import digest, uniform
-from sparkpairs.functions.text import WORD_RE, col_, paragraphs, sentences
+from sparkpairs.functions.text import WORD_RE, col_, paragraphs, posexplode_rows, sentences
 
 WINDOW_TYPE = "array<struct<start:int,size:int>>"
 
@@ -48,7 +48,8 @@ def truncated_poisson(u: Column, npara: int = DEFAULT_NPARA) -> Column:
 def window_starts(n_par: Column, key_cols: list, npara: int, seed: int) -> Column:
     """Array of (start, size) windows for a document with ``n_par`` paragraphs."""
     ks = F.when(n_par > 0, F.sequence(F.lit(0), n_par - 1)).otherwise(F.array().cast("array<int>"))
-    sizes = F.transform(ks, lambda k: truncated_poisson(uniform(digest(seed, "chunk", *key_cols, k)), npara))
+    draws = F.transform(ks, lambda k: uniform(digest(seed, "chunk", *key_cols, k)))  # one digest per draw
+    sizes = F.transform(draws, lambda u: truncated_poisson(u, npara))
     init = F.struct(F.lit(0).alias("pos"), F.array().cast(WINDOW_TYPE).alias("out"))
 
     def step(acc, s):
@@ -69,12 +70,15 @@ def chunk_windows(df: DataFrame, text_col: str = "text", key_cols: list[str] = (
     keys = [F.col(c) for c in key_cols]
     staged = df.select(*keep, paragraphs(text_col, sep).alias("_paras"))
     staged = staged.withColumn("_win", window_starts(F.size("_paras"), keys, npara, seed))
-    exploded = staged.select(*keep, "_paras", F.posexplode("_win").alias("chunk_no", "_w"))
-    return exploded.select(
-        *keep, "chunk_no",
-        F.col("_w.start").alias("start"), F.col("_w.size").alias("size"),
-        F.array_join(F.slice("_paras", F.col("_w.start") + 1, F.col("_w.size")), join_sep).alias(text_col),
-    )
+    # Cut the window texts inside the row, so exploded rows carry only their own
+    # text (exploding next to the paragraph array would copy it once per window).
+    cut = F.transform("_win", lambda w: F.struct(
+        w["start"].alias("start"), w["size"].alias("size"),
+        F.array_join(F.slice(F.col("_paras"), w["start"] + 1, w["size"]), join_sep).alias("text")))
+    staged = staged.select(*keep, cut.alias("_cut"))
+    exploded = posexplode_rows(staged, F.col("_cut"), keep, "chunk_no", "_w")
+    return exploded.select(*keep, "chunk_no", F.col("_w.start").alias("start"), F.col("_w.size").alias("size"),
+                           F.col("_w.text").alias(text_col))
 
 
 def split_by_max_words(text, max_words: int = DEFAULT_MAX_WORDS) -> Column:
@@ -104,4 +108,4 @@ def chunk_corpus(df: DataFrame, text_col: str = "text", key_cols: list[str] = ("
     windows = chunk_windows(df, text_col, key_cols, npara, seed, sep, join_sep,
                             keep_cols=[c for c in df.columns if c != text_col])
     keep = [c for c in windows.columns if c not in (text_col, "start", "size")]
-    return windows.select(*keep, F.posexplode(split_by_max_words(text_col, max_words)).alias("sub_no", text_col))
+    return posexplode_rows(windows, split_by_max_words(text_col, max_words), keep, "sub_no", text_col)

@@ -19,7 +19,6 @@ fired. Decisions that differ from a literal row loop are deliberate:
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +32,7 @@ from sparkpairs.functions.constants import (
     WS_CLASS,
 )
 from sparkpairs.functions.rand import digest, draw_index, pick, uniform
+from sparkpairs.session import plan_barrier
 from sparkpairs.functions.text import (
     ALPHA2_RE,
     ALPHA3_RE,
@@ -152,9 +152,12 @@ def _prefix_suffix(pieces: str, k: str):
             F.array_join(F.slice(p, F.col(k) + 2, F.size(p) + 1), ""))
 
 
-def _pick_piece(df: DataFrame, text: str, pieces_re: str, cand_re: str) -> DataFrame:
-    """Stage: tokenise gated rows, list candidate pieces, draw one (``_k``, ``_w``)."""
-    df = df.withColumn("_p", F.when(F.col("_g"), F.regexp_extract_all(F.col(text), F.lit(pieces_re), 0)))
+def _pick_piece(df: DataFrame, text: str, pieces_re: str | None, cand_re: str) -> DataFrame:
+    """Stage: tokenise gated rows, list candidate pieces, draw one (``_k``, ``_w``).
+
+    ``pieces_re=None`` means word pieces (:func:`word_pieces`)."""
+    pieces = word_pieces(F.col(text)) if pieces_re is None else F.regexp_extract_all(F.col(text), F.lit(pieces_re), 0)
+    df = df.withColumn("_p", F.when(F.col("_g"), pieces))
     df = df.withColumn("_c", piece_indexes("_p", cand_re))
     df = df.withColumn("_k", pick(F.col("_c"), _u(1)))
     return df.withColumn("_w", F.try_element_at(F.col("_p"), F.col("_k") + 1))
@@ -189,7 +192,7 @@ def _op_missing_quotes(df, text):
 
 
 def _op_dropped_letters(df, text):
-    df = _pick_piece(df, text, _pieces_re(), ALPHA2_RE)
+    df = _pick_piece(df, text, None, ALPHA2_RE)
     w = F.col("_w")
     pos = draw_index(_u(2), F.length(w))
     new_w = F.concat(F.substring(w, 1, pos), F.substring(w, pos + 2, 2147483647))
@@ -199,7 +202,7 @@ def _op_dropped_letters(df, text):
 
 
 def _op_swapped_letters(df, text):
-    df = _pick_piece(df, text, _pieces_re(), ALPHA3_RE)
+    df = _pick_piece(df, text, None, ALPHA3_RE)
     w = F.col("_w")
     pos = draw_index(_u(2), F.length(w) - 1)
     new_w = F.concat(F.substring(w, 1, pos), F.substring(w, pos + 2, 1), F.substring(w, pos + 1, 1),
@@ -282,7 +285,7 @@ def _op_dropped_nt(df, text):
 
 def _op_keyboard_neighbors(df, text):
     _, kmap = _maps()
-    df = _pick_piece(df, text, _pieces_re(), KEYBOARD_WORD_RE)
+    df = _pick_piece(df, text, None, KEYBOARD_WORD_RE)
     w = F.col("_w")
     positions = F.filter(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
@@ -298,11 +301,6 @@ def _op_keyboard_neighbors(df, text):
     return df, hit, hit
 
 
-def _pieces_re():
-    from sparkpairs.functions.text import PIECES_RE
-    return PIECES_RE
-
-
 OPERATORS = {
     "quote_spaces": _op_quote_spaces,
     "missing_quotes": _op_missing_quotes,
@@ -320,21 +318,9 @@ OPERATORS = {
 _TEMPS = ["_h", "_g", "_p", "_c", "_k", "_w", "_new"]
 
 
-def plan_barrier(df: DataFrame, tag: str) -> DataFrame:
-    """Stop the optimizer from substituting this step's columns into later ones.
-
-    Each step reads the previous text several times; pushing a later filter
-    (or a filter inferred from ``explode``) down through many steps would copy
-    the whole chain into one expression, exponentially. A metrics observation
-    node is not crossed by predicate pushdown or project collapsing, and costs
-    one counter per task.
-    """
-    return df.observe(f"sparkpairs_{tag}_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
-
-
 def apply_error(df: DataFrame, op: str, text: str = "text", key_cols=("doc_id",), rate: float = 1.0,
                 seed: int = 42, active: Column | None = None, n_col: str = "n_errors",
-                applied_col: str = "applied") -> DataFrame:
+                applied_col: str = "applied", barrier: bool = True) -> DataFrame:
     """Apply one operator (E1-E12) to ``text``; maintains ``n_errors`` and ``applied``."""
     if n_col not in df.columns:
         df = df.withColumn(n_col, F.lit(0))
@@ -342,17 +328,27 @@ def apply_error(df: DataFrame, op: str, text: str = "text", key_cols=("doc_id",)
         df = df.withColumn(applied_col, F.array().cast("array<string>"))
     if rate <= 0.0:
         return df
-    gate = uniform(F.col("_h"), 0) < F.lit(float(rate))
+    h = digest(seed, op, *key_cols)
+    gate = uniform(h, 0) < F.lit(float(rate))
     if active is not None:
         gate = active & gate
-    df = df.withColumn("_h", digest(seed, op, *key_cols)).withColumn("_g", gate)
+    base = [c for c in df.columns]
+    df = df.select(*base, h.alias("_h"), gate.alias("_g"))
     df, fired, counts = OPERATORS[op](df, text)
     changed = fired & (F.col("_new") != F.col(text))
-    df = df.withColumn(applied_col, F.concat(F.col(applied_col),
-                                             F.when(changed, F.array(F.lit(op))).otherwise(F.array().cast("array<string>"))))
-    df = df.withColumn(n_col, F.col(n_col) + F.when(counts, 1).otherwise(0))
-    df = df.withColumn(text, F.when(fired, F.col("_new")).otherwise(F.col(text)))
-    return plan_barrier(df.drop(*[c for c in _TEMPS if c in df.columns]), op)
+    outs = []
+    for c in base:
+        if c == applied_col:
+            outs.append(F.concat(F.col(applied_col), F.when(changed, F.array(F.lit(op)))
+                                 .otherwise(F.array().cast("array<string>"))).alias(applied_col))
+        elif c == n_col:
+            outs.append((F.col(n_col) + F.when(counts, 1).otherwise(0)).alias(n_col))
+        elif c == text:
+            outs.append(F.when(fired, F.col("_new")).otherwise(F.col(text)).alias(text))
+        else:
+            outs.append(F.col(c))
+    df = df.select(*outs)  # one projection: new state, temporaries dropped
+    return plan_barrier(df, op) if barrier else df
 
 
 def insert_errors(df: DataFrame, text: str = "text", key_cols=("doc_id",),
@@ -369,8 +365,10 @@ def insert_errors(df: DataFrame, text: str = "text", key_cols=("doc_id",),
     for _family, ops in ERROR_FAMILIES:
         df = df.withColumn("_act", ~F.col("_keep") & (F.col("n_errors") < cfg.max_errors))
         for op in ops:
-            df = apply_error(df, op, out_col, key_cols, cfg.rate(op), seed, active=F.col("_act"))
-    return df.drop("_keep", "_act")
+            df = apply_error(df, op, out_col, key_cols, cfg.rate(op), seed, active=F.col("_act"), barrier=False)
+    # One barrier for the whole chain: later filters (user filters, or those
+    # inferred from explode) stop here instead of inlining the chain.
+    return plan_barrier(df.drop("_keep", "_act"), "insert_errors")
 
 
 def make_pairs(clean: DataFrame, key_cols=("source", "chapter", "chunk_no", "sub_no"),

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkpairs.functions.rand import digest
+from sparkpairs.session import plan_barrier
 
 RANK_BUCKET_HEX = 5          # up to 1,048,576 buckets per partition value
 COPY_CHUNK = 1 << 20         # copies expanded per task for hot duplicate groups
@@ -83,7 +84,9 @@ def _expand_copies(placed: DataFrame) -> DataFrame:
             F.least(F.col("_c"), (F.col("_chunk") + 1) * COPY_CHUNK) - 1)))
         .drop("_chunk")
     )
-    return small.unionByName(big)
+    # The barrier keeps later projections (e.g. a long per-row chain) from
+    # being pushed into, and planned twice for, both branches of the union.
+    return plan_barrier(small.unionByName(big), "expand")
 
 
 def shuffle(df: DataFrame, seed: int = 42, key_cols: list[str] | None = None,

@@ -18,9 +18,10 @@ from sparkpairs.functions.constants import (
     PRODUCTION_ERROR_CONFIG,
 )
 from sparkpairs.functions.rand import digest, uniform
-from sparkpairs.functions.text import WORD_RE, paragraphs, token_count
+from sparkpairs.functions.text import WORD_RE, paragraphs, posexplode_rows, token_count
 from sparkpairs.operators import chunking, errors, evaluation, lengths, pairs, profile, runs, sampling
 from sparkpairs.plans import fixtures as fx
+from sparkpairs.session import spread
 from sparkpairs.sources.html import chapter_file_name, html_to_markdown, item_name_from_url
 
 SEED = 42
@@ -42,7 +43,8 @@ def r6(c: Column) -> Column:
 
 
 def docs(spark, d):
-    return fx.table(spark, d, "documents")
+    """Documents, spread by key when the scan is narrow (text work is per row)."""
+    return spread(fx.table(spark, d, "documents"), "doc_id")
 
 
 # ---------------------------------------------------------------- sampling
@@ -229,7 +231,7 @@ def q_dataset_fingerprint(spark, d):
 
 # ---------------------------------------------------------------- chunking
 def q_paragraphs(spark, d):
-    p = docs(spark, d).select("doc_id", F.posexplode(paragraphs("text", "\n")).alias("para_no", "paragraph"))
+    p = posexplode_rows(docs(spark, d), paragraphs("text", "\n"), ["doc_id"], "para_no", "paragraph")
     return p.select("doc_id", F.col("para_no").cast("bigint").alias("para_no"), "paragraph")
 
 
@@ -244,7 +246,7 @@ def q_chunk_windows(spark, d):
 
 
 def q_max_word_split(spark, d):
-    s = docs(spark, d).select("doc_id", F.posexplode(chunking.split_by_max_words("text", 500)).alias("sub_no", "text"))
+    s = posexplode_rows(docs(spark, d), chunking.split_by_max_words("text", 500), ["doc_id"], "sub_no", "text")
     return s.select("doc_id", F.col("sub_no").cast("bigint").alias("sub_no"),
                     F.regexp_count("text", F.lit(WORD_RE)).cast("bigint").alias("n_words"), "text")
 
@@ -387,7 +389,8 @@ def q_rung_survivors(spark, d):
 
 # ---------------------------------------------------------------- pages
 def q_html_to_markdown(spark, d):
-    return fx.table(spark, d, "pages").select("page_id", html_to_markdown("html").alias("markdown"))
+    pages = spread(fx.table(spark, d, "pages"), "page_id")
+    return pages.select("page_id", html_to_markdown("html").alias("markdown"))
 
 
 def q_chapter_names(spark, d):

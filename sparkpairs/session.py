@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -67,3 +69,29 @@ def materialize(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def plan_barrier(df: DataFrame, tag: str) -> DataFrame:
+    """An optimizer fence: predicates and projections are not pushed through it.
+
+    Used after long per-row expression chains (so a later filter is not
+    substituted into every step, which grows expressions exponentially) and
+    after unions (so a later chain is not planned once per branch). It is a
+    metrics observation node costing one counter per task.
+    """
+    return df.observe(f"sparkpairs_{tag}_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
+
+
+def spread(df: DataFrame, key: str | list[str], per_core: int = 4) -> DataFrame:
+    """Hash-distribute rows before CPU-heavy per-row text work when the input
+    is narrower than the cluster (few large files or row groups).
+
+    Decided at plan time from the scan's partition count: on a large input the
+    scan is already wide and no shuffle is added.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism * per_core
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.repartition(want, *keys)
