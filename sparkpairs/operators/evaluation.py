@@ -7,6 +7,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkpairs.functions.text import exact_match, py_strip
 from sparkpairs.operators.ordering import running_agg
@@ -19,7 +20,7 @@ def batch_correct(df: DataFrame, factory: Callable[[], Callable[[list[str]], lis
     ``factory()`` returns ``correct(texts) -> texts``. A failing row becomes
     ``[ERROR: message]``; results are stripped.
     """
-    schema = df.schema.add(output_col, "string")
+    schema = StructType(list(df.schema.fields) + [StructField(output_col, StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         correct = factory()

@@ -40,7 +40,7 @@ _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def running_agg(df: DataFrame, part_cols: list[str], ordinal_col: str, value: Column, fn: str,
-                out_col: str, inclusive: bool = True, chunk: int = RUN_CHUNK) -> DataFrame:
+                out_col: str, inclusive: bool = True, chunk: int | None = None) -> DataFrame:
     """Running ``fn`` (sum/min/max) of ``value`` along a dense ``ordinal_col``.
 
     Inside a chunk of ``chunk`` consecutive ordinals a window does the scan; the
@@ -48,6 +48,7 @@ def running_agg(df: DataFrame, part_cols: list[str], ordinal_col: str, value: Co
     ``inclusive=False`` excludes the current row (null before the first row).
     """
     part = list(part_cols)
+    chunk = chunk or RUN_CHUNK
     agg = _AGG[fn]
     x = df.withColumn("_ra_v", value).withColumn("_ra_chunk", F.floor(F.col(ordinal_col) / chunk))
     hi = 0 if inclusive else -1

@@ -112,7 +112,9 @@ def export_trials(trials: DataFrame, path: str, direction: str = "minimize") ->
         F.min_by("trial", key).alias("best_trial"),
         F.min_by("value", key).alias("best_value"),
         F.min_by("params", key).alias("best_params"),
-        F.array_sort(F.collect_list(F.struct("trial", "value", "params", "user_attrs"))).alias("all_trials"),
+        F.array_sort(F.collect_list(F.struct("trial", "value", "params", "user_attrs")),
+                     lambda a, b: F.when(a["trial"] < b["trial"], -1).when(a["trial"] > b["trial"], 1).otherwise(0)
+                     ).alias("all_trials"),
     )
     rec.coalesce(1).write.mode("overwrite").json(path)
 

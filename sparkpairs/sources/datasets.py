@@ -40,8 +40,7 @@ def read_markdown_tree(spark: SparkSession, dirs: list[str]) -> DataFrame:
     ``source`` = the directory as given, ``chapter`` = file name, ``text``."""
     frames = []
     for d in dirs:
-        df = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "*.md").text(d))
+        df = spark.read.text(d, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
         frames.append(df.select(F.lit(d).alias("source"), F.col("_metadata.file_name").alias("chapter"),
                                 F.col("value").alias("text")))
     return reduce(lambda a, b: a.unionByName(b), frames)
