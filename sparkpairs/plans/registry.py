@@ -20,6 +20,7 @@ from sparkpairs.functions.constants import (
 from sparkpairs.functions.rand import digest, uniform
 from sparkpairs.functions.text import WORD_RE, paragraphs, posexplode_rows, token_count
 from sparkpairs.operators import chunking, errors, evaluation, lengths, pairs, profile, runs, sampling
+from sparkpairs.plans import corpus
 from sparkpairs.plans import fixtures as fx
 from sparkpairs.session import spread
 from sparkpairs.sources.html import chapter_file_name, html_to_markdown, item_name_from_url
@@ -304,8 +305,7 @@ def q_error_distribution(spark, d):
 
 def q_corpus_pairs(spark, d):
     """Corpus build: windows -> exact 90/10 split -> error injection -> pairs."""
-    w = _windows(spark, d)
-    split = sampling.train_test_split(w, 0.1, SEED, ["doc_id", "chunk_no"])
+    split = corpus.split_windows(docs(spark, d).select("doc_id", "source", "text"), SEED, "\n")
     out = errors.insert_errors(split, "text", ["doc_id", "chunk_no"], PRODUCTION_ERROR_CONFIG, SEED)
     return out.select("split", "doc_id", "chunk_no", "source", "original", F.col("text").alias("corrected"),
                       F.col("n_errors").cast("bigint").alias("n_errors"),
