@@ -7,8 +7,10 @@ are computed without an unpartitioned window or a sort into one task:
    (map-side partial counts, so a group of copies never travels whole);
 2. rows are bucketed by the first hex digits of the digest (uniform by
    construction; at most ``16**bucket_hex`` buckets per partition value);
-3. bucket sizes are prefix-summed (a table of bounded size, broadcast) and
-   each row's position is its bucket offset plus its position in the bucket;
+3. one window per bucket gives each row its start inside the bucket; that
+   table is checkpointed (the input is computed once); bucket sizes are
+   prefix-summed (a table of bounded size, broadcast) and each row's position
+   is its bucket offset plus its start in the bucket;
 4. collapsed rows are expanded again; very large copy groups are split into
    chunks and spread across tasks before expansion.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkpairs.functions.rand import digest
-from sparkpairs.session import plan_barrier
+from sparkpairs.session import materialize, plan_barrier
 
 RANK_BUCKET_HEX = 5          # up to 1,048,576 buckets per partition value
 COPY_CHUNK = 1 << 20         # copies expanded per task for hot duplicate groups
@@ -39,6 +41,10 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
     ``partition_cols`` ranks independently per value (e.g. per split); with
     ``bounded_partitions`` the offsets table (at most ``16**bucket_hex`` rows per
     value) is broadcast. ``size_col`` optionally adds the partition's row count.
+
+    The collapsed rows with their in-bucket start are checkpointed once: the
+    offsets, the join and the copy expansion all read that table, so the input
+    (however expensive upstream) is computed exactly once.
     """
     cols = df.columns
     part = list(partition_cols)
@@ -47,9 +53,11 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
         df.withColumn("_h", shuffle_key(df, seed, keys))
         .groupBy(*cols, "_h")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"))
+        .withColumn("_b", F.coalesce(F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"), F.lit(0)))
     )
-    per_bucket = grouped.groupBy(*part, "_b").agg(F.sum("_c").alias("_bc"))
+    w_in = Window.partitionBy(*part, "_b").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1)
+    local = materialize(grouped.withColumn("_ls", F.coalesce(F.sum("_c").over(w_in), F.lit(0))))
+    per_bucket = local.groupBy(*part, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*part).orderBy("_b")
     offsets = per_bucket.select(
         *part, "_b",
@@ -58,11 +66,7 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
     )
     if bounded_partitions:
         offsets = F.broadcast(offsets)
-    w_in = Window.partitionBy(*part, "_b").orderBy("_h", *keys)
-    placed = grouped.join(offsets, on=[*part, "_b"]).withColumn(
-        "_start",
-        F.col("_off") + F.coalesce(F.sum("_c").over(w_in.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    )
+    placed = local.join(offsets, on=[*part, "_b"]).withColumn("_start", F.col("_off") + F.col("_ls"))
     out = _expand_copies(placed)
     out = out.withColumn(rank_col, (F.col("_start") + F.col("_i")).cast("bigint"))
     keep = cols + [rank_col] + ([size_col] if size_col else [])

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from sparkpairs.operators import evaluation, pairs, sampling
+from sparkpairs.session import materialize
 
 
 def evaluate(pairs_df: DataFrame, corrector_factory, sources: list[str] | None = None, n_samples: int | None = None,
@@ -15,7 +16,7 @@ def evaluate(pairs_df: DataFrame, corrector_factory, sources: list[str] | None =
     if n_samples is not None:
         ranked = ranked.filter(ranked["index"] < n_samples)
     generated = evaluation.batch_correct(ranked, corrector_factory)
-    scored = evaluation.score(generated)
+    scored = materialize(evaluation.score(generated))  # model output computed once for all reports
     return {
         "records": evaluation.eval_records(scored),
         "summary": evaluation.accuracy_summary(scored),

@@ -22,7 +22,7 @@ from sparkpairs.functions.text import WORD_RE, paragraphs, posexplode_rows, toke
 from sparkpairs.operators import chunking, errors, evaluation, lengths, pairs, profile, runs, sampling
 from sparkpairs.plans import corpus
 from sparkpairs.plans import fixtures as fx
-from sparkpairs.session import spread
+from sparkpairs.session import materialize, spread
 from sparkpairs.sources.html import chapter_file_name, html_to_markdown, item_name_from_url
 
 SEED = 42
@@ -111,7 +111,8 @@ def _lengths(spark, d):
 
 
 def _hist(spark, d):
-    return lengths.length_histogram(_lengths(spark, d))
+    """The one pass over rows; every length report reads the materialised histogram."""
+    return materialize(lengths.length_histogram(_lengths(spark, d)))
 
 
 def q_chat_token_lengths(spark, d):
