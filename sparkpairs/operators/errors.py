@@ -19,6 +19,7 @@ fired. Decisions that differ from a literal row loop are deliberate:
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -31,17 +32,8 @@ from sparkpairs.functions.constants import (
     KEYBOARD_NEIGHBORS,
     WS_CLASS,
 )
-from sparkpairs.functions.rand import digest, draw_index, pick, uniform
 from sparkpairs.session import plan_barrier
-from sparkpairs.functions.text import (
-    ALPHA2_RE,
-    ALPHA3_RE,
-    ALPHA_RE,
-    capitalize,
-    is_upper_char,
-    piece_indexes,
-    word_pieces,
-)
+from sparkpairs.functions.text import ALPHA2_RE, ALPHA3_RE, ALPHA_RE, PIECES_RE, PLAIN_PIECES_RE
 
 QUOTED_RE = r'"([^"]*)"'
 QUOTE_PIECES_RE = r'"[^"]*"|[^"]+|"'
@@ -116,239 +108,239 @@ def load_error_config(path: str | None = None, preserve_ratio: float | None = No
     return ErrorConfig.from_dict(cfg)
 
 
-def _map_literal(d: dict) -> Column:
-    kv = []
-    for k, vs in d.items():
-        kv += [F.lit(k), F.array(*[F.lit(v) for v in vs])]
-    return F.create_map(*kv)
-
-
-HOMOPHONE_MAP = None
-KEYBOARD_MAP = None
-
-
-def _maps():
-    global HOMOPHONE_MAP, KEYBOARD_MAP
-    if HOMOPHONE_MAP is None:
-        HOMOPHONE_MAP = _map_literal(HOMOPHONES)
-        KEYBOARD_MAP = _map_literal(KEYBOARD_NEIGHBORS)
-    return HOMOPHONE_MAP, KEYBOARD_MAP
-
-
-def _u(slot: int) -> Column:
-    return uniform(F.col("_h"), slot)
-
+# --------------------------------------------------------------------------
+# Expression building. Each stage is a list of (alias, Spark SQL expression);
+# expressions are parsed on the JVM in one call each (building them through
+# the Column API costs dozens of Python/JVM round trips per expression).
+# --------------------------------------------------------------------------
+TWO32_SQL = "4294967296.0D"
+BIG = 2147483647
 
-def _rejoin(pieces: str, k: str, new_piece: Column) -> Column:
-    """Text with piece ``k`` (0-based) replaced."""
-    p = F.col(pieces)
-    return F.concat(F.array_join(F.slice(p, 1, F.col(k)), ""), new_piece,
-                    F.array_join(F.slice(p, F.col(k) + 2, F.size(p) + 1), ""))
 
+def rlit(pattern: str) -> str:
+    """A raw Spark SQL string literal for a regex."""
+    if "'" not in pattern:
+        return f"r'{pattern}'"
+    if '"' not in pattern:
+        return f'r"{pattern}"'
+    raise ValueError("pattern contains both quote characters")
 
-def _prefix_suffix(pieces: str, k: str):
-    p = F.col(pieces)
-    return (F.array_join(F.slice(p, 1, F.col(k)), ""),
-            F.array_join(F.slice(p, F.col(k) + 2, F.size(p) + 1), ""))
 
+def slit(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _pick_piece(df: DataFrame, text: str, pieces_re: str | None, cand_re: str) -> DataFrame:
-    """Stage: tokenise gated rows, list candidate pieces, draw one (``_k``, ``_w``).
 
-    ``pieces_re=None`` means word pieces (:func:`word_pieces`)."""
-    pieces = word_pieces(F.col(text)) if pieces_re is None else F.regexp_extract_all(F.col(text), F.lit(pieces_re), 0)
-    df = df.withColumn("_p", F.when(F.col("_g"), pieces))
-    df = df.withColumn("_c", piece_indexes("_p", cand_re))
-    df = df.withColumn("_k", pick(F.col("_c"), _u(1)))
-    return df.withColumn("_w", F.try_element_at(F.col("_p"), F.col("_k") + 1))
+def qcol(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _edit_regex_all(df, text, pattern, replacement):
-    return df.withColumn("_new", F.regexp_replace(F.col(text), F.lit(pattern), F.lit(replacement))), F.col("_g"), F.col("_g")
+def map_sql(d: dict) -> str:
+    return "map(" + ", ".join(f"{slit(k)}, array({', '.join(slit(v) for v in vs)})" for k, vs in d.items()) + ")"
 
 
-def _op_quote_spaces(df, text):
-    return _edit_regex_all(df, text, QUOTED_RE, '" $1 "')
-
-
-def _op_punctuation_outside_quotes(df, text):
-    return _edit_regex_all(df, text, PUNCT_IN_QUOTES_RE, '"$1"$2')
-
-
-def _op_spaces_around_punctuation(df, text):
-    return _edit_regex_all(df, text, LETTER_PUNCT_RE, "$1 $2")
+HMAP_SQL = map_sql(HOMOPHONES)
+KMAP_SQL = map_sql(KEYBOARD_NEIGHBORS)
+
+
+def u_sql(slot: int, h: str = "_h") -> str:
+    return f"(CAST(conv(substring({h}, {1 + 8 * slot}, 8), 16, 10) AS BIGINT) / {TWO32_SQL})"
+
+
+def idx_sql(u: str, n: str) -> str:
+    return f"CAST(floor({u} * {n}) AS INT)"
+
+
+def pick_sql(arr: str, slot: int) -> str:
+    return f"CASE WHEN size({arr}) > 0 THEN try_element_at({arr}, {idx_sql(u_sql(slot), f'size({arr})')} + 1) END"
+
+
+def digest_sql(seed: int, purpose: str, key_cols) -> str:
+    keys = ", ".join(f"CAST({qcol(k)} AS STRING)" for k in key_cols)
+    return f"md5(concat_ws(':', {slit(str(seed))}, {slit(purpose)}, {keys}))"
+
+
+def cands_sql(pieces: str, pattern: str) -> str:
+    return f"filter(transform({pieces}, (x, i) -> CASE WHEN x RLIKE {rlit(pattern)} THEN i END), i -> i IS NOT NULL)"
+
+
+def rejoin_sql(new_piece: str) -> str:
+    return (f"concat(array_join(slice(_p, 1, _k), ''), {new_piece}, "
+            f"array_join(slice(_p, _k + 2, size(_p) + 1), ''))")
+
+
+def word_pieces_sql(t: str) -> str:
+    return (f"CASE WHEN instr({t}, \"'\") > 0 THEN regexp_extract_all({t}, {rlit(PIECES_RE)}, 0) "
+            f"ELSE regexp_extract_all({t}, {rlit(PLAIN_PIECES_RE)}, 0) END")
+
+
+def _pick_stages(t: str, pieces_re: str | None, cand_re: str) -> list[list[tuple[str, str]]]:
+    pieces = word_pieces_sql(t) if pieces_re is None else f"regexp_extract_all({t}, {rlit(pieces_re)}, 0)"
+    return [[("_p", f"CASE WHEN _g THEN {pieces} END")],
+            [("_c", cands_sql("_p", cand_re))],
+            [("_k", pick_sql("_c", 1))],
+            [("_w", "try_element_at(_p, _k + 1)")]]
+
+
+HIT = "_k IS NOT NULL"
+
+
+def _op_stages(op: str, t: str):
+    """(stages, fired, counts) for one operator; ``_new`` holds the candidate text."""
+    if op in ("quote_spaces", "punctuation_outside_quotes", "spaces_around_punctuation"):
+        pat, rep = {"quote_spaces": (QUOTED_RE, '" $1 "'),
+                    "punctuation_outside_quotes": (PUNCT_IN_QUOTES_RE, '"$1"$2'),
+                    "spaces_around_punctuation": (LETTER_PUNCT_RE, "$1 $2")}[op]
+        return [[("_new", f"regexp_replace({t}, {rlit(pat)}, {slit(rep)})")]], "_g", "_g"
+    if op == "missing_quotes":
+        kind = idx_sql(u_sql(2), "3")
+        new_w = (f"CASE {kind} WHEN 0 THEN substring(_w, 2, {BIG}) WHEN 1 THEN substring(_w, 1, length(_w) - 1) "
+                 f"ELSE substring(_w, 2, length(_w) - 2) END")
+        return _pick_stages(t, QUOTE_PIECES_RE, r'^"[^"]*"$') + [[("_new", rejoin_sql(new_w))]], HIT, HIT
+    if op == "dropped_letters":
+        return (_pick_stages(t, None, ALPHA2_RE) + [[("_pos", idx_sql(u_sql(2), "length(_w)"))]]
+                + [[("_new", rejoin_sql(f"concat(substring(_w, 1, _pos), substring(_w, _pos + 2, {BIG}))"))]], HIT, HIT)
+    if op == "swapped_letters":
+        new_w = (f"concat(substring(_w, 1, _pos), substring(_w, _pos + 2, 1), substring(_w, _pos + 1, 1), "
+                 f"substring(_w, _pos + 3, {BIG}))")
+        return (_pick_stages(t, None, ALPHA3_RE) + [[("_pos", idx_sql(u_sql(2), "(length(_w) - 1)"))]]
+                + [[("_new", rejoin_sql(new_w))]], HIT, HIT)
+    words = [[("_p", f"CASE WHEN _g THEN {word_pieces_sql(t)} END")], [("_c", cands_sql("_p", ALPHA_RE))]]
+    if op == "dropped_words":
+        j = f"CASE WHEN size(_c) >= 3 THEN 2 + {idx_sql(u_sql(1), '(size(_c) - 2)')} END"
+        new = ("CASE WHEN endswith(_pre, ' ') THEN concat(substring(_pre, 1, length(_pre) - 1), _suf) "
+               f"WHEN startswith(_suf, ' ') THEN concat(_pre, substring(_suf, 2, {BIG})) ELSE concat(_pre, _suf) END")
+        return (words + [[("_k", f"try_element_at(_c, {j})")],
+                         [("_pre", "array_join(slice(_p, 1, _k), '')"),
+                          ("_suf", "array_join(slice(_p, _k + 2, size(_p) + 1), '')")],
+                         [("_new", new)]], HIT, HIT)
+    if op == "swapped_words":
+        i = f"CASE WHEN size(_c) > 3 THEN 1 + {idx_sql(u_sql(1), '(size(_c) - 1)')} END"
+        swap = (f"_k2 = _k + 2 AND try_element_at(_p, _k + 2) RLIKE {rlit(WHITESPACE_ONLY_RE)}")
+        new = (f"CASE WHEN {swap} THEN concat(array_join(slice(_p, 1, _k), ''), try_element_at(_p, _k2 + 1), ' ', "
+               f"try_element_at(_p, _k + 1), array_join(slice(_p, _k2 + 2, size(_p) + 1), '')) ELSE {t} END")
+        fired = "(_g AND size(_c) > 3)"
+        return (words + [[("_i", i)], [("_k", "try_element_at(_c, _i)"), ("_k2", "try_element_at(_c, _i + 1)")],
+                         [("_new", new)]], fired, fired)
+    if op == "missing_spaces":
+        return (_pick_stages(t, MISSING_SPACE_PIECES_RE, MISSING_SPACE_TARGET_RE)
+                + [[("_new", rejoin_sql("replace(_w, ' ', '')"))]], HIT, HIT)
+    if op == "homophones":
+        cand = (f"filter(transform(_p, (x, i) -> CASE WHEN x RLIKE {rlit(ALPHA_RE)} AND "
+                f"map_contains_key({HMAP_SQL}, lower(x)) THEN i END), i -> i IS NOT NULL)")
+        alt2 = ("CASE WHEN substring(_w, 1, 1) != lower(substring(_w, 1, 1)) THEN "
+                f"concat(upper(substring(_alt, 1, 1)), lower(substring(_alt, 2, {BIG}))) ELSE _alt END")
+        return ([words[0], [("_c", cand)], [("_k", pick_sql("_c", 1))], [("_w", "try_element_at(_p, _k + 1)")],
+                 [("_alts", f"try_element_at({HMAP_SQL}, lower(_w))")], [("_alt", pick_sql("_alts", 2))],
+                 [("_new", rejoin_sql(alt2))]], HIT, HIT)
+    if op == "dropped_nt":
+        return (_pick_stages(t, NT_PIECES_RE, NT_TARGET_RE)
+                + [[("_new", rejoin_sql("replace(replace(_w, \"n't\", ''), \"N'T\", '')"))]], HIT, HIT)
+    if op == "keyboard_neighbors":
+        poss = ("filter(transform(sequence(1, greatest(length(_w), 1)), i -> CASE WHEN substring(_w, i, 1) "
+                "RLIKE '[a-zA-Z]' THEN i END), i -> i IS NOT NULL)")
+        return (_pick_stages(t, None, KEYBOARD_WORD_RE)
+                + [[("_poss", poss)], [("_pos", f"CASE WHEN _w IS NOT NULL THEN {pick_sql('_poss', 2)} END")],
+                   [("_ch", "substring(_w, _pos, 1)")], [("_nbs", f"try_element_at({KMAP_SQL}, lower(_ch))")],
+                   [("_nb0", pick_sql("_nbs", 3))],
+                   [("_nb", "CASE WHEN _ch != lower(_ch) THEN upper(_nb0) ELSE _nb0 END")],
+                   [("_new", rejoin_sql(f"concat(substring(_w, 1, _pos - 1), _nb, substring(_w, _pos + 1, {BIG}))"))]],
+                HIT, HIT)
+    raise KeyError(op)
+
+
+OPERATORS = list(RATE_KEYS)
+
+
+class _Query:
+    """Stages composed into one SQL query over a temporary view, so the chain
+    is parsed and analysed once (one new DataFrame per stage would re-analyse
+    the growing plan every time). Within an operator, stages are lateral
+    column aliases of a single SELECT; each operator ends in one projection.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.view = f"sparkpairs_src_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(self.view)
+        self.cols = list(df.columns)
+        self.sql = f"SELECT * FROM {self.view}"
+        self.pending: list[tuple[str, str]] = []
+        self.n = 0
+
+    def add(self, items: list[tuple[str, str]]) -> None:
+        self.pending.extend(items)
+
+    def project(self, items: list[tuple[str, str]] | None = None) -> None:
+        if self.pending:
+            self.n += 1
+            exprs = ", ".join(f"{sql} AS {qcol(alias)}" for alias, sql in self.pending)
+            self.sql = f"SELECT *, {exprs} FROM ({self.sql}) AS s{self.n}"
+            self.pending = []
+        if items is not None:
+            self.n += 1
+            exprs = ", ".join(f"{sql} AS {qcol(alias)}" for alias, sql in items)
+            self.sql = f"SELECT {exprs} FROM ({self.sql}) AS s{self.n}"
+            self.cols = [alias for alias, _ in items]
+
+    def result(self) -> DataFrame:
+        """Analyse once. The analyser resolves one nesting level per iteration,
+        so its iteration cap is raised for this statement only."""
+        self.project()
+        key = "spark.sql.analyzer.maxIterations"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, str(max(int(before or 100), 4 * self.n + 100)))
+        try:
+            return self.spark.sql(self.sql)
+        finally:
+            if before is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, before)
+            self.spark.catalog.dropTempView(self.view)
 
 
-def _op_missing_quotes(df, text):
-    df = _pick_piece(df, text, QUOTE_PIECES_RE, r'^"[^"]*"$')
-    w = F.col("_w")
-    kind = draw_index(_u(2), F.lit(3))  # 0 first, 1 last, 2 both
-    new_w = F.when(kind == 0, F.substring(w, 2, 2147483647)) \
-             .when(kind == 1, F.substring(w, 1, F.length(w) - 1)) \
-             .otherwise(F.substring(w, 2, F.length(w) - 2))
-    df = df.withColumn("_new", _rejoin("_p", "_k", new_w))
-    hit = F.col("_k").isNotNull()
-    return df, hit, hit
-
-
-def _op_dropped_letters(df, text):
-    df = _pick_piece(df, text, None, ALPHA2_RE)
-    w = F.col("_w")
-    pos = draw_index(_u(2), F.length(w))
-    new_w = F.concat(F.substring(w, 1, pos), F.substring(w, pos + 2, 2147483647))
-    df = df.withColumn("_new", _rejoin("_p", "_k", new_w))
-    hit = F.col("_k").isNotNull()
-    return df, hit, hit
-
-
-def _op_swapped_letters(df, text):
-    df = _pick_piece(df, text, None, ALPHA3_RE)
-    w = F.col("_w")
-    pos = draw_index(_u(2), F.length(w) - 1)
-    new_w = F.concat(F.substring(w, 1, pos), F.substring(w, pos + 2, 1), F.substring(w, pos + 1, 1),
-                     F.substring(w, pos + 3, 2147483647))
-    df = df.withColumn("_new", _rejoin("_p", "_k", new_w))
-    hit = F.col("_k").isNotNull()
-    return df, hit, hit
-
-
-def _word_list(df, text):
-    df = df.withColumn("_p", F.when(F.col("_g"), word_pieces(F.col(text))))
-    return df.withColumn("_c", piece_indexes("_p", ALPHA_RE))
-
-
-def _op_dropped_words(df, text):
-    """Drop a word other than the first/last, with one adjacent space."""
-    df = _word_list(df, text)
-    n = F.size("_c")
-    j = F.when(n >= 3, F.lit(2) + draw_index(_u(1), n - 2))
-    df = df.withColumn("_k", F.try_element_at(F.col("_c"), j))
-    pre, suf = _prefix_suffix("_p", "_k")
-    df = df.withColumn("_pre", pre).withColumn("_suf", suf)
-    before = F.col("_pre").endswith(" ")
-    after = F.col("_suf").startswith(" ")
-    new = F.when(before, F.concat(F.expr("substring(_pre, 1, length(_pre) - 1)"), F.col("_suf"))) \
-           .when(after, F.concat(F.col("_pre"), F.substring("_suf", 2, 2147483647))) \
-           .otherwise(F.concat(F.col("_pre"), F.col("_suf")))
-    df = df.withColumn("_new", new).drop("_pre", "_suf")
-    hit = F.col("_k").isNotNull()
-    return df, hit, hit
-
-
-def _op_swapped_words(df, text):
-    """Swap two adjacent words separated only by whitespace (one space after)."""
-    df = _word_list(df, text)
-    n = F.size("_c")
-    i = F.when(n > 3, F.lit(1) + draw_index(_u(1), n - 1))
-    df = df.withColumn("_k", F.try_element_at(F.col("_c"), i)) \
-           .withColumn("_k2", F.try_element_at(F.col("_c"), i + 1))
-    p = F.col("_p")
-    gap = F.try_element_at(p, F.col("_k") + 2)
-    swappable = (F.col("_k2") == F.col("_k") + 2) & gap.rlike(WHITESPACE_ONLY_RE)
-    new = F.concat(F.array_join(F.slice(p, 1, F.col("_k")), ""),
-                   F.try_element_at(p, F.col("_k2") + 1), F.lit(" "), F.try_element_at(p, F.col("_k") + 1),
-                   F.array_join(F.slice(p, F.col("_k2") + 2, F.size(p) + 1), ""))
-    df = df.withColumn("_new", F.when(swappable, new).otherwise(F.col(text))).drop("_k2")
-    fired = F.col("_g") & (n > 3)
-    return df, fired, fired
-
-
-def _op_missing_spaces(df, text):
-    df = _pick_piece(df, text, MISSING_SPACE_PIECES_RE, MISSING_SPACE_TARGET_RE)
-    df = df.withColumn("_new", _rejoin("_p", "_k", F.replace(F.col("_w"), F.lit(" "), F.lit(""))))
-    hit = F.col("_k").isNotNull()
-    return df, hit, hit
-
-
-def _op_homophones(df, text):
-    hmap, _ = _maps()
-    df = df.withColumn("_p", F.when(F.col("_g"), word_pieces(F.col(text))))
-    cand = F.filter(F.transform(F.col("_p"), lambda x, i: F.when(
-        x.rlike(ALPHA_RE) & F.map_contains_key(hmap, F.lower(x)), i)), lambda i: i.isNotNull())
-    df = df.withColumn("_c", cand)
-    df = df.withColumn("_k", pick(F.col("_c"), _u(1)))
-    df = df.withColumn("_w", F.try_element_at(F.col("_p"), F.col("_k") + 1))
-    alt = pick(F.try_element_at(hmap, F.lower(F.col("_w"))), _u(2))
-    alt = F.when(is_upper_char(F.substring("_w", 1, 1)), capitalize(alt)).otherwise(alt)
-    df = df.withColumn("_new", _rejoin("_p", "_k", alt))
-    hit = F.col("_k").isNotNull()
-    return df, hit, hit
-
-
-def _op_dropped_nt(df, text):
-    df = _pick_piece(df, text, NT_PIECES_RE, NT_TARGET_RE)
-    new_w = F.replace(F.replace(F.col("_w"), F.lit("n't"), F.lit("")), F.lit("N'T"), F.lit(""))
-    df = df.withColumn("_new", _rejoin("_p", "_k", new_w))
-    hit = F.col("_k").isNotNull()
-    return df, hit, hit
-
-
-def _op_keyboard_neighbors(df, text):
-    _, kmap = _maps()
-    df = _pick_piece(df, text, None, KEYBOARD_WORD_RE)
-    w = F.col("_w")
-    positions = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
-                    lambda i: F.when(F.substring(w, i, 1).rlike("[a-zA-Z]"), i)),
-        lambda i: i.isNotNull())
-    df = df.withColumn("_pos", F.when(w.isNotNull(), pick(positions, _u(2))))
-    ch = F.substring(w, F.col("_pos"), 1)
-    nb = pick(F.try_element_at(kmap, F.lower(ch)), _u(3))
-    nb = F.when(is_upper_char(ch), F.upper(nb)).otherwise(nb)
-    new_w = F.concat(F.substring(w, 1, F.col("_pos") - 1), nb, F.substring(w, F.col("_pos") + 1, 2147483647))
-    df = df.withColumn("_new", _rejoin("_p", "_k", new_w)).drop("_pos")
-    hit = F.col("_k").isNotNull()
-    return df, hit, hit
-
-
-OPERATORS = {
-    "quote_spaces": _op_quote_spaces,
-    "missing_quotes": _op_missing_quotes,
-    "punctuation_outside_quotes": _op_punctuation_outside_quotes,
-    "dropped_letters": _op_dropped_letters,
-    "swapped_letters": _op_swapped_letters,
-    "dropped_words": _op_dropped_words,
-    "swapped_words": _op_swapped_words,
-    "spaces_around_punctuation": _op_spaces_around_punctuation,
-    "missing_spaces": _op_missing_spaces,
-    "homophones": _op_homophones,
-    "dropped_nt": _op_dropped_nt,
-    "keyboard_neighbors": _op_keyboard_neighbors,
-}
-_TEMPS = ["_h", "_g", "_p", "_c", "_k", "_w", "_new"]
+def _error_step(q: _Query, op: str, text: str, key_cols, rate: float, seed: int, active: str | None,
+                n_col: str, applied_col: str) -> None:
+    if rate <= 0.0:
+        return
+    base = list(q.cols)
+    t = qcol(text)
+    gate = f"({u_sql(0)} < {float(rate)!r}D)"
+    if active is not None:
+        gate = f"({qcol(active)} AND {gate})"
+    q.add([("_h", digest_sql(seed, op, key_cols))])
+    q.add([("_g", gate)])
+    stages, fired, counts = _op_stages(op, t)
+    for stage in stages:
+        q.add(stage)
+    outs = []
+    for c in base:
+        if c == applied_col:
+            outs.append((c, f"concat({qcol(c)}, CASE WHEN ({fired}) AND _new != {t} THEN array({slit(op)}) "
+                            f"ELSE CAST(array() AS ARRAY<STRING>) END)"))
+        elif c == n_col:
+            outs.append((c, f"{qcol(c)} + CASE WHEN {counts} THEN 1 ELSE 0 END"))
+        elif c == text:
+            outs.append((c, f"CASE WHEN {fired} THEN _new ELSE {t} END"))
+        else:
+            outs.append((c, qcol(c)))
+    q.project(outs)  # new state; temporaries dropped
 
 
 def apply_error(df: DataFrame, op: str, text: str = "text", key_cols=("doc_id",), rate: float = 1.0,
-                seed: int = 42, active: Column | None = None, n_col: str = "n_errors",
-                applied_col: str = "applied", barrier: bool = True) -> DataFrame:
+                seed: int = 42, n_col: str = "n_errors", applied_col: str = "applied") -> DataFrame:
     """Apply one operator (E1-E12) to ``text``; maintains ``n_errors`` and ``applied``."""
+    if op not in RATE_KEYS:
+        raise KeyError(op)
     if n_col not in df.columns:
         df = df.withColumn(n_col, F.lit(0))
     if applied_col not in df.columns:
         df = df.withColumn(applied_col, F.array().cast("array<string>"))
     if rate <= 0.0:
         return df
-    h = digest(seed, op, *key_cols)
-    gate = uniform(h, 0) < F.lit(float(rate))
-    if active is not None:
-        gate = active & gate
-    base = [c for c in df.columns]
-    df = df.select(*base, h.alias("_h"), gate.alias("_g"))
-    df, fired, counts = OPERATORS[op](df, text)
-    changed = fired & (F.col("_new") != F.col(text))
-    outs = []
-    for c in base:
-        if c == applied_col:
-            outs.append(F.concat(F.col(applied_col), F.when(changed, F.array(F.lit(op)))
-                                 .otherwise(F.array().cast("array<string>"))).alias(applied_col))
-        elif c == n_col:
-            outs.append((F.col(n_col) + F.when(counts, 1).otherwise(0)).alias(n_col))
-        elif c == text:
-            outs.append(F.when(fired, F.col("_new")).otherwise(F.col(text)).alias(text))
-        else:
-            outs.append(F.col(c))
-    df = df.select(*outs)  # one projection: new state, temporaries dropped
-    return plan_barrier(df, op) if barrier else df
+    q = _Query(df)
+    _error_step(q, op, text, key_cols, rate, seed, None, n_col, applied_col)
+    return plan_barrier(q.result(), op)
 
 
 def insert_errors(df: DataFrame, text: str = "text", key_cols=("doc_id",),
@@ -358,17 +350,24 @@ def insert_errors(df: DataFrame, text: str = "text", key_cols=("doc_id",),
     budget is used (a family may overshoot). Adds ``out_col`` (the corrupted
     text), ``n_errors`` and ``applied``; ``text`` is left untouched."""
     cfg = config if isinstance(config, ErrorConfig) else ErrorConfig.from_dict(config or DEFAULT_ERROR_CONFIG)
-    keep = F.length(F.col(text)) < cfg.min_length
-    keep = keep | (uniform(digest(seed, "preserve", *key_cols)) < F.lit(cfg.preserve_ratio))
-    df = df.withColumn(out_col, F.col(text)).withColumn("_keep", keep) \
-           .withColumn("n_errors", F.lit(0)).withColumn("applied", F.array().cast("array<string>"))
-    for _family, ops in ERROR_FAMILIES:
-        df = df.withColumn("_act", ~F.col("_keep") & (F.col("n_errors") < cfg.max_errors))
+    q = _Query(df)
+    keep = (f"(length({qcol(text)}) < {int(cfg.min_length)} OR "
+            f"{u_sql(0, digest_sql(seed, 'preserve', key_cols))} < {float(cfg.preserve_ratio)!r}D)")
+    q.add([(out_col, qcol(text)), ("_keep", keep), ("n_errors", "0"), ("applied", "CAST(array() AS ARRAY<STRING>)")])
+    q.project()
+    q.cols = q.cols + [out_col, "_keep", "n_errors", "applied"]
+    for fam_no, (_family, ops) in enumerate(ERROR_FAMILIES):
+        act = f"_act{fam_no}"
+        q.add([(act, f"(NOT _keep AND n_errors < {int(cfg.max_errors)})")])
+        q.project()
+        q.cols = q.cols + [act]
         for op in ops:
-            df = apply_error(df, op, out_col, key_cols, cfg.rate(op), seed, active=F.col("_act"), barrier=False)
+            _error_step(q, op, out_col, key_cols, cfg.rate(op), seed, act, "n_errors", "applied")
+    final = [c for c in q.cols if c != "_keep" and not c.startswith("_act")]
+    q.project([(c, qcol(c)) for c in final])
     # One barrier for the whole chain: later filters (user filters, or those
     # inferred from explode) stop here instead of inlining the chain.
-    return plan_barrier(df.drop("_keep", "_act"), "insert_errors")
+    return plan_barrier(q.result(), "insert_errors")
 
 
 def make_pairs(clean: DataFrame, key_cols=("source", "chapter", "chunk_no", "sub_no"),
