@@ -13,6 +13,7 @@ from sparkpairs.functions.constants import (
     CONTENT_BEGIN,
     CONTENT_END,
     DEFAULT_ERROR_CONFIG,
+    EVAL_FALLBACK_PROMPT,
     EXPORT_FALLBACK_PROMPT,
     PRODUCTION_ERROR_CONFIG,
     PY_WHITESPACE,
@@ -80,6 +81,11 @@ def _chat() -> dict[str, str]:
         "chat_json": (f"SELECT doc_id, '{{\"conversations\": [{{\"role\": \"system\", \"content\": ' || {js(SYS)} || "
                       f"'}}, {{\"role\": \"user\", \"content\": ' || {js(MARKED)} || "
                       f"'}}, {{\"role\": \"assistant\", \"content\": ' || {js('text')} || '}}]}}' AS text FROM documents"),
+        "inference_prompt": (f"SELECT doc_id, '<start_of_turn>user' || {NL} || {lit(EVAL_FALLBACK_PROMPT)} || {NL} || {NL} || "
+                             f"{strip(MARKED)} || '<end_of_turn>' || {NL} || '<start_of_turn>model' || {NL} AS text FROM documents"),
+        "chat_text_own_turn": (f"SELECT doc_id, '<start_of_turn>user' || {NL} || {strip(SYS)} || '<end_of_turn>' || {NL} || "
+                               f"'<start_of_turn>user' || {NL} || {strip(MARKED)} || '<end_of_turn>' || {NL} || "
+                               f"'<start_of_turn>model' || {NL} || {strip('text')} || '<end_of_turn>' || {NL} AS text FROM documents"),
         "prompt_response_split": (
             f"WITH t AS (SELECT doc_id, {CHAT_TEXT} AS t FROM documents), p AS (SELECT doc_id, t, instr(t, {rp}) AS pos FROM t) "
             f"SELECT doc_id, length(CASE WHEN pos > 0 THEN substr(t, 1, pos - 1) ELSE t END)::BIGINT AS prompt_chars, "
@@ -230,6 +236,9 @@ def _chunking() -> dict[str, str]:
         "paragraphs": (f"SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS para_no, unnest(p) AS paragraph "
                        f"FROM (SELECT doc_id, {paras('text', NL)} AS p FROM documents)"),
         "chunk_windows": WINDOWS,
+        "sentence_pieces": (f"SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS sent_no, unnest(s) AS sentence "
+                            f"FROM (SELECT doc_id, regexp_extract_all(text, {q(SENTENCE_RE)}) AS s FROM documents)"),
+        "word_counts": f"SELECT doc_id, len(regexp_extract_all(text, {q(WORD_RE)}))::BIGINT AS n_words FROM documents",
         "max_word_split": (f"WITH s AS (SELECT doc_id, {split_words_sql('text')} AS pieces FROM documents), "
                            f"e AS (SELECT doc_id, CAST(generate_subscripts(pieces, 1) - 1 AS BIGINT) AS sub_no, unnest(pieces) AS text FROM s) "
                            f"SELECT doc_id, sub_no, len(regexp_extract_all(text, {q(WORD_RE)}))::BIGINT AS n_words, text FROM e"),
@@ -260,10 +269,12 @@ def _errors() -> dict[str, str]:
                                  f"FROM ({INJECTED}) WHERE applied <> '') GROUP BY error_type")
     split = (f"SELECT *, CASE WHEN row_number() OVER (ORDER BY {sql_digest(R.SEED, None, 'doc_id', 'chunk_no')}, doc_id, chunk_no) - 1 "
              f"< ceil(0.1::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM ({WINDOWS})")
+    out["errors_per_row"] = f"SELECT n_errors, count(*) AS rows FROM ({INJECTED}) GROUP BY n_errors"
     out["corpus_pairs"] = insert_errors_sql(
         split, PROD, key_cols=("doc_id", "chunk_no"),
         final_select=("SELECT split, doc_id, chunk_no, source, original, text AS corrected, CAST(n_errors AS BIGINT) AS n_errors, "
                       "array_to_string(applied, ',') AS applied FROM {cur}"))
+    out["split_counts"] = f"SELECT split, source, count(*) AS n FROM ({out['corpus_pairs']}) GROUP BY split, source"
     return out
 
 

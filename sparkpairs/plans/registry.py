@@ -14,11 +14,12 @@ from sparkpairs.functions import chat
 from sparkpairs.functions.constants import (
     DEFAULT_ERROR_CONFIG,
     DEFAULT_MAX_LENGTH,
+    EVAL_FALLBACK_PROMPT,
     EXPORT_FALLBACK_PROMPT,
     PRODUCTION_ERROR_CONFIG,
 )
 from sparkpairs.functions.rand import digest, uniform
-from sparkpairs.functions.text import WORD_RE, paragraphs, posexplode_rows, token_count
+from sparkpairs.functions.text import WORD_RE, paragraphs, posexplode_rows, sentences, token_count, word_count
 from sparkpairs.operators import chunking, errors, evaluation, lengths, pairs, profile, runs, sampling
 from sparkpairs.plans import corpus
 from sparkpairs.plans import fixtures as fx
@@ -98,6 +99,18 @@ def q_chat_json(spark, d):
     return _messages(spark, d).select("doc_id", chat.chat_json("messages").alias("text"))
 
 
+def q_inference_prompt(spark, d):
+    """F10 inference variant (no assistant turn) rendered with the generation prompt."""
+    msgs = chat.to_messages(F.lit(EVAL_FALLBACK_PROMPT), F.col("text"))
+    return docs(spark, d).select("doc_id", chat.render_chat(msgs, add_generation_prompt=True).alias("text"))
+
+
+def q_chat_text_own_turn(spark, d):
+    """F11 with the system message rendered as its own user turn."""
+    m = _messages(spark, d)
+    return m.select("doc_id", chat.render_chat("messages", system_mode="own_turn").alias("text"))
+
+
 def q_prompt_response_split(spark, d):
     t = _chat_text(spark, d)
     p, r = chat.prompt_part("text"), chat.response_part_text("text")
@@ -247,6 +260,15 @@ def q_chunk_windows(spark, d):
     return _windows(spark, d)
 
 
+def q_sentence_pieces(spark, d):
+    s = posexplode_rows(docs(spark, d), sentences("text"), ["doc_id"], "sent_no", "sentence")
+    return s.select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "sentence")
+
+
+def q_word_counts(spark, d):
+    return docs(spark, d).select("doc_id", word_count("text").cast("bigint").alias("n_words"))
+
+
 def q_max_word_split(spark, d):
     s = posexplode_rows(docs(spark, d), chunking.split_by_max_words("text", 500), ["doc_id"], "sub_no", "text")
     return s.select("doc_id", F.col("sub_no").cast("bigint").alias("sub_no"),
@@ -304,6 +326,14 @@ def q_error_distribution(spark, d):
     return profile.error_distribution(_injected(spark, d))
 
 
+def q_errors_per_row(spark, d):
+    return profile.errors_per_row(_injected(spark, d))
+
+
+def q_split_counts(spark, d):
+    return pairs.counts_by(q_corpus_pairs(spark, d), "split", "source")
+
+
 def q_corpus_pairs(spark, d):
     """Corpus build: windows -> exact 90/10 split -> error injection -> pairs."""
     split = corpus.split_windows(docs(spark, d).select("doc_id", "source", "text"), SEED, "\n")
@@ -408,6 +438,8 @@ QUERIES = {
     "chat_text": q_chat_text,
     "chat_json": q_chat_json,
     "prompt_response_split": q_prompt_response_split,
+    "inference_prompt": q_inference_prompt,
+    "chat_text_own_turn": q_chat_text_own_turn,
     "chat_token_lengths": q_chat_token_lengths,
     "length_summary": q_length_summary,
     "length_histogram": q_length_histogram,
@@ -430,6 +462,8 @@ QUERIES = {
     "paragraphs": q_paragraphs,
     "chunk_windows": q_chunk_windows,
     "max_word_split": q_max_word_split,
+    "sentence_pieces": q_sentence_pieces,
+    "word_counts": q_word_counts,
     "poisson_sizes": q_poisson_sizes,
     "chunk_corpus": q_chunk_corpus,
     **{f"err_{op}": make_single_error_query(op) for op in SINGLE_OPS},
@@ -437,6 +471,8 @@ QUERIES = {
     "insert_errors_default": q_insert_errors_default,
     "error_distribution": q_error_distribution,
     "corpus_pairs": q_corpus_pairs,
+    "errors_per_row": q_errors_per_row,
+    "split_counts": q_split_counts,
     "eval_results": q_eval_results,
     "exact_match": q_exact_match,
     "match_by_source": q_match_by_source,
