@@ -86,13 +86,13 @@ def length_summary(hist: DataFrame) -> DataFrame:
 
 def length_bins(hist: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """A10: equal-width bins between min and max (last bin closed), all bins listed."""
-    t = _totals(hist).select("min_length", "max_length")
-    mn, mx = F.col("min_length"), F.col("max_length")
+    mn = hist.select(F.min("length")).scalar()   # scalar sub-queries over the small histogram
+    mx = hist.select(F.max("length")).scalar()
     raw = F.floor((F.col("length") - mn) * F.lit(float(bins)) / (mx - mn)) + 1
     b = F.when(mx == mn, F.lit(1)).otherwise(F.least(raw, F.lit(bins))).cast("int")
-    counted = hist.join(F.broadcast(t), how="cross").groupBy(b.alias("bin")).agg(F.sum("cnt").alias("cnt"))
+    counted = hist.groupBy(b.alias("bin")).agg(F.sum("cnt").alias("cnt"))
     spark = hist.sparkSession
-    all_bins = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(t), how="cross")
+    all_bins = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     width = (mx - mn).cast("double") / F.lit(float(bins))
     return all_bins.join(counted, "bin", "left").select(
         "bin",
@@ -104,11 +104,11 @@ def length_bins(hist: DataFrame, bins: int = HIST_BINS) -> DataFrame:
 
 def length_boxplot(hist: DataFrame, whis: float = 1.5) -> DataFrame:
     """Quartiles, 1.5-IQR whiskers (most extreme data inside the fences), outlier count."""
-    q = hist.agg(F.percentile("length", [0.25, 0.5, 0.75], F.col("cnt")).alias("q")).select(
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    lo = F.col("q1") - whis * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + whis * (F.col("q3") - F.col("q1"))
-    j = hist.join(F.broadcast(q), how="cross")
+    qs = hist.agg(F.percentile("length", [0.25, 0.5, 0.75], F.col("cnt"))).scalar()
+    q1, med, q3 = qs[0], qs[1], qs[2]
+    lo = q1 - whis * (q3 - q1)
+    hi = q3 + whis * (q3 - q1)
+    j = hist.select("length", "cnt", q1.alias("q1"), med.alias("median"), q3.alias("q3"))
     return j.groupBy("q1", "median", "q3").agg(
         F.min(F.when(F.col("length") >= lo, F.col("length"))).alias("whisker_lo"),
         F.max(F.when(F.col("length") <= hi, F.col("length"))).alias("whisker_hi"),
@@ -136,19 +136,20 @@ def truncation_curve(hist: DataFrame, grid: DataFrame | None = None) -> DataFram
     against the histogram; no row-level data is touched here.
     """
     grid = grid if grid is not None else max_length_grid(hist)
-    t = _totals(hist).select("n", "total_tokens")
+    n = hist.select(F.sum("cnt")).scalar()
+    total_tokens = hist.select(F.sum(F.col("length") * F.col("cnt"))).scalar()
     over = hist.join(F.broadcast(grid), F.col("length") > F.col("max_len")).groupBy("max_len").agg(
         F.sum(F.col("cnt") * (F.col("length") - F.col("max_len"))).alias("tt"),
         F.sum("cnt").alias("ts"))
-    curve = grid.join(over, "max_len", "left").join(F.broadcast(t), how="cross")
+    curve = grid.join(over, "max_len", "left")
     tt = F.coalesce(F.col("tt"), F.lit(0)).cast("bigint")
     ts = F.coalesce(F.col("ts"), F.lit(0)).cast("bigint")
     return curve.select(
         "max_len",
         tt.alias("truncated_tokens"),
         ts.alias("truncated_samples"),
-        F.try_divide(tt * F.lit(100.0), F.col("total_tokens")).alias("truncation_percentage"),
-        F.try_divide(ts * F.lit(100.0), F.col("n")).alias("samples_affected_percentage"),
+        F.try_divide(tt * F.lit(100.0), total_tokens).alias("truncation_percentage"),
+        F.try_divide(ts * F.lit(100.0), n).alias("samples_affected_percentage"),
     )
 
 
@@ -207,8 +208,8 @@ def packing_efficiency(hist: DataFrame, max_length: int = DEFAULT_MAX_LENGTH) ->
 def length_advice(hist: DataFrame, configured: int = DEFAULT_MAX_LENGTH) -> DataFrame:
     """Keep / change / choose, and whether packing is worthwhile (> 1.2x)."""
     opt = optimal_max_length(truncation_curve(hist, max_length_grid(hist, configured)))
-    pack = packing_efficiency(hist, configured).select("improvement")
-    j = opt.join(pack, how="cross")
+    improvement = packing_efficiency(hist, configured).select("improvement").scalar()
+    j = opt.withColumn("improvement", improvement)
     o1, o5 = F.col("optimal_1pct"), F.col("optimal_5pct")
     rec = F.when(o1 == o5, F.when(o5 != configured, F.lit("change")).otherwise(F.lit("keep"))).otherwise(F.lit("choose"))
     return j.select(
