@@ -97,3 +97,32 @@ def spread(df: DataFrame, key: str | list[str], per_core: int = 4) -> DataFrame:
         return df
     keys = [key] if isinstance(key, str) else list(key)
     return df.repartition(want, *keys)
+
+
+def tune_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
+                   text_heavy: bool = True) -> dict[str, str]:
+    """Size shuffles and scans for a given input volume (e.g. 100 TB).
+
+    * shuffle partitions: enough that each holds ~``target_partition_bytes``
+      (never fewer than twice the cores), so sorts and hash aggregates fit in
+      executor memory without spilling to death;
+    * scan splits: smaller for text-heavy per-row work (regex chains are
+      CPU-bound, so more, smaller tasks balance better);
+    * AQE coalescing and skew splitting stay on; the advisory size follows
+      the target.
+    Returns the settings applied.
+    """
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    partitions = max(2 * cores, -(-int(input_bytes) // int(target_partition_bytes)))
+    split = (64 << 20) if text_heavy else (128 << 20)
+    conf = {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

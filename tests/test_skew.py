@@ -56,3 +56,15 @@ def test_early_stop_hot_run_matches_loop(spark):
             if counter >= 3 and stop is None:
                 stop = i
         assert got[run] == stop
+
+
+def test_tune_for_input(spark):
+    from sparkpairs.session import tune_for_input
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        conf = tune_for_input(spark, 100 * (1 << 40))
+        assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+        small = tune_for_input(spark, 1 << 20)
+        assert int(small["spark.sql.shuffle.partitions"]) == 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
