@@ -7,7 +7,9 @@ Regexes are passed as ``F.lit`` raw strings.
 from __future__ import annotations
 
 import re
+from typing import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,9 +58,27 @@ def join_paragraphs(arr, sep: str = "\n\n") -> Column:
     return F.array_join(col_(arr), sep)
 
 
-def sentences(text) -> Column:
-    """rule-based sentence pieces; ``array_join(pieces, '') == text``."""
-    return F.regexp_extract_all(col_(text), F.lit(SENTENCE_RE), 0)
+def sentences(text, splitter_factory=None) -> Column:
+    """sentence pieces; ``array_join(pieces, '') == text``.
+
+    By default a rule (a regex, JVM-side). ``splitter_factory`` plugs in a
+    user segmenter: it returns ``split(texts) -> list of piece lists`` and is
+    loaded once per Python worker, running on Arrow batches. Pieces must
+    concatenate back to the text (whitespace stays attached).
+    """
+    if splitter_factory is None:
+        return F.regexp_extract_all(col_(text), F.lit(SENTENCE_RE), 0)
+    return _user_sentences(col_(text), splitter_factory)
+
+
+def _user_sentences(text: Column, factory) -> Column:
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        segment = factory()
+        for s in batches:
+            yield pd.Series(list(segment(s.fillna("").tolist())))
+
+    return split(text)
 
 
 def word_count(text) -> Column:

@@ -81,12 +81,12 @@ def chunk_windows(df: DataFrame, text_col: str = "text", key_cols: list[str] = (
                            F.col("_w.text").alias(text_col))
 
 
-def split_by_max_words(text, max_words: int = DEFAULT_MAX_WORDS) -> Column:
+def split_by_max_words(text, max_words: int = DEFAULT_MAX_WORDS, splitter_factory=None) -> Column:
     """greedy sentence packing; pieces concatenate back to the text."""
     t = col_(text)
     if max_words <= 0:
         return F.array(t)
-    sents = sentences(t)
+    sents = sentences(t, splitter_factory)
     counted = F.transform(sents, lambda s: F.struct(s.alias("s"), F.regexp_count(s, F.lit(WORD_RE)).alias("w")))
     init = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
@@ -103,9 +103,9 @@ def split_by_max_words(text, max_words: int = DEFAULT_MAX_WORDS) -> Column:
 
 def chunk_corpus(df: DataFrame, text_col: str = "text", key_cols: list[str] = ("source", "chapter"),
                  npara: int = DEFAULT_NPARA, max_words: int = DEFAULT_MAX_WORDS, seed: int = DEFAULT_SEED,
-                 sep: str = "\n\n", join_sep: str = "\n\n") -> DataFrame:
+                 sep: str = "\n\n", join_sep: str = "\n\n", splitter_factory=None) -> DataFrame:
     """W1 then F5: ``source, chapter, chunk_no, sub_no, text`` (the ``clean`` table)."""
     windows = chunk_windows(df, text_col, key_cols, npara, seed, sep, join_sep,
                             keep_cols=[c for c in df.columns if c != text_col])
     keep = [c for c in windows.columns if c not in (text_col, "start", "size")]
-    return posexplode_rows(windows, split_by_max_words(text_col, max_words), keep, "sub_no", text_col)
+    return posexplode_rows(windows, split_by_max_words(text_col, max_words, splitter_factory), keep, "sub_no", text_col)

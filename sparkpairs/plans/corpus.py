@@ -37,12 +37,14 @@ class CorpusSettings:
     error_config: dict | errors.ErrorConfig | None = None
     subsample: float | None = None
     extra_sources: list[DataFrame] = field(default_factory=list)  # adapted (source, original, corrected, split)
+    sentence_splitter: object = None  # optional factory for a user sentence segmenter
 
 
 def clean_chunks(docs: DataFrame, s: CorpusSettings, key_cols=("source", "chapter")) -> DataFrame:
     """Stage 2: ``source, chapter, chunk_no, sub_no, text`` plus an exact split."""
     docs = spread(docs, list(key_cols))
-    chunks = chunking.chunk_corpus(docs, "text", list(key_cols), s.npara, s.max_words, s.seed, s.sep)
+    chunks = chunking.chunk_corpus(docs, "text", list(key_cols), s.npara, s.max_words, s.seed, s.sep,
+                                   splitter_factory=s.sentence_splitter)
     keys = list(key_cols) + ["chunk_no", "sub_no"]
     return sampling.train_test_split(chunks, s.test_size, s.seed, keys).drop("rank")
 

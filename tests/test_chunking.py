@@ -75,3 +75,17 @@ def test_chunk_corpus_schema(spark):
     out = chunking.chunk_corpus(df, max_words=6)
     assert out.columns == ["chapter", "source", "chunk_no", "sub_no", "text"]
     assert out.count() > 0
+
+
+def test_user_sentence_splitter(spark):
+    import re as _re
+
+    def factory():
+        pat = _re.compile(r"[^.]*\.\s*|[^.]+$")
+        return lambda texts: [pat.findall(t) for t in texts]
+
+    text = "One two. Three four five. Six seven."
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(sentences("t", factory).alias("s"), chunking.split_by_max_words("t", 3, factory).alias("p")).first()
+    assert got.s == ["One two. ", "Three four five. ", "Six seven."]
+    assert got.p == ["One two. ", "Three four five. ", "Six seven."]
