@@ -254,7 +254,6 @@ ERROR_SOURCES = {
     "documents": "SELECT doc_id, text FROM documents",
     "quoted": f"SELECT doc_id, '\"' || regexp_replace(text, {NL}, '\"' || {NL} || '\"', 'g') || '\"' AS text FROM documents",
     "contracted": "SELECT doc_id, replace(replace(text, ' is ', ' isn''t '), ' the ', ' couldn''t ') AS text FROM documents",
-    "english": "SELECT doc_id, text FROM documents WHERE lang = 'en'",
 }
 PROD = ErrorConfig.from_dict(PRODUCTION_ERROR_CONFIG)
 DEFAULT = ErrorConfig.from_dict(DEFAULT_ERROR_CONFIG)

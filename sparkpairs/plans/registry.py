@@ -35,7 +35,7 @@ SINGLE_OPS = {
     "quote_spaces": "quoted", "missing_quotes": "quoted", "punctuation_outside_quotes": "quoted",
     "dropped_letters": "documents", "swapped_letters": "documents", "dropped_words": "documents",
     "swapped_words": "documents", "spaces_around_punctuation": "documents", "missing_spaces": "documents",
-    "homophones": "english", "dropped_nt": "contracted", "keyboard_neighbors": "documents",
+    "homophones": "documents", "dropped_nt": "contracted", "keyboard_neighbors": "documents",
 }
 
 
@@ -294,8 +294,6 @@ def error_source(spark, d, kind: str) -> DataFrame:
         t = fx.quoted(t)
     elif kind == "contracted":
         t = fx.contracted(t)
-    elif kind == "english":
-        t = t.filter(F.col("lang") == "en")
     return t.select("doc_id", "text")
 
 
