@@ -30,3 +30,19 @@ def stream_insert_errors(spark: SparkSession, source_dir: str, schema, out_dir:
               .outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def stream_apply(spark: SparkSession, source_dir: str, schema, out_dir: str, transform, name: str = "apply",
+                 available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Run any stateless batch operator (chat rendering, HTML conversion,
+    adapters, error injection...) on a file stream: ``transform(df) -> df``.
+    Keyed randomness makes the result identical to the batch run."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    out = transform(reader.parquet(source_dir))
+    writer = (out.writeStream.format("parquet").option("path", out_dir)
+              .option("checkpointLocation", os.path.join(checkpoint_dir(spark), "streams", name))
+              .outputMode("append"))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
