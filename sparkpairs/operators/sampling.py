@@ -25,7 +25,7 @@ from sparkpairs.session import materialize, plan_barrier
 
 RANK_BUCKET_HEX = 5          # up to 1,048,576 buckets per partition value
 COPY_CHUNK = 1 << 20         # copies expanded per task for hot duplicate groups
-TOPK_LIMIT = 100_000         # sample_n above this size uses exact ranks
+TOPK_LIMIT = 10_000          # sample_n above this size uses exact ranks (top-k keeps n rows per task)
 
 
 def shuffle_key(df: DataFrame, seed: int, key_cols: list[str]) -> Column:

@@ -14,7 +14,6 @@ from sparkpairs.functions.constants import (
     CONTENT_END,
     DEFAULT_ERROR_CONFIG,
     EVAL_FALLBACK_PROMPT,
-    EXPORT_FALLBACK_PROMPT,
     PRODUCTION_ERROR_CONFIG,
     PY_WHITESPACE,
     RESPONSE_PART,
