@@ -122,7 +122,9 @@ def max_length_grid(hist: DataFrame, configured: int = DEFAULT_MAX_LENGTH) -> Da
 
     At most (8192-512)/256 + 1 = 31 rows, whatever the data size.
     """
-    stop = F.least(F.max("length") + GRID_START, F.lit(GRID_CAP))
+    mx = F.max("length")
+    # least() skips nulls: with no lengths the range must be empty, not the full grid
+    stop = F.when(mx.isNull(), F.lit(GRID_START)).otherwise(F.least(mx + GRID_START, F.lit(GRID_CAP)))
     seq = F.when(stop > GRID_START, F.sequence(F.lit(GRID_START).cast("bigint"), stop - 1, F.lit(GRID_STEP).cast("bigint"))) \
            .otherwise(F.array().cast("array<bigint>"))
     g = hist.agg(F.array_distinct(F.concat(seq, F.array(F.lit(configured).cast("bigint")))).alias("g"))

@@ -95,3 +95,15 @@ def test_tokenizer_udf(spark):
 
     got = [r.length for r in lengths.token_lengths(df, "text", factory).collect()]
     assert got == [3, 2]
+
+
+def test_single_value_and_empty(spark):
+    one = hist(spark, [42] * 5)
+    assert [b.cnt for b in lengths.length_bins(one).orderBy("bin").collect()][0] == 5
+    s = lengths.length_summary(one).first()
+    assert (s.n, s.std, s.median) == (5, 0.0, 42.0)
+    assert lengths.packing_efficiency(one, 768).first().sequences_with_packing == 1
+    empty = lengths.length_histogram(spark.createDataFrame([], "length long"))
+    assert lengths.length_summary(empty).first().n is None
+    assert lengths.truncation_curve(empty).count() == 1          # only the configured length
+    assert lengths.packing_efficiency(empty, 768).first().with_packing is None

@@ -68,3 +68,10 @@ def test_sample_n(spark):
 def test_pick_position(spark):
     assert sampling.pick_position(frame(spark, 5), 10, 42, ["k"]).first().rank == 4
     assert sampling.pick_position(frame(spark, 50), 10, 42, ["k"]).first().rank == 10
+
+
+def test_empty_inputs(spark):
+    empty = spark.createDataFrame([], "k long, t string")
+    assert sampling.shuffle_rank(empty, 1, ["k"]).count() == 0
+    assert sampling.train_test_split(empty, 0.1, 1, ["k"]).count() == 0
+    assert sampling.sample_n(empty, 5, 1, ["k"]).count() == 0
