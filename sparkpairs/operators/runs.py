@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkpairs.operators.ordering import ordinal_within, running_agg
+from sparkpairs.session import materialize
 
 STEP_BUCKET_SECONDS = 60
 
@@ -42,13 +43,14 @@ def early_stopping(log: DataFrame, metric: str = "eval_loss", patience: int = 3,
                    greater_is_better: bool = False) -> DataFrame:
     """First step at which ``patience`` consecutive evaluations brought no
     improvement over the best earlier value (by more than ``threshold``)."""
-    steps = with_steps(log.filter(F.col("metric") == metric))
     sign = -1.0 if greater_is_better else 1.0
-    steps = steps.withColumn("_v", F.col("value") * F.lit(sign))
+    # each two-level scan reads its input twice: materialise the inputs once
+    steps = materialize(with_steps(log.filter(F.col("metric") == metric))
+                        .select("run_id", "step", (F.col("value") * F.lit(sign)).alias("_v")))
     prev = running_agg(steps, ["run_id"], "step", F.col("_v"), "min", "_prev_best", inclusive=False)
     improved = F.col("_prev_best").isNull() | ((F.col("_v") < F.col("_prev_best")) &
                                               (F.abs(F.col("_v") - F.col("_prev_best")) > threshold))
-    marked = prev.withColumn("_imp", F.when(improved, F.col("step")))
+    marked = materialize(prev.withColumn("_imp", F.when(improved, F.col("step"))))
     last = running_agg(marked, ["run_id"], "step", F.col("_imp"), "max", "_last_imp", inclusive=True)
     counter = F.col("step") - F.col("_last_imp")
     return last.groupBy("run_id").agg(
