@@ -89,5 +89,5 @@ def filter_by_source(df: DataFrame, sources: list[str]) -> DataFrame:
     if not sources:
         return df
     hit = F.col("source").isin(list(dict.fromkeys(sources)))
-    any_known = df.filter(hit).select(F.count(F.lit(1)) > 0).scalar()
+    any_known = df.filter(hit).limit(1).select(F.count(F.lit(1)) > 0).scalar()  # stops at the first match
     return df.filter(hit | ~any_known)
