@@ -50,20 +50,25 @@ def main() -> None:
         return time.perf_counter() - t0
 
     run("train_test_split")  # JVM / code-generation warm-up
-    per_query = {}
+    per_query, failed = {}, {}
     for name in names:
-        run(name)  # warm
-        per_query[name] = round(statistics.median(run(name) for _ in range(repeat)), 3)
+        try:
+            run(name)  # warm
+            per_query[name] = round(statistics.median(run(name) for _ in range(repeat)), 3)
+        except Exception as e:  # noqa: BLE001 - report and keep measuring the others
+            per_query[name] = None
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({
         "metric": "headline_queries_total_median_sec",
-        "value": round(sum(per_query.values()), 3),
+        "value": round(sum(v for v in per_query.values() if v is not None), 3),
         "unit": "sec",
         "queries": per_query,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
         "repeat": repeat,
         "spark": spark.version,
+        **({"failed": failed} if failed else {}),
     }))
     spark.stop()
 
