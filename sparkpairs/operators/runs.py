@@ -28,6 +28,17 @@ def metric_history(log: DataFrame) -> DataFrame:
     return with_steps(log).select("run_id", "metric", "step", "value")
 
 
+def metric_history_arrays(log: DataFrame) -> DataFrame:
+    """A13 in the original shape: per run and metric, the values in step order.
+
+    One array per (run, metric): its length is the number of reports of one
+    training run (bounded by its evaluation schedule), never the log size.
+    """
+    steps = with_steps(log)
+    return steps.groupBy("run_id", "metric").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"]).alias("values"))
+
+
 def best_metrics(log: DataFrame, loss_metric: str = "eval_loss", acc_metric: str = "eval_accuracy") -> DataFrame:
     """A12 + A14: best (min) loss, best (max) accuracy, eval count, mean loss; null when absent."""
     m = F.col("metric")

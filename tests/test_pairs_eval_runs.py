@@ -137,3 +137,9 @@ def test_rungs(spark):
     out = runs.rung_survivors(log(spark, vals)).collect()
     promoted = sorted((r.rung, r.run_id) for r in out if r.promoted)
     assert promoted == [(4, 0), (4, 1), (4, 2), (12, 0), (12, 1), (12, 2)]
+
+
+def test_history_arrays(spark):
+    l = log(spark, {1: [5, 4, 6], 2: [3, 7]})
+    got = {r.run_id: list(r["values"]) for r in runs.metric_history_arrays(l).collect()}
+    assert got == {1: [5.0, 4.0, 6.0], 2: [3.0, 7.0]}
