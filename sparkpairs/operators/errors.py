@@ -4,10 +4,13 @@ Each operator rewrites a text column and reports whether it fired. Draws come
 from one digest per (row, operator): slot 0 gates the operator, slot 1 picks
 the candidate, slot 2 the position or variant, slot 3 the alternative.
 
-Operators are staged ``withColumn`` steps over a piece array (words and the
-runs between them), so an edit is "replace piece k" and a chain of twelve
-operators stays a linear plan. A text is tokenised only on rows whose gate
-fired. Decisions that differ from a literal row loop are deliberate:
+Operators are staged steps over a piece array (words and the runs between
+them), so an edit is "replace piece k" and a chain of twelve operators stays a
+linear plan. The steps are Spark SQL expressions composed into one statement
+over a temporary view (lateral aliases within an operator, one projection per
+operator), so the chain is parsed and analysed once. A text is tokenised only
+on rows whose gate fired. Decisions that differ from a literal row loop are
+deliberate:
 
 * every operator re-tokenises the current text (offsets are never stale);
 * operators that edit "the first textual occurrence" edit the drawn one;
