@@ -34,7 +34,7 @@ def contracted(docs: DataFrame) -> DataFrame:
 
 
 def tagged(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
-    """CoEdit-like ``_id, task, src, tgt``: command prefix on a keyed half,
+    """Task-tagged corpus ``_id, task, src, tgt``: command prefix on a keyed half,
     task from the quality label."""
     j = docs.join(labels, "doc_id")
     u = uniform(digest(seed, "tag", F.col("doc_id")))
@@ -48,7 +48,7 @@ def tagged(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def multi_reference(conv: DataFrame) -> DataFrame:
-    """JFLEG-like ``sentence, corrections``: a user turn and the assistant turns
+    """Multi-reference corpus ``sentence, corrections``: a user turn and the assistant turns
     that directly follow it (up to two), found by equi-joins on (conv_id, turn).
     No grouping and no pairing within a conversation."""
     u = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("sentence"))

@@ -98,10 +98,10 @@ def test_dataset_roundtrip_and_card(spark, tmp_out):
 
 def test_chat_jsonl(spark, tmp_out):
     df = spark.createDataFrame([("train", '{"conversations": []}'), ("test", "{}")], "split string, text string")
-    writers.write_chat_jsonl(df, f"{tmp_out}/mlx")
-    valid = spark.read.json(f"{tmp_out}/mlx/valid.jsonl").collect()
+    writers.write_chat_jsonl(df, f"{tmp_out}/chat_export")
+    valid = spark.read.json(f"{tmp_out}/chat_export/valid.jsonl").collect()
     assert [r.text for r in valid] == ["{}"]
-    assert spark.read.json(f"{tmp_out}/mlx/train.jsonl").count() == 1
+    assert spark.read.json(f"{tmp_out}/chat_export/train.jsonl").count() == 1
 
 
 def test_results_and_lineage(spark, tmp_out):
