@@ -48,9 +48,15 @@ def duck():
     return con
 
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_oracle_differential(spark, duck, name):
     df = E.queries()[name](spark, SMALL)
+    described = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+    for f in df.schema.fields:
+        assert DUCK_TYPES.get(f.dataType.simpleString()) == described[f.name], f.name
     cols = sorted(df.columns)
     got = sorted(repr(tuple(_norm(r[c]) for c in cols)) for r in df.collect())
     res = duck.execute(E.oracle_sql()[name])
