@@ -17,7 +17,9 @@ are computed without an unpartitioned window or a sort into one task:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sparkpairs.functions.rand import digest
@@ -56,7 +58,11 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
         .withColumn("_b", F.coalesce(F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"), F.lit(0)))
     )
     w_in = Window.partitionBy(*part, "_b").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1)
-    local = materialize(grouped.withColumn("_ls", F.coalesce(F.sum("_c").over(w_in), F.lit(0))))
+    # the largest copy group is observed during the checkpoint pass itself
+    copies = Observation(f"sparkpairs_copies_{uuid.uuid4().hex[:12]}")
+    local = materialize(grouped.withColumn("_ls", F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
+                        .observe(copies, F.max("_c").alias("max_copies")))
+    max_copies = (copies.get or {}).get("max_copies") or 0
     per_bucket = local.groupBy(*part, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*part).orderBy("_b")
     offsets = per_bucket.select(
@@ -67,7 +73,7 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
     if bounded_partitions:
         offsets = F.broadcast(offsets)
     placed = local.join(offsets, on=[*part, "_b"]).withColumn("_start", F.col("_off") + F.col("_ls"))
-    out = _expand_copies(placed)
+    out = _expand_copies(placed, hot=max_copies > COPY_CHUNK)
     out = out.withColumn(rank_col, (F.col("_start") + F.col("_i")).cast("bigint"))
     keep = cols + [rank_col] + ([size_col] if size_col else [])
     if size_col:
@@ -75,8 +81,15 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
     return out.select(*keep)
 
 
-def _expand_copies(placed: DataFrame) -> DataFrame:
-    """Re-create ``_c`` copies of each collapsed row with ``_i`` = 0.._c-1."""
+def _expand_copies(placed: DataFrame, hot: bool = True) -> DataFrame:
+    """Re-create ``_c`` copies of each collapsed row with ``_i`` = 0.._c-1.
+
+    Groups above ``COPY_CHUNK`` copies (``hot``) are cut into chunks that are
+    spread across tasks before expansion; without such groups the extra branch
+    is not planned at all.
+    """
+    if not hot:
+        return placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_c") - 1)))
     small = placed.filter(F.col("_c") <= COPY_CHUNK).withColumn(
         "_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_c") - 1)))
     big = (
