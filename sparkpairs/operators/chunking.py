@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from sparkpairs.functions.constants import DEFAULT_MAX_WORDS, DEFAULT_NPARA, DEFAULT_SEED
 from sparkpairs.functions.rand import digest, uniform
 from sparkpairs.functions.text import WORD_RE, col_, paragraphs, posexplode_rows, sentences
+from sparkpairs.session import plan_barrier
 
-WINDOW_TYPE = "array<struct<start:int,size:int>>"
 
 
 def poisson_cdf(npara: int) -> list[float]:
@@ -45,34 +45,60 @@ def truncated_poisson(u: Column, npara: int = DEFAULT_NPARA) -> Column:
     return size
 
 
-def window_starts(n_par: Column, key_cols: list, npara: int, seed: int) -> Column:
-    """Array of (start, size) windows for a document with ``n_par`` paragraphs."""
-    ks = F.when(n_par > 0, F.sequence(F.lit(0), n_par - 1)).otherwise(F.array().cast("array<int>"))
-    draws = F.transform(ks, lambda k: uniform(digest(seed, "chunk", *key_cols, k)))  # one digest per draw
-    sizes = F.transform(draws, lambda u: truncated_poisson(u, npara))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(WINDOW_TYPE).alias("out"))
+PREFIX_BLOCK = 128   # block length of the in-row prefix sum
+
 
-    def step(acc, s):
-        moved = F.struct(
-            (acc["pos"] + F.greatest(F.lit(1), s - 1)).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), s.alias("size")))).alias("out"),
-        )
-        return F.when(acc["pos"] < n_par, moved).otherwise(acc)
+def _exclusive_prefix(arr: Column) -> Column:
+    """[a0, a1, ...] -> [0, a0, a0+a1, ...]; quadratic in the array length, so
+    only applied to arrays of at most ``PREFIX_BLOCK`` elements."""
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(arr, init,
+                       lambda acc, x: F.struct((acc["pos"] + x).alias("pos"),
+                                               F.concat(acc["out"], F.array(acc["pos"])).alias("out")),
+                       lambda acc: acc["out"])
 
-    return F.aggregate(sizes, init, step)["out"]
+
+def window_sizes(n_par: Column, key_cols: list, npara: int, seed: int) -> Column:
+    """Keyed size draws k = 0..P-1 (at most P windows, since every step is >= 1)."""
+    ks = F.when(n_par > 0, F.sequence(F.lit(0), n_par - 1)).otherwise(F.array().cast("array<int>"))
+    draws = F.transform(ks, lambda k: uniform(digest(seed, "chunk", *key_cols, k)))  # one digest per draw
+    return F.transform(draws, lambda u: truncated_poisson(u, npara))
 
 
 def chunk_windows(df: DataFrame, text_col: str = "text", key_cols: list[str] = ("source", "chapter"),
                   npara: int = DEFAULT_NPARA, seed: int = DEFAULT_SEED, sep: str = "\n\n",
                   join_sep: str = "\n\n", keep_cols: list[str] | None = None) -> DataFrame:
-    """One row per window: keys, ``chunk_no``, ``start``, ``size``, ``text``."""
+    """One row per window: keys, ``chunk_no``, ``start``, ``size``, ``text``.
+
+    Window k starts at the sum of the previous steps ``max(1, size - 1)``. The
+    prefix sum is computed inside the row in blocks of ``PREFIX_BLOCK`` draws
+    (block totals, their prefix, then each block's local prefix plus its
+    offset): O(P * block + (P / block)^2) work for P paragraphs, one pass, no
+    shuffle, however long the document.
+    """
     keep = list(keep_cols) if keep_cols is not None else [c for c in df.columns if c != text_col]
     keys = [F.col(c) for c in key_cols]
-    staged = df.select(*keep, paragraphs(text_col, sep).alias("_paras"))
-    staged = staged.withColumn("_win", window_starts(F.size("_paras"), keys, npara, seed))
-    # Cut the window texts inside the row, so exploded rows carry only their own
+    B = PREFIX_BLOCK
+    # The fence keeps the paragraph array a computed column: window lambdas read
+    # it, and an inlined split would be re-run for every window.
+    staged = plan_barrier(df.select(*keep, paragraphs(text_col, sep).alias("_paras")), "paragraphs")
+    staged = staged.withColumn("_sizes", window_sizes(F.size("_paras"), keys, npara, seed))
+    steps = F.transform("_sizes", lambda x: F.greatest(F.lit(1), x - 1))
+    n = F.size("_sizes")
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.ceil(n / B).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    # Steps cut into blocks; from here every lambda sees only its own element.
+    staged = staged.withColumn("_chunks", F.transform(blocks, lambda b: F.slice(steps, b * B + 1, B)))
+    staged = staged.withColumn("_boff", _exclusive_prefix(
+        F.transform("_chunks", lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))))
+    staged = staged.withColumn("_starts", F.flatten(F.transform(
+        F.arrays_zip(F.col("_chunks").alias("c"), F.col("_boff").alias("o")),
+        lambda z: F.transform(_exclusive_prefix(z["c"]), lambda x: x + z["o"]))))
+    # Windows are the draws that start inside the document (a prefix of the draws).
+    # Their texts are cut inside the row, so exploded rows carry only their own
     # text (exploding next to the paragraph array would copy it once per window).
-    cut = F.transform("_win", lambda w: F.struct(
+    wins = F.filter(F.arrays_zip(F.col("_starts").alias("start"), F.col("_sizes").alias("size")),
+                    lambda w: w["start"] < F.size("_paras"))
+    cut = F.transform(wins, lambda w: F.struct(
         w["start"].alias("start"), w["size"].alias("size"),
         F.array_join(F.slice(F.col("_paras"), w["start"] + 1, w["size"]), join_sep).alias("text")))
     staged = staged.select(*keep, cut.alias("_cut"))

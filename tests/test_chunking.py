@@ -89,3 +89,28 @@ def test_user_sentence_splitter(spark):
     got = df.select(sentences("t", factory).alias("s"), chunking.split_by_max_words("t", 3, factory).alias("p")).first()
     assert got.s == ["One two. ", "Three four five. ", "Six seven."]
     assert got.p == ["One two. ", "Three four five. ", "Six seven."]
+
+
+def _brute_windows(key, n_par, npara=5, seed=42):
+    import hashlib
+    cdf = chunking.poisson_cdf(npara)
+    out, i, k = [], 0, 0
+    while i < n_par:
+        h = hashlib.md5(f"{seed}:chunk:{key}:{k}".encode()).hexdigest()
+        u = int(h[:8], 16) / 2 ** 32
+        size = 1 + sum(u >= c for c in cdf)
+        out.append((k, i, size))
+        i += max(1, size - 1)
+        k += 1
+    return out
+
+
+def test_windows_match_literal_walk(spark):
+    counts = [1, 2, 7, 127, 128, 129, 1300, 3000]   # several prefix blocks
+    rows = [(f"d{n}", "\n\n".join(f"p{i}" for i in range(n))) for n in counts]
+    df = spark.createDataFrame(rows, "chapter string, text string")
+    got = {}
+    for r in chunking.chunk_windows(df, key_cols=["chapter"], keep_cols=["chapter"]).collect():
+        got.setdefault(r.chapter, []).append((r.chunk_no, r.start, r.size))
+    for name, n in zip([r[0] for r in rows], counts):
+        assert sorted(got[name]) == _brute_windows(name, n), name
