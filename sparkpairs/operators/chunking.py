@@ -45,7 +45,7 @@ def truncated_poisson(u: Column, npara: int = DEFAULT_NPARA) -> Column:
     return size
 
 
-PREFIX_BLOCK = 128   # block length of the in-row prefix sum
+PREFIX_BLOCK = 512   # block length of the in-row prefix sum (measured: larger blocks amortise per-block overhead)
 
 
 def _exclusive_prefix(arr: Column) -> Column:

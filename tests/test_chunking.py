@@ -106,7 +106,7 @@ def _brute_windows(key, n_par, npara=5, seed=42):
 
 
 def test_windows_match_literal_walk(spark):
-    counts = [1, 2, 7, 127, 128, 129, 1300, 3000]   # several prefix blocks
+    counts = [1, 2, 7, 511, 512, 513, 1300, 3000]   # several prefix blocks
     rows = [(f"d{n}", "\n\n".join(f"p{i}" for i in range(n))) for n in counts]
     df = spark.createDataFrame(rows, "chapter string, text string")
     got = {}
