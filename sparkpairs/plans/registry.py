@@ -375,9 +375,9 @@ def q_example_mix(spark, d):
 def _masked(spark, d):
     t = docs(spark, d)
     lens = F.transform(F.regexp_extract_all("text", F.lit(WORD_RE), 0), lambda w: F.length(w))
-    t = t.select("doc_id", lens.alias("lens"))
+    t = t.select("doc_id", lens.alias("lens")).withColumn("_last", F.size("lens") - 1)  # lambdas see scalars only
     labels = F.transform("lens", lambda x, i: F.when(i < 3, F.lit(-100)).otherwise(x))
-    bump = F.transform("lens", lambda x, i: F.when(i == F.size("lens") - 1, x + 1).otherwise(x))
+    bump = F.transform("lens", lambda x, i: F.when(i == F.col("_last"), x + 1).otherwise(x))
     u = uniform(digest(SEED, "pred", F.col("doc_id")))
     return t.select("doc_id", F.when(u < 0.5, bump).otherwise(F.col("lens")).alias("predictions"),
                     labels.alias("label_ids"))
