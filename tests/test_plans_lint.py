@@ -2,6 +2,7 @@
 joins, and narrow queries read only the columns they need."""
 
 import os
+import uuid
 
 import pytest
 
@@ -34,7 +35,7 @@ def test_stream_apply_matches_batch(spark, tmp_out):
     def to_md(df):
         return df.select("page_id", html_to_markdown("html").alias("markdown"))
 
-    q = stream_apply(spark, f"{tmp_out}/in", pages.schema, f"{tmp_out}/out", to_md, name=f"md{os.getpid()}")
+    q = stream_apply(spark, f"{tmp_out}/in", pages.schema, f"{tmp_out}/out", to_md, name=f"md{uuid.uuid4().hex}")
     q.awaitTermination(300)
     got = {(r.page_id, r.markdown) for r in spark.read.parquet(f"{tmp_out}/out").collect()}
     assert got == {(r.page_id, r.markdown) for r in to_md(pages).collect()}

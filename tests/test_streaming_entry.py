@@ -2,6 +2,7 @@
 
 import math
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def test_stream_matches_batch(spark, tmp_out):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "source", "text")
     src = f"{tmp_out}/in"
     docs.repartition(3).write.parquet(src)
-    q = stream_insert_errors(spark, src, docs.schema, f"{tmp_out}/out", name=f"t{os.getpid()}",
+    q = stream_insert_errors(spark, src, docs.schema, f"{tmp_out}/out", name=f"t{uuid.uuid4().hex}",
                              config=PRODUCTION_ERROR_CONFIG, max_files_per_trigger=1)
     q.awaitTermination(300)
     streamed = {(r.doc_id, r.original) for r in spark.read.parquet(f"{tmp_out}/out").collect()}
