@@ -34,3 +34,21 @@ def test_tagged_and_io(spark):
     assert any(r.src.startswith(fx.TAG_COMMAND) for r in t) and any(r.src == r.tgt for r in t)
     io = fx.io_pairs(fx.table(spark, SMALL, "benchmark")).collect()
     assert all("  " not in r.output and r.output == r.output.strip() for r in io)
+
+
+def test_null_texts_pass_through(spark):
+    from sparkpairs.functions import chat
+    from sparkpairs.functions.constants import PRODUCTION_ERROR_CONFIG
+    from sparkpairs.functions.text import token_count
+    from sparkpairs.operators import chunking, errors
+
+    df = spark.createDataFrame([(1, "s", None), (2, "s", "A short line. Another line here, and more words follow.")],
+                               "doc_id long, source string, text string")
+    cfg = dict(PRODUCTION_ERROR_CONFIG, preserve_ratio=0.0, min_chunk_length=0)
+    out = {r.doc_id: (r.original, r.n_errors) for r in errors.insert_errors(df, "text", ["doc_id"], cfg).collect()}
+    assert out[1] == (None, 0)
+    w = chunking.chunk_windows(df, key_cols=["doc_id"], sep="\n", keep_cols=["doc_id"]).collect()
+    assert {r.doc_id for r in w} == {2}
+    rendered = df.select("doc_id", chat.render_chat(chat.to_messages(F.lit("sys"), F.col("text"), F.col("text"))).alias("t"),
+                         token_count("text").alias("n")).collect()
+    assert len(rendered) == 2
