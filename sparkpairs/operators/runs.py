@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from sparkpairs.operators.ordering import ordinal_within, running_agg
 from sparkpairs.session import materialize
 
-STEP_BUCKET_SECONDS = 60
 
 
 def with_steps(log: DataFrame, run_col: str = "run_id", metric_col: str = "metric",
                ts_col: str = "ts", tie_col: str = "event_id") -> DataFrame:
     """0-based evaluation step per (run, metric) in time order."""
-    sub = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / (STEP_BUCKET_SECONDS * 1_000_000))
+    # minute buckets, monotone in ts for timestamp and timestamp_ntz alike (no
+    # time-zone conversion, so no reordering around daylight-saving gaps)
+    sub = F.date_trunc("minute", F.col(ts_col))
     return ordinal_within(log, [run_col, metric_col], [ts_col, tie_col], sub, "step")
 
 
