@@ -125,3 +125,21 @@ def test_export_trials(spark, tmp_out):
     writers.export_trials(trials, f"{tmp_out}/study")
     rec = spark.read.json(f"{tmp_out}/study").first()
     assert rec.best_trial == 1 and rec.best_value == 1.5 and len(rec.all_trials) == 2
+
+
+def test_reference_layout(spark, tmp_out):
+    spark.createDataFrame([("s", "a", "a")], "source string, original string, corrected string") \
+        .write.parquet(f"{tmp_out}/plain/train")
+    spark.createDataFrame([("s", "b", "b"), ("s", "c", "c")], "source string, original string, corrected string") \
+        .write.parquet(f"{tmp_out}/plain/test")
+    both = datasets.read_dataset(spark, f"{tmp_out}/plain").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in both} == {"train": 1, "test": 2}
+    assert datasets.read_dataset(spark, f"{tmp_out}/plain", "test").count() == 2
+
+
+def test_spread(spark):
+    from sparkpairs.session import spread
+    narrow = spark.range(100).coalesce(1)
+    assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism * 4
+    wide = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 4)
+    assert spread(wide, "id") is wide
