@@ -192,3 +192,17 @@ def test_filter_after_chain_plans(spark):
     out = insert_errors(df, "text", ["doc_id"], cfg, 42)
     assert out.filter(F.col("n_errors") > 0).count() >= 0
     assert out.select(F.explode("applied")).count() >= 0
+
+
+def test_chain_partition_independent_and_corrected_untouched(spark):
+    from sparkpairs.functions.constants import PRODUCTION_ERROR_CONFIG
+    from sparkpairs.operators.errors import make_pairs
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        "source", F.col("doc_id").cast("string").alias("chapter"), "text")
+    clean = docs.withColumn("chunk_no", F.lit(0)).withColumn("sub_no", F.lit(0))
+    one = {(r.chapter, r.original) for r in make_pairs(clean.coalesce(1), config=PRODUCTION_ERROR_CONFIG).collect()}
+    eight = make_pairs(clean.repartition(8), config=PRODUCTION_ERROR_CONFIG).collect()
+    assert {(r.chapter, r.original) for r in eight} == one
+    texts = {r.chapter: r.text for r in docs.collect()}
+    assert all(r.corrected == texts[r.chapter] for r in eight)
+    assert any(r.original != r.corrected for r in eight)
