@@ -206,3 +206,10 @@ def test_chain_partition_independent_and_corrected_untouched(spark):
     texts = {r.chapter: r.text for r in docs.collect()}
     assert all(r.corrected == texts[r.chapter] for r in eight)
     assert any(r.original != r.corrected for r in eight)
+
+
+def test_gate_frequency(spark):
+    df = spark.createDataFrame([(i, '"x"') for i in range(3000)], "doc_id long, text string")
+    out = apply_error(df, "quote_spaces", "text", ["doc_id"], 0.3, 7)
+    fired = out.filter(F.col("n_errors") == 1).count() / 3000
+    assert abs(fired - 0.3) < 0.03
