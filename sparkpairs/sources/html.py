@@ -35,6 +35,21 @@ HTML_RULES: list[tuple[str, str]] = [
     (r"&quot;", '"'),
     (r"&#39;", "'"),
     (r"&nbsp;", " "),
+    # common named entities (standard HTML definitions); &amp; last so that
+    # an escaped entity such as "&amp;copy;" is decoded only once
+    (r"&middot;", "\u00b7"),
+    (r"&copy;", "\u00a9"),
+    (r"&reg;", "\u00ae"),
+    (r"&trade;", "\u2122"),
+    (r"&hellip;", "\u2026"),
+    (r"&mdash;", "\u2014"),
+    (r"&ndash;", "\u2013"),
+    (r"&lsquo;", "\u2018"),
+    (r"&rsquo;", "\u2019"),
+    (r"&ldquo;", "\u201c"),
+    (r"&rdquo;", "\u201d"),
+    (r"&laquo;", "\u00ab"),
+    (r"&raquo;", "\u00bb"),
     (r"&amp;", "&"),
     (r"[ \t]+\n", "\n"),
     (r"\n{3,}", "\n\n"),

@@ -143,3 +143,8 @@ def test_spread(spark):
     assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism * 4
     wide = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 4)
     assert spread(wide, "id") is wide
+
+
+def test_named_entities(spark):
+    df = spark.createDataFrame([("<p>a &middot; b &copy; 2024 &amp;copy; &mdash; x</p>",)], "h string")
+    assert df.select(html.html_to_markdown("h").alias("m")).first().m == "a · b © 2024 &copy; — x"
