@@ -24,11 +24,16 @@ HTML_RULES: list[tuple[str, str]] = [
     (r"(?i)<h6[^>]*>", "\n\n###### "),
     (r"(?i)</h[1-6]>", "\n\n"),
     (r"(?i)<br[^>]*>", "\n"),
+    # an unclosed inline tag ends with its paragraph, as an HTML parser closes it
+    (r"(?i)<(?:b|strong)>([^<]*)</p>", "**$1**</p>"),
+    (r"(?i)<(?:i|em)>([^<]*)</p>", "*$1*</p>"),
     (r"(?i)</?p(?:\s[^>]*)?>", "\n\n"),
     (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
     (r"(?i)</?(?:i|em)(?:\s[^>]*)?>", "*"),
     (r"(?i)<li(?:\s[^>]*)?>", "\n- "),
     (r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)"),
+    # block-level elements end a paragraph
+    (r"(?i)</?(?:div|article|section|nav|ul|ol|header|footer|main|aside|table|tr|blockquote)(?:\s[^>]*)?>", "\n\n"),
     (r"(?s)<[^>]+>", ""),
     (r"&lt;", "<"),
     (r"&gt;", ">"),
