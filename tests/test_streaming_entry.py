@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from sparkpairs.functions.constants import PRODUCTION_ERROR_CONFIG
 from sparkpairs.operators.errors import insert_errors
+from sparkpairs.plans.oracle import oracle_sql
+from sparkpairs.plans.registry import QUERIES
 from sparkpairs.streaming.inject import stream_insert_errors
 
 SMALL = "/root/testdata/sf0.001"
@@ -31,7 +33,8 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.columns == ["split", "doc_id", "chunk_no", "source", "original", "corrected", "n_errors", "applied"]
     assert df.count() > 0
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(oracle_sql())
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def _norm(v):
@@ -52,15 +55,15 @@ def duck():
 DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_oracle_differential(spark, duck, name):
-    df = E.queries()[name](spark, SMALL)
-    described = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+    df = QUERIES[name](spark, SMALL)
+    described = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {oracle_sql()[name]}").fetchall()}
     for f in df.schema.fields:
         assert DUCK_TYPES.get(f.dataType.simpleString()) == described[f.name], f.name
     cols = sorted(df.columns)
     got = sorted(repr(tuple(_norm(r[c]) for c in cols)) for r in df.collect())
-    res = duck.execute(E.oracle_sql()[name])
+    res = duck.execute(oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == cols
     idx = [dcols.index(c) for c in cols]
