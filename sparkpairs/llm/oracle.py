@@ -1,3 +1,86 @@
-"""DuckDB spelling of the training-data queries that SQL can express."""
+"""DuckDB spelling of the training-data queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+Classifiers, XXH64 fingerprints, tokenizers and page extraction have no SQL
+form; those operators are tested against brute-force versions.
+"""
+
+from __future__ import annotations
+
+from sparkpairs.llm.mixing import MixSettings
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id,
+             CAST(list_sum(list_transform(list_zip(q.e, r.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
+_ESC = r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g')"
+CHAT = f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+             CAST(sum(13 + length({_ESC.format('role')}) + length({_ESC.format('text')})) AS BIGINT) AS formatted_chars
+      FROM r GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+
+def _weights(level: str, s: MixSettings) -> str:
+    cases = "".join(f" WHEN '{k}' THEN {v}" for k, v in s.weights.get(level, {}).items())
+    return f"CAST(CASE {level}{cases} ELSE {s.default_weight} END AS BIGINT)" if cases else f"CAST({s.default_weight} AS BIGINT)"
+
+
+def mixing_sql(s: MixSettings = MixSettings()) -> str:
+    """The budget tree level by level, then one ordered scan of each leaf."""
+    levels = list(s.levels)
+    out = [f"""t AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, doc_id, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS n,
+      coalesce('d' || CAST(CAST(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INTEGER) % 4 AS VARCHAR), '') AS domain,
+      coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+leaves AS (SELECT {', '.join(levels)}, CAST(sum(n) AS BIGINT) AS tokens FROM t WHERE n > 0 GROUP BY ALL),
+w AS (SELECT *, {', '.join(f'{_weights(lv, s)} AS w_{lv}' for lv in levels)} FROM leaves),
+c AS (SELECT *, CASE WHEN {' AND '.join(f'w_{lv} > 0' for lv in levels)} THEN tokens * {s.max_epochs} ELSE 0 END AS cap0 FROM w),
+b_0 AS (SELECT least((SELECT CAST(floor(coalesce(sum(tokens), 0) * CAST({s.budget_share} AS DOUBLE)) AS BIGINT) FROM leaves),
+                     (SELECT coalesce(sum(cap0), 0) FROM c)) AS budget)"""]
+    parent: list[str] = []
+    for i, lv in enumerate(levels):
+        here = [*parent, lv]
+        on = " AND ".join(f"n.{p} = b.{p}" for p in parent) or "TRUE"
+        kids = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        ratio = f"{kids} ORDER BY CAST(cap AS DOUBLE) / w, {lv}"
+        out.append(f"""n_{i} AS (SELECT n.*, b.budget FROM (SELECT {', '.join(here)}, sum(cap0) AS cap, max(w_{lv}) AS w FROM c GROUP BY ALL) n
+      JOIN b_{i} b ON {on} WHERE w > 0 AND cap > 0),
+f_{i} AS (SELECT *, cap::HUGEINT * sum(w) OVER ({ratio} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+      <= (budget - (sum(cap) OVER ({ratio} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cap))::HUGEINT * w AS whole FROM n_{i}),
+o_{i} AS (SELECT *, budget - coalesce(sum(cap) FILTER (whole) OVER ({kids}), 0) AS ob, sum(w) FILTER (NOT whole) OVER ({kids}) AS ow FROM f_{i}),
+p_{i} AS (SELECT *, CASE WHEN whole THEN cap ELSE ob::HUGEINT * w // ow END AS part FROM o_{i}),
+q_{i} AS (SELECT *, budget - sum(part) OVER ({kids}) AS spare, row_number() OVER ({kids} ORDER BY whole, {lv}) AS nth FROM p_{i}),
+b_{i + 1} AS (SELECT {', '.join(here)}, CAST(part + CASE WHEN NOT whole AND nth <= spare THEN 1 ELSE 0 END AS BIGINT) AS budget FROM q_{i})""")
+        parent = here
+    using = ", ".join(levels)
+    out.append(f"""a AS (SELECT {using}, budget // tokens AS epochs, budget % tokens AS rest FROM leaves JOIN b_{len(levels)} USING ({using}) WHERE budget > 0),
+d AS (SELECT {using}, k, sum(n) AS n, count(*) AS copies FROM t WHERE n > 0 GROUP BY ALL),
+h AS (SELECT d.*, a.epochs, a.rest, sum(n) OVER (PARTITION BY {using} ORDER BY md5(concat_ws(':', '{s.seed}', CAST(a.epochs AS VARCHAR), k)), k
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d JOIN a USING ({using})),
+l AS (SELECT {using}, k, epochs, CASE WHEN upto < rest THEN -1 WHEN upto - n < rest THEN (rest - (upto - n)) // copies ELSE 0 END AS last FROM h),
+r AS (SELECT t.doc_id, {', '.join('t.' + x for x in levels)}, t.n, l.epochs, CASE WHEN l.last = -1 THEN t.n ELSE l.last END AS last
+      FROM t JOIN l USING ({using}, k) WHERE t.n > 0),
+e AS (SELECT *, unnest(range(CAST(epochs + CASE WHEN last > 0 THEN 1 ELSE 0 END AS BIGINT))) AS ep FROM r)
+SELECT doc_id, {using}, CAST(ep AS INTEGER) AS epoch, CAST(CASE WHEN ep < epochs THEN n ELSE last END AS BIGINT) AS take_tokens FROM e""")
+    return "WITH " + ",\n".join(out)
+
+
+ORACLE: dict[str, str] = {
+    "op1_topk": TOPK,
+    "op2_chat_trees": CHAT,
+    "op6_mixing": mixing_sql(),
+}

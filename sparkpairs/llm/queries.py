@@ -5,10 +5,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkpairs.llm import mixing, packing, quality_rules, simhash, token_files, toxicity
+from sparkpairs.llm import chat_trees, mixing, packing, quality_rules, simhash, token_files, topk, toxicity
 from sparkpairs.llm.common import crc_fold, table
 
 
+def op1_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return topk.top_k(e, e.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+def op2_chat_trees(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text "
+                      "FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    f = chat_trees.format_trees(chat_trees.threads(rows.unionByName(extra)))
+    back = f.select(F.col("tree_id").alias("conv_id"), "formatted", chat_trees.turns(F.col("formatted")).alias("turns"), "loss_turns")
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    under = F.array_join(F.zip_with("turns", "loss_turns", lambda t, on: F.when(on, t["text"]).otherwise("")), "")
+    return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+                       F.length(under).cast("bigint").alias("loss_chars"), F.sha2(under, 256).alias("loss_sha256"),
+                       F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 def op3_toxicity(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     model = toxicity.train(docs, table(spark, d, "labels"))
@@ -45,6 +63,8 @@ def op10_quality_rules(spark, d):
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
+    "op2_chat_trees": op2_chat_trees,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
