@@ -38,26 +38,30 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def plain(arr: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """A string array without nulls (null: empty), in one chunk whose data starts at offset zero
+    (some Arrow functions, ``ascii_lower`` among them, misread arrays that start elsewhere)."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    if not pa.types.is_large_string(arr.type):
+        arr = arr.cast(pa.large_string())
+    arr = pc.fill_null(arr, "")
+    if len(arr) and (arr.offset or np.frombuffer(arr.buffers()[1], np.int64, 1)[0]):
+        arr = pa.concat_arrays([arr, pa.array([], arr.type)])
+    return arr
+
+
 def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Consecutive parts of a string array of about ``limit`` bytes (one text at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(arr), 0))
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
-            yield arr.slice(start, i - start)
+            yield plain(arr.slice(start, i - start))
             start, total = i, 0
         total += int(n)
     if start < len(arr):
-        yield arr.slice(start)
-
-
-def plain(arr: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """A string array without nulls (null: empty), in one chunk."""
-    if isinstance(arr, pa.ChunkedArray):
-        arr = arr.combine_chunks()
-    if not pa.types.is_large_string(arr.type):
-        arr = arr.cast(pa.large_string())
-    return pc.fill_null(arr, "")
+        yield plain(arr.slice(start))
 
 
 class FlatWords:
@@ -99,7 +103,7 @@ def with_struct(df: DataFrame, text_col: str, out: str, schema: str,
     @F.arrow_udf(schema)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in batches:
-            parts = [work(plain(part)) for part in slices(plain(arr))]
+            parts = [work(part) for part in slices(plain(arr))]
             yield pa.concat_arrays(parts) if parts else work(plain(arr))
 
     return df.withColumn(out, run(F.col(text_col)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkpairs.llm import chat_trees, mixing, packing, quality_rules, simhash, token_files, topk, toxicity
+from sparkpairs.llm import chat_trees, lm_score, mixing, packing, page_text, quality_rules, simhash, token_files, topk, toxicity
 from sparkpairs.llm.common import crc_fold, table
 
 
@@ -57,6 +57,17 @@ def op7_token_files(spark, d):
     return t.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_page_text(spark, d):
+    t = page_text.extract(table(spark, d, "pages"))
+    return t.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op9_lm_score(spark, d):
+    held = crc_fold(F.col("doc_id"), 7) == 2
+    t = lm_score.score(table(spark, d, "documents"), ~held)
+    return t.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_rules(spark, d):
     t = quality_rules.with_quality(table(spark, d, "documents").select("doc_id", "text"))
     return t.select("doc_id", "quality.*").drop("rule")  # which of several rules rejects first depends on their order
@@ -70,5 +81,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
+    "op8_page_text": op8_page_text,
+    "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
 }
