@@ -90,10 +90,11 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (uint32) of the texts and their offsets (null: empty)."""
         texts = plain(texts)
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens keep their case
-            texts = pc.ascii_lower(texts)
-        flat = FlatWords(texts)
-        parts = self.words(flat.dictionary.to_pylist())
+        return self.gather(FlatWords(texts if keeps_case(texts) else pc.ascii_lower(texts)))
+
+    def gather(self, flat: FlatWords, words: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts already split into words (``words``: their distinct words, if at hand)."""
+        parts = self.words(flat.dictionary.to_pylist() if words is None else words)
         lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         ids = np.frombuffer(b"".join(parts), "<u4")
         starts = np.cumsum(lens) - lens
@@ -102,3 +103,8 @@ class Encoder:
         at = np.repeat(starts[flat.codes] - (ends - n), n)
         at += np.arange(len(at))
         return ids[at], np.concatenate([[0], ends])[flat.offsets]
+
+
+def keeps_case(texts: pa.Array) -> bool:
+    """Whether a text may hold a special token's string, which is only one in its own case."""
+    return bool(pc.any(pc.match_substring(texts, "<|")).as_py())
