@@ -113,20 +113,23 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_
     spark = rows.sparkSession
     r = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & _valid("v"))
     q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & _valid("v"))
+    q = q.groupBy("id").agg(F.min("v").alias("v"))
+    blocks = max(1, -(-2 * q.count() // block))
+    while True:  # blocks of the ids' hash, none of which is longer than `block`
+        dealt = q.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        if (dealt.groupBy("b").count().agg(F.max("count")).first()[0] or 0) <= block:
+            break
+        blocks *= 2
     path = scratch_path(spark, f"topk-{uuid.uuid4().hex}")
     spark.createDataFrame([], RESULT).write.parquet(path)
-    last = None
-    while True:
-        part = q if last is None else q.where(F.col("id") > last)
-        got = part.orderBy("id", "v").limit(block).toArrow().combine_chunks()  # at most `block` queries
+    for n in range(blocks):
+        got = dealt.where(F.col("b") == n).toArrow()
         if not got.num_rows:
-            break
+            continue
         ids = np.asarray(got.column("id"))
-        last = int(ids[-1])
-        once = np.concatenate([[True], ids[1:] != ids[:-1]])
-        vectors = got.column("v").combine_chunks().filter(pa.array(once))
+        vectors = pa.concat_arrays(got.column("v").chunks)
         dims = int(np.diff(np.asarray(vectors.offsets)).max())
-        held = spark.sparkContext.broadcast((ids[once], matrix(vectors, dims, scale)))
+        held = spark.sparkContext.broadcast((ids, matrix(vectors, dims, scale)))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             query_ids, m = held.value
@@ -140,8 +143,6 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_
                                              names=["query_id", "vec_id", "score"])
 
         r.mapInArrow(scan, RESULT).write.mode("append").parquet(path)
-        if got.num_rows < block:
-            break
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     best = spark.read.schema(RESULT).parquet(path).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
