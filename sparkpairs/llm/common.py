@@ -103,7 +103,7 @@ def with_struct(df: DataFrame, text_col: str, out: str, schema: str,
     @F.arrow_udf(schema)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in batches:
-            parts = [work(part) for part in slices(plain(arr))]
+            parts = [work(part) for part in slices(plain(arr), SLICE_BYTES // 2)]
             yield pa.concat_arrays(parts) if parts else work(plain(arr))
 
     return df.withColumn(out, run(F.col(text_col)))
