@@ -28,7 +28,7 @@ from sparkpairs.llm.common import FlatWords, free_name, segment_sums, slices, wi
 
 WINDOW = 8
 MIN_WORDS = 20
-SAMPLE_DOCS = 2000  # documented bound of the sample that only sets the order of the rules
+SAMPLE_DOCS = 400  # documented bound of the sample that only sets the order of the rules
 SAMPLE_CHARS = 20_000
 SYMBOLS = "[#*$%&|<>]"
 SCHEMA = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
