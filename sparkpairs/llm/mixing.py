@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 from sparkpairs.llm.common import WORD_RE
 from sparkpairs.session import materialize
 
+BROADCAST_LEAVES = 50_000
 DOMAIN_SQL = "coalesce('d' || pmod(cast(regexp_extract(source, '([0-9]{1,9})$', 1) as int), 4), '')"
 
 
@@ -113,6 +114,12 @@ def budgets(leaves: DataFrame, s: MixSettings) -> DataFrame:
     return leaves.join(upper.select(*levels, F.col("budget").alias("amount")), levels).where("amount > 0")
 
 
+def _small(leaves: DataFrame) -> DataFrame:
+    """A table of leaves to join with documents: broadcast if its (checked) size allows, so
+    that no text is shuffled; else joined by key."""
+    return F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+
+
 def _order(seed: int, epoch: Column, key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key))
 
@@ -125,7 +132,7 @@ def plan(docs: DataFrame, s: MixSettings = MixSettings(), text_col: str = "text"
     narrow = materialize(narrow.where("n > 0").groupBy(*levels, "k").agg(F.sum("n").alias("n"), F.count("*").alias("copies")))
     leaves = materialize(budgets(narrow.groupBy(*levels).agg(F.sum("n").alias("tokens")), s)
                          .select(*levels, F.expr("amount div tokens").alias("epochs"), F.expr("amount % tokens").alias("rest")))
-    seeded = (narrow.join(leaves, levels).where("rest > 0").withColumn("h", _order(s.seed, F.col("epochs"), F.col("k")))
+    seeded = (narrow.join(_small(leaves), levels).where("rest > 0").withColumn("h", _order(s.seed, F.col("epochs"), F.col("k")))
               .withColumn("bucket", F.substring("h", 1, 3)))
     in_leaf = Window.partitionBy(*levels).orderBy("bucket")  # at most 4096 rows a leaf
     sums = seeded.groupBy(*levels, "bucket", "rest").agg(F.sum("n").alias("m")).withColumn("upto", F.sum("m").over(in_leaf))
@@ -148,7 +155,7 @@ def select(docs: DataFrame, s: MixSettings = MixSettings(), text_col: str = "tex
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"),
                     n_tokens(F.col(text_col)).alias("n"), *[F.expr(e).alias(lv) for lv, e in s.levels.items()]).where("n > 0")
     on = [F.col(lv) == F.col(f"_{lv}") for lv in levels]
-    j = d.join(cuts, on).withColumn("h", _order(s.seed, F.col("epochs"), F.col("k")))
+    j = d.join(_small(cuts), on).withColumn("h", _order(s.seed, F.col("epochs"), F.col("k")))
     before = (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("k") < F.col("cut_k")))
     at = (F.col("h") == F.col("cut_h")) & (F.col("k") == F.col("cut_k"))
     last = F.coalesce(F.when(before, F.col("n")).when(at, F.col("cut_n")).otherwise(0), F.lit(0))
