@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 RUN_CHUNK = 65536
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """Inner join on ``cols`` where null equals null, so rows with a null key stay."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for c in cols:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(r, on).drop(*[f"_r_{c}" for c in cols])
+
+
 def ordinal_within(df: DataFrame, part_cols: list[str], order_cols: list[str], sub_bucket: Column,
                    ordinal_col: str = "ordinal") -> DataFrame:
     """Exact 0-based row number per ``part_cols`` ordered by ``order_cols``.
@@ -26,7 +35,7 @@ def ordinal_within(df: DataFrame, part_cols: list[str], order_cols: list[str], s
     per = x.groupBy(*part, "_sb").agg(F.count(F.lit(1)).alias("_bc"))
     w = Window.partitionBy(*part).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select(*part, "_sb", F.coalesce(F.sum("_bc").over(w), F.lit(0)).alias("_off"))
-    j = x.join(offs, [*part, "_sb"])
+    j = join_null_safe(x, offs, [*part, "_sb"])
     rn = F.row_number().over(Window.partitionBy(*part, "_sb").orderBy(*order_cols))
     return j.withColumn(ordinal_col, (F.col("_off") + rn - 1).cast("bigint")).drop("_sb", "_off")
 
@@ -57,7 +66,7 @@ def running_agg(df: DataFrame, part_cols: list[str], ordinal_col: str, value: Co
     tot = x.groupBy(*part, "_ra_chunk").agg(agg("_ra_v").alias("_ra_ct"))
     w_chunks = Window.partitionBy(*part).orderBy("_ra_chunk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*part, "_ra_chunk", agg("_ra_ct").over(w_chunks).alias("_ra_carry"))
-    j = x.join(tot, [*part, "_ra_chunk"])
+    j = join_null_safe(x, tot, [*part, "_ra_chunk"])
     if fn == "sum":
         combined = F.coalesce(F.col("_ra_carry"), F.lit(0)) + F.coalesce(F.col("_ra_local"), F.lit(0))
         if not inclusive:

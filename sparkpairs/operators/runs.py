@@ -81,8 +81,8 @@ def final_values(log: DataFrame, metric: str = "eval_loss") -> DataFrame:
 
 
 def best_trial(trials: DataFrame, direction: str = "minimize") -> DataFrame:
-    """Best trial number and value; NaN never wins."""
-    v = F.col("value")
+    """Best trial number and value; NaN and missing values never win."""
+    v = F.coalesce(F.col("value"), F.lit(float("nan")))
     key = F.when(F.isnan(v), F.lit(float("inf")) if direction == "minimize" else F.lit(float("-inf"))).otherwise(v)
     # ties go to the lowest trial number (the first one reported)
     if direction == "minimize":

@@ -22,6 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from sparkpairs.operators.ordering import join_null_safe
 from sparkpairs.functions.rand import digest
 from sparkpairs.session import materialize, plan_barrier
 
@@ -72,7 +73,7 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
     )
     if bounded_partitions:
         offsets = F.broadcast(offsets)
-    placed = local.join(offsets, on=[*part, "_b"]).withColumn("_start", F.col("_off") + F.col("_ls"))
+    placed = join_null_safe(local, offsets, [*part, "_b"]).withColumn("_start", F.col("_off") + F.col("_ls"))
     out = _expand_copies(placed, hot=max_copies > COPY_CHUNK)
     out = out.withColumn(rank_col, (F.col("_start") + F.col("_i")).cast("bigint"))
     keep = cols + [rank_col] + ([size_col] if size_col else [])

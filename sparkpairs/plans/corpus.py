@@ -64,18 +64,22 @@ def merged(pairs_df: DataFrame, s: CorpusSettings) -> DataFrame:
 
 
 def build_corpus(spark: SparkSession, docs: DataFrame, out_dir: str, s: CorpusSettings | None = None) -> DataFrame:
-    """Run the whole build and write ``out_dir`` (one folder per split, plus a card)."""
+    """Run the whole build and write ``out_dir`` (one folder per split, plus a card).
+
+    With ``subsample`` that share of each split is also written to ``<out_dir>-subset``, with a card."""
     s = s or CorpusSettings()
     clean = materialize(clean_chunks(docs, s))
     pairs_df = materialize(error_pairs(clean, s))
     final = merged(pairs_df, s)
-    if s.subsample:
-        final = sampling.subsample(final.drop("rank"), s.subsample, s.seed, pairs.PAIR_COLS, "split")
     writers.write_dataset(final, out_dir)
     written = spark.read.parquet(out_dir)
     writers.write_dataset_card(written, out_dir, "Text-correction pairs",
                                params={"npara": s.npara, "max_words": s.max_words, "test_size": s.test_size,
                                        "seed": s.seed, "subsample": s.subsample})
+    if s.subsample:
+        subset = f"{out_dir.rstrip('/')}-subset"
+        writers.write_dataset(sampling.subsample(written, s.subsample, s.seed, pairs.PAIR_COLS, "split"), subset)
+        writers.copy_dataset_card(spark, out_dir, subset)
     return written
 
 

@@ -342,9 +342,13 @@ def q_corpus_pairs(spark, d):
 
 
 # ---------------------------------------------------------------- evaluation
+def _matched(spark, d):
+    return evaluation.score(fx.generated(_clean(spark, d)))
+
+
 def _scored(spark, d):
-    e = evaluation.score(fx.generated(_clean(spark, d)))
-    return sampling.shuffle_rank(e, SEED, ["doc_id"], rank_col="index")
+    """Scored rows in seeded order; only reports that read ``index`` need it."""
+    return sampling.shuffle_rank(_matched(spark, d), SEED, ["doc_id"], rank_col="index")
 
 
 def q_eval_results(spark, d):
@@ -352,12 +356,12 @@ def q_eval_results(spark, d):
 
 
 def q_exact_match(spark, d):
-    s = evaluation.accuracy_summary(_scored(spark, d))
+    s = evaluation.accuracy_summary(_matched(spark, d))
     return s.select("total", F.col("matches").cast("bigint").alias("matches"), r6(F.col("accuracy")).alias("accuracy"))
 
 
 def q_match_by_source(spark, d):
-    s = evaluation.accuracy_by_source(_scored(spark, d))
+    s = evaluation.accuracy_by_source(_matched(spark, d))
     return s.select("source", "total", F.col("matches").cast("bigint").alias("matches"),
                     r6(F.col("accuracy")).alias("accuracy"))
 

@@ -52,7 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached when nothing is configured (local runs and tests).
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="sparkpairs-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     jsc = spark.sparkContext._jsc

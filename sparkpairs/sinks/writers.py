@@ -33,11 +33,20 @@ def read_text_file(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return None
-    return "\n".join(r.value for r in spark.read.text(path).collect())
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8").removesuffix("\n")
+    finally:
+        stream.close()
+
+
+#: Names that begin with "_" are passed over by readers of the folder.
+CARD = "_README.md"
 
 
 def write_dataset(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
     """K1: one Parquet folder per split (``<dir>/split=<name>``), many files each."""
+    df = df.drop("rank")  # the permutation's position is not part of a pair
     if split_col in df.columns:
         df.write.mode(mode).partitionBy(split_col).parquet(path)
     else:
@@ -46,9 +55,13 @@ def write_dataset(df: DataFrame, path: str, split_col: str = "split", mode: str
 
 def write_chat_jsonl(df: DataFrame, path: str, split_col: str = "split", text_col: str = "text",
                      mode: str = "overwrite") -> None:
-    """K2: ``train.jsonl`` and ``valid.jsonl`` (from ``test``); rows ``{"text": ...}``."""
+    """K2: ``train.jsonl`` and ``valid.jsonl`` (from ``test``); rows ``{"text": ...}``.
+
+    A split column is needed: without one every row would be in both files."""
+    if split_col not in df.columns:
+        raise ValueError(f"no column {split_col!r} to tell train from test rows")
     for split, name in (("train", "train.jsonl"), ("test", "valid.jsonl")):
-        part = df.filter(F.col(split_col) == split) if split_col in df.columns else df
+        part = df.filter(F.col(split_col) == split)
         part.select(text_col).write.mode(mode).option("ignoreNullFields", "false").json(f"{path}/{name}")
 
 
@@ -74,16 +87,16 @@ def write_dataset_card(df: DataFrame, path: str, title: str, sources: list[str]
         lines += ["## Rows", "", "| " + " | ".join(groups) + " | rows |", "|" + " --- |" * (len(groups) + 1)]
         lines += ["| " + " | ".join(str(r[g]) for g in groups) + f" | {r['n']} |" for r in stats]
     text = "\n".join(lines) + "\n"
-    write_text_file(df.sparkSession, f"{path}/README.md", text)
+    write_text_file(df.sparkSession, f"{path}/{CARD}", text)
     return text
 
 
 def copy_dataset_card(spark: SparkSession, src_dir: str, dst_dir: str) -> bool:
     """K5: carry the card along with a subset."""
-    text = read_text_file(spark, f"{src_dir}/README.md")
+    text = read_text_file(spark, f"{src_dir}/{CARD}")
     if text is None:
         return False
-    write_text_file(spark, f"{dst_dir}/README.md", text + "\n")
+    write_text_file(spark, f"{dst_dir}/{CARD}", text + "\n")
     return True
 
 
@@ -105,13 +118,14 @@ def export_trials(trials: DataFrame, path: str, direction: str = "minimize") ->
     ``trials``: ``trial, value, params (map), user_attrs (map)``; one row per
     trial, so the single output record is bounded by the tuning budget.
     """
-    key = F.when(F.isnan("value"), F.lit(float("inf"))).otherwise(F.col("value"))
-    if direction != "minimize":
-        key = -key
+    signed = F.col("value") if direction == "minimize" else -F.col("value")
+    key = F.when(F.col("value").isNull() | F.isnan("value"), F.lit(float("inf"))).otherwise(signed)
+    order = F.struct(key.alias("k"), F.col("trial").alias("t"))  # ties go to the lowest trial
+    best = F.min_by(F.struct("trial", "value", "params"), order)
     rec = trials.agg(
-        F.min_by("trial", key).alias("best_trial"),
-        F.min_by("value", key).alias("best_value"),
-        F.min_by("params", key).alias("best_params"),
+        best["trial"].alias("best_trial"),
+        best["value"].alias("best_value"),
+        best["params"].alias("best_params"),
         F.array_sort(F.collect_list(F.struct("trial", "value", "params", "user_attrs")),
                      lambda a, b: F.when(a["trial"] < b["trial"], -1).when(a["trial"] > b["trial"], 1).otherwise(0)
                      ).alias("all_trials"),

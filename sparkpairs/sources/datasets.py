@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpairs.functions.constants import EXPORT_FALLBACK_PROMPT
+from sparkpairs.functions.text import py_strip
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -26,7 +27,7 @@ def read_dataset(spark: SparkSession, path: str, split: str | None = None, limit
         sub = f"{path}/split={split}" if _exists(spark, f"{path}/split={split}") else f"{path}/{split}"
         df = spark.read.parquet(sub)
     else:
-        df = (spark.read.option("recursiveFileLookup", "true").parquet(path)
+        df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
               .withColumn("_path", F.col("_metadata.file_path")))
         df = df.withColumn("split", F.regexp_replace(
             F.regexp_extract("_path", r"/([^/]+)/[^/]+$", 1), r"^split=", "")).drop("_path")
@@ -47,10 +48,10 @@ def read_markdown_tree(spark: SparkSession, dirs: list[str]) -> DataFrame:
 
 
 def read_source_list(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed names; blank lines and lines starting with '#' skipped."""
+    """Names without white space around them; blank lines and lines starting with '#' skipped."""
     lines = spark.read.text(path)
-    return lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
-        F.trim("value").alias("name"))
+    return lines.filter(~F.col("value").startswith("#") & (py_strip("value") != "")).select(
+        py_strip("value").alias("name"))
 
 
 def load_prompt(path: str | None, fallback: str | None = EXPORT_FALLBACK_PROMPT) -> str:
@@ -61,5 +62,5 @@ def load_prompt(path: str | None, fallback: str | None = EXPORT_FALLBACK_PROMPT)
             return f.read().strip()
     if fallback is None:
         raise FileNotFoundError(path)
-    warnings.warn(f"No prompt file provided or file does not exist [{path}]. Using default prompt: {fallback}.")
+    warnings.warn(f"{path!r} holds no prompt; the built-in one is used: {fallback}")
     return fallback

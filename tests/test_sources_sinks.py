@@ -6,6 +6,7 @@ import json
 import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkpairs.sinks import writers
@@ -93,7 +94,7 @@ def test_dataset_roundtrip_and_card(spark, tmp_out):
     card = writers.write_dataset_card(df, f"{tmp_out}/ds", "Pairs", ["s", "t"], {"seed": 42})
     assert "| train | s | 1 |" in card and "seed: 42" in card
     assert writers.copy_dataset_card(spark, f"{tmp_out}/ds", f"{tmp_out}/small")
-    assert os.path.exists(f"{tmp_out}/small/README.md")
+    assert os.path.exists(f"{tmp_out}/small/_README.md")
 
 
 def test_chat_jsonl(spark, tmp_out):
@@ -148,3 +149,40 @@ def test_spread(spark):
 def test_named_entities(spark):
     df = spark.createDataFrame([("<p>a &middot; b &copy; 2024 &amp;copy; &mdash; x</p>",)], "h string")
     assert df.select(html.html_to_markdown("h").alias("m")).first().m == "a · b © 2024 &copy; — x"
+
+
+def test_corpus_folder_reads_back_with_card_and_null_splits(spark, tmp_out):
+    from sparkpairs.operators.ordering import ordinal_within
+    from sparkpairs.operators.sampling import shuffle_rank
+    from sparkpairs.sinks import writers
+    from sparkpairs.sources.datasets import read_dataset, read_source_list
+
+    df = spark.createDataFrame([("train", "a", "x"), ("test", "b", "y"), ("train", "c", "z")], "split string, original string, corrected string")
+    writers.write_dataset(df.withColumn("rank", F.lit(1)), f"{tmp_out}/c")
+    writers.write_dataset_card(df, f"{tmp_out}/c", "t")
+    back = read_dataset(spark, f"{tmp_out}/c")
+    assert sorted(back.columns) == ["corrected", "original", "split"] and back.count() == 3
+    assert spark.read.parquet(f"{tmp_out}/c").count() == 3
+    with pytest.raises(ValueError):
+        writers.write_chat_jsonl(df.drop("split"), f"{tmp_out}/j")
+    nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "split string, k int")
+    assert shuffle_rank(nulls, 1, ["k"], ["split"]).count() == 4
+    assert ordinal_within(nulls, ["split"], ["k"], F.lit(None).cast("int")).count() == 4
+    with open(f"{tmp_out}/list.txt", "w") as f:
+        f.write("\t \n# no\n\tname \n")
+    assert [r.name for r in read_source_list(spark, f"{tmp_out}/list.txt").collect()] == ["name"]
+
+
+def test_missing_and_nan_values_never_win(spark, tmp_out):
+    import json
+
+    from sparkpairs.operators.runs import best_trial
+    from sparkpairs.sinks.writers import export_trials
+
+    t = spark.createDataFrame([(1, None, {"a": "1"}, {}), (2, float("nan"), {"a": "2"}, {}), (3, 0.2, {"a": "3"}, {}), (4, 0.5, {"a": "4"}, {})],
+                              "trial int, value double, params map<string,string>, user_attrs map<string,string>")
+    for direction, best in (("minimize", 3), ("maximize", 4)):
+        assert best_trial(t, direction).first().best_trial == best
+        export_trials(t, f"{tmp_out}/{direction}", direction)
+        got = json.loads(spark.read.text(f"{tmp_out}/{direction}").first().value)
+        assert (got["best_trial"], got["best_params"]) == (best, {"a": str(best)})
