@@ -46,7 +46,6 @@ CARD = "_README.md"
 
 def write_dataset(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
     """K1: one Parquet folder per split (``<dir>/split=<name>``), many files each."""
-    df = df.drop("rank")  # the permutation's position is not part of a pair
     if split_col in df.columns:
         df.write.mode(mode).partitionBy(split_col).parquet(path)
     else:

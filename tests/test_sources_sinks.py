@@ -158,7 +158,7 @@ def test_corpus_folder_reads_back_with_card_and_null_splits(spark, tmp_out):
     from sparkpairs.sources.datasets import read_dataset, read_source_list
 
     df = spark.createDataFrame([("train", "a", "x"), ("test", "b", "y"), ("train", "c", "z")], "split string, original string, corrected string")
-    writers.write_dataset(df.withColumn("rank", F.lit(1)), f"{tmp_out}/c")
+    writers.write_dataset(df, f"{tmp_out}/c")
     writers.write_dataset_card(df, f"{tmp_out}/c", "t")
     back = read_dataset(spark, f"{tmp_out}/c")
     assert sorted(back.columns) == ["corrected", "original", "split"] and back.count() == 3
