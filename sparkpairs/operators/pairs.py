@@ -83,11 +83,11 @@ def filter_by_source(df: DataFrame, sources: list[str]) -> DataFrame:
     """Keep requested sources; unknown names are ignored, and an empty or
     all-unknown request keeps the whole dataset.
 
-    Membership uses the request list (bounded by the caller); whether any
-    requested name exists is a scalar subquery, so nothing is collected.
+    The request list is bounded by the caller. Whether any requested name exists
+    is decided once, by a job that stops at the first match; the filter that
+    remains is a plain membership test, which reaches the scan.
     """
     if not sources:
         return df
-    hit = F.col("source").isin(list(dict.fromkeys(sources)))
-    any_known = df.filter(hit).limit(1).select(F.count(F.lit(1)) > 0).scalar()  # stops at the first match
-    return df.filter(hit | ~any_known)
+    wanted = df.filter(F.col("source").isin(list(dict.fromkeys(sources))))
+    return df if wanted.isEmpty() else wanted

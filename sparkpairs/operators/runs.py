@@ -81,7 +81,8 @@ def final_values(log: DataFrame, metric: str = "eval_loss") -> DataFrame:
 
 
 def best_trial(trials: DataFrame, direction: str = "minimize") -> DataFrame:
-    """Best trial number and value; NaN and missing values never win."""
+    """Best trial number and value, and its params where ``trials`` has them;
+    NaN and missing values never win."""
     v = F.coalesce(F.col("value"), F.lit(float("nan")))
     key = F.when(F.isnan(v), F.lit(float("inf")) if direction == "minimize" else F.lit(float("-inf"))).otherwise(v)
     # ties go to the lowest trial number (the first one reported)
@@ -89,10 +90,12 @@ def best_trial(trials: DataFrame, direction: str = "minimize") -> DataFrame:
         pick, order = F.min_by, F.struct(key.alias("k"), F.col("trial").alias("t"))
     else:
         pick, order = F.max_by, F.struct(key.alias("k"), (-F.col("trial")).alias("t"))
-    return trials.agg(
-        pick("trial", order).alias("best_trial"),
-        pick("value", order).alias("best_value"),
-        F.count(F.lit(1)).alias("n_trials"),
+    best = pick(F.struct("trial", "value", *(["params"] if "params" in trials.columns else [])), order)
+    return trials.agg(best.alias("best"), F.count(F.lit(1)).alias("n_trials")).select(
+        F.col("best.trial").alias("best_trial"),
+        F.col("best.value").alias("best_value"),
+        *([F.col("best.params").alias("best_params")] if "params" in trials.columns else []),
+        "n_trials",
     )
 
 

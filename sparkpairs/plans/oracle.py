@@ -198,9 +198,10 @@ def _pairs() -> dict[str, str]:
         "unknown_sources": (f"SELECT DISTINCT source FROM (VALUES {', '.join('(' + q(s) + ')' for s in R.REQUESTED_SOURCES)}) r(source) "
                             f"WHERE source NOT IN (SELECT source FROM ({MERGED}))"),
         "distinct_sources": f"SELECT DISTINCT source FROM ({MERGED})",
-        "dataset_fingerprint": (f"SELECT source, count(*) AS n, bit_xor(('0x' || substr(md5(concat_ws(chr(1), "
-                                f"coalesce(original, chr(2)), coalesce(corrected, chr(2)))), 1, 15))::BIGINT) AS fingerprint "
-                                f"FROM ({MERGED}) GROUP BY source"),
+        "dataset_fingerprint": (f"WITH h AS (SELECT source, md5(coalesce(length(original) || ':' || original, '-') || "
+                                f"coalesce(length(corrected) || ':' || corrected, '-')) AS m FROM ({MERGED})) "
+                                "SELECT source, count(*) AS n, sum(('0x' || substr(m, 1, 16))::UBIGINT::HUGEINT)::VARCHAR || '-' || "
+                                "sum(('0x' || substr(m, 17, 16))::UBIGINT::HUGEINT)::VARCHAR AS fingerprint FROM h GROUP BY source"),
     }
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpairs.operators import evaluation, ordering, pairs, runs
+from sparkpairs.operators import evaluation, ordering, pairs, profile, runs
 from sparkpairs.functions.text import remove_command
 
 
@@ -143,3 +143,28 @@ def test_history_arrays(spark):
     l = log(spark, {1: [5, 4, 6], 2: [3, 7]})
     got = {r.run_id: list(r["values"]) for r in runs.metric_history_arrays(l).collect()}
     assert got == {1: [5.0, 4.0, 6.0], 2: [3.0, 7.0]}
+
+
+def test_source_filter_is_pushed_to_the_scan(spark, tmp_path):
+    spark.createDataFrame([("a", "x", "x"), ("b", "y", "y")], "source string, original string, corrected string") \
+        .write.parquet(f"{tmp_path}/p")
+    df = pairs.filter_by_source(spark.read.parquet(f"{tmp_path}/p"), ["a"])
+    assert "PushedFilters: [IsNotNull(source), EqualTo(source,a)]" in df._jdf.queryExecution().toString() \
+        or "In(source, [a])" in df._jdf.queryExecution().toString()
+    assert [r.source for r in df.collect()] == ["a"]
+
+
+def test_fingerprint_counts_equal_rows(spark):
+    def of(rows):
+        return profile.dataset_fingerprint(spark.createDataFrame(rows, "a string, b string")).first()
+
+    assert of([("a", "b"), ("a", "b")]) != of([("c", "d"), ("c", "d")])
+    assert of([("a", "b"), ("c", None)]) == of([("c", None), ("a", "b")])
+    assert of([("a", None)]) != of([("a", "\u0002")]) != of([("a", "-")])
+    assert of([("ab", "c")]) != of([("a", "bc")])
+
+
+def test_best_trial_carries_its_params(spark):
+    t = spark.createDataFrame([(0, 0.2, {"lr": "1"}), (1, None, {"lr": "2"}), (2, 0.2, {"lr": "3"})],
+                              "trial int, value double, params map<string,string>")
+    assert runs.best_trial(t).first().asDict() == {"best_trial": 0, "best_value": 0.2, "best_params": {"lr": "1"}, "n_trials": 3}

@@ -42,6 +42,27 @@ def test_read_epub(spark, tmp_out):
     assert rows[1].text == "Second & last."
 
 
+def test_read_epub_encoded_names_and_bad_books(spark, tmp_out):
+    os.makedirs(f"{tmp_out}/shelf")
+    container = ('<?xml version="1.0"?><container><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
+    opf = ('<?xml version="1.0"?><package><manifest>'
+           '<item href="ch%201.xhtml" media-type="application/xhtml+xml"/>'
+           '<item href="gone.xhtml" media-type="application/xhtml+xml"/></manifest></package>')
+    with zipfile.ZipFile(f"{tmp_out}/shelf/good.epub", "w") as z:
+        z.writestr("META-INF/container.xml", container)
+        z.writestr("O/c.opf", opf)
+        z.writestr("O/ch 1.xhtml", "<html><body><p>Text.</p></body></html>")
+    with open(f"{tmp_out}/shelf/bad.epub", "wb") as f:
+        f.write(b"not a container")
+    with zipfile.ZipFile(f"{tmp_out}/shelf/empty.epub", "w") as z:
+        z.writestr("mimetype", "application/epub+zip")
+    rows = epub.read_epub(spark, f"{tmp_out}/shelf").collect()
+    assert sorted((os.path.basename(r.source), r.item_name, r.error is None) for r in rows if r.item_name) == [
+        ("good.epub", "ch 1.xhtml", True), ("good.epub", "gone.xhtml", False)]
+    assert sorted(os.path.basename(r.source) for r in rows if not r.item_name) == ["bad.epub", "empty.epub"]
+    assert [r.text for r in epub.epub_to_markdown(spark, f"{tmp_out}/shelf").collect()] == ["Text."]
+
+
 def test_html_rules(spark):
     src = ('<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><!-- x -->'
            '<h2>Sub</h2><p>A <a href="/u">link</a> &lt;b&gt;<br>next</p><ul><li>one</li><li>two</li></ul>'
