@@ -208,7 +208,8 @@ def packing_efficiency(hist: DataFrame, max_length: int = DEFAULT_MAX_LENGTH) ->
 
 
 def length_advice(hist: DataFrame, configured: int = DEFAULT_MAX_LENGTH) -> DataFrame:
-    """Keep / change / choose, and whether packing is worthwhile (> 1.2x)."""
+    """Keep / change / choose, the length to use (the balanced one, unless the configured
+    one already meets either goal), and whether packing is worthwhile (> 1.2x)."""
     opt = optimal_max_length(truncation_curve(hist, max_length_grid(hist, configured)))
     improvement = packing_efficiency(hist, configured).select("improvement").scalar()
     j = opt.withColumn("improvement", improvement)
@@ -219,6 +220,7 @@ def length_advice(hist: DataFrame, configured: int = DEFAULT_MAX_LENGTH) -> Data
         o1.alias("conservative_max_length"),
         o5.alias("balanced_max_length"),
         rec.alias("recommendation"),
+        F.when(o1 == configured, o1).otherwise(o5).alias("recommended_max_length"),
         F.col("improvement").alias("packing_improvement"),
         (F.col("improvement") > PACKING_WORTHWHILE).alias("packing_recommended"),
     )

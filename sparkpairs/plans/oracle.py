@@ -152,7 +152,8 @@ def _lengths() -> dict[str, str]:
             f"WITH {LEN_CTE}, {tot}, {grid}, {curve}, {opt}, {pack} SELECT {M}::BIGINT AS current_max_length, "
             f"optimal_1pct::BIGINT AS conservative_max_length, optimal_5pct::BIGINT AS balanced_max_length, "
             f"CASE WHEN optimal_1pct = optimal_5pct THEN CASE WHEN optimal_5pct <> {M} THEN 'change' ELSE 'keep' END "
-            f"ELSE 'choose' END AS recommendation, {r6('w / wo')} AS packing_improvement, (w / wo) > 1.2::DOUBLE AS packing_recommended "
+            f"ELSE 'choose' END AS recommendation, "
+            f"CASE WHEN {M} IN (optimal_1pct, optimal_5pct) THEN {M} ELSE optimal_5pct END::BIGINT AS recommended_max_length, {r6('w / wo')} AS packing_improvement, (w / wo) > 1.2::DOUBLE AS packing_recommended "
             f"FROM O CROSS JOIN E"),
     }
 

@@ -175,6 +175,7 @@ def q_length_advice(spark, d):
     a = lengths.length_advice(_hist(spark, d), DEFAULT_MAX_LENGTH)
     return a.select(F.col("current_max_length").cast("bigint").alias("current_max_length"),
                     "conservative_max_length", "balanced_max_length", "recommendation",
+                    F.col("recommended_max_length").cast("bigint").alias("recommended_max_length"),
                     r6(F.col("packing_improvement")).alias("packing_improvement"), "packing_recommended")
 
 

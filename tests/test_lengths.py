@@ -84,6 +84,10 @@ def test_optimal_and_advice(spark):
     adv = lengths.length_advice(h).first()
     expected = "keep" if brute(1.0) == brute(5.0) == 768 else ("change" if brute(1.0) == brute(5.0) else "choose")
     assert adv.recommendation == expected
+    goals = (adv.conservative_max_length, adv.balanced_max_length)
+    assert adv.recommended_max_length == (adv.current_max_length if adv.current_max_length in goals else goals[1])
+    # the configured length already meets the stricter goal: nothing else is recommended
+    assert lengths.length_advice(h, goals[0]).first().recommended_max_length == goals[0]
     assert adv.packing_recommended == (adv.packing_improvement > 1.2)
 
 
