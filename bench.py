@@ -20,7 +20,7 @@ from sparkpairs.plans.registry import QUERIES  # noqa: E402
 from sparkpairs.session import get_session  # noqa: E402
 
 HEADLINE = [
-    "corpus_pairs",          # windows -> exact split -> 12-operator error chain
+    "corpus_pairs",          # windows -> bounded pieces -> split -> error chain -> union -> order
     "chunk_corpus",          # paragraph windows + max-word sentence packing
     "insert_errors",         # error chain over whole documents
     "merge_pairs",           # four adapters, union, exact seeded permutation

@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -59,6 +62,35 @@ def merge_pairs(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """A corpus known by name: ``adapt(df, keep=...)`` makes pairs of it, ``splits`` maps the splits it is stored
+    with to the ones they serve as (a corpus without a test split lends its validation split)."""
+
+    adapt: Callable[..., DataFrame]
+    splits: dict[str, str]
+
+
+def load_corpora(names: list[str], corpora: dict[str, Corpus], read: Callable[[str], DataFrame],
+                 split_col: str = "split") -> DataFrame:
+    """U1 by name: ``split`` and the pair columns of the named corpora, in one table.
+
+    ``read(name)`` gives the stored rows with ``split_col``; stored splits that are not mapped are left out by a plain
+    membership test on that column. Unknown names raise before anything is read."""
+    unknown = [n for n in names if n not in corpora]
+    if unknown or not names:
+        raise ValueError(f"no such corpus: {', '.join(unknown) or '(none named)'}; known: {', '.join(sorted(corpora))}")
+    out = None
+    for name in names:
+        c = corpora[name]
+        stored = read(name)
+        stored = stored.filter(F.col(split_col).isin(list(c.splits)))
+        serves = F.create_map(*[F.lit(x) for pair in c.splits.items() for x in pair])[F.col(split_col)]
+        f = c.adapt(stored, keep=[split_col]).select(serves.alias("split"), *PAIR_COLS)
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
 def counts_by(df: DataFrame, *cols: str) -> DataFrame:
     """A1: row counts per group."""
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))

@@ -9,17 +9,22 @@ are computed without an unpartitioned window or a sort into one task:
    construction; at most ``16**bucket_hex`` buckets per partition value);
 3. one window per bucket gives each row its start inside the bucket; that
    table is checkpointed (the input is computed once); bucket sizes are
-   prefix-summed (a table of bounded size, broadcast) and each row's position
-   is its bucket offset plus its start in the bucket;
+   prefix-summed (a table of bounded size) and each row's position is its
+   bucket offset plus its start in the bucket;
 4. collapsed rows are expanded again; very large copy groups are split into
    chunks and spread across tasks before expansion.
+
+Splits, subsamples and samples need only the first rows of that order. They
+find the digest at the cut by counting digest prefixes and then keep rows by a
+predicate on their own digest: no row is moved, sorted or checkpointed.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from sparkpairs.operators.ordering import join_null_safe
@@ -28,7 +33,9 @@ from sparkpairs.session import materialize, plan_barrier
 
 RANK_BUCKET_HEX = 5          # up to 1,048,576 buckets per partition value
 COPY_CHUNK = 1 << 20         # copies expanded per task for hot duplicate groups
-TOPK_LIMIT = 10_000          # sample_n above this size uses exact ranks (top-k keeps n rows per task)
+CUT_LEVELS = (4, 8, 32)      # digest prefixes counted in turn; the last is the whole digest
+CUT_ROWS = 16 ** CUT_LEVELS[0]  # a prefix with no more rows goes straight to whole digests
+MAX_CUTS = 64                # partition values whose cuts become plan literals; beyond, rows are ranked
 
 
 def shuffle_key(df: DataFrame, seed: int, key_cols: list[str]) -> Column:
@@ -37,13 +44,12 @@ def shuffle_key(df: DataFrame, seed: int, key_cols: list[str]) -> Column:
 
 def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = None,
                  partition_cols: list[str] | tuple = (), rank_col: str = "rank",
-                 size_col: str | None = None, bucket_hex: int = RANK_BUCKET_HEX,
-                 bounded_partitions: bool = True) -> DataFrame:
+                 size_col: str | None = None, bucket_hex: int = RANK_BUCKET_HEX) -> DataFrame:
     """O1: add the 0-based position of every row in the seeded permutation.
 
-    ``partition_cols`` ranks independently per value (e.g. per split); with
-    ``bounded_partitions`` the offsets table (at most ``16**bucket_hex`` rows per
-    value) is broadcast. ``size_col`` optionally adds the partition's row count.
+    ``partition_cols`` ranks independently per value (e.g. per split); how the
+    offsets (at most ``16**bucket_hex`` rows per value) are joined is decided at
+    run time by their size. ``size_col`` optionally adds the partition's row count.
 
     The collapsed rows with their in-bucket start are checkpointed once: the
     offsets, the join and the copy expansion all read that table, so the input
@@ -52,13 +58,14 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
     cols = df.columns
     part = list(partition_cols)
     keys = list(key_cols) if key_cols else [c for c in cols if c not in part]
+    rest = [c for c in cols if c not in part and c not in keys]  # rows of equal keys keep one order in every run
     grouped = (
         df.withColumn("_h", shuffle_key(df, seed, keys))
         .groupBy(*cols, "_h")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b", F.coalesce(F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"), F.lit(0)))
     )
-    w_in = Window.partitionBy(*part, "_b").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1)
+    w_in = Window.partitionBy(*part, "_b").orderBy("_h", *keys, *rest).rowsBetween(Window.unboundedPreceding, -1)
     # the largest copy group is observed during the checkpoint pass itself
     copies = Observation(f"sparkpairs_copies_{uuid.uuid4().hex[:12]}")
     local = materialize(grouped.withColumn("_ls", F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
@@ -71,8 +78,6 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
         F.coalesce(F.sum("_bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_bc").over(Window.partitionBy(*part)).alias("_n"),
     )
-    if bounded_partitions:
-        offsets = F.broadcast(offsets)
     placed = join_null_safe(local, offsets, [*part, "_b"]).withColumn("_start", F.col("_off") + F.col("_ls"))
     out = _expand_copies(placed, hot=max_copies > COPY_CHUNK)
     out = out.withColumn(rank_col, (F.col("_start") + F.col("_i")).cast("bigint"))
@@ -114,40 +119,115 @@ def shuffle(df: DataFrame, seed: int = 42, key_cols: list[str] | None = None,
     return ranked.repartitionByRange(*partition_cols, "rank").sortWithinPartitions(*partition_cols, "rank")
 
 
+def _same(part: list[str], row: Row) -> Column:
+    on = F.lit(True)
+    for c in part:
+        on = on & F.col(c).eqNullSafe(F.lit(row[c]))
+    return on
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def _per_part(part: list[str], rows: list[Row], value: Callable[[Row], Column], default: Column) -> Column:
+    out = default
+    for r in rows:
+        out = F.when(_same(part, r), value(r)).otherwise(out)
+    return out
+
+
+def _cuts(digests: DataFrame, part: list[str], first: Callable[[Column], Column]) -> list[Row] | None:
+    """Per partition value the digest at position ``first(n)`` of the order: ``_p``, its copies ``_c`` and how many
+    of them lie before the position (``_left``). Values that are kept whole have no row; ``None`` beyond MAX_CUTS values.
+
+    Each level counts digest prefixes (map-side combined) inside the prefix found before it; at most
+    ``16**4`` of them per value reach the prefix sum, whatever the number of rows.
+    """
+    cuts: list[Row] = []
+    for level, length in enumerate(CUT_LEVELS):
+        if level == 0:
+            x = digests
+        elif length < CUT_LEVELS[-1] and max(r["_c"] for r in cuts) <= CUT_ROWS:
+            continue
+        else:
+            x = digests.filter(_any([_same(part, r) & F.col("_h").startswith(r["_p"]) for r in cuts]))
+        w = Window.partitionBy(*part)
+        counts = x.groupBy(*part, F.substring("_h", 1, length).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).select(
+            "*", F.sum("_c").over(w).alias("_n"),
+            F.coalesce(F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+        k = first(F.col("_n")) if level == 0 else _per_part(part, cuts, lambda r: F.lit(r["_left"]), F.lit(None))
+        at = counts.withColumn("_left", k.cast("bigint") - F.col("_off")).filter("_left >= 0 AND _left < _c")
+        cuts = at.select(*part, "_p", "_c", "_left").limit(MAX_CUTS + 1).collect()
+        if len(cuts) > MAX_CUTS:
+            return None
+        if not cuts:
+            return []
+    return cuts
+
+
+def mark_first(df: DataFrame, first: Callable[[Column], Column], seed: int = 42, key_cols: list[str] | None = None,
+               partition_cols: list[str] | tuple = (), flag_col: str = "first") -> DataFrame:
+    """Add whether a row is among the first ``first(n)`` of its partition's ``n`` rows in the seeded permutation.
+
+    Rows keep their place: the flag is a comparison of the row's digest with the digest at the cut. Only when the
+    cut falls inside a group of rows with one digest are the rows of that group ranked.
+    """
+    part = list(partition_cols)
+    keys = list(key_cols) if key_cols else [c for c in df.columns if c not in part]
+    x = df.withColumn("_h", shuffle_key(df, seed, keys))
+    cuts = _cuts(x.select(*part, "_h"), part, first)
+    if cuts is None:
+        ranked = shuffle_rank(df, seed, keys, part, rank_col="_rank", size_col="_n")
+        return ranked.withColumn(flag_col, F.col("_rank") < first(F.col("_n"))).drop("_rank", "_n")
+    out = x.withColumn(flag_col, _per_part(part, cuts, lambda r: F.col("_h") < r["_p"], F.lit(True)))
+    tied = [r for r in cuts if r["_left"] > 0]
+    if not tied:
+        return out.drop("_h")
+    at_cut = _any([_same(part, r) & (F.col("_h") == r["_p"]) for r in tied])
+    group = shuffle_rank(x.filter(at_cut).drop("_h"), seed, keys, part, rank_col="_rank")
+    group = group.withColumn(flag_col, F.col("_rank") < _per_part(part, tied, lambda r: F.lit(r["_left"]), F.lit(0)))
+    return plan_barrier(out.filter(~at_cut).drop("_h").unionByName(group.drop("_rank")), "cut")
+
+
+def _first(df: DataFrame, first: Callable[[Column], Column], seed: int, keys: list[str], part: list[str] = ()) -> DataFrame:
+    return mark_first(df, first, seed, keys, part, "_first").filter("_first").drop("_first")
+
+
 def train_test_split(df: DataFrame, test_size: float = 0.1, seed: int = 42,
                      key_cols: list[str] | None = None, split_col: str = "split") -> DataFrame:
     """First ``ceil(test_size * n)`` rows of the permutation are ``test``."""
-    ranked = shuffle_rank(df, seed, key_cols, size_col="_n")
-    n_test = F.ceil(F.lit(float(test_size)) * F.col("_n"))
-    return ranked.withColumn(split_col, F.when(F.col("rank") < n_test, "test").otherwise("train")).drop("_n")
+    marked = mark_first(df, lambda n: F.ceil(F.lit(float(test_size)) * n), seed, key_cols, flag_col="_first")
+    return marked.withColumn(split_col, F.when(F.col("_first"), "test").otherwise("train")).drop("_first")
 
 
 def subsample(df: DataFrame, fraction: float, seed: int = 42, key_cols: list[str] | None = None,
               split_col: str | None = "split") -> DataFrame:
-    """O2: exactly ``ceil(fraction * n)`` rows per split (per whole table if no split)."""
+    """O2: exactly ``ceil(fraction * n)`` rows per split (per whole table if no split), with their ``rank``.
+
+    Only the kept rows are ranked; being the first of the order, they have the ranks of the whole table."""
     if not 0 < fraction <= 1:
         raise ValueError("Fraction must be between 0 and 1")
     part = [split_col] if split_col and split_col in df.columns else []
-    keys = key_cols or [c for c in df.columns if c not in part]
-    ranked = shuffle_rank(df, seed, keys, part, size_col="_n")
-    keep = F.col("rank") < F.ceil(F.lit(float(fraction)) * F.col("_n"))
-    return ranked.filter(keep).drop("_n")
+    keys = key_cols or [c for c in df.columns if c not in part and c != "rank"]
+    kept = _first(df.drop("rank"), lambda n: F.ceil(F.lit(float(fraction)) * n), seed, keys, part)
+    return shuffle_rank(kept, seed, keys, part)
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
     """O3: ``n`` rows without replacement (all rows when n >= count)."""
-    keys = key_cols or list(df.columns)
-    if n <= TOPK_LIMIT:
-        h = shuffle_key(df, seed, keys)
-        return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
-    return shuffle_rank(df, seed, keys).filter(F.col("rank") < n).drop("rank")
+    return _first(df, lambda _: F.lit(int(n)), seed, key_cols or list(df.columns))
 
 
 def pick_position(df: DataFrame, position: int = 10, seed: int = 42,
                   key_cols: list[str] | None = None) -> DataFrame:
     """The row at ``min(position, n-1)`` of the permutation."""
-    ranked = shuffle_rank(df, seed, key_cols, size_col="_n")
-    return ranked.filter(F.col("rank") == F.least(F.lit(position), F.col("_n") - 1)).drop("_n")
+    keys = key_cols or list(df.columns)
+    ranked = shuffle_rank(_first(df, lambda _: F.lit(int(position) + 1), seed, keys), seed, keys, size_col="_n")
+    return ranked.filter(F.col("rank") == F.col("_n") - 1).drop("_n")
 
 
 def first_n(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:

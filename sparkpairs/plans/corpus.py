@@ -41,12 +41,14 @@ class CorpusSettings:
 
 
 def clean_chunks(docs: DataFrame, s: CorpusSettings, key_cols=("source", "chapter")) -> DataFrame:
-    """Stage 2: ``source, chapter, chunk_no, sub_no, text`` plus an exact split."""
+    """Stage 2: ``source, chapter, chunk_no, sub_no, text`` plus an exact split.
+
+    The chunks are materialised, as the split counts their keys before it marks them."""
     docs = spread(docs, list(key_cols))
     chunks = chunking.chunk_corpus(docs, "text", list(key_cols), s.npara, s.max_words, s.seed, s.sep,
                                    splitter_factory=s.sentence_splitter)
-    keys = list(key_cols) + ["chunk_no", "sub_no"]
-    return sampling.train_test_split(chunks, s.test_size, s.seed, keys).drop("rank")
+    chunks = materialize(chunks.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_no", "sub_no")}))
+    return sampling.train_test_split(chunks, s.test_size, s.seed, [*key_cols, "chunk_no", "sub_no"])
 
 
 def error_pairs(clean: DataFrame, s: CorpusSettings, key_cols=CLEAN_KEYS) -> DataFrame:
@@ -55,7 +57,7 @@ def error_pairs(clean: DataFrame, s: CorpusSettings, key_cols=CLEAN_KEYS) -> Dat
 
 
 def merged(pairs_df: DataFrame, s: CorpusSettings) -> DataFrame:
-    """Stage 4: union with adapted corpora per split, then the seeded permutation."""
+    """Stage 4: union with adapted corpora per split, then the seeded permutation (whose checkpoint computes the pairs once)."""
     frames = [pairs_df.select("split", *pairs.PAIR_COLS)] + [f.select("split", *pairs.PAIR_COLS) for f in s.extra_sources]
     out = frames[0]
     for f in frames[1:]:
@@ -68,9 +70,7 @@ def build_corpus(spark: SparkSession, docs: DataFrame, out_dir: str, s: CorpusSe
 
     With ``subsample`` that share of each split is also written to ``<out_dir>-subset``, with a card."""
     s = s or CorpusSettings()
-    clean = materialize(clean_chunks(docs, s))
-    pairs_df = materialize(error_pairs(clean, s))
-    final = merged(pairs_df, s)
+    final = merged(error_pairs(clean_chunks(docs, s), s), s)
     writers.write_dataset(final, out_dir)
     written = spark.read.parquet(out_dir)
     writers.write_dataset_card(written, out_dir, "Text-correction pairs",
@@ -81,11 +81,3 @@ def build_corpus(spark: SparkSession, docs: DataFrame, out_dir: str, s: CorpusSe
         writers.write_dataset(sampling.subsample(written, s.subsample, s.seed, pairs.PAIR_COLS, "split"), subset)
         writers.copy_dataset_card(spark, out_dir, subset)
     return written
-
-
-def split_windows(docs: DataFrame, seed: int = DEFAULT_SEED, sep: str = "\n\n", test_size: float = DEFAULT_TEST_SIZE,
-                  key_cols=("doc_id",), keep_cols=("doc_id", "source")) -> DataFrame:
-    """Windows of each document with an exact train/test split, materialised."""
-    w = chunking.chunk_windows(docs, key_cols=list(key_cols), seed=seed, sep=sep, keep_cols=list(keep_cols))
-    w = w.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
-    return materialize(sampling.train_test_split(w, test_size, seed, list(key_cols) + ["chunk_no"]))

@@ -5,12 +5,15 @@ Each view is built identically in the oracle SQL (see ``oracle.py``).
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpairs.functions.constants import WS_CLASS
 from sparkpairs.functions.rand import digest, uniform
 from sparkpairs.functions.text import py_strip
+from sparkpairs.operators import pairs
 
 TAG_COMMAND = "Fix grammar: "
 SOURCE_TAGGED = "tagged"
@@ -18,6 +21,15 @@ SOURCE_MULTI = "multi_ref"
 SOURCE_IO = "io_pairs"
 
 
+#: The derived public corpora: how each becomes pairs, and what its stored splits serve as.
+CORPORA = {
+    SOURCE_TAGGED: pairs.Corpus(partial(pairs.adapt_tagged, source_name=SOURCE_TAGGED), {"train": "train", "validation": "test"}),
+    SOURCE_MULTI: pairs.Corpus(partial(pairs.adapt_multi, source_name=SOURCE_MULTI), {"validation": "train", "test": "test"}),
+    SOURCE_IO: pairs.Corpus(partial(pairs.adapt_io, source_name=SOURCE_IO), {"train": "train", "validation": "test"}),
+}
+CORPUS_KEYS = {SOURCE_TAGGED: ["doc_id"], SOURCE_MULTI: ["conv_id", "turn"], SOURCE_IO: ["item_id"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,12 +79,19 @@ def io_pairs(bench: DataFrame) -> DataFrame:
     return bench.select("item_id", F.col("text").alias("input"), out.alias("output"))
 
 
-def generated(pairs: DataFrame, key: str = "doc_id", seed: int = 42) -> DataFrame:
+def stored_split(df: DataFrame, name: str, seed: int = 42) -> DataFrame:
+    """The split a row of a derived corpus is stored in: a keyed tenth in the one that serves as test."""
+    train, test = CORPORA[name].splits
+    u = uniform(digest(seed, "stored", *CORPUS_KEYS[name]))
+    return df.withColumn("split", F.when(u < 0.1, F.lit(test)).otherwise(F.lit(train)))
+
+
+def generated(rows: DataFrame, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """Model-output stand-in: trailing spaces on a keyed 60%, a changed text on the rest."""
     u = uniform(digest(seed, "gen", F.col(key)))
     gen = F.when(u < 0.6, F.concat(F.col("corrected"), F.lit("  "))) \
            .otherwise(F.concat(F.lit("~"), F.col("corrected")))
-    return pairs.withColumn("generated", gen)
+    return rows.withColumn("generated", gen)
 
 
 def metric_log(events: DataFrame) -> DataFrame:

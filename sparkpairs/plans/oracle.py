@@ -177,6 +177,16 @@ MERGED = (f"SELECT source, original, corrected FROM ({CLEAN}) UNION ALL SELECT s
           f"UNION ALL SELECT source, original, corrected FROM ({ADAPT_MULTI}) UNION ALL SELECT source, original, corrected FROM ({ADAPT_IO})")
 
 
+def _served(adapted: str, *keys: str) -> str:
+    """A derived corpus with the split it serves as: a keyed tenth is stored in the split that serves as test."""
+    return (f"SELECT CASE WHEN {sql_uniform(sql_digest(R.SEED, 'stored', *keys))} < 0.1::DOUBLE THEN 'test' ELSE 'train' END "
+            f"AS split, source, original, corrected FROM ({adapted})")
+
+
+CORPORA = " UNION ALL ".join([_served(ADAPT_TAGGED, "doc_id"), _served(ADAPT_MULTI, "conv_id", "turn"),
+                              _served(ADAPT_IO, "item_id")])
+
+
 def _in_list(xs):
     return ", ".join(q(x) for x in xs)
 
@@ -267,14 +277,21 @@ def _errors() -> dict[str, str]:
     out["insert_errors_default"] = insert_errors_sql("SELECT doc_id, source, text FROM documents", DEFAULT)
     out["error_distribution"] = (f"SELECT error_type, count(*) AS n FROM (SELECT unnest(string_split(applied, ',')) AS error_type "
                                  f"FROM ({INJECTED}) WHERE applied <> '') GROUP BY error_type")
-    split = (f"SELECT *, CASE WHEN row_number() OVER (ORDER BY {sql_digest(R.SEED, None, 'doc_id', 'chunk_no')}, doc_id, chunk_no) - 1 "
-             f"< ceil(0.1::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM ({WINDOWS})")
     out["errors_per_row"] = f"SELECT n_errors, count(*) AS rows FROM ({INJECTED}) GROUP BY n_errors"
-    out["corpus_pairs"] = insert_errors_sql(
-        split, PROD, key_cols=("doc_id", "chunk_no"),
-        final_select=("SELECT split, doc_id, chunk_no, source, original, text AS corrected, CAST(n_errors AS BIGINT) AS n_errors, "
-                      "array_to_string(applied, ',') AS applied FROM {cur}"))
-    out["split_counts"] = f"SELECT split, source, count(*) AS n FROM ({out['corpus_pairs']}) GROUP BY split, source"
+    keys = ("doc_id", "chunk_no", "sub_no")
+    split = (f"SELECT *, CASE WHEN row_number() OVER (ORDER BY {sql_digest(R.SEED, None, *keys)}, doc_id, chunk_no, sub_no) - 1 "
+             f"< ceil(0.1::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM ({_chunking()['chunk_corpus']})")
+    out["chunk_pairs"] = insert_errors_sql(
+        split, PROD, key_cols=keys,
+        final_select=("SELECT split, doc_id, chunk_no, sub_no, source, original, text AS corrected, "
+                      "CAST(n_errors AS BIGINT) AS n_errors, array_to_string(applied, ',') AS applied FROM {cur}"))
+    out["corpora_by_name"] = CORPORA
+    rows = (f"SELECT split, source, original, corrected FROM ({out['chunk_pairs']}) "
+            f"UNION ALL SELECT split, source, original, corrected FROM ({CORPORA})")
+    out["corpus_pairs"] = (f"SELECT split, source, original, corrected, row_number() OVER (PARTITION BY split ORDER BY "
+                           f"{sql_digest(R.SEED, None, 'source', 'original', 'corrected')}, source, original, corrected) - 1 AS rank "
+                           f"FROM ({rows})")
+    out["split_counts"] = f"SELECT split, source, count(*) AS n FROM ({rows}) GROUP BY split, source"
     return out
 
 

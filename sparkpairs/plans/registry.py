@@ -7,6 +7,8 @@ names match the oracle SQL in ``oracle.py``.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -329,17 +331,47 @@ def q_errors_per_row(spark, d):
     return profile.errors_per_row(_injected(spark, d))
 
 
-def q_split_counts(spark, d):
-    return pairs.counts_by(q_corpus_pairs(spark, d), "split", "source")
+CORPUS = corpus.CorpusSettings(seed=SEED, sep="\n", error_config=PRODUCTION_ERROR_CONFIG)
+CHUNK_KEYS = ["doc_id", "chunk_no", "sub_no"]
+
+
+def _chunk_pairs(spark, d):
+    clean = corpus.clean_chunks(docs(spark, d).select("doc_id", "source", "text"), CORPUS, ["doc_id"])
+    return corpus.error_pairs(clean, CORPUS, CHUNK_KEYS)
+
+
+def q_chunk_pairs(spark, d):
+    """Windows -> pieces of bounded length -> exact 90/10 split -> error injection."""
+    return _chunk_pairs(spark, d).select(
+        "split", *CHUNK_KEYS, "source", "original", "corrected",
+        F.col("n_errors").cast("bigint").alias("n_errors"), F.array_join("applied", ",").alias("applied"))
+
+
+def _stored(spark, d):
+    """Reads a derived corpus by name, with the split each row is stored in."""
+    views = {
+        fx.SOURCE_TAGGED: lambda: fx.tagged(docs(spark, d), fx.table(spark, d, "labels"), SEED),
+        fx.SOURCE_MULTI: lambda: fx.multi_reference(fx.table(spark, d, "conversations")),
+        fx.SOURCE_IO: lambda: fx.io_pairs(fx.table(spark, d, "benchmark")),
+    }
+    return lambda name: fx.stored_split(views[name](), name, SEED)
+
+
+def q_corpora_by_name(spark, d):
+    """Named corpora with their stored splits mapped to train and test."""
+    return pairs.load_corpora(list(fx.CORPORA), fx.CORPORA, _stored(spark, d))
 
 
 def q_corpus_pairs(spark, d):
-    """Corpus build: windows -> exact 90/10 split -> error injection -> pairs."""
-    split = corpus.split_windows(docs(spark, d).select("doc_id", "source", "text"), SEED, "\n")
-    out = errors.insert_errors(split, "text", ["doc_id", "chunk_no"], PRODUCTION_ERROR_CONFIG, SEED)
-    return out.select("split", "doc_id", "chunk_no", "source", "original", F.col("text").alias("corrected"),
-                      F.col("n_errors").cast("bigint").alias("n_errors"),
-                      F.array_join("applied", ",").alias("applied"))
+    """Corpus build: windows -> bounded pieces -> split -> error injection -> union with the named corpora -> order per split."""
+    s = replace(CORPUS, extra_sources=[q_corpora_by_name(spark, d)])
+    return corpus.merged(_chunk_pairs(spark, d), s)
+
+
+def q_split_counts(spark, d):
+    """Rows per split and source of the whole corpus (the order does not matter here)."""
+    rows = _chunk_pairs(spark, d).select("split", "source").unionByName(q_corpora_by_name(spark, d).select("split", "source"))
+    return pairs.counts_by(rows, "split", "source")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -474,6 +506,8 @@ QUERIES = {
     "insert_errors_default": q_insert_errors_default,
     "error_distribution": q_error_distribution,
     "corpus_pairs": q_corpus_pairs,
+    "chunk_pairs": q_chunk_pairs,
+    "corpora_by_name": q_corpora_by_name,
     "errors_per_row": q_errors_per_row,
     "split_counts": q_split_counts,
     "eval_results": q_eval_results,

@@ -1,6 +1,7 @@
 """Adapters, source filtering, evaluation scoring and run-log analytics."""
 
 import math
+from functools import partial
 
 import pandas as pd
 import pytest
@@ -168,3 +169,14 @@ def test_best_trial_carries_its_params(spark):
     t = spark.createDataFrame([(0, 0.2, {"lr": "1"}), (1, None, {"lr": "2"}), (2, 0.2, {"lr": "3"})],
                               "trial int, value double, params map<string,string>")
     assert runs.best_trial(t).first().asDict() == {"best_trial": 0, "best_value": 0.2, "best_params": {"lr": "1"}, "n_trials": 3}
+
+
+def test_corpora_by_name(spark):
+    known = {"io": pairs.Corpus(partial(pairs.adapt_io, source_name="io"), {"validation": "train", "test": "test"})}
+    stored = spark.createDataFrame([("a", "A", "validation"), ("b", "B", "test"), ("c", "C", "extra"), ("d", "D", None)],
+                                   "input string, output string, split string")
+    got = {tuple(r) for r in pairs.load_corpora(["io"], known, lambda name: stored).collect()}
+    assert got == {("train", "io", "a", "A"), ("test", "io", "b", "B")}
+    for names in (["io", "other"], []):
+        with pytest.raises(ValueError):
+            pairs.load_corpora(names, known, lambda name: pytest.fail("read before the names were checked"))

@@ -75,3 +75,44 @@ def test_empty_inputs(spark):
     assert sampling.shuffle_rank(empty, 1, ["k"]).count() == 0
     assert sampling.train_test_split(empty, 0.1, 1, ["k"]).count() == 0
     assert sampling.sample_n(empty, 5, 1, ["k"]).count() == 0
+
+
+def marked_by_rank(df, first, seed, keys, part=()):
+    r = sampling.shuffle_rank(df, seed, keys, part, size_col="_n")
+    return sorted(map(tuple, r.filter(F.col("rank") < first(F.col("_n"))).drop("rank", "_n").collect()), key=repr)
+
+
+def test_cut_equals_ranks(spark, monkeypatch):
+    """Distinct rows, copies around the cut, null keys and null splits, one or several levels of prefixes."""
+    distinct = frame(spark, 700).withColumn("split", F.when(F.col("k") < 300, "a").when(F.col("k") < 500, "b"))
+    copies = spark.createDataFrame([(i % 3 or None, "x" * (i % 2)) for i in range(400)], "k long, t string").withColumn("split", F.lit("a"))
+    for cut_rows in (16 ** 4, 0):
+        monkeypatch.setattr(sampling, "CUT_ROWS", cut_rows)
+        for df, keys in ((distinct, ["k"]), (copies, ["k", "t"]), (copies, ["k"])):
+            for part in ([], ["split"]):
+                for share in (0.1, 0.37, 1.0):
+                    first = lambda n: F.ceil(F.lit(share) * n)  # noqa: B023, E731
+                    got = sampling._first(df, first, 5, keys, part).collect()
+                    assert sorted(map(tuple, got), key=repr) == marked_by_rank(df, first, 5, keys, part)
+
+
+def test_cut_with_many_partition_values(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MAX_CUTS", 2)
+    df = frame(spark, 300).withColumn("split", (F.col("k") % 5).cast("string"))
+    out = sampling.subsample(df, 0.1, 42, ["k"], "split").groupBy("split").count().collect()
+    assert {x["count"] for x in out} == {6} and len(out) == 5
+
+
+def test_split_moves_no_rows(spark, tmp_out):
+    frame(spark, 1000).write.parquet(f"{tmp_out}/rows")
+    out = sampling.train_test_split(spark.read.parquet(f"{tmp_out}/rows"), 0.1, 42, ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Scan ExistingRDD" not in plan and out.count() == 1000
+
+
+def test_sample_more_or_less_than_there_is(spark):
+    df = frame(spark, 100)
+    assert sampling.sample_n(df, 0, 1, ["k"]).count() == 0
+    assert sampling.sample_n(df, 100, 1, ["k"]).count() == 100
+    assert sampling.pick_position(df, 0, 1, ["k"]).first().rank == 0
+    assert sampling.pick_position(df.limit(0), 3, 1, ["k"]).count() == 0
