@@ -32,6 +32,7 @@ from sparkpairs.functions.rand import digest
 from sparkpairs.session import materialize, plan_barrier
 
 RANK_BUCKET_HEX = 5          # up to 1,048,576 buckets per partition value
+BROADCAST_PARTS = 4          # offsets of up to so many partition values are broadcast (about 4 million short rows)
 COPY_CHUNK = 1 << 20         # copies expanded per task for hot duplicate groups
 CUT_LEVELS = (4, 8, 32)      # digest prefixes counted in turn; the last is the whole digest
 CUT_ROWS = 16 ** CUT_LEVELS[0]  # a prefix with no more rows goes straight to whole digests
@@ -47,9 +48,9 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
                  size_col: str | None = None, bucket_hex: int = RANK_BUCKET_HEX) -> DataFrame:
     """O1: add the 0-based position of every row in the seeded permutation.
 
-    ``partition_cols`` ranks independently per value (e.g. per split); how the
-    offsets (at most ``16**bucket_hex`` rows per value) are joined is decided at
-    run time by their size. ``size_col`` optionally adds the partition's row count.
+    ``partition_cols`` ranks independently per value (e.g. per split). The
+    offsets have at most ``16**bucket_hex`` rows per value; they are broadcast when the
+    checkpoint pass saw at most ``BROADCAST_PARTS`` values. ``size_col`` optionally adds the partition's row count.
 
     The collapsed rows with their in-bucket start are checkpointed once: the
     offsets, the join and the copy expansion all read that table, so the input
@@ -69,8 +70,10 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
     # the largest copy group is observed during the checkpoint pass itself
     copies = Observation(f"sparkpairs_copies_{uuid.uuid4().hex[:12]}")
     local = materialize(grouped.withColumn("_ls", F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
-                        .observe(copies, F.max("_c").alias("max_copies")))
-    max_copies = (copies.get or {}).get("max_copies") or 0
+                        .observe(copies, F.max("_c").alias("max_copies"),
+                                 F.approx_count_distinct(F.xxhash64(*part) if part else F.lit(0)).alias("parts")))
+    seen = copies.get or {}
+    max_copies, parts = seen.get("max_copies") or 0, seen.get("parts") or 0
     per_bucket = local.groupBy(*part, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*part).orderBy("_b")
     offsets = per_bucket.select(
@@ -78,6 +81,8 @@ def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = Non
         F.coalesce(F.sum("_bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_bc").over(Window.partitionBy(*part)).alias("_n"),
     )
+    if parts <= BROADCAST_PARTS:
+        offsets = F.broadcast(offsets)
     placed = join_null_safe(local, offsets, [*part, "_b"]).withColumn("_start", F.col("_off") + F.col("_ls"))
     out = _expand_copies(placed, hot=max_copies > COPY_CHUNK)
     out = out.withColumn(rank_col, (F.col("_start") + F.col("_i")).cast("bigint"))

@@ -57,7 +57,7 @@ def error_pairs(clean: DataFrame, s: CorpusSettings, key_cols=CLEAN_KEYS) -> Dat
 
 
 def merged(pairs_df: DataFrame, s: CorpusSettings) -> DataFrame:
-    """Stage 4: union with adapted corpora per split, then the seeded permutation (whose checkpoint computes the pairs once)."""
+    """Stage 4: union with adapted corpora per split, then the seeded permutation. The pairs are computed once, by its checkpoint."""
     frames = [pairs_df.select("split", *pairs.PAIR_COLS)] + [f.select("split", *pairs.PAIR_COLS) for f in s.extra_sources]
     out = frames[0]
     for f in frames[1:]:

@@ -335,9 +335,12 @@ CORPUS = corpus.CorpusSettings(seed=SEED, sep="\n", error_config=PRODUCTION_ERRO
 CHUNK_KEYS = ["doc_id", "chunk_no", "sub_no"]
 
 
+def _clean_chunks(spark, d):
+    return corpus.clean_chunks(docs(spark, d).select("doc_id", "source", "text"), CORPUS, ["doc_id"])
+
+
 def _chunk_pairs(spark, d):
-    clean = corpus.clean_chunks(docs(spark, d).select("doc_id", "source", "text"), CORPUS, ["doc_id"])
-    return corpus.error_pairs(clean, CORPUS, CHUNK_KEYS)
+    return corpus.error_pairs(_clean_chunks(spark, d), CORPUS, CHUNK_KEYS)
 
 
 def q_chunk_pairs(spark, d):
@@ -369,8 +372,8 @@ def q_corpus_pairs(spark, d):
 
 
 def q_split_counts(spark, d):
-    """Rows per split and source of the whole corpus (the order does not matter here)."""
-    rows = _chunk_pairs(spark, d).select("split", "source").unionByName(q_corpora_by_name(spark, d).select("split", "source"))
+    """Rows per split and source of the whole corpus (neither errors nor order change them)."""
+    rows = _clean_chunks(spark, d).select("split", "source").unionByName(q_corpora_by_name(spark, d).select("split", "source"))
     return pairs.counts_by(rows, "split", "source")
 
 
