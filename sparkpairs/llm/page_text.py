@@ -2,11 +2,16 @@
 
 Each page is parsed into blocks of text and the containers that hold them, and
 every container is scored: text of its blocks, less link text, half of it also
-for the container around it. The best container votes for its generalised path
-(tags and class names from the root, digits removed). Votes are counted per
+for the container around it. The best container only marks where the article is.
+The vote goes to the generalised path (tags and class names from the root, digits
+removed) of the lowest container that holds all of the article: the <main> around
+the best container, else what holds all <article> elements (either with the <h1>,
+if that stands outside), else what holds every text of the page that is neither
+furniture nor mostly links. Votes are counted per
 host in Spark; the paths that win at least ``LEAST_SHARE`` of a host's pages
 are its consensus. Every page is then extracted again with the first of its
-host's winning paths that it has, or, lacking all, with its own best container.
+host's winning paths that it has, or, lacking all, with its own container. All
+elements at the chosen path are extracted whole, whatever they score.
 
 Inside the chosen container menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out, by tag, role or class
@@ -25,7 +30,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -269,6 +274,68 @@ class Page:
         s = self.scores()
         return max(s, key=lambda e: (s[e], -e)) if s else None
 
+    def prose(self) -> list[int]:
+        """Elements of the blocks outside page furniture that are not mostly links (all such blocks are, if no other is there)."""
+        lists = self.link_lists()
+        kept = [(o, 2 * linked < len(t)) for t, o, linked in zip(self.texts, self.owners, self.linked, strict=True)
+                if not self.furniture(o, 0, lists)]
+        return [o for o, good in kept if good] or [o for o, _ in kept]
+
+    def _outermost(self, e: int, tag: str) -> int | None:
+        out = None
+        while e > 0:
+            if self.tags[e] == tag:
+                out = e
+            e = self.parents[e]
+        return out
+
+    def _above(self, e: int) -> set[int]:
+        """An element and those around it."""
+        out = set()
+        while e >= 0:
+            out.add(e)
+            e = self.parents[e]
+        return out
+
+    def _common(self, elements: Iterable[int]) -> int:
+        first, *others = elements
+        above = self._above(first)
+        out = first
+        for e in others:
+            while e not in above:
+                e = self.parents[e]
+            out = min(out, e)  # both are around the first; the outer one was opened earlier
+        return out
+
+    def container(self) -> int | None:
+        """The lowest container that holds all of the article, None without text."""
+        best = self.best()
+        if best is None:
+            return None
+        prose = self.prose()
+        top = self._outermost(best, "main")
+        if top is None and self._outermost(best, "article") is not None:
+            top = self._common(sorted({a for o in prose if (a := self._outermost(o, "article")) is not None} | {self._outermost(best, "article")}))
+        if top is None:
+            return self._block_parent(self._common([best, *dict.fromkeys(prose)]))
+        heads = [o for o in prose if self._outermost(o, "h1") is not None]
+        if heads and not any(top in self._above(o) for o in heads):
+            top = self._common([top, heads[0]])
+        return top
+
+    def by_path(self) -> dict[str, list[int]]:
+        """Containers around text outside page furniture, by path."""
+        around: set[int] = set()
+        for o in self.prose():
+            while o >= 0 and o not in around:
+                around.add(o)
+                o = self.parents[o]
+        out: dict[str, list[int]] = {}
+        for e in sorted(around):
+            if not e or self.tags[e] in BLOCK and self.tags[e] not in LEAF:
+                out.setdefault(self.path(e), []).append(e)
+        return out
+
     def extract(self, tops: list[int]) -> str:
         lists = self.link_lists()
         return "\n".join(t for t, o in zip(self.texts, self.owners, strict=True)
@@ -276,26 +343,23 @@ class Page:
 
 
 def vote(source: str) -> str | None:
-    """Path of a page's best container, None without text."""
+    """Path of the container of a page's article, None without text."""
     page = Page(source)
-    best = page.best()
-    return None if best is None else page.path(best)
+    top = page.container()
+    return None if top is None else page.path(top)
 
 
 def main_text(source: str, paths: list[str] | None) -> str:
-    """Text of a page's containers at the first of ``paths`` that it has, else of its best one."""
+    """Text of a page's containers at the first of ``paths`` that it has, else at the path of its own."""
     page = Page(source)
-    scores = page.scores()
-    if not scores:
+    own = page.container()
+    if own is None:
         return ""
-    by_path: dict[str, list[int]] = {}
-    for e in scores:
-        by_path.setdefault(page.path(e), []).append(e)
+    by_path = page.by_path()
     for path in paths or ():
-        if path in by_path and (top := max(scores[e] for e in by_path[path])) > 0:
-            # a text may be spread over several containers of one path
-            return page.extract([e for e in by_path[path] if scores[e] >= 0.1 * top])
-    return page.extract([max(scores, key=lambda e: (scores[e], -e))])
+        if path in by_path:
+            return page.extract(by_path[path])  # a text may be spread over several containers of one path
+    return page.extract(by_path.get(page.path(own), [own]))
 
 
 # ---------------------------------------------------------------- Spark

@@ -341,6 +341,20 @@ def test_pages_give_the_article(spark):
         assert got[p].text == "\n".join(b for b in blocks if b) and got[p].n_chars == len(got[p].text)
 
 
+@pytest.mark.parametrize("body", [
+    "<article><h1>T</h1><section>{long}</section><section>{short}</section></article>",
+    "<article><h1>T</h1><div class=entry><p>{long}</p><div><p>{short}</p></div></div></article>",
+    "<div class=post><h1>T</h1><div class=entry><p>{long}</p></div><div class=rest>{short}</div></div>",
+    "<h1>T</h1><article><p>{long}</p></article><article class=more><p>{short}</p></article>",
+])
+def test_page_text_keeps_split_articles_whole(body):
+    long, short = "many words " * 900 + "end", "few words " * 20 + "end"
+    source = f"<html><body><nav>menu</nav>{body.format(long=long, short=short)}<footer>f</footer></body></html>"
+    whole = "\n".join(["T", long, short])
+    assert page_text.main_text(source, None) == whole
+    assert page_text.main_text(source, [page_text.vote(source)]) == whole
+
+
 # ---------------------------------------------------------------- 9
 def test_base_scores_equal_brute_force(spark, texts):
     low = {d: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)] for d, t in texts.items()}
