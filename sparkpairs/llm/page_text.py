@@ -15,7 +15,12 @@ elements at the chosen path are extracted whole, whatever they score.
 
 Inside the chosen container menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out, by tag, role or class
-name, and lists that consist of links. Blocks keep page order.
+name, and lists that consist of links. Blocks keep page order. A class name or id
+marks furniture only as a whole: all its words are furniture words or words of
+place, one at least the former ("cookie-notice", "sidebar-left", not "no-sidebar").
+It never does on html, body, main and article, nor on an element around main, nor
+(comments apart) on one with most of the page's unlinked text unless an article is
+outside it; if all text were furniture by class name, none is.
 
 The table of winning paths is broadcast after its size was checked; beyond
 ``BROADCAST_ROWS`` hosts it is joined by host instead.
@@ -62,27 +67,47 @@ header masthead topbar footer colophon copyright sidebar sidebars aside rail wid
 notice notices cookie cookies consent gdpr alert banner popup modal overlay disclaimer
 comment comments commentlist disqus replies respond discussion
 share sharing social newsletter subscribe subscription signup login search form toolbar skip""".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond discussion".split())
+PLACE_WORDS = frozenset("site global left right top bottom area box slot bar list block wrapper container inner".split())
+NEVER_BY_WORD = frozenset("html body main article".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
           "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th")}
 CLOSES_WITHIN = frozenset("ul ol dl table select".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_BLOCK_TAG = re.compile(r"</?(?:p|div|article|section|main|li|ul|ol|body|html|h[1-6])\b", re.I)
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"[a-z]+")
 
 
+# What marks an element as page furniture; the last two are withdrawn where they would take the article.
+NOT, FIRMLY, BY_COMMENT_WORD, BY_WORD = range(4)
+
+
+def by_word(names: str) -> int:
+    """What the class names and ids of an element say."""
+    out = NOT
+    for name in names.split():
+        words = set(_WORDS.findall(_HUMP.sub(" ", name).lower()))
+        if words & SKIP_WORDS and words <= SKIP_WORDS | PLACE_WORDS:
+            if not words & COMMENT_WORDS:
+                return BY_WORD
+            out = BY_COMMENT_WORD
+    return out
+
+
 @lru_cache(maxsize=20_000)
-def element(tag: str, attrs: str) -> tuple[str, bool]:
-    """Generalised name of an element and whether it is page furniture."""
+def element(tag: str, attrs: str) -> tuple[str, int]:
+    """Generalised name of an element and what marks it as page furniture."""
     found = {}
     for name, value in _ATTR.findall(attrs):
         found.setdefault(name.lower(), value.strip("\"'"))
     names = found.get("class", "")
-    words = set(_WORDS.findall(_HUMP.sub(" ", f"{names} {found.get('id', '')}").lower()))
     style = found.get("style", "").replace(" ", "").lower()
-    skip = (tag in SKIP_TAGS or bool(words & SKIP_WORDS) or found.get("role", "").lower() in SKIP_ROLES
-            or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style)
+    firmly = (tag in SKIP_TAGS or found.get("role", "").lower() in SKIP_ROLES
+              or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style)
+    skip = FIRMLY if firmly else NOT if tag in NEVER_BY_WORD else by_word(f"{names} {found.get('id', '')}")
     classes = sorted({c for c in (re.sub(r"\d+", "", x) for x in names.lower().split()) if c})
     return ".".join([tag, *classes]), skip
 
@@ -91,11 +116,12 @@ class Page:
     """Blocks of text of a page, and the elements that hold them."""
 
     def __init__(self, source: str):
-        self.tags, self.names, self.parents, self.skips = [""], [""], [-1], [False]
+        self.tags, self.names, self.parents, self.skips = [""], [""], [-1], [NOT]
         self.texts: list[str] = []
         self.owners: list[int] = []   # element of each block
         self.linked: list[int] = []   # characters of the block inside links
         self._parse(source)
+        self._withdraw()
 
     def _parse(self, source: str) -> None:
         stack = [0]
@@ -190,11 +216,10 @@ class Page:
                 continue
             if skip and tag not in BLOCK:
                 # furniture inside a line: its text is kept apart from the block around it
-                before, was = list(pieces), links
-                pieces.clear()
-                at, links = self._past(source, at, tag), was
-                pieces.extend(before)
-                continue
+                end = self._past(source, at, tag)
+                if skip == FIRMLY or not _BLOCK_TAG.search(source, at, end):
+                    at = end
+                    continue
             self.tags.append(tag)
             self.names.append(name)
             self.parents.append(stack[-1])
@@ -216,9 +241,42 @@ class Page:
             depth += -1 if m.group(1) else 1
             if not depth:
                 return m.end()
-        nxt = re.compile(r"</?(?:p|div|article|section|main|li|ul|ol|body|html|h[1-6])\b", re.I).search(source, at)
+        nxt = _BLOCK_TAG.search(source, at)
         return nxt.start() if nxt else len(source)
 
+    def _withdraw(self) -> None:
+        """Class names do not make furniture of an element that holds the article."""
+        named = [e for e, skip in enumerate(self.skips) if skip > FIRMLY]
+        if not named:
+            return
+        for e, tag in enumerate(self.tags):
+            if tag == "main":
+                for a in self._above(e):
+                    if self.skips[a] > FIRMLY:
+                        self.skips[a] = NOT
+        lists = self.link_lists()
+        inside = dict.fromkeys(named, 0)  # unlinked characters
+        article = dict.fromkeys(named, 0)  # those of them in articles
+        whole = in_articles = 0
+        for text, owner, linked in zip(self.texts, self.owners, self.linked, strict=True):
+            above = self._above(owner)
+            if any(self.skips[e] == FIRMLY or e in lists for e in above):
+                continue
+            n = len(text) - linked
+            # an article in furniture (a reader's comment, a teaser) is no sign of the page's article elsewhere
+            a = n if any(self.tags[e] in ("article", "main") for e in above) else 0
+            whole, in_articles = whole + n, in_articles + a
+            for e in above:
+                if e in inside:
+                    inside[e] += n
+                    article[e] += a
+        for e in named:
+            if self.skips[e] == BY_WORD and 2 * inside[e] > whole and article[e] == in_articles:
+                self.skips[e] = NOT
+        if whole and all(self.furniture(o, 0, lists) for o in self.owners):
+            for e in named:
+                self.skips[e] = self.skips[e] if self.skips[e] == FIRMLY else NOT
+
     # ------------------------------------------------------------ containers
     def path(self, e: int) -> str:
         parts = []

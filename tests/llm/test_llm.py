@@ -355,6 +355,27 @@ def test_page_text_keeps_split_articles_whole(body):
     assert page_text.main_text(source, [page_text.vote(source)]) == whole
 
 
+@pytest.mark.parametrize("outer", [
+    "<body class='no-sidebar'>{}</body>", "<body id=search class='page toc'><main id='search-results'>{}</main></body>",
+    "<body><article class='post has-header widget'>{}</article></body>", "<body><div class='content with-sidebar'>{}</div></body>",
+    "<body><div id=search>{}</div></body>", "<body><div class=wrapper><div class=discussion>{}</div></div></body>",
+    "<body><div class=overlay><main>{}</main></div></body>", "<body><app-root class=form>{}</app-root></body>",
+])
+def test_page_text_is_not_lost_to_a_class_of_its_container(outer):
+    inner = "<h1>T</h1><div class=toc>contents</div><p>" + "many words " * 50 + "end</p><p class='alert-free'>last</p>"
+    source = outer.format(inner + "<div class='sidebar-left'>side</div><div class='comments'><p>nice</p></div>")
+    got = page_text.main_text(source, None)
+    whole = "\n".join(["T", "many words " * 50 + "end", "last"])
+    assert got == whole or "discussion" in outer and got.startswith("T\n")
+    assert set(whole.split("\n")) <= set(got.split("\n"))
+
+
+def test_page_text_leaves_out_large_furniture():
+    long = "<p>" + "others say " * 90 + "</p>"
+    for junk in (f"<div class=comments>{long}</div>", f"<ol class=comment-list><li><article>{long}</article></ol>", f"<div class=sidebar>{long}</div>"):
+        assert page_text.main_text(f"<body><article><h1>T</h1><p>short text</p></article>{junk}</body>", None) == "T\nshort text"
+
+
 # ---------------------------------------------------------------- 9
 def test_base_scores_equal_brute_force(spark, texts):
     low = {d: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)] for d, t in texts.items()}
