@@ -9,9 +9,11 @@ the best container, else what holds all <article> elements (either with the <h1>
 if that stands outside), else what holds every text of the page that is neither
 furniture nor mostly links. Votes are counted per
 host in Spark; the paths that win at least ``LEAST_SHARE`` of a host's pages
-are its consensus. Every page is then extracted again with the first of its
-host's winning paths that it has, or, lacking all, with its own container. All
-elements at the chosen path are extracted whole, whatever they score.
+are its consensus. Every page is then extracted again. Of its host's winning
+paths those count at which the page has its best container and every heading and
+paragraph of its own container; the one with most text on this page is taken, and
+without such a path the page's own container. All elements at the chosen path are
+extracted whole, whatever they score.
 
 Inside the chosen container menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out, by tag, role or class
@@ -394,6 +396,17 @@ class Page:
                 out.setdefault(self.path(e), []).append(e)
         return out
 
+    def holds(self, tops: list[int], best: int, own: int) -> bool:
+        """Whether ``tops`` hold the best container and all headings and paragraphs of the page's own container."""
+        inside = set(tops)
+        if not inside & self._above(best):
+            return False
+        for o in dict.fromkeys(self.prose()):
+            above = self._above(o)
+            if own in above and not inside & above and any(self.tags[e] in LEAF for e in above):
+                return False
+        return True
+
     def extract(self, tops: list[int]) -> str:
         lists = self.link_lists()
         return "\n".join(t for t, o in zip(self.texts, self.owners, strict=True)
@@ -408,16 +421,21 @@ def vote(source: str) -> str | None:
 
 
 def main_text(source: str, paths: list[str] | None) -> str:
-    """Text of a page's containers at the first of ``paths`` that it has, else at the path of its own."""
+    """Text of a page's containers at the one of ``paths`` that holds its article and most text, else at the path of its own."""
     page = Page(source)
     own = page.container()
     if own is None:
         return ""
     by_path = page.by_path()
+    best = page.best()
+    chosen = None
     for path in paths or ():
-        if path in by_path:
-            return page.extract(by_path[path])  # a text may be spread over several containers of one path
-    return page.extract(by_path.get(page.path(own), [own]))
+        tops = by_path.get(path)
+        if tops and page.holds(tops, best, own):
+            text = page.extract(tops)  # a text may be spread over several containers of one path
+            if chosen is None or len(text) > len(chosen):
+                chosen = text
+    return page.extract(by_path.get(page.path(own), [own])) if chosen is None else chosen
 
 
 # ---------------------------------------------------------------- Spark

@@ -376,6 +376,17 @@ def test_page_text_leaves_out_large_furniture():
         assert page_text.main_text(f"<body><article><h1>T</h1><p>short text</p></article>{junk}</body>", None) == "T\nshort text"
 
 
+def test_page_text_of_a_second_layout(spark):
+    long = "many words " * 50 + "end"
+    first = f"<body><div><h1>A</h1><p>{long}</p></div></body>"
+    second = f"<body><div>5 min read</div><main><article><h1>B</h1><p>{long}</p></article></main></body>"
+    rare = f"<body><div>5 min read</div><section><h2>C</h2><p>{long}</p></section></body>"
+    rows = [(i, "http://h/", s) for i, s in enumerate([first] * 20 + [second] * 4 + [rare])]
+    got = [r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
+    assert got[:20] == ["A\n" + long] * 20 and got[20:24] == ["B\n" + long] * 4
+    assert got[24].endswith("C\n" + long)
+
+
 # ---------------------------------------------------------------- 9
 def test_base_scores_equal_brute_force(spark, texts):
     low = {d: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)] for d, t in texts.items()}
