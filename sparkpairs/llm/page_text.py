@@ -35,6 +35,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
@@ -51,7 +52,8 @@ from sparkpairs.session import materialize
 LEAST_SHARE = 0.1
 MOST_PATHS = 10          # paths of one host that reach LEAST_SHARE: ten at most
 BROADCAST_ROWS = 50_000  # hosts; each row holds ten paths at most
-PATH_CHARS = 1000        # longer paths keep their innermost part
+PATH_CHARS = 1000        # longer paths are named by their innermost part and a digest of the whole
+CACHED_CHARS = 500       # attributes beyond are read each time instead of kept in the cache
 
 # HTML elements and the words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,7 +79,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 CLOSES_WITHIN = frozenset("ul ol dl table select".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)(?:>|\Z))", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
+_READ = frozenset("class id role hidden aria-hidden style".split())
 _BLOCK_TAG = re.compile(r"</?(?:p|div|article|section|main|li|ul|ol|body|html|h[1-6])\b", re.I)
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"[a-z]+")
@@ -99,12 +102,12 @@ def by_word(names: str) -> int:
     return out
 
 
-@lru_cache(maxsize=20_000)
 def element(tag: str, attrs: str) -> tuple[str, int]:
     """Generalised name of an element and what marks it as page furniture."""
     found = {}
     for name, value in _ATTR.findall(attrs):
-        found.setdefault(name.lower(), value.strip("\"'"))
+        if (name := name.lower()) in _READ:
+            found.setdefault(name, value.strip("\"'"))
     names = found.get("class", "")
     style = found.get("style", "").replace(" ", "").lower()
     firmly = (tag in SKIP_TAGS or found.get("role", "").lower() in SKIP_ROLES
@@ -114,6 +117,9 @@ def element(tag: str, attrs: str) -> tuple[str, int]:
     return ".".join([tag, *classes]), skip
 
 
+cached_element = lru_cache(maxsize=20_000)(element)
+
+
 class Page:
     """Blocks of text of a page, and the elements that hold them."""
 
@@ -209,7 +215,7 @@ class Page:
                             break
             if tag in VOID:
                 continue
-            name, skip = element(tag, attrs if len(attrs) < 500 else attrs[:500])
+            name, skip = (cached_element if len(attrs) < CACHED_CHARS else element)(tag, attrs)
             if tag in RAW:  # up to its end tag nothing is markup
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else size
@@ -286,7 +292,8 @@ class Page:
             if self.tags[e] != "html":
                 parts.append(self.names[e])
             e = self.parents[e]
-        return ">".join(reversed(parts))[-PATH_CHARS:]
+        path = ">".join(reversed(parts))
+        return path if len(path) <= PATH_CHARS else f"{hashlib.sha256(path.encode('utf-8', 'surrogatepass')).hexdigest()} {path[-PATH_CHARS:]}"
 
     def _block_parent(self, e: int) -> int:
         while e > 0 and (self.tags[e] not in BLOCK or self.tags[e] in LEAF):

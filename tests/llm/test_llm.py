@@ -387,6 +387,15 @@ def test_page_text_of_a_second_layout(spark):
     assert got[24].endswith("C\n" + long)
 
 
+def test_page_text_reads_long_attributes_and_paths():
+    long = f"style='background:url({'x' * 900})' data-j='{{\"hidden\": 1, \"class\": 2}}'"
+    source = f"<body><article><p {long} class=lead>one</p><div {long} class=ad>buy</div><p>two</p><div {long} hidden>no</div></article></body>"
+    assert page_text.main_text(source, None) == "one\ntwo"
+    deep = "<div class=layer>" * 100
+    a, b = (page_text.vote(f"<body class={c}>{deep}<p>text</p></body>") for c in "ab")
+    assert a != b and len(a) < 1100
+
+
 # ---------------------------------------------------------------- 9
 def test_base_scores_equal_brute_force(spark, texts):
     low = {d: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)] for d, t in texts.items()}
