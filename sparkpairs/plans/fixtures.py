@@ -1,6 +1,7 @@
 """Views over the shared test tables that stand in for the reference's inputs.
 
-Each view is built identically in the oracle SQL (see ``oracle.py``).
+Each view is built identically in the oracle SQL (see ``oracle.py``), but the SQL of
+the multi-reference view stops at two replies to a user turn.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from sparkpairs.functions.constants import WS_CLASS
 from sparkpairs.functions.rand import digest, uniform
 from sparkpairs.functions.text import py_strip
 from sparkpairs.operators import pairs
+from sparkpairs.operators.ordering import running_agg
 
 TAG_COMMAND = "Fix grammar: "
 SOURCE_TAGGED = "tagged"
@@ -60,17 +62,18 @@ def tagged(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def multi_reference(conv: DataFrame) -> DataFrame:
-    """Multi-reference corpus ``sentence, corrections``: a user turn and the assistant turns
-    that directly follow it (up to two), found by equi-joins on (conv_id, turn).
-    No grouping and no pairing within a conversation."""
+    """Multi-reference corpus ``sentence, corrections``: a user turn and the assistant turns that
+    follow it before any other role speaks, however many, one row per reply (a user turn without
+    one has an empty array). Each reply finds its user turn by a scan of bounded chunks: no
+    grouping and no pairing within a conversation."""
+    speaks = F.col("role").eqNullSafe("assistant")
+    x = conv.select("conv_id", "turn", "role", "text").withColumn("_at", 2 * F.col("turn") + F.when(speaks, 0).otherwise(1))
+    x = running_agg(x, ["conv_id"], "_at", F.when(~speaks, F.col("turn")), "max", "_asked")
+    a = x.filter(speaks & F.col("text").isNotNull()).select("conv_id", F.col("_asked").alias("turn"), F.col("text").alias("reply"))
     u = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("sentence"))
-    a = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    a1 = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a1"))
-    a2 = a.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("a2"))
-    j = u.join(a1, ["conv_id", "turn"], "left").join(a2, ["conv_id", "turn"], "left")
-    second = F.when(F.col("a1").isNotNull() & F.col("a2").isNotNull(), F.array("a2")).otherwise(F.array().cast("array<string>"))
-    first = F.when(F.col("a1").isNotNull(), F.array("a1")).otherwise(F.array().cast("array<string>"))
-    return j.select("conv_id", "turn", "sentence", F.concat(first, second).alias("corrections"))
+    none = u.join(a.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_anti")
+    return (a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", "sentence", F.array("reply").alias("corrections"))
+            .unionByName(none.withColumn("corrections", F.array().cast("array<string>"))))
 
 
 def io_pairs(bench: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ operators need, and none of them pairs rows within a group."""
 
 from pyspark.sql import functions as F
 
+from sparkpairs.operators import pairs
 from sparkpairs.plans import fixtures as fx
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,6 +28,18 @@ def test_multi_reference_is_linear(spark):
     assert n_corr <= 2 * users and n_corr <= 2 * assistants
 
 
+def test_multi_reference_keeps_every_reply(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "q1"), *((1, t, "assistant", f"r{t}") for t in range(2, 7)), (1, 7, "user", "q2"),
+            (1, 8, "user", "q3"), (1, 9, "assistant", None), (1, 10, "assistant", "late"), (1, 11, "system", "s"), (1, 12, "assistant", "none"),
+            (2, 1, "assistant", "first"), (2, 2, "user", "alone"), (3, 1, "user", "long")]
+    rows += [(3, t, "assistant", f"x{t}") for t in range(2, 70_000)]
+    multi = fx.multi_reference(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = [(r.conv_id, r.turn, r.original, r.corrected) for r in pairs.adapt_multi(multi, "m", ["conv_id", "turn"]).collect()]
+    want = [(1, 1, "q1", f"r{t}") for t in range(2, 7)] + [(1, 8, "q3", "late")] + [(3, 1, "long", f"x{t}") for t in range(2, 70_000)]
+    assert sorted(got) == sorted(want)
+    assert {r.sentence for r in multi.where(F.size("corrections") == 0).collect()} == {"q2", "alone"}
+
+
 def test_tagged_and_io(spark):
     docs = fx.table(spark, SMALL, "documents")
     t = fx.tagged(docs, fx.table(spark, SMALL, "labels")).collect()
