@@ -444,6 +444,32 @@ def test_lm_odd_rows_and_empty(spark, odd, none):
     assert all(r.train_tokens == 0 and r.base_score == 0 for r in lm_score.score(odd, F.lit(False)).collect())
 
 
+def test_lm_classes_and_network_come_from_all_texts(spark, tmp_path):
+    enc = tokens.encoder(tokens.TOKENIZER)
+    common, late = "the house of the man and the dog", "zebra zebra zebra"
+    rows = [(i, common) for i in range(50)] + [(50 + i, late + " " + late) for i in range(40)] + [(90, (common + " ") * 3000 + late)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    ids, off = enc.encode(pa.array([r[1] for r in rows]))
+    counts = np.bincount(ids, minlength=enc.size + 1)
+    counts[-1] = len(rows)
+    path = str(tmp_path / "words")
+    lm_score.word_counts(df).write.parquet(path)
+    words_ = spark.read.parquet(path)
+    assert (lm_score.id_pairs(words_, np.zeros(enc.size + 1, np.int64), len(rows)).sum(0) == counts).all()
+    text = np.repeat(np.arange(len(rows)), np.diff(off))
+    feature = lm_score.beside(lm_score.id_ranks(counts)[ids], text[1:] == text[:-1])
+    assert (lm_score.corpus_beside(df, "text", lm_score.id_ranks(counts)) == feature).all()
+    classes = lm_score.corpus_classes(words_, df, len(rows))
+    assert (classes == lm_score.id_classes(counts, feature=feature)).all()
+    pairs = lm_score.id_pairs(words_, classes, len(rows))
+    some = enc.encode(pa.array([common] * 50))  # the sample holds neither the long nor the late texts
+    m = lm_score.fit(classes, np.append(enc.ends, True), pairs, *some, steps=50)
+    after, places = lm_score.fit_all(m, df, "text")
+    assert places == len(ids) + len(rows)
+    held = enc.encode(pa.array([late + " " + late]))
+    assert after.score(*held)[0] > m.score(*held)[0]
+
+
 # ---------------------------------------------------------------- 10
 def slow_counts(text):
     w = words(text)
