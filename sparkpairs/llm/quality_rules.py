@@ -28,6 +28,7 @@ from sparkpairs.llm.common import FlatWords, free_name, segment_sums, slices, wi
 
 WINDOW = 8
 MIN_WORDS = 20
+KINDS_WINDOW = 1000  # words; the share of distinct words falls with the length of any text
 SAMPLE_DOCS = 400  # documented bound of the sample that only sets the order of the rules
 SAMPLE_CHARS = 20_000
 SYMBOLS = "[#*$%&|<>]"
@@ -159,13 +160,22 @@ def _few_letters(t: Texts, rows):
 
 
 def _few_kinds(t: Texts, rows):
-    """Each distinct word stands for more than ten words, in texts of 100 words and more."""
+    """Each distinct word of a window of ``KINDS_WINDOW`` words (mean over all windows of the text; a shorter
+    text is one window) stands for more than ten words, in texts of 100 words and more."""
     lens = t.n_words[rows]
-    codes, _ = t.positions(rows)
-    size = len(t.flat.dictionary) + 1
-    distinct = np.unique(np.repeat(np.arange(len(rows)), lens) * size + codes)
-    kinds = np.bincount(distinct // size, minlength=len(rows))
-    return (lens >= 100) & (lens > 10 * kinds)
+    codes, offsets = t.positions(rows)
+    key = np.repeat(np.arange(len(rows)), lens) * (len(t.flat.dictionary) + 1) + codes
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    start = np.repeat(offsets[:-1], lens)
+    before = start - 1  # place of the word's last occurrence in its text
+    before[order[1:][same]] = order[:-1][same]
+    # a word is new in the windows that hold it and begin after its last occurrence
+    at, width = np.arange(len(codes)), np.minimum(lens, KINDS_WINDOW)
+    last = np.minimum(at, start + np.repeat(lens - width, lens))
+    first = np.maximum(before + 1, at - np.repeat(width, lens) + 1)
+    kinds = segment_sums(np.maximum(last - first + 1, 0), offsets)  # of all windows
+    return (lens >= 100) & (width * (lens - width + 1) > 10 * kinds)
 
 
 def _stutter(t: Texts, rows):

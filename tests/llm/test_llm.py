@@ -471,6 +471,26 @@ def test_lm_classes_and_network_come_from_all_texts(spark, tmp_path):
 
 
 # ---------------------------------------------------------------- 10
+def test_few_kinds_behaves_alike_at_every_length():
+    rng = np.random.default_rng(1)
+    book = [f"w{i}" for i in np.minimum(rng.zipf(1.3, 60_000), 4000)]  # natural: more words than ten of a kind, many in a window
+    dull = [f"w{i}" for i in rng.integers(0, 60, 3000)]
+    short = [f"w{i}" for i in rng.integers(0, 9, 150)]
+    edge = [f"w{i}" for i in rng.integers(0, 100, 1300)]
+    cases = [book, [], dull, short, edge, ["a"] * 99, ["a"] * 100, book[:700]]
+    assert len(book) > 10 * len(set(book))
+    t = quality_rules.Texts(pa.array([" ".join(c) for c in cases], pa.large_string()))
+
+    def brute(c, w=quality_rules.KINDS_WINDOW):
+        w = min(w, len(c))
+        kinds = [len(set(c[i:i + w])) for i in range(len(c) - w + 1)]
+        return len(c) >= 100 and w > 10 * sum(kinds) / len(kinds)
+
+    for rows in (np.arange(len(cases)), np.array([0, 3, 4])):
+        assert quality_rules._few_kinds(t, rows).tolist() == [brute(cases[r]) for r in rows]
+    assert not quality_rules._few_kinds(t, np.array([0]))[0] and quality_rules._few_kinds(t, np.array([2]))[0]
+
+
 def slow_counts(text):
     w = words(text)
     lines, seen, dup = (text or "").split("\n"), set(), 0
