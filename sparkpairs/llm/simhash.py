@@ -16,9 +16,9 @@ group of near copies costs edges in proportion to its members and loses no
 link: the result is the component of each row.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any
-other; repeated rows are linked to each other; a null doc_id gets the component
-of the rows it equals or links to, and is ignored when the smallest id is
-taken; an empty table gives an empty result; other columns are ignored
+other; repeated rows are linked to each other; fingerprints are the nodes, so
+rows without doc_id link like others; the component is the smallest doc_id in it,
+null if no row has one; an empty table gives an empty result; other columns are ignored
 (``fingerprints``, ``link``) or carried (``drop_near_duplicates``).
 """
 
@@ -177,32 +177,45 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Data
     return grouped.select("triple", "members").mapInArrow(_cells(max_bits), "a bigint, b bigint").distinct()
 
 
+def _fingerprint_components(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``rep_fp, root, component_id`` of each fingerprint: the component's smallest fingerprint and doc_id."""
+    reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("id")))
+    comp = components(links(reps.select("fp", F.col("fp").alias("id")), max_bits))
+    rooted = materialize(reps.join(comp, reps["fp"] == comp["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id")).select(F.col("root").alias("_root"), "component_id")
+    return rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("rep_fp"), "root", "component_id")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
          max_bits: int = MAX_BITS) -> DataFrame:
     """``id_col, fingerprint`` (signed 64-bit), ``component_id`` of every row."""
+    return _link(docs, id_col, text_col, width, max_bits)[0]
+
+
+def _link(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``link`` and the components of the fingerprints."""
     fps = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t", width, "fp").drop("t"))
-    reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("id")))
-    comp = components(links(reps.where("id is not null"), max_bits))
-    of_fp = reps.join(comp, reps["id"] == comp["node"], "left").select(
-        F.col("fp").alias("rep_fp"), F.coalesce("component", "id").alias("component_id"))
+    of_fp = materialize(_fingerprint_components(fps, max_bits))
     return fps.join(of_fp, F.col("fp") == F.col("rep_fp")).select(
-        F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+        F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id"), of_fp
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component (that of the smallest doc_id), with exactly the columns of ``docs``.
 
-    Rows that share a doc_id are one document: the one with the smallest text hash stays.
-    Rows without doc_id cannot be told apart by it and stay."""
-    comp = materialize(link(docs, "doc_id", "text", width, max_bits))
+    Rows without doc_id or with one that others share are told apart by their text: of those that
+    stand for a component the one with the smallest text hash stays."""
+    linked, of_fp = _link(docs, "doc_id", "text", width, max_bits)
+    comp = materialize(linked)
     gone = comp.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    again = comp.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
+    again = comp.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_gone"))
     again = materialize(again)
-    kept = docs.join(gone.unionAll(again).distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
     if again.isEmpty():  # ids are unique, as a rule: no text is grouped
-        return kept
-    row = free_name(docs, "_row")
-    shared = docs.join(again.join(gone, "_gone", "left_anti"), docs["doc_id"] == F.col("_gone"), "left_semi")
-    one = (shared.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
-           .groupBy(F.col(f"{row}.doc_id")).agg(F.min_by(row, F.xxhash64(f"{row}.text")).alias(row)))
+        return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    row, fp = free_name(docs, "_row"), free_name(docs, "_fp")
+    kept = docs.where("doc_id IS NOT NULL").join(gone.unionAll(again).distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    shared = docs.join(again, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_semi")
+    marked = fingerprints(shared, "text", width, fp).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(fp).alias("_of"))
+    one = (marked.join(of_fp, F.col("_of") == F.col("rep_fp")).where(F.col(f"{row}.doc_id").eqNullSafe(F.col("component_id")))
+           .groupBy("root").agg(F.min_by(row, F.xxhash64(f"{row}.text")).alias(row)))
     return kept.unionAll(one.select(f"{row}.*"))

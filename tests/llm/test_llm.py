@@ -293,6 +293,23 @@ def test_one_of_each_group_stays(spark, odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_rows_without_an_id_or_with_a_shared_one_link_and_stay_apart(spark):
+    base = [f"w{i}" for i in range(3000)]
+    bits = lambda t: simhash.fingerprint(t.encode()) ^ simhash.fingerprint(" ".join(base).encode())
+    edits = {bits(t): t for k in range(0, 3000, 25) if 0 < bits(t := " ".join([*base[:k], "other", *base[k + 1:]])).bit_count() <= 2}
+    near = list(edits.values())[:3]
+    assert len(near) == 3
+    loner, twin = "quite another text of its own " * 9, "something else that stands alone here"
+    assert all(0 < (slow_fingerprint(near[0]) ^ slow_fingerprint(x)).bit_count() <= 4 for x in near[1:])
+    rows = [(None, near[0]), (7, near[1]), (None, near[2]), (None, loner), (None, loner), (5, twin), (5, "a text that shares the id of the last"), (9, twin)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    of = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.link(df).collect()}
+    signed = lambda t: int(np.array([slow_fingerprint(t)], np.uint64).view(np.int64)[0])
+    assert [of[None, signed(near[0])], of[None, signed(near[2])], of[None, signed(loner)], of[9, signed(twin)]] == [7, 7, None, 5]
+    kept = sorted(((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(df).collect()))
+    assert kept == sorted([(7, near[1]), (0, loner), (5, twin), (5, rows[6][1])])
+
+
 # ---------------------------------------------------------------- 6
 def test_shortage_goes_to_siblings_before_ancestors(spark):
     leaves = spark.createDataFrame([("A", "x", "1", 10), ("A", "x", "2", 1000), ("A", "y", "3", 1000), ("B", "x", "4", 1000)],
