@@ -79,8 +79,43 @@ SELECT doc_id, {using}, CAST(ep AS INTEGER) AS epoch, CAST(CASE WHEN ep < epochs
     return "WITH " + ",\n".join(out)
 
 
+#: CRC-32 of a text's UTF-8 bytes: the table of the reflected polynomial by eight shifts, then byte by byte.
+_CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ``text``; the one row of ``crc_table`` is among the tables read."""
+    code = f"list_transform(range(0, CAST(length(hex(encode({text}))) AS BIGINT), 2), " \
+           f"lambda k: CAST(('0x' || substr(hex(encode({text})), k + 1, 2)) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {code}), " \
+           "lambda c, b: xor(c >> 8, crcs[xor(c & 255, b) + 1])), 4294967295)"
+
+
+RESAMPLE = rf"""
+WITH {_CRC_TABLE},
+f AS (SELECT 0 AS target, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+      UNION ALL SELECT 1, NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+w AS (SELECT word, {_crc32('word')} % 10000 AS bucket FROM (SELECT DISTINCT word FROM f), crc_table),
+c AS (SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM f JOIN w USING (word) GROUP BY ALL),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * CAST((SELECT sum(s) FROM c) + 10000 AS DOUBLE)
+      / ((s + 1) * CAST((SELECT sum(t) FROM c) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM c),
+d AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN w USING (word) JOIN g USING (bucket)
+      WHERE target = 0 GROUP BY ALL),
+a AS (SELECT documents.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+      CAST('0x' || substr(sha256('2024:' || CAST(documents.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+      FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id),
+b AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM a),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank
+FROM b LEFT JOIN r USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_topk": TOPK,
     "op2_chat_trees": CHAT,
     "op6_mixing": mixing_sql(),
+    "op13_resample": RESAMPLE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkpairs.llm import chat_trees, lm_score, mixing, packing, page_text, quality_rules, simhash, token_files, topk, toxicity
+from sparkpairs.llm import chat_trees, lm_score, mixing, packing, page_text, quality_rules, resample, simhash, token_files, topk, toxicity
 from sparkpairs.llm.common import crc_fold, table
 
 
@@ -73,6 +73,11 @@ def op10_quality_rules(spark, d):
     return t.select("doc_id", "quality.*").drop("rule")  # which of several rules rejects first depends on their order
 
 
+def op13_resample(spark, d):
+    t = resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return t.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_chat_trees": op2_chat_trees,
@@ -84,4 +89,5 @@ QUERIES = {
     "op8_page_text": op8_page_text,
     "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
+    "op13_resample": op13_resample,
 }
