@@ -113,9 +113,45 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*
 FROM b LEFT JOIN r USING (doc_id)
 """
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def merkle_sql(doc_levels: int = 5, source_levels: int = 3) -> str:
+    """Levels written out one by one: up to 16 to the power of ``doc_levels`` rows a source and as many sources."""
+    def leaf(text: str) -> str:
+        fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(f"coalesce(CAST(octet_length(encode({f})) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+    def level(k: int, name: str) -> str:
+        w = "OVER (PARTITION BY source, pos // 16 ORDER BY pos ROWS BETWEEN"
+        return f"""{name}_{k} AS MATERIALIZED (SELECT *, coalesce(string_agg(h, '') {w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+      coalesce(string_agg(h, '') {w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}n_{k}),
+{name}n_{k + 1} AS (SELECT source, pos // 16 AS pos, CASE WHEN n = 1 THEN 1 ELSE (n + 15) // 16 END AS n,
+      CASE WHEN n = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {name}n_{k} GROUP BY source, pos // 16, n)"""
+
+    steps = [("d", k) for k in range(doc_levels)] + [("s", k) for k in range(source_levels)]
+    out = [_CRC_TABLE, f"""a AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0
+      THEN {leaf(_LOWER.format('text'))} END AS tampered FROM documents, crc_table),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM a),
+dn_0 AS (SELECT source, pos, n, leaf AS h FROM b)""", *[level(k, "d") for k in range(doc_levels)],
+           f"""sub AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+      FROM dn_{doc_levels}),
+sn_0 AS (SELECT 0 AS source, pos, n, subroot AS h FROM sub)""", *[level(k, "s") for k in range(source_levels)],
+           "f_0 AS (SELECT b.*, sub.pos AS spos, subroot, coalesce(tampered, leaf) AS folded, '' AS proof FROM b JOIN sub "
+           "ON b.source IS NOT DISTINCT FROM sub.source)"]
+    for i, (name, k) in enumerate(steps):
+        on = f"t.source IS NOT DISTINCT FROM f.source AND t.pos = f.pos // {16 ** k}" if name == "d" else f"t.pos = f.spos // {16 ** k}"
+        out.append(f"f_{i + 1} AS (SELECT f.* REPLACE (CASE WHEN t.n = 1 THEN folded ELSE sha256(t.l || folded || t.r) END AS folded, "
+                   f"proof || t.l || t.r AS proof) FROM f_{i} f JOIN {name}_{k} t ON {on})")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM f_{len(steps)}, (SELECT h AS root FROM sn_{source_levels})"""
+
+
 ORACLE: dict[str, str] = {
     "op1_topk": TOPK,
     "op2_chat_trees": CHAT,
     "op6_mixing": mixing_sql(),
+    "op11_merkle": merkle_sql(),
     "op13_resample": RESAMPLE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkpairs.llm import chat_trees, lm_score, mixing, packing, page_text, quality_rules, resample, simhash, token_files, topk, toxicity
+from sparkpairs.llm import chat_trees, lm_score, merkle, mixing, packing, page_text, quality_rules, resample, simhash, token_files, topk, toxicity
 from sparkpairs.llm.common import crc_fold, table
 
 
@@ -73,6 +73,12 @@ def op10_quality_rules(spark, d):
     return t.select("doc_id", "quality.*").drop("rule")  # which of several rules rejects first depends on their order
 
 
+def op11_merkle(spark, d):
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    text = F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return merkle.proofs(table(spark, d, "documents"), {"text": text}).withColumnRenamed("id", "doc_id")
+
+
 def op13_resample(spark, d):
     t = resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return t.select("doc_id", "n_features", "weight", "score", "rank")
@@ -89,5 +95,6 @@ QUERIES = {
     "op8_page_text": op8_page_text,
     "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle": op11_merkle,
     "op13_resample": op13_resample,
 }
