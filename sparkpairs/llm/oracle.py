@@ -148,10 +148,31 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS fol
 FROM f_{len(steps)}, (SELECT h AS root FROM sn_{source_levels})"""
 
 
+#: Two similar sets share a shingle among the first fifth (and one) of their rarest ones, so only those are joined.
+NEAR_COPIES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER.format('text')}, ''), '{WORDS}') AS w FROM documents),
+t AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+      FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w), 2))) AS i) WHERE len(w) > 0),
+f AS (SELECT s, count(*) AS df FROM t GROUP BY s),
+o AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS nth, count(*) OVER (PARTITION BY doc_id) AS n FROM t JOIN f USING (s)),
+x AS (SELECT * FROM o WHERE 100 * (nth - 1) <= 20 * n),
+c AS (SELECT DISTINCT a.doc_id AS p, b.doc_id AS q, a.n AS np, b.n AS nq FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id
+      AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+j AS (SELECT p, q FROM c JOIN t a ON a.doc_id = p JOIN t b ON b.doc_id = q AND a.s = b.s GROUP BY p, q, np, nq
+      HAVING 100 * count(*) >= 80 * (np + nq - count(*))),
+e AS (SELECT p, q FROM j UNION ALL SELECT q, p FROM j),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, e.q FROM r JOIN e ON r.reach = e.p),
+m AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node),
+k AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_topk": TOPK,
     "op2_chat_trees": CHAT,
     "op6_mixing": mixing_sql(),
     "op11_merkle": merkle_sql(),
+    "op12_near_copies": NEAR_COPIES,
     "op13_resample": RESAMPLE,
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkpairs.llm import chat_trees, lm_score, merkle, mixing, packing, page_text, quality_rules, resample, simhash, token_files, topk, toxicity
+from sparkpairs.llm import (
+    chat_trees, chosen_path, lm_score, merkle, mixing, packing, page_text, quality_rules, resample, simhash, token_files, topk, toxicity,
+)
 from sparkpairs.llm.common import crc_fold, table
 
 
@@ -79,6 +81,10 @@ def op11_merkle(spark, d):
     return merkle.proofs(table(spark, d, "documents"), {"text": text}).withColumnRenamed("id", "doc_id")
 
 
+def op12_near_copies(spark, d):
+    return chosen_path.link(table(spark, d, "documents"))
+
+
 def op13_resample(spark, d):
     t = resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return t.select("doc_id", "n_features", "weight", "score", "rank")
@@ -96,5 +102,6 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle": op11_merkle,
+    "op12_near_copies": op12_near_copies,
     "op13_resample": op13_resample,
 }
