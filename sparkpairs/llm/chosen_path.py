@@ -52,6 +52,8 @@ BLOCK = 256
 ANCHORS = 16
 ROUNDS = 4          # rounds that check each node's nearest candidate before all the rest is checked
 BROADCAST_IDS = 1 << 20
+#: Bytes of text whose sets are held at a time.
+SLICE = 2 << 20
 #: Sketch places that may differ: those of a similarity of 0.6, 4.5 deviations below 0.8 at 128 tokens.
 SLACK = 0.2
 
@@ -82,7 +84,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     import xxhash
 
-    for part in slices(plain(texts)):
+    for part in slices(plain(texts), SLICE):
         flat = FlatWords(pc.ascii_lower(part))
         words = np.fromiter(map(xxhash.xxh64_intdigest, flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))[flat.codes]
         off = flat.offsets
@@ -387,14 +389,14 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str,
     if not need.where("id IS NULL").isEmpty():
         texts = texts.unionByName(x.where("doc IS NULL"))
 
-    @F.arrow_udf("digest string, hashes binary")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for arr in batches:
-            got = [s.tobytes() for s in shingle_sets(arr, width)]
-            yield pa.StructArray.from_arrays([pa.array(list(map(xxhash.xxh128_hexdigest, got)), pa.string()), pa.array(got, pa.binary())],
-                                             ["digest", "hashes"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(plain(b.column(0)), SLICE):
+                got = [s.tobytes() for s in shingle_sets(part, width)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(xxhash.xxh128_hexdigest, got)), pa.string()), pa.array(got, pa.binary())],
+                                                 names=["digest", "hashes"])
 
-    made = texts.select(run(F.col("t")).alias("s")).select("s.digest", "s.hashes")
+    made = texts.select("t").mapInArrow(run, "digest string, hashes binary")
     of = need.select("node", F.col("digest").alias("d"))
     return materialize(made.join(of, F.col("digest") == F.col("d")).groupBy("node").agg(F.first("hashes").alias("hashes")))
 
