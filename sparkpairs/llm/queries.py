@@ -55,7 +55,8 @@ def op6_mixing(spark, d):
 def op7_token_files(spark, d):
     path = token_files.scratch(spark)
     token_files.write_tokens(table(spark, d, "documents"), path)
-    t = token_files.positions(token_files.with_crc(token_files.read_tokens(spark, path)))
+    files = token_files.read_tokens(spark, path)
+    t = token_files.positions(token_files.with_crc(files), files)
     return t.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

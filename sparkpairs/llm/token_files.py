@@ -5,11 +5,14 @@ as one Parquet file per partition: ``ids`` is a list column with dictionary
 encoding (or delta encoding, ``encoding="delta"``: the version-2 writer without
 dictionary), row groups and pages have set sizes, and the writer's page indexes
 let a reader fetch the ids or the metadata of a few documents only
-(``read_documents``). Files sort by name in ascending doc_id order, nulls first.
+(``read_documents``). Files sort by name in ascending doc_id order, nulls first;
+``offset`` is the number of ids before a document in its file, so a document's
+place in the whole token stream is that and the ids of the files before.
 
 Edge cases: a null or empty text is the end id alone; repeated doc_ids follow
-each other by text hash; rows without doc_id come first; an empty table gives
-an empty result; other columns are not written.
+each other by text hash; rows without doc_id come first; texts of any length are
+one list (encoded a slice of texts at a time); an empty table gives an empty
+result; other columns are not written.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-FILE_SCHEMA = "shard int, doc_id bigint, n_tokens bigint, ids array<int>"
+FILE_SCHEMA = "shard int, offset bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID,
@@ -42,6 +45,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        before = 0  # a partition is a file
         for b in batches:
             at = 0
             for part in slices(plain(b.column("t"))):
@@ -51,9 +55,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
                 off = off + np.arange(n + 1)
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(data))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("shard").slice(at, n), b.column("id").slice(at, n), pa.array(np.diff(off)), lists],
-                    names=["shard", "doc_id", "n_tokens", "ids"])
+                    [b.column("shard").slice(at, n), pa.array(before + off[:-1]), b.column("id").slice(at, n), pa.array(np.diff(off)), lists],
+                    names=["shard", "offset", "doc_id", "n_tokens", "ids"])
                 at += n
+                before += int(off[-1])
 
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -82,32 +87,30 @@ def read_documents(spark: SparkSession, path: str, first: int, last: int, ids: b
 
 
 def with_crc(tokens: DataFrame) -> DataFrame:
-    """``shard, doc_id, n_tokens, ids_crc32`` computed from the ids in the files."""
+    """``shard, offset, doc_id, n_tokens, ids_crc32`` computed from the ids in the files."""
     import zlib
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("ids")
             off = np.asarray(ids.offsets).astype(np.int64)
-            data = memoryview(np.asarray(ids.values).astype("<u4").tobytes())
+            data = memoryview(np.asarray(ids.values).astype("<u4", copy=False)).cast("B")
             crc = [zlib.crc32(data[4 * x:4 * y]) for x, y in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), pa.array(np.diff(off)), pa.array(crc, pa.int64())],
-                                             names=["shard", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("offset"), b.column("doc_id"), pa.array(np.diff(off)), pa.array(crc, pa.int64())],
+                                             names=["shard", "offset", "doc_id", "n_tokens", "ids_crc32"])
 
-    return tokens.select("shard", "doc_id", "ids").mapInArrow(digest, "shard int, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    return tokens.select("shard", "offset", "doc_id", "ids").mapInArrow(
+        digest, "shard int, offset bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def positions(rows: DataFrame) -> DataFrame:
-    """``start`` of each document: the ids of all documents before it.
+def positions(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``rows`` (with ``shard`` and ``offset``) with ``start``: the ids of all documents before each.
 
-    One row per file is summed over all files; inside a file (of a bounded
-    size) its documents are summed in order."""
-    order = [F.asc_nulls_first("doc_id"), F.asc("ids_crc32")]
-    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    ``tokens``: the files; only their token counts are read, added up to one row per file."""
+    shards = tokens.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = shards.select(F.col("shard").alias("s"), (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    return rows.withColumn("inside", inside).join(before, F.col("shard") == F.col("s")) \
-        .withColumn("start", F.col("before") + F.col("inside")).drop("s", "before", "inside", "shard")
+    return rows.join(before, F.col("shard") == F.col("s")).withColumn("start", F.col("before") + F.col("offset")) \
+        .drop("s", "before", "shard", "offset")
 
 
 def scratch(spark: SparkSession) -> str:

@@ -9,7 +9,6 @@ are gathered for all words with numpy.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +20,7 @@ from sparkpairs.llm.common import FlatWords, plain
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 600_000  # words kept per Python worker; beyond it the cache starts anew
 CHUNK = 256            # words encoded as one text
-_LETTERS = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+MARKS = ".,;:!?"
 
 
 @lru_cache(maxsize=2)
@@ -74,17 +73,15 @@ class Encoder:
         missing = [i for i, x in enumerate(found) if x is None]
         if not missing:
             return found
-        split = {i: m.groups() for i in missing if (m := _LETTERS.fullmatch(words[i]))}
-        stems = [x for x in {s for s, _ in split.values()} if x not in cache]
-        cache.update(zip(stems, self._letters(stems), strict=True))
-        rest = [x for x in {words[i] for i in missing if i not in split} | {m for _, m in split.values()} if x not in cache]
+        # a word of letters and closing marks is two pieces: its letters and its marks
+        stems = [s if (s := words[i].rstrip(MARKS)).isalpha() else "" for i in missing]
+        letters = [s for s in set(stems) if s not in cache]
+        cache.update(zip(letters, self._letters(letters), strict=True))
+        ends = [words[i][len(s):] for i, s in zip(missing, stems, strict=True)]
+        rest = [x for x in set(ends) if x not in cache]
         cache.update(zip(rest, self._whole(rest), strict=True))
-        for i in missing:
-            if i in split:
-                stem, marks = split[i]
-                found[i] = cache[stem] + cache[marks]
-            else:
-                found[i] = cache[words[i]]
+        for i, s, x in zip(missing, stems, ends, strict=True):
+            found[i] = cache[s] + cache[x]
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
