@@ -12,11 +12,15 @@ texts a backslash is doubled and every control string (``<s>``, ``</s>``,
 ``[INST]``, ``[/INST]``) gets a backslash after its first character, so marks
 are found by plain splitting and texts come back unchanged (``turns``).
 
-Edge cases: a null role or text is empty; a parent that is null, unknown or not
-smaller than its node makes the node a root; rows of one node id in one tree are
+Ids need not grow from parent to reply. Nodes that reply to themselves in a circle
+have no root: the doubled jumps that have not ended after as many steps as there are
+nodes show them, and of each circle the smallest node becomes a root.
+
+Edge cases: a null role or text is empty; a parent that is null, unknown or the node
+itself makes the node a root; rows of one node id in one tree are
 one node (the smallest by parent, role, text, score); null scores count 0; null
-tree ids form one tree; rows without node id are left out; an empty table gives
-an empty result; other columns are ignored.
+tree ids form one tree; rows without node id are left out; texts of any length are
+joined to their path whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,13 +52,37 @@ def threads(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataF
                        F.lit(0.0).alias("score"))
 
 
+def _parents(ids: DataFrame) -> DataFrame:
+    """``tree_id, node_id, up_id`` of every node with a known parent; circles are cut at their smallest node."""
+    known = ids.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"))
+    same = F.col("tree_id").eqNullSafe(F.col("t"))
+    edges = materialize(ids.where("parent_id <> node_id").join(known, same & (F.col("parent_id") == F.col("n")), "left_semi")
+                        .select("tree_id", "node_id", F.col("parent_id").alias("up_id")))
+    if edges.where("up_id > node_id").isEmpty():
+        return edges  # ids grow: there is no circle
+    most = edges.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    # up: 2**k steps above, least: the smallest node on the way; what still has a node above it after more steps
+    # than its tree has nodes is on a circle or above one's branch
+    jump, step = edges.withColumn("least", F.least("node_id", "up_id")), 1
+    while step <= most:
+        j = jump.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up_id").alias("up2"), F.col("least").alias("least2"))
+        jump = materialize(jump.join(j, same & (F.col("up_id") == F.col("n")))
+                           .select("tree_id", "node_id", F.col("up2").alias("up_id"), F.least("least", "least2").alias("least")))
+        if jump.isEmpty():
+            return edges
+        step *= 2
+    # a node's way has gone round its circle at least once, from wherever it began: what it ends on is on the circle
+    ends = jump.select(F.col("tree_id").alias("t"), F.col("up_id").alias("n")).distinct()
+    on_circle = jump.join(ends, same & (F.col("node_id") == F.col("n")), "left_semi")
+    cut = on_circle.where("node_id = least").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"))
+    return materialize(edges.join(cut, same & (F.col("node_id") == F.col("n")), "left_anti"))
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """``tree_id, leaf_id, node_id, up`` of every root-to-leaf path (``up``: steps above the leaf)."""
     ids = nodes.select("tree_id", "node_id", "parent_id")
-    known = ids.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"))
     same = F.col("tree_id").eqNullSafe(F.col("t"))
-    jump = materialize(ids.where("parent_id < node_id").join(known, same & (F.col("parent_id") == F.col("n")), "left_semi")
-                       .select("tree_id", "node_id", F.col("parent_id").alias("up_id")))
+    jump = _parents(ids)
     parents = jump.select(F.col("tree_id").alias("t"), F.col("up_id").alias("n")).distinct()
     reached = (ids.join(parents, same & (F.col("node_id") == F.col("n")), "left_anti")
                .select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("bigint").alias("up")))
