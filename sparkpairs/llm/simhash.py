@@ -205,17 +205,17 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int =
 
     Rows without doc_id or with one that others share are told apart by their text: of those that
     stand for a component the one with the smallest text hash stays."""
+    row, gone_id, fp = free_name(docs, "_row"), free_name(docs, "_gone"), free_name(docs, "_fp")
     linked, of_fp = _link(docs, "doc_id", "text", width, max_bits)
     comp = materialize(linked)
-    gone = comp.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    again = comp.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_gone"))
+    gone = comp.where("doc_id != component_id").select(F.col("doc_id").alias(gone_id))
+    again = comp.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(gone_id))
     again = materialize(again)
     if again.isEmpty():  # ids are unique, as a rule: no text is grouped
-        return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
-    row, fp = free_name(docs, "_row"), free_name(docs, "_fp")
-    kept = docs.where("doc_id IS NOT NULL").join(gone.unionAll(again).distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
-    shared = docs.join(again, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_semi")
-    marked = fingerprints(shared, "text", width, fp).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(fp).alias("_of"))
-    one = (marked.join(of_fp, F.col("_of") == F.col("rep_fp")).where(F.col(f"{row}.doc_id").eqNullSafe(F.col("component_id")))
-           .groupBy("root").agg(F.min_by(row, F.xxhash64(f"{row}.text")).alias(row)))
+        return docs.join(gone.distinct(), F.col("doc_id") == F.col(gone_id), "left_anti")
+    kept = docs.where("doc_id IS NOT NULL").join(gone.unionAll(again).distinct(), F.col("doc_id") == F.col(gone_id), "left_anti")
+    shared = docs.join(again, F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_semi")
+    marked = fingerprints(shared, "text", width, fp).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(fp).alias("f"))
+    one = (marked.join(of_fp, F.col("f") == F.col("rep_fp")).where(F.col("r.doc_id").eqNullSafe(F.col("component_id")))
+           .groupBy("root").agg(F.min_by("r", F.xxhash64("r.text")).alias(row)))
     return kept.unionAll(one.select(f"{row}.*"))
