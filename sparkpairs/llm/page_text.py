@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkpairs.llm.common import plain, slices
+from sparkpairs.llm.common import free_name, plain, slices
 from sparkpairs.session import materialize
 
 LEAST_SHARE = 0.1
@@ -471,13 +471,14 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", out:
     """``pages`` with the main text of each in ``out`` (a column of that name is replaced)."""
     winners = materialize(winning_paths(pages, html_col, url_col))
     few = winners.count() <= BROADCAST_ROWS
-    w = winners.select(F.col("host").alias("_host"), F.col("paths").alias("_paths"))
+    h, host, chosen_paths = (free_name(pages, x) for x in ("_h", "_host", "_paths"))
+    w = winners.select(F.col("host").alias(host), F.col("paths").alias(chosen_paths))
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for source, paths in batches:
-            chosen = paths.to_pylist()
-            yield pa.array([main_text(x, chosen[i]) for i, x in enumerate(plain(source).to_pylist())], pa.string())
+            chosen = iter(paths.to_pylist())
+            yield pa.array([main_text(x, next(chosen)) for part in slices(plain(source)) for x in part.to_pylist()], pa.string())
 
-    joined = pages.withColumn("_h", _host(F.col(url_col))).join(F.broadcast(w) if few else w, F.col("_h") == F.col("_host"), "left")
-    return joined.withColumn(out, texts(F.col(html_col), F.col("_paths"))).drop("_h", "_host", "_paths")
+    joined = pages.withColumn(h, _host(F.col(url_col))).join(F.broadcast(w) if few else w, F.col(h) == F.col(host), "left")
+    return joined.withColumn(out, texts(F.col(html_col), F.col(chosen_paths))).drop(h, host, chosen_paths)
