@@ -110,6 +110,17 @@ def test_reply_tree_paths_rank_and_round_trip(spark):
     assert len(inside) == 1 and re.sub(r"\\(\\?)", r"\1", inside[0]) == nasty
 
 
+def test_reply_trees_of_any_ids_and_circles(spark):
+    """Parents may have larger ids; a circle is cut at its smallest node."""
+    edges = [(1, 10, None), (1, 3, 10), (1, 5, 3), (1, 7, 3), (2, 4, 9), (2, 9, 6), (2, 6, 4), (2, 20, 9), (2, 1, 20), (3, 8, 8), (4, 2, 5), (4, 5, 2),
+             (5, 1, 2), (5, 2, 77)]
+    nodes = spark.createDataFrame([(t, n, p, "user", str(n), 0.0) for t, n, p in edges],
+                                  "tree_id int, node_id bigint, parent_id bigint, role string, text string, score double")
+    out = chat_trees.format_trees(nodes, branches=9).withColumn("turns", chat_trees.turns(F.col("formatted"))).collect()
+    got = sorted((r.tree_id, [int(t.text) for t in r.turns]) for r in out)
+    assert got == [(1, [10, 3, 5]), (1, [10, 3, 7]), (2, [4, 6, 9, 20, 1]), (3, [8]), (4, [2, 5]), (5, [2, 1])]
+
+
 def test_chat_query_by_hand(spark):
     rows = defaultdict(list)
     for r in spark.read.parquet(f"{SMALL}/conversations.parquet").orderBy("conv_id", "turn").collect():
@@ -234,6 +245,28 @@ def test_token_files_read_back(spark, texts, odd, none, tmp_out):
     assert token_files.read_tokens(spark, f"{tmp_out}/none").count() == 0
 
 
+def test_starts_follow_the_order_of_the_files(spark, tmp_out):
+    """Rows of one id too: a document starts where the files put it."""
+    same = spark.createDataFrame([(i // 8, "word " * (i % 8 + 1) + str(i), "x") for i in range(40)] + [(None, "none", "y")],
+                                 "doc_id bigint, text string, shard string")
+    token_files.write_tokens(same, f"{tmp_out}/t", shards=3)
+    files = token_files.read_tokens(spark, f"{tmp_out}/t")
+    at, want = 0, []
+    for name in sorted(r.f for r in files.select(F.col("_metadata.file_name").alias("f")).distinct().collect()):
+        for r in files.where(F.col("_metadata.file_name") == name).coalesce(1).collect():
+            want.append((r.doc_id, at, len(r.ids), crc(r.ids)))
+            at += len(r.ids)
+    got = token_files.positions(token_files.with_crc(files), files).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.start, r.n_tokens, r.ids_crc32)) for r in got)
+    assert [x[0] for x in want] == sorted((x[0] for x in want), key=lambda d: (d is not None, d or 0))
+
+
+def test_words_with_marks_encode_like_the_tokenizer():
+    words = ["x-", "x-.", "don't", "don't,", "...", "ab", "ab...", "ab!?", "12", "12.", "½", "½,", "é.", "e\u0301", "e\u0301,", "_", "_.", "名", "名。", "名."]
+    got = tokens.Encoder().words(words) + tokens.Encoder().words(words[::-1])[::-1]
+    assert [list(np.frombuffer(x, "<u4")) for x in got] == reference_ids(words) * 2
+
+
 # ---------------------------------------------------------------- 5
 def slow_fingerprint(text):
     import xxhash
@@ -288,6 +321,8 @@ def test_one_of_each_group_stays(spark, odd, none):
     assert kept.columns == odd.columns
     comp = slow_components({i: slow_fingerprint(t) for i, t in enumerate(ODD)})
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comp.values()))
+    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("_gone", "_row", "_fp", "_of", "rep_fp", "root", "component_id")])
+    assert simhash.drop_near_duplicates(clash).select(odd.columns).exceptAll(kept).isEmpty()
     twice = simhash.drop_near_duplicates(odd.unionAll(odd))
     assert twice.count() == len(set(comp.values()))
     assert simhash.drop_near_duplicates(none).count() == 0
@@ -345,6 +380,12 @@ def test_page_text_by_hand(spark):
     assert page_text.extract(df.limit(0)).count() == 0
 
 
+def test_page_columns_of_any_name_stay(spark):
+    pages = spark.createDataFrame([(1, "http://h/a", PAGE, "p", "h", "o")], "page_id int, url string, html string, _paths string, _h string, _host string")
+    got = page_text.extract(pages).collect()[0]
+    assert (got._paths, got._h, got._host) == ("p", "h", "o") and got.text
+
+
 def test_pages_give_the_article(spark):
     import html
 
