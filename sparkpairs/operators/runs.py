@@ -1,8 +1,8 @@
 """Training-run and tuning-log analytics (A12-A15, W3-W5, K7 records).
 
 The log is long-form ``(run_id, ts, event_id, metric, value)``. Ordinals and
-running minima use the two-level helpers in ``ordering`` so one very long run
-does not end up in a single task.
+running minima use the helpers in ``ordering``, whose tasks are cut by row counts, so
+neither one very long run nor very many reports at one instant end up in a single task.
 """
 
 from __future__ import annotations
@@ -13,30 +13,27 @@ from pyspark.sql import functions as F
 from sparkpairs.operators.ordering import ordinal_within, running_agg
 from sparkpairs.session import materialize
 
+HISTORY_CHUNK = 10_000
 
 
 def with_steps(log: DataFrame, run_col: str = "run_id", metric_col: str = "metric",
                ts_col: str = "ts", tie_col: str = "event_id") -> DataFrame:
-    """0-based evaluation step per (run, metric) in time order."""
-    # minute buckets, monotone in ts for timestamp and timestamp_ntz alike (no
-    # time-zone conversion, so no reordering around daylight-saving gaps)
-    sub = F.date_trunc("minute", F.col(ts_col))
-    return ordinal_within(log, [run_col, metric_col], [ts_col, tie_col], sub, "step")
+    """0-based evaluation step per (run, metric) in time order (ties by ``tie_col``)."""
+    return ordinal_within(log, [run_col, metric_col], [ts_col, tie_col], "step")
 
 
 def metric_history(log: DataFrame) -> DataFrame:
     """A13 in long form: ``(run_id, metric, step, value)``; ordered by step."""
-    return with_steps(log).select("run_id", "metric", "step", "value")
+    return with_steps(log.select("run_id", "metric", "ts", "event_id", "value")).select("run_id", "metric", "step", "value")
 
 
-def metric_history_arrays(log: DataFrame) -> DataFrame:
+def metric_history_arrays(log: DataFrame, chunk: int = HISTORY_CHUNK) -> DataFrame:
     """A13 in the original shape: per run and metric, the values in step order.
 
-    One array per (run, metric): its length is the number of reports of one
-    training run (bounded by its evaluation schedule), never the log size.
-    """
-    steps = with_steps(log)
-    return steps.groupBy("run_id", "metric").agg(
+    Arrays hold ``chunk`` values at most; ``first_step`` is the step of an array's first value. A run with
+    up to ``chunk`` reports has one array, a longer one several, so no task gathers a whole run."""
+    steps = metric_history(log).withColumn("first_step", F.floor(F.col("step") / chunk).cast("bigint") * chunk)
+    return steps.groupBy("run_id", "metric", "first_step").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"]).alias("values"))
 
 

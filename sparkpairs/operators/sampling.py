@@ -1,18 +1,18 @@
 """Shuffles, exact-size splits, subsamples and samples.
 
 A global permutation is ``ORDER BY md5(seed:key), key``. Exact positions in it
-are computed without an unpartitioned window or a sort into one task:
-
-1. identical rows are collapsed to ``(row, copies)`` with a hash aggregate
-   (map-side partial counts, so a group of copies never travels whole);
-2. rows are bucketed by the first hex digits of the digest (uniform by
-   construction; at most ``16**bucket_hex`` buckets per partition value);
-3. one window per bucket gives each row its start inside the bucket; that
-   table is checkpointed (the input is computed once); bucket sizes are
-   prefix-summed (a table of bounded size) and each row's position is its
-   bucket offset plus its start in the bucket;
-4. collapsed rows are expanded again; very large copy groups are split into
-   chunks and spread across tasks before expansion.
+are computed without an unpartitioned window or a sort into one task, and text is
+moved once:
+
+1. the rows are materialised with their digest, so the input (however expensive
+   upstream) is computed once;
+2. digest prefixes are counted (a table of bounded size: ``16**PREFIX_HEX`` rows per
+   partition value) and laid out over the tasks in the order of the permutation;
+3. each row goes to the task of its prefix, is sorted there, and its position is the
+   task's first position plus its place in the task.
+
+A prefix that holds far more than a task's share (a group of copies) cannot be laid
+out; then the rows are range-partitioned by digest and row number, which cuts copies too.
 
 Splits, subsamples and samples need only the first rows of that order. They
 find the digest at the cut by counting digest prefixes and then keep rows by a
@@ -21,19 +21,19 @@ predicate on their own digest: no row is moved, sorted or checkpointed.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkpairs.operators.ordering import join_null_safe
+from sparkpairs.functions.names import free_names
 from sparkpairs.functions.rand import digest
+from sparkpairs.operators.ordering import join_null_safe, numbered
 from sparkpairs.session import materialize, plan_barrier
 
-RANK_BUCKET_HEX = 5          # up to 1,048,576 buckets per partition value
-BROADCAST_PARTS = 4          # offsets of up to so many partition values are broadcast (about 4 million short rows)
-COPY_CHUNK = 1 << 20         # copies expanded per task for hot duplicate groups
+PREFIX_HEX = 4               # 65,536 prefixes per partition value
+BROADCAST_PREFIXES = 1 << 20  # rows of the layout that are broadcast; beyond, it is joined by its keys
+HOT_SHARE = 4                # a prefix of more than so many shares of a task is cut by row numbers
 CUT_LEVELS = (4, 8, 32)      # digest prefixes counted in turn; the last is the whole digest
 CUT_ROWS = 16 ** CUT_LEVELS[0]  # a prefix with no more rows goes straight to whole digests
 MAX_CUTS = 64                # partition values whose cuts become plan literals; beyond, rows are ranked
@@ -45,89 +45,55 @@ def shuffle_key(df: DataFrame, seed: int, key_cols: list[str]) -> Column:
 
 def shuffle_rank(df: DataFrame, seed: int = 42, key_cols: list[str] | None = None,
                  partition_cols: list[str] | tuple = (), rank_col: str = "rank",
-                 size_col: str | None = None, bucket_hex: int = RANK_BUCKET_HEX) -> DataFrame:
+                 size_col: str | None = None, hot_share: float = HOT_SHARE) -> DataFrame:
     """O1: add the 0-based position of every row in the seeded permutation.
 
-    ``partition_cols`` ranks independently per value (e.g. per split). The
-    offsets have at most ``16**bucket_hex`` rows per value; they are broadcast when the
-    checkpoint pass saw at most ``BROADCAST_PARTS`` values. ``size_col`` optionally adds the partition's row count.
-
-    The collapsed rows with their in-bucket start are checkpointed once: the
-    offsets, the join and the copy expansion all read that table, so the input
-    (however expensive upstream) is computed exactly once.
-    """
+    ``partition_cols`` ranks independently per value (e.g. per split). ``size_col`` optionally adds the
+    partition's row count. The rows come out in order: by partition value and position, from task to task."""
     cols = df.columns
     part = list(partition_cols)
     keys = list(key_cols) if key_cols else [c for c in cols if c not in part]
     rest = [c for c in cols if c not in part and c not in keys]  # rows of equal keys keep one order in every run
-    grouped = (
-        df.withColumn("_h", shuffle_key(df, seed, keys))
-        .groupBy(*cols, "_h")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", F.coalesce(F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"), F.lit(0)))
-    )
-    w_in = Window.partitionBy(*part, "_b").orderBy("_h", *keys, *rest).rowsBetween(Window.unboundedPreceding, -1)
-    # the largest copy group is observed during the checkpoint pass itself
-    copies = Observation(f"sparkpairs_copies_{uuid.uuid4().hex[:12]}")
-    local = materialize(grouped.withColumn("_ls", F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
-                        .observe(copies, F.max("_c").alias("max_copies"),
-                                 F.approx_count_distinct(F.xxhash64(*part) if part else F.lit(0)).alias("parts")))
-    seen = copies.get or {}
-    max_copies, parts = seen.get("max_copies") or 0, seen.get("parts") or 0
-    per_bucket = local.groupBy(*part, "_b").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*part).orderBy("_b")
-    offsets = per_bucket.select(
-        *part, "_b",
-        F.coalesce(F.sum("_bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_bc").over(Window.partitionBy(*part)).alias("_n"),
-    )
-    if parts <= BROADCAST_PARTS:
-        offsets = F.broadcast(offsets)
-    placed = join_null_safe(local, offsets, [*part, "_b"]).withColumn("_start", F.col("_off") + F.col("_ls"))
-    out = _expand_copies(placed, hot=max_copies > COPY_CHUNK)
-    out = out.withColumn(rank_col, (F.col("_start") + F.col("_i")).cast("bigint"))
-    keep = cols + [rank_col] + ([size_col] if size_col else [])
-    if size_col:
-        out = out.withColumn(size_col, F.col("_n").cast("bigint"))
-    return out.select(*keep)
-
-
-def _expand_copies(placed: DataFrame, hot: bool = True) -> DataFrame:
-    """Re-create ``_c`` copies of each collapsed row with ``_i`` = 0.._c-1.
-
-    Groups above ``COPY_CHUNK`` copies (``hot``) are cut into chunks that are
-    spread across tasks before expansion; without such groups the extra branch
-    is not planned at all.
-    """
-    if not hot:
-        return placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_c") - 1)))
-    small = placed.filter(F.col("_c") <= COPY_CHUNK).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_c") - 1)))
-    big = (
-        placed.filter(F.col("_c") > COPY_CHUNK)
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / COPY_CHUNK))))
-        .repartition("_h", "_chunk")
-        .withColumn("_i", F.explode(F.sequence(
-            F.col("_chunk") * COPY_CHUNK,
-            F.least(F.col("_c"), (F.col("_chunk") + 1) * COPY_CHUNK) - 1)))
-        .drop("_chunk")
-    )
-    # The barrier keeps later projections (e.g. a long per-row chain) from
-    # being pushed into, and planned twice for, both branches of the union.
-    return plan_barrier(small.unionByName(big), "expand")
-
-
-def shuffle(df: DataFrame, seed: int = 42, key_cols: list[str] | None = None,
-            partition_cols: list[str] | tuple = ()) -> DataFrame:
-    """O1 as a stored order: rows ranked, range-partitioned and sorted by rank."""
-    ranked = shuffle_rank(df, seed, key_cols, partition_cols)
-    return ranked.repartitionByRange(*partition_cols, "rank").sortWithinPartitions(*partition_cols, "rank")
-
-
-def _same(part: list[str], row: Row) -> Column:
+    h, prefix, count, before, n, first, task, at, all_before = free_names(
+        df, "_digest", "_prefix", "_count", "_before", "_n", "_first", "_task", "_at", "_all",
+        taken=(rank_col, size_col or rank_col))
+    size = size_col or n
+    rows = materialize(df.withColumn(h, shuffle_key(df, seed, keys)))
+    counts = materialize(rows.groupBy(*part, F.substring(h, 1, PREFIX_HEX).alias(prefix)).agg(F.count(F.lit(1)).alias(count)))
+    prefixes, most, total = counts.agg(F.count(F.lit(1)), F.max(count), F.sum(count)).first()
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, -(-(total or 0) // tasks))
+    by_key = [F.asc_nulls_first(h), *[F.asc_nulls_first(c) for c in keys + rest]]
+    keep = [*cols, rank_col, *([size_col] if size_col else [])]
+    if (most or 0) > hot_share * share + 1:
+        row_no = F.monotonically_increasing_id()
+        (salt,) = free_names(rows, "_row")
+        cut = numbered(rows.withColumn(salt, row_no), [F.asc(h), F.asc(salt)], rank_col, part, size)
+        return cut.select(*keep)
+    w = Window.partitionBy(*(part or [F.lit(0)]))
+    layout = counts.select(*part, prefix, count, (F.sum(count).over(w.orderBy(prefix)) - F.col(count)).alias(before),
+                           F.sum(count).over(w).alias(size))
+    if part:  # partition values follow each other: one row per value
+        values = counts.groupBy(*part).agg(F.sum(count).alias(count))
+        so_far = F.sum(count).over(Window.orderBy(*[F.asc_nulls_first(c) for c in part]))
+        layout = join_null_safe(layout, values.select(*part, (so_far - F.col(count)).alias(all_before)), part)
+    else:
+        layout = layout.withColumn(all_before, F.lit(0).cast("bigint"))
+    start = F.col(all_before) + F.col(before)
+    layout = layout.withColumn(task, F.least(F.floor(start / share), F.lit(tasks - 1)).cast("int"))
+    layout = layout.select(*part, prefix, task, (F.min(start).over(Window.partitionBy(task)) - F.col(all_before)).alias(first), size)
+    if prefixes <= BROADCAST_PREFIXES:
+        layout = F.broadcast(layout)
+    placed = join_null_safe(rows.withColumn(prefix, F.substring(h, 1, PREFIX_HEX)), layout, [*part, prefix])
+    ordered = (placed.repartitionById(tasks, F.col(task)).sortWithinPartitions(*[F.asc_nulls_first(c) for c in part], *by_key)
+               .withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    return ordered.withColumn(rank_col, (F.col(first) + F.col(at)).cast("bigint")).select(*keep)
+
+
+def _same(part: list[str], values: list) -> Column:
     on = F.lit(True)
-    for c in part:
-        on = on & F.col(c).eqNullSafe(F.lit(row[c]))
+    for c, v in zip(part, values, strict=True):
+        on = on & F.col(c).eqNullSafe(F.lit(v))
     return on
 
 
@@ -138,37 +104,39 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def _per_part(part: list[str], rows: list[Row], value: Callable[[Row], Column], default: Column) -> Column:
+def _per_part(part: list[str], rows: list[dict], value: Callable[[dict], Column], default: Column) -> Column:
     out = default
     for r in rows:
-        out = F.when(_same(part, r), value(r)).otherwise(out)
+        out = F.when(_same(part, r["part"]), value(r)).otherwise(out)
     return out
 
 
-def _cuts(digests: DataFrame, part: list[str], first: Callable[[Column], Column]) -> list[Row] | None:
-    """Per partition value the digest at position ``first(n)`` of the order: ``_p``, its copies ``_c`` and how many
-    of them lie before the position (``_left``). Values that are kept whole have no row; ``None`` beyond MAX_CUTS values.
+def _cuts(digests: DataFrame, part: list[str], h: str, first: Callable[[Column], Column]) -> list[dict] | None:
+    """Per partition value (``part``, a list) the digest ``p`` at position ``first(n)`` of the order, its ``copies``
+    and how many of them lie before the position (``left``). Values that are kept whole have none; ``None`` beyond
+    MAX_CUTS values.
 
     Each level counts digest prefixes (map-side combined) inside the prefix found before it; at most
     ``16**4`` of them per value reach the prefix sum, whatever the number of rows.
     """
-    cuts: list[Row] = []
+    names = [f"k{i}" for i in range(len(part))]
+    x = digests.select(*[F.col(c).alias(k) for c, k in zip(part, names, strict=True)], F.col(h).alias("h"))
+    w = Window.partitionBy(*(names or [F.lit(0)]))
+    cuts: list[dict] = []
     for level, length in enumerate(CUT_LEVELS):
-        if level == 0:
-            x = digests
-        elif length < CUT_LEVELS[-1] and max(r["_c"] for r in cuts) <= CUT_ROWS:
-            continue
-        else:
-            x = digests.filter(_any([_same(part, r) & F.col("_h").startswith(r["_p"]) for r in cuts]))
-        w = Window.partitionBy(*part)
-        counts = x.groupBy(*part, F.substring("_h", 1, length).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).select(
-            "*", F.sum("_c").over(w).alias("_n"),
-            F.coalesce(F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-        k = first(F.col("_n")) if level == 0 else _per_part(part, cuts, lambda r: F.lit(r["_left"]), F.lit(None))
-        at = counts.withColumn("_left", k.cast("bigint") - F.col("_off")).filter("_left >= 0 AND _left < _c")
-        cuts = at.select(*part, "_p", "_c", "_left").limit(MAX_CUTS + 1).collect()
-        if len(cuts) > MAX_CUTS:
+        inside = x
+        if level:
+            if length < CUT_LEVELS[-1] and max(r["copies"] for r in cuts) <= CUT_ROWS:
+                continue
+            inside = x.filter(_any([_same(names, r["part"]) & F.col("h").startswith(r["p"]) for r in cuts]))
+        counts = inside.groupBy(*names, F.substring("h", 1, length).alias("p")).agg(F.count(F.lit(1)).alias("copies")).select(
+            "*", F.sum("copies").over(w).alias("n"), (F.sum("copies").over(w.orderBy("p")) - F.col("copies")).alias("before"))
+        k = first(F.col("n")) if level == 0 else _per_part(names, cuts, lambda r: F.lit(r["left"]), F.lit(None))
+        at = counts.withColumn("left", k.cast("bigint") - F.col("before")).filter("left >= 0 AND left < copies")
+        found = at.limit(MAX_CUTS + 1).collect()
+        if len(found) > MAX_CUTS:
             return None
+        cuts = [{"part": [r[k] for k in names], "p": r["p"], "copies": r["copies"], "left": r["left"]} for r in found]
         if not cuts:
             return []
     return cuts
@@ -183,30 +151,33 @@ def mark_first(df: DataFrame, first: Callable[[Column], Column], seed: int = 42,
     """
     part = list(partition_cols)
     keys = list(key_cols) if key_cols else [c for c in df.columns if c not in part]
-    x = df.withColumn("_h", shuffle_key(df, seed, keys))
-    cuts = _cuts(x.select(*part, "_h"), part, first)
+    h, rank, n = free_names(df, "_digest", "_rank", "_n", taken=(flag_col,))
+    x = df.withColumn(h, shuffle_key(df, seed, keys))
+    cuts = _cuts(x, part, h, first)
     if cuts is None:
-        ranked = shuffle_rank(df, seed, keys, part, rank_col="_rank", size_col="_n")
-        return ranked.withColumn(flag_col, F.col("_rank") < first(F.col("_n"))).drop("_rank", "_n")
-    out = x.withColumn(flag_col, _per_part(part, cuts, lambda r: F.col("_h") < r["_p"], F.lit(True)))
-    tied = [r for r in cuts if r["_left"] > 0]
+        ranked = shuffle_rank(df, seed, keys, part, rank_col=rank, size_col=n)
+        return ranked.withColumn(flag_col, F.col(rank) < first(F.col(n))).drop(rank, n)
+    out = x.withColumn(flag_col, _per_part(part, cuts, lambda r: F.col(h) < r["p"], F.lit(True)))
+    tied = [r for r in cuts if r["left"] > 0]
     if not tied:
-        return out.drop("_h")
-    at_cut = _any([_same(part, r) & (F.col("_h") == r["_p"]) for r in tied])
-    group = shuffle_rank(x.filter(at_cut).drop("_h"), seed, keys, part, rank_col="_rank")
-    group = group.withColumn(flag_col, F.col("_rank") < _per_part(part, tied, lambda r: F.lit(r["_left"]), F.lit(0)))
-    return plan_barrier(out.filter(~at_cut).drop("_h").unionByName(group.drop("_rank")), "cut")
+        return out.drop(h)
+    at_cut = _any([_same(part, r["part"]) & (F.col(h) == r["p"]) for r in tied])
+    group = shuffle_rank(x.filter(at_cut).drop(h), seed, keys, part, rank_col=rank)
+    group = group.withColumn(flag_col, F.col(rank) < _per_part(part, tied, lambda r: F.lit(r["left"]), F.lit(0)))
+    return plan_barrier(out.filter(~at_cut).drop(h).unionByName(group.drop(rank)), "cut")
 
 
 def _first(df: DataFrame, first: Callable[[Column], Column], seed: int, keys: list[str], part: list[str] = ()) -> DataFrame:
-    return mark_first(df, first, seed, keys, part, "_first").filter("_first").drop("_first")
+    (flag,) = free_names(df, "_first")
+    return mark_first(df, first, seed, keys, part, flag).filter(flag).drop(flag)
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.1, seed: int = 42,
                      key_cols: list[str] | None = None, split_col: str = "split") -> DataFrame:
     """First ``ceil(test_size * n)`` rows of the permutation are ``test``."""
-    marked = mark_first(df, lambda n: F.ceil(F.lit(float(test_size)) * n), seed, key_cols, flag_col="_first")
-    return marked.withColumn(split_col, F.when(F.col("_first"), "test").otherwise("train")).drop("_first")
+    (flag,) = free_names(df, "_first")
+    marked = mark_first(df, lambda n: F.ceil(F.lit(float(test_size)) * n), seed, key_cols, flag_col=flag)
+    return marked.withColumn(split_col, F.when(F.col(flag), "test").otherwise("train")).drop(flag)
 
 
 def subsample(df: DataFrame, fraction: float, seed: int = 42, key_cols: list[str] | None = None,
@@ -215,7 +186,7 @@ def subsample(df: DataFrame, fraction: float, seed: int = 42, key_cols: list[str
 
     Only the kept rows are ranked; being the first of the order, they have the ranks of the whole table."""
     if not 0 < fraction <= 1:
-        raise ValueError("Fraction must be between 0 and 1")
+        raise ValueError(f"a share of the rows to keep lies above 0 and is at most 1, not {fraction}")
     part = [split_col] if split_col and split_col in df.columns else []
     keys = key_cols or [c for c in df.columns if c not in part and c != "rank"]
     kept = _first(df.drop("rank"), lambda n: F.ceil(F.lit(float(fraction)) * n), seed, keys, part)
@@ -231,8 +202,9 @@ def pick_position(df: DataFrame, position: int = 10, seed: int = 42,
                   key_cols: list[str] | None = None) -> DataFrame:
     """The row at ``min(position, n-1)`` of the permutation."""
     keys = key_cols or list(df.columns)
-    ranked = shuffle_rank(_first(df, lambda _: F.lit(int(position) + 1), seed, keys), seed, keys, size_col="_n")
-    return ranked.filter(F.col("rank") == F.col("_n") - 1).drop("_n")
+    (n,) = free_names(df, "_n")
+    ranked = shuffle_rank(_first(df, lambda _: F.lit(int(position) + 1), seed, keys), seed, keys, size_col=n)
+    return ranked.filter(F.col("rank") == F.col(n) - 1).drop(n)
 
 
 def first_n(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:

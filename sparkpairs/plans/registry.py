@@ -383,12 +383,12 @@ def _matched(spark, d):
 
 
 def _scored(spark, d):
-    """Scored rows in seeded order; only reports that read ``index`` need it."""
-    return sampling.shuffle_rank(_matched(spark, d), SEED, ["doc_id"], rank_col="index")
+    """Keys and outcomes of the scored rows in seeded order, without their texts."""
+    return sampling.shuffle_rank(_matched(spark, d).select("doc_id", "source", "matches_expected"), SEED, ["doc_id"], rank_col="index")
 
 
 def q_eval_results(spark, d):
-    return evaluation.eval_records(_scored(spark, d))
+    return evaluation.eval_records(sampling.shuffle_rank(_matched(spark, d), SEED, ["doc_id"], rank_col="index"))
 
 
 def q_exact_match(spark, d):
@@ -444,6 +444,11 @@ def q_metric_history(spark, d):
     return runs.metric_history(_log(spark, d))
 
 
+def q_metric_history_arrays(spark, d):
+    a = runs.metric_history_arrays(_log(spark, d), chunk=50)
+    return a.withColumn("values", F.array_join(F.transform("values", lambda v: F.coalesce(r6(v).cast("decimal(38,6)").cast("string"), F.lit(""))), ","))
+
+
 def q_early_stop(spark, d):
     return runs.early_stopping(_log(spark, d), LOSS_METRIC, patience=3, threshold=0.0)
 
@@ -521,6 +526,7 @@ QUERIES = {
     "masked_accuracy": q_masked_accuracy,
     "best_metric": q_best_metric,
     "metric_history": q_metric_history,
+    "metric_history_arrays": q_metric_history_arrays,
     "early_stop": q_early_stop,
     "best_trial": q_best_trial,
     "rung_survivors": q_rung_survivors,

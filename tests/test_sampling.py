@@ -30,12 +30,47 @@ def test_matches_sort_by_digest(spark):
     assert [ranked[x.k] for x in order] == list(range(200))
 
 
-def test_duplicates_expand_exactly(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "COPY_CHUNK", 7)   # exercise the split path for hot copy groups
-    df = frame(spark, 400, copies=3)                # three rows, ~133 copies each
-    r = sampling.shuffle_rank(df, 42).collect()
-    assert sorted(x.rank for x in r) == list(range(400))
-    assert sorted(x.k for x in r) == sorted(i % 3 for i in range(400))
+def test_copies_rank_exactly(spark):
+    df = frame(spark, 400, copies=3)                # three rows, ~133 copies each: laid out, or cut by row numbers
+    for hot_share in (0.1, 100):
+        r = sampling.shuffle_rank(df, 42, hot_share=hot_share).collect()
+        assert sorted(x.rank for x in r) == list(range(400))
+        assert sorted(x.k for x in r) == sorted(i % 3 for i in range(400))
+        assert len({x.k for x in r if x.rank < 133}) <= 2  # copies follow each other
+
+
+def test_ranks_per_value_with_null_values(spark):
+    df = frame(spark, 600).withColumn("split", F.when(F.col("k") < 400, "a").when(F.col("k") < 500, "b"))
+    for hot_share in (0.01, 100):
+        out = sampling.shuffle_rank(df, 1, ["k"], ["split"], size_col="n", hot_share=hot_share).collect()
+        for v, n in (("a", 400), ("b", 100), (None, 100)):
+            assert sorted(r.rank for r in out if r.split == v) == list(range(n)) and {r.n for r in out if r.split == v} == {n}
+
+
+def test_rows_come_out_in_order(spark):
+    df = frame(spark, 900).withColumn("split", F.when(F.col("k") < 400, "a").otherwise("b"))
+    out = sampling.shuffle_rank(df, 1, ["k"], ["split"]).withColumn("p", F.spark_partition_id()).collect()  # collected task by task
+    assert [(r.split, r.rank) for r in out] == sorted((r.split, r.rank) for r in out) and len({r.p for r in out}) > 1
+
+
+def test_text_is_moved_once(spark, tmp_out):
+    frame(spark, 1000).write.parquet(f"{tmp_out}/rows")
+    out = sampling.shuffle_rank(spark.read.parquet(f"{tmp_out}/rows"), 1, ["k"])
+    out.count()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [x for x in plan.splitlines() if "Exchange" in x and "Broadcast" not in x and "Reused" not in x]
+    assert len([x for x in moved if "REPARTITION_BY_NUM" in x]) == 1
+
+
+def test_helper_columns_take_free_names(spark):
+    taken = ["_h", "_b", "_c", "_ls", "_i", "_n", "_off", "_first", "_rank", "_digest", "_prefix", "_count", "_before", "_task", "_at", "_all",
+             "_part", "_rows", "_row", "h", "p", "k0", "copies", "left", "n"]
+    df = frame(spark, 60, copies=20).select("*", *[F.lit(i).alias(c) for i, c in enumerate(taken)])
+    for out in (sampling.sample_n(df, 7, 1, ["k"]), sampling.pick_position(df, 3, 1, ["k"]).drop("rank"), sampling.subsample(df, 0.5, 1, ["k"]).drop("rank"),
+                sampling.train_test_split(df, 0.1, 1, ["k"]).drop("split"), sampling.shuffle_rank(df, 1, ["k"], size_col="size").drop("rank", "size"),
+                sampling.shuffle_rank(df, 1, ["k"], hot_share=0).drop("rank")):
+        assert out.columns == df.columns
+        assert {tuple(r[c] for c in taken) for r in out.collect()} == {tuple(range(len(taken)))}
 
 
 def test_train_test_split_exact(spark):

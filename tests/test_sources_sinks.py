@@ -188,7 +188,7 @@ def test_corpus_folder_reads_back_with_card_and_null_splits(spark, tmp_out):
         writers.write_chat_jsonl(df.drop("split"), f"{tmp_out}/j")
     nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "split string, k int")
     assert shuffle_rank(nulls, 1, ["k"], ["split"]).count() == 4
-    assert ordinal_within(nulls, ["split"], ["k"], F.lit(None).cast("int")).count() == 4
+    assert ordinal_within(nulls, ["split"], ["k"]).count() == 4
     with open(f"{tmp_out}/list.txt", "w") as f:
         f.write("\t \n# no\n\tname \n")
     assert [r.name for r in read_source_list(spark, f"{tmp_out}/list.txt").collect()] == ["name"]

@@ -31,7 +31,9 @@ def test_stream_matches_batch(spark, tmp_out):
 
 def test_entry_contract(spark):
     df = E.entry(spark)
-    assert df.columns == ["split", "doc_id", "chunk_no", "source", "original", "corrected", "n_errors", "applied"]
+    # the flagship is the whole corpus build: error pairs and named corpora, in one order per split
+    assert df.columns == ["split", "source", "original", "corrected", "rank"]
+    assert {r.split for r in df.select("split").distinct().collect()} == {"train", "test"}
     assert df.count() > 0
     assert set(QUERIES) == set(oracle_sql())
     assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
