@@ -57,7 +57,8 @@ def error_pairs(clean: DataFrame, s: CorpusSettings, key_cols=CLEAN_KEYS) -> Dat
 
 
 def merged(pairs_df: DataFrame, s: CorpusSettings) -> DataFrame:
-    """Stage 4: union with adapted corpora per split, then the seeded permutation. The pairs are computed once, by its checkpoint."""
+    """Stage 4: union with adapted corpora per split, then the seeded permutation. The pairs are computed once, by its
+    checkpoint, and come out in order."""
     frames = [pairs_df.select("split", *pairs.PAIR_COLS)] + [f.select("split", *pairs.PAIR_COLS) for f in s.extra_sources]
     out = frames[0]
     for f in frames[1:]:
@@ -66,18 +67,18 @@ def merged(pairs_df: DataFrame, s: CorpusSettings) -> DataFrame:
 
 
 def build_corpus(spark: SparkSession, docs: DataFrame, out_dir: str, s: CorpusSettings | None = None) -> DataFrame:
-    """Run the whole build and write ``out_dir`` (one folder per split, plus a card).
+    """Run the whole build and write ``out_dir`` (one folder per split, files in the shuffled order, a manifest and a card).
 
     With ``subsample`` that share of each split is also written to ``<out_dir>-subset``, with a card."""
     s = s or CorpusSettings()
     final = merged(error_pairs(clean_chunks(docs, s), s), s)
-    writers.write_dataset(final, out_dir)
+    writers.write_ordered(final, out_dir)
     written = spark.read.parquet(out_dir)
     writers.write_dataset_card(written, out_dir, "Text-correction pairs",
                                params={"npara": s.npara, "max_words": s.max_words, "test_size": s.test_size,
                                        "seed": s.seed, "subsample": s.subsample})
     if s.subsample:
         subset = f"{out_dir.rstrip('/')}-subset"
-        writers.write_dataset(sampling.subsample(written, s.subsample, s.seed, pairs.PAIR_COLS, "split"), subset)
+        writers.write_ordered(sampling.subsample(written, s.subsample, s.seed, pairs.PAIR_COLS, "split"), subset)
         writers.copy_dataset_card(spark, out_dir, subset)
     return written

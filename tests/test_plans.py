@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkpairs.functions.constants import EXPORT_FALLBACK_PROMPT, PRODUCTION_ERROR_CONFIG
 from sparkpairs.operators import pairs
+from sparkpairs.operators.sampling import shuffle_key
 from sparkpairs.plans import corpus, evaluate, profile
 from sparkpairs.sources import datasets
 
@@ -24,7 +25,12 @@ def test_build_corpus(spark, tmp_out):
     n_test = sum(r.split == "test" for r in rows)
     import math
     assert n_test == math.ceil(0.1 * n)
-    assert sorted(r["rank"] for r in rows if r.split == "train") == list(range(n - n_test))
+    assert out.columns == ["source", "original", "corrected", "split"]  # the order is in the files, not in a column
+    train = datasets.read_in_order(spark, f"{tmp_out}/pairs", "train").orderBy("rank")
+    assert [r["rank"] for r in train.collect()] == list(range(n - n_test))
+    key = shuffle_key(train, s.seed, pairs.PAIR_COLS)
+    digests = [r.d for r in train.select(key.alias("d")).collect()]
+    assert digests == sorted(digests)
     assert any(r.original != r.corrected for r in rows)
     again = datasets.read_dataset(spark, f"{tmp_out}/pairs", "test")
     assert again.count() == n_test

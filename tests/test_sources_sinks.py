@@ -83,7 +83,7 @@ def test_markdown_tree(spark, tmp_out):
     open(f"{tmp_out}/md/sub/b.md", "w").write("Deep.")
     open(f"{tmp_out}/md/skip.txt", "w").write("no")
     rows = datasets.read_markdown_tree(spark, [f"{tmp_out}/md"]).orderBy("chapter").collect()
-    assert [(r.chapter, r.text) for r in rows] == [("a.md", "Para one.\n\nPara two."), ("b.md", "Deep.")]
+    assert [(r.chapter, r.text) for r in rows] == [("a.md", "Para one.\n\nPara two."), ("sub/b.md", "Deep.")]
     assert {r.source for r in rows} == {f"{tmp_out}/md"}
 
 
@@ -126,6 +126,73 @@ def test_chat_jsonl(spark, tmp_out):
     assert spark.read.json(f"{tmp_out}/chat_export/train.jsonl").count() == 1
 
 
+def test_chat_jsonl_loses_no_row(spark, tmp_out):
+    rows = [("train", "a"), ("test", "b"), ("dev", "c"), (None, "d")]
+    df = spark.createDataFrame(rows, "split string, text string")
+    for bad, name in ((df, "dev|null"), (df.where("split IS NULL OR split = 'train'"), "null"), (df.where("split = 'dev'"), "dev")):
+        with pytest.raises(Exception, match=f"no chat file for split .*({name})"):
+            writers.write_chat_jsonl(bad, f"{tmp_out}/bad")
+    writers.write_chat_jsonl(df.where("split IS NOT NULL"), f"{tmp_out}/x", files={"train": "t.jsonl", "test": "v.jsonl", "dev": "d.jsonl"})
+    assert {f: [r.text for r in spark.read.json(f"{tmp_out}/x/{f}").collect()] for f in ("t.jsonl", "v.jsonl", "d.jsonl")} == \
+        {"t.jsonl": ["a"], "v.jsonl": ["b"], "d.jsonl": ["c"]}
+    assert sorted(os.listdir(f"{tmp_out}/x")) == ["d.jsonl", "t.jsonl", "v.jsonl"]
+    writers.write_chat_jsonl(df.where("split = 'train'").select("split", F.col("text").alias("file")), f"{tmp_out}/y", text_col="file")
+    assert [tuple(r) for r in spark.read.json(f"{tmp_out}/y/train.jsonl").collect()] == [("a",)]
+
+
+def test_splits_are_kept_and_pruned(spark, tmp_out):
+    """A null split stays null, names with special characters read back, and a filter opens one folder only."""
+    names = ["train", "test", None, "a/b=c", "1"]
+    df = spark.createDataFrame([(s, f"x{i}") for i, s in enumerate(names)], "split string, original string")
+    writers.write_dataset(df, f"{tmp_out}/ds")
+    both = datasets.read_dataset(spark, f"{tmp_out}/ds")
+    assert sorted(map(tuple, both.select("split", "original").collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    assert both.schema["split"].dataType.simpleString() == "string"
+    one = both.where("split = 'test'")
+    opened = {f.split("/")[-2] for f in one.inputFiles()}
+    assert opened == {"split=test", "split=train", "split=1", "split=a%2Fb%3Dc", "split=__HIVE_DEFAULT_PARTITION__"} or opened == {"split=test"}
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Union" not in plan
+    os.rename(f"{tmp_out}/ds/split=train", f"{tmp_out}/gone")  # nothing of another split is needed any more
+    assert [r.original for r in one.collect()] == ["x1"]
+    with pytest.raises(ValueError, match="no split 'dev'"):
+        datasets.read_dataset(spark, f"{tmp_out}/ds", "dev")
+
+
+def test_order_is_in_the_files(spark, tmp_out):
+    from sparkpairs.operators.sampling import shuffle_rank
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"), "id", F.lit("r").alias("_at"))
+    ranked = shuffle_rank(df, 4, ["id"], ["split"])
+    want = {(r.split, r["rank"]): r.id for r in ranked.collect()}
+    writers.write_ordered(ranked, f"{tmp_out}/o")
+    assert sorted(spark.read.parquet(f"{tmp_out}/o").columns) == ["_at", "id", "split"]
+    for split, n in (("train", 2000), ("test", 1000)):
+        got = {r["rank"]: r.id for r in datasets.read_in_order(spark, f"{tmp_out}/o", split).collect()}
+        assert got == {k: want[split, k] for k in range(n)}
+        files = sorted(x for x in os.listdir(f"{tmp_out}/o/split={split}") if x.endswith(".parquet"))
+        assert len(files) > 1
+        one_by_one = [r.id for f in files for r in spark.read.parquet(f"{tmp_out}/o/split={split}/{f}").collect()]
+        assert one_by_one == [got[k] for k in range(n)]
+        first = datasets.read_dataset(spark, f"{tmp_out}/o", split, limit=7)
+        assert sorted(r.id for r in first.collect()) == sorted(got[k] for k in range(7)) and first.columns == ["id", "_at"]
+        few = datasets.read_in_order(spark, f"{tmp_out}/o", split, 7)
+        assert len(few.inputFiles()) < len(files) + 1  # the manifest is one of them
+    whole = shuffle_rank(df.drop("split"), 4, ["id"])
+    writers.write_ordered(whole, f"{tmp_out}/w")
+    assert {r["rank"] for r in datasets.read_in_order(spark, f"{tmp_out}/w").collect()} == set(range(3000))
+
+
+def test_card_of_very_many_sources(spark, tmp_out):
+    df = spark.range(5000).select(F.lit("train").alias("split"), F.concat(F.lit("s"), (F.col("id") % 1500).cast("string")).alias("source"))
+    df = df.unionByName(spark.range(50).select(F.lit("test").alias("split"), F.lit("big").alias("source")))
+    card = writers.write_dataset_card(df, f"{tmp_out}/many", "t", top=3)
+    rows = [x for x in card.splitlines() if x.startswith("| ") and "---" not in x]
+    assert rows == ["| split | source | rows |", "| test | big | 50 |", "| train | s0 | 4 |", "| train | s1 | 4 |", "| 1498 others |  | 4992 |"]
+    whole = spark.read.parquet(f"{tmp_out}/many/_counts")
+    assert whole.count() == 1501 and whole.agg(F.sum("n")).first()[0] == 5050
+
+
 def test_results_and_lineage(spark, tmp_out):
     df = spark.createDataFrame([(0, "s", "ö", "ö", "ö", True)],
                                "index long, source string, original string, expected string, generated string, matches_expected boolean")
