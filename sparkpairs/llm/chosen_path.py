@@ -10,13 +10,14 @@ larger ones branch again. The number of trees follows from the target recall of
 the threshold (``trees_for``).
 
 A branch that keeps more than half of its parent is a crowd of near copies, which no token splits. It is
-dealt into blocks: there each node names its nearest two, all blocks share a few anchors, and after
-the links so found are verified only what lies in another component than the crowd's largest
-one is compared with the rest, block by block. No pairs inside a component are ever listed.
+dealt into blocks that share a few anchors.
 
 Comparisons use a 256-bit sketch (two bits a token, 4.5 standard deviations of slack); what it lets
-pass is confirmed on the full sets, the nearest candidates of each node first, so that candidates inside
-a component found meanwhile need no check. Full sets are made from the texts of candidates only.
+pass is confirmed on the full sets. At first each node names its nearest two in each branch or block, and
+the components of the links among those are found. Then every branch is compared again, but only
+between members of different components (of a crowd: between the members outside its largest one and
+all), so that a group of copies costs pairs in proportion to its members and no link between components
+is missed. Full sets are made from the texts of candidates only.
 
 Edge cases: null, empty and blank texts have an empty set, are linked with nothing and are their own
 component; fewer words than a shingle: the whole sequence is the one shingle; repeated rows and equal
@@ -50,7 +51,7 @@ MAX_DEPTH = 12      # a branch still larger than a leaf here is compared in bloc
 LEAF = 32
 BLOCK = 256
 ANCHORS = 16
-ROUNDS = 4          # rounds that check each node's nearest candidate before all the rest is checked
+NEAREST = 2
 BROADCAST_IDS = 1 << 20
 #: Bytes of text whose sets are held at a time.
 SLICE = 2 << 20
@@ -284,8 +285,8 @@ def _fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
 
 
-def _compare(cells: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Candidates inside each cell: all that the sketch lets pass, or each node's ``nearest`` ones."""
+def _compare(cells: DataFrame, percent: int) -> DataFrame:
+    """Candidates inside each cell. Cells without labels: each node's nearest ones; with: all pairs of different labels."""
     limit = most_differing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,12 +295,12 @@ def _compare(cells: DataFrame, percent: int, nearest: int | None) -> DataFrame:
             for m in _members(batch):
                 d = _differing(m["sketch"], m["sketch"]).astype(np.int64)
                 ok = (d <= limit) & _fits(m["n"], m["n"], percent)
-                if nearest is None:
-                    i, j = np.nonzero(np.triu(ok, 1))
+                if "label" in m:
+                    i, j = np.nonzero(np.triu(ok & (m["label"][:, None] != m["label"][None, :]), 1))
                 else:
                     np.fill_diagonal(ok, False)
                     rank = np.where(ok, d, 1 << 20)
-                    j = np.argsort(rank, axis=1, kind="stable")[:, :nearest]
+                    j = np.argsort(rank, axis=1, kind="stable")[:, :NEAREST]
                     i = np.repeat(np.arange(len(d)), j.shape[1])
                     j = j.ravel()
                     i, j = i[ok[i, j]], j[ok[i, j]]
@@ -325,26 +326,40 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def candidates(nodes: DataFrame, small: list[DataFrame], crowds: DataFrame | None, percent: int) -> DataFrame:
-    """``a, b, far`` of the small branches (all that pass) and of the crowds (each node's nearest two in its block)."""
-    found = _compare(_listed(_union(small), nodes, ["path"]), percent, None)
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
+
+
+def candidates(nodes: DataFrame, small: DataFrame, crowds: DataFrame | None, percent: int) -> DataFrame:
+    """``a, b, far``: the nearest of each node in its small branches and in the blocks of its crowds."""
+    rows = small.select("path", "node", F.lit(0).cast("bigint").alias("block"))
     if crowds is not None:
         k = F.ceil(F.col("size") / BLOCK)
         u = F.xxhash64("node", "path")
         dealt = crowds.select("path", "node", F.pmod(u, k).alias("block"))
         share = F.shiftrightunsigned(u, 1) / F.lit(float(2**63))
         anchors = crowds.where(share * F.col("size") < ANCHORS).select("path", "node", F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("block"))
-        cells = _listed(dealt.unionByName(anchors).distinct(), nodes, ["path", "block"])
-        found = found.unionByName(_compare(cells, percent, 2))
-    return found.groupBy("a", "b").agg(F.min("far").alias("far"))
+        rows = rows.unionByName(dealt.unionByName(anchors).distinct())
+    return _distinct(_compare(_listed(rows, nodes, ["path", "block"]), percent))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    at = labels.select(F.col("node").alias("l"), "component")
+    return rows.join(at, F.col("node") == F.col("l"), "left").select("path", "node", F.coalesce("component", "node").alias("label"))
+
+
+def between(nodes: DataFrame, small: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidates between members of a small branch that are in different components."""
+    marked = _labelled(small, labels)
+    mixed = marked.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("path").alias("p"))
+    rows = marked.join(mixed, F.col("path") == F.col("p"), "left_semi")
+    return _distinct(_compare(_listed(rows, nodes, ["path"], ["label"]), percent))
 
 
-def _strangers(nodes: DataFrame, crowds: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def strangers(nodes: DataFrame, crowds: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidates between the members of a crowd outside its largest component and all its members."""
     limit = most_differing(percent)
-    label = labels.select(F.col("node").alias("l"), "component")
-    marked = materialize(crowds.join(label, F.col("node") == F.col("l"), "left")
-                         .select("path", "node", F.coalesce("component", "node").alias("label")))
+    marked = materialize(_labelled(crowds, labels))
     per = marked.groupBy("path", "label").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("path").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("c")) \
         .where("size > c").select(F.col("path").alias("p"), "main", F.ceil((F.col("size") - F.col("c")) / BLOCK).alias("kr"),
@@ -369,8 +384,7 @@ def _strangers(nodes: DataFrame, crowds: DataFrame, labels: DataFrame, percent:
                 far.append(d[i, j])
             yield _pairs(a, b, far)
 
-    found = _listed(rows, nodes, ["path", "r", "s"], ["label", "few"]).mapInArrow(run, _PAIR)
-    return found.groupBy("a", "b").agg(F.min("far").alias("far"))
+    return _distinct(_listed(rows, nodes, ["path", "r", "s"], ["label", "few"]).mapInArrow(run, _PAIR))
 
 
 # ---------------------------------------------------------------- full sets
@@ -435,46 +449,38 @@ def _nearest(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links that connect all that the candidates connect, and the components of their ends."""
-    links = None
-    left = materialize(pairs)
-    for last in [False] * ROUNDS + [True]:
-        tried = left.select("a", "b") if last else materialize(_nearest(left))
-        ok = materialize(verify(tried, sets, percent))
-        links = ok if links is None else materialize(links.unionByName(ok))
-        labels = materialize(components(links))
-        if last:
-            break
-        done = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        left = materialize(_apart(left.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), labels))
-        if left.isEmpty():
-            break
-    return links, labels
-
-
 # ---------------------------------------------------------------- the operator
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
          recall: float = RECALL) -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` of every row."""
     prof = materialize(profiles(docs, id_col, text_col, width))
     nodes = _nodes(prof)
-    small, crowded = grow(nodes, trees_for(recall), percent)
+    branches_, crowded = grow(nodes, trees_for(recall), percent)
+    small = _union(branches_)
     crowds = materialize(_union(crowded)) if crowded else None
     if crowds is not None and crowds.isEmpty():
         crowds = None
-    pairs = materialize(candidates(nodes, small, crowds, percent))
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    near = materialize(candidates(nodes, small, crowds, percent))
+    first = materialize(_nearest(near))
+    ends = [near.select(F.col(c).alias("node")) for c in ("a", "b")] + ([crowds.select("node")] if crowds is not None else [])
+    # whatever may be compared later has a candidate now: it is the nearest of its branch to some member
+    sets = full_sets(docs, nodes, _union(ends).distinct(), id_col, text_col, width)
+    links = materialize(verify(first, sets, percent))
+    labels = components(links)
+    rest = materialize(_apart(near.select("a", "b"), labels))
+    links = materialize(links.unionByName(verify(_untried(rest, first), sets, percent)))
+    labels = materialize(components(links))
+    more = between(nodes, small, labels, percent)
     if crowds is not None:
-        wanted = wanted.unionAll(crowds.select("node"))
-    sets = full_sets(docs, nodes, wanted.distinct(), id_col, text_col, width)
-    links, labels = _confirm(pairs, sets, percent)
-    if crowds is not None:
-        more = materialize(_strangers(nodes, crowds, labels, percent))
-        if not more.isEmpty():
-            links = links.unionByName(_confirm(more, sets, percent)[0])
-            labels = materialize(components(links))
-    return _result(prof, nodes, labels, id_col)
+        more = _distinct(more.unionByName(strangers(nodes, crowds, labels, percent)))
+    tried = first.unionByName(rest)
+    links = links.unionByName(verify(_untried(more.select("a", "b"), tried), sets, percent))
+    return _result(prof, nodes, components(links), id_col)
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    t = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    return pairs.join(t, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
 
 
 def _result(prof: DataFrame, nodes: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:

@@ -35,7 +35,7 @@ from sparkpairs.functions.constants import (
     KEYBOARD_NEIGHBORS,
     WS_CLASS,
 )
-from sparkpairs.session import plan_barrier
+from sparkpairs.session import filter_barrier
 from sparkpairs.functions.text import ALPHA2_RE, ALPHA3_RE, ALPHA_RE, PIECES_RE, PLAIN_PIECES_RE
 
 QUOTED_RE = r'"([^"]*)"'
@@ -286,19 +286,16 @@ class _Query:
             self.cols = [alias for alias, _ in items]
 
     def result(self) -> DataFrame:
-        """Analyse once. The analyser resolves one nesting level per iteration,
-        so its iteration cap is raised for this statement only."""
+        """Analyse once. The analyser resolves one nesting level per iteration, so a session whose cap is
+        too low for this statement gets a higher one (``get_session`` sets it high enough; it is never lowered,
+        so threads that share the session cannot undo each other)."""
         self.project()
         key = "spark.sql.analyzer.maxIterations"
-        before = self.spark.conf.get(key, None)
-        self.spark.conf.set(key, str(max(int(before or 100), 4 * self.n + 100)))
+        if int(self.spark.conf.get(key)) < 4 * self.n + 100:
+            self.spark.conf.set(key, str(4 * self.n + 100))
         try:
             return self.spark.sql(self.sql)
         finally:
-            if before is None:
-                self.spark.conf.unset(key)
-            else:
-                self.spark.conf.set(key, before)
             self.spark.catalog.dropTempView(self.view)
 
 
@@ -343,7 +340,7 @@ def apply_error(df: DataFrame, op: str, text: str = "text", key_cols=("doc_id",)
         return df
     q = _Query(df)
     _error_step(q, op, text, key_cols, rate, seed, None, n_col, applied_col)
-    return plan_barrier(q.result(), op)
+    return filter_barrier(q.result(), [text, n_col, applied_col])
 
 
 def insert_errors(df: DataFrame, text: str = "text", key_cols=("doc_id",),
@@ -368,9 +365,9 @@ def insert_errors(df: DataFrame, text: str = "text", key_cols=("doc_id",),
             _error_step(q, op, out_col, key_cols, cfg.rate(op), seed, act, "n_errors", "applied")
     final = [c for c in q.cols if c != "_keep" and not c.startswith("_act")]
     q.project([(c, qcol(c)) for c in final])
-    # One barrier for the whole chain: later filters (user filters, or those
-    # inferred from explode) stop here instead of inlining the chain.
-    return plan_barrier(q.result(), "insert_errors")
+    # One barrier for the whole chain: filters on its columns (user filters, or those inferred from
+    # explode) stop here instead of inlining it, filters on the columns that pass go down to the scan.
+    return filter_barrier(q.result(), [out_col, "n_errors", "applied"])
 
 
 def make_pairs(clean: DataFrame, key_cols=("source", "chapter", "chunk_no", "sub_no"),

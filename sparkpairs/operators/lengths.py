@@ -51,15 +51,6 @@ def length_histogram(df: DataFrame, length_col: str = "length") -> DataFrame:
     return df.groupBy(F.col(length_col).cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _totals(hist: DataFrame) -> DataFrame:
-    return hist.agg(
-        F.sum("cnt").alias("n"),
-        F.sum(F.col("length") * F.col("cnt")).alias("total_tokens"),
-        F.min("length").alias("min_length"),
-        F.max("length").alias("max_length"),
-    )
-
-
 def length_summary(hist: DataFrame) -> DataFrame:
     """A5 + A6: n, mean, median, population std, min, max, p95, p99, total tokens."""
     dec = "decimal(38,0)"
@@ -165,39 +156,43 @@ def optimal_max_length(curve: DataFrame, thresholds=(1.0, 5.0)) -> DataFrame:
     return curve.agg(*aggs)
 
 
-def packing_efficiency(hist: DataFrame, max_length: int = DEFAULT_MAX_LENGTH) -> DataFrame:
-    """A8 + A9: ascending next-fit packing from the clipped histogram.
-
-    The clipped histogram has at most ``max_length + 1`` rows, so collecting it
-    into one sorted array per query is bounded by configuration, not data. The
-    fold is the closed form of next-fit over runs of equal lengths.
-    """
-    M = int(max_length)
-    clipped = hist.groupBy(F.least(F.col("length"), F.lit(M)).alias("l")).agg(F.sum("cnt").alias("c"))
-    one = clipped.agg(
-        F.array_sort(F.collect_list(F.struct("l", "c"))).alias("runs"),
-        F.sum("c").alias("n"),
-        F.sum(F.col("l") * F.col("c")).alias("tokens"),
-    )
-    init = F.struct(F.lit(0).cast("bigint").alias("packed"), F.lit(0).cast("bigint").alias("cur"))
-
-    def step(acc, x):
-        l, c = x["l"], x["c"]
-        k0 = F.floor((F.lit(M) - acc["cur"]) / l)
-        r = c - k0
-        per = F.floor(F.lit(M) / l)
-        b = F.ceil(r / per)
-        fits = F.struct(acc["packed"].alias("packed"), (acc["cur"] + c * l).alias("cur"))
-        spill = F.struct((acc["packed"] + b).cast("bigint").alias("packed"),
-                         ((r - (b - 1) * per) * l).cast("bigint").alias("cur"))
-        return F.when(l == 0, acc).when(c <= k0, fits).otherwise(spill)
-
-    folded = one.withColumn("_st", F.aggregate("runs", init, step))
-    packed = (F.col("_st.packed") + (F.col("_st.cur") > 0).cast("bigint"))
-    without = F.try_divide(F.col("tokens").cast("double"), F.col("n") * F.lit(M))
-    with_ = F.try_divide(F.col("tokens").cast("double"), packed * F.lit(M))
-    return folded.select(
-        F.lit(M).alias("max_length"),
+def packing_report(hist: DataFrame, grid: DataFrame) -> DataFrame:
+    """A8 + A9 at every length of ``grid`` (column ``max_len``, a few dozen rows): ascending next-fit packing.
+
+    One fold over the runs of equal lengths, with one state per grid length. Lengths above the largest grid
+    length are packed like it, so the array has at most that many runs, whatever the rows; a run is packed
+    by division, not row by row."""
+    sizes = grid.select(F.array_sort(F.collect_set(F.col("max_len").cast("bigint")))).scalar()
+    largest = grid.select(F.max("max_len")).scalar()
+    clipped = hist.groupBy(F.least(F.col("length"), largest).cast("bigint").alias("l")).agg(F.sum("cnt").alias("c"))
+    one = clipped.agg(F.array_sort(F.collect_list(F.struct("l", "c"))).alias("runs")).withColumn("sizes", sizes)
+    zero = F.lit(0).cast("bigint")
+
+    def state(m, n, tokens, packed, cur):
+        return F.struct(m.alias("m"), n.alias("n"), tokens.alias("tokens"), packed.alias("packed"), cur.alias("cur"))
+
+    def step(states, run):
+        def pack(s):
+            m, cur, c = s["m"], s["cur"], run["c"]
+            l = F.least(run["l"], m)
+            n, tokens = s["n"] + c, s["tokens"] + l * c
+            k0 = F.floor((m - cur) / l)  # that still fit into the open sequence
+            per = F.floor(m / l)
+            left = c - k0
+            more = F.ceil(left / per)
+            return F.when(l <= 0, state(m, n, tokens, s["packed"], cur)) \
+                .when(c <= k0, state(m, n, tokens, s["packed"], cur + c * l)) \
+                .otherwise(state(m, n, tokens, (s["packed"] + more).cast("bigint"), ((left - (more - 1) * per) * l).cast("bigint")))
+        return F.transform(states, pack)
+
+    init = F.transform("sizes", lambda m: state(m, zero, zero, zero, zero))
+    s = one.select(F.explode(F.aggregate("runs", init, step)).alias("s")).select("s.*")
+    packed = F.col("packed") + (F.col("cur") > 0).cast("bigint")
+    tokens = F.col("tokens").cast("double")
+    without = F.try_divide(tokens, F.col("n") * F.col("m"))
+    with_ = F.try_divide(tokens, packed * F.col("m"))
+    return s.select(
+        F.col("m").alias("max_length"),
         without.alias("without_packing"),
         with_.alias("with_packing"),
         F.try_divide(with_, without).alias("improvement"),
@@ -207,6 +202,24 @@ def packing_efficiency(hist: DataFrame, max_length: int = DEFAULT_MAX_LENGTH) ->
     )
 
 
+def packing_efficiency(hist: DataFrame, max_length: int = DEFAULT_MAX_LENGTH) -> DataFrame:
+    """A8 + A9 at one length."""
+    return packing_report(hist, hist.sparkSession.range(1).select(F.lit(int(max_length)).alias("max_len")))
+
+
+def packing_at_advised_lengths(hist: DataFrame, configured: int = DEFAULT_MAX_LENGTH) -> DataFrame:
+    """A8 + A9 at the configured length and at those that truncate at most 1 % and 5 % of the tokens:
+    a row per distinct length, with flags for what it is."""
+    grid = max_length_grid(hist, configured)
+    opt = optimal_max_length(truncation_curve(hist, grid))
+    uses = opt.select(F.explode(F.array(
+        F.struct(F.lit(configured).cast("bigint").alias("max_len"), F.lit("configured").alias("use")),
+        F.struct(F.col("optimal_1pct").cast("bigint").alias("max_len"), F.lit("1pct").alias("use")),
+        F.struct(F.col("optimal_5pct").cast("bigint").alias("max_len"), F.lit("5pct").alias("use")))).alias("u")).select("u.*")
+    lengths = uses.groupBy("max_len").agg(*[F.max(F.col("use") == u).alias(f"is_{u}") for u in ("configured", "1pct", "5pct")])
+    return packing_report(hist, lengths).join(F.broadcast(lengths), F.col("max_length") == F.col("max_len")).drop("max_len")
+
+
 def length_advice(hist: DataFrame, configured: int = DEFAULT_MAX_LENGTH) -> DataFrame:
     """Keep / change / choose, the length to use (the balanced one, unless the configured
     one already meets either goal), and whether packing is worthwhile (> 1.2x)."""

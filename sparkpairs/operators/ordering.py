@@ -27,7 +27,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str
     on = F.lit(True)
     for c in cols:
         on = on & F.col(c).eqNullSafe(F.col(names[c]))
-    return left.join(r, on, how).drop(*names.values())
+    joined = left.join(r if how not in ("left_anti", "left_semi") else r.select(*names.values()), on, how)
+    return joined.drop(*names.values())
 
 
 def numbered(df: DataFrame, order: list[Column], out: str, group: list[str] | tuple = (), size: str | None = None,

@@ -10,12 +10,13 @@ from sparkpairs.session import materialize
 
 
 def evaluate(pairs_df: DataFrame, corrector_factory, sources: list[str] | None = None, n_samples: int | None = None,
-             seed: int = 42, n_examples: int = 3) -> dict[str, DataFrame]:
+             seed: int = 42, n_examples: int = 3, generation: dict | None = None) -> dict[str, DataFrame]:
     picked = pairs.filter_by_source(pairs_df, sources or [])
-    ranked = sampling.shuffle_rank(picked.select(*pairs.PAIR_COLS), seed, rank_col="index")
+    rows = picked.select(*pairs.PAIR_COLS)
     if n_samples is not None:
-        ranked = ranked.filter(ranked["index"] < n_samples)
-    generated = evaluation.batch_correct(ranked, corrector_factory)
+        rows = sampling.sample_n(rows, n_samples, seed)  # the first of the order, so only those are ranked
+    ranked = sampling.shuffle_rank(rows, seed, rank_col="index")
+    generated = evaluation.batch_correct(ranked, corrector_factory, generation=generation)
     scored = materialize(evaluation.score(generated))  # model output computed once for all reports
     return {
         "records": evaluation.eval_records(scored),

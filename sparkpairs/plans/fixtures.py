@@ -1,7 +1,6 @@
 """Views over the shared test tables that stand in for the reference's inputs.
 
-Each view is built identically in the oracle SQL (see ``oracle.py``), but the SQL of
-the multi-reference view stops at two replies to a user turn.
+Each view is built identically in the oracle SQL (see ``oracle.py``).
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from sparkpairs.functions.constants import WS_CLASS
 from sparkpairs.functions.rand import digest, uniform
 from sparkpairs.functions.text import py_strip
 from sparkpairs.operators import pairs
-from sparkpairs.operators.ordering import running_agg
+from sparkpairs.operators.ordering import join_null_safe, running_agg
 
 TAG_COMMAND = "Fix grammar: "
 SOURCE_TAGGED = "tagged"
@@ -71,8 +70,9 @@ def multi_reference(conv: DataFrame) -> DataFrame:
     x = running_agg(x, ["conv_id"], "_at", F.when(~speaks, F.col("turn")), "max", "_asked")
     a = x.filter(speaks & F.col("text").isNotNull()).select("conv_id", F.col("_asked").alias("turn"), F.col("text").alias("reply"))
     u = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("sentence"))
-    none = u.join(a.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_anti")
-    return (a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", "sentence", F.array("reply").alias("corrections"))
+    keys = ["conv_id", "turn"]
+    none = join_null_safe(u, a.select(*keys).distinct(), keys, "left_anti")
+    return (join_null_safe(u, a, keys).select(*keys, "sentence", F.array("reply").alias("corrections"))
             .unionByName(none.withColumn("corrections", F.array().cast("array<string>"))))
 
 

@@ -148,6 +148,21 @@ def _lengths() -> dict[str, str]:
         "packing_efficiency": (f"WITH {LEN_CTE}, {pack} SELECT {M}::BIGINT AS max_length, {r6('wo')} AS without_packing, "
                                f"{r6('w')} AS with_packing, {r6('w / wo')} AS improvement, n AS sequences_without_packing, "
                                f"packed AS sequences_with_packing, {r6('1.0::DOUBLE - packed::DOUBLE / n::DOUBLE')} AS memory_savings FROM E"),
+        # the packing loop row by row: a sequence is closed when the next length does not fit
+        "packing_report": (
+            f"WITH RECURSIVE {LEN_CTE}, {tot}, {grid}, {curve}, {opt}, U AS (SELECT m, bool_or(u = 0) AS is_configured, bool_or(u = 1) AS is_1pct, "
+            f"bool_or(u = 2) AS is_5pct FROM (SELECT {M}::BIGINT AS m, 0 AS u UNION ALL SELECT optimal_1pct::BIGINT, 1 FROM O "
+            f"UNION ALL SELECT optimal_5pct::BIGINT, 2 FROM O) GROUP BY m), "
+            f"S AS (SELECT m, least(length, m)::BIGINT AS l, row_number() OVER (PARTITION BY m ORDER BY length) AS i FROM L CROSS JOIN U), "
+            f"loop AS (SELECT m, 0::BIGINT AS i, 0::BIGINT AS packed, 0::BIGINT AS cur FROM U UNION ALL "
+            f"SELECT loop.m, S.i, packed + (cur + l > loop.m)::BIGINT, CASE WHEN cur + l > loop.m THEN l ELSE cur + l END "
+            f"FROM loop JOIN S ON S.m = loop.m AND S.i = loop.i + 1), "
+            f"F AS (SELECT m, arg_max(packed + (cur > 0)::BIGINT, i) AS packed FROM loop GROUP BY m), "
+            f"N AS (SELECT m, count(*) AS n, sum(l)::DOUBLE AS tokens FROM S GROUP BY m), "
+            f"E AS (SELECT U.*, n, packed, tokens / (n * m)::DOUBLE AS wo, tokens / (packed * m)::DOUBLE AS w FROM U JOIN N USING (m) JOIN F USING (m)) "
+            f"SELECT m AS max_length, is_configured, is_1pct, is_5pct, {r6('wo')} AS without_packing, {r6('w')} AS with_packing, "
+            f"{r6('w / wo')} AS improvement, n AS sequences_without_packing, packed AS sequences_with_packing, "
+            f"{r6('1.0::DOUBLE - packed::DOUBLE / n::DOUBLE')} AS memory_savings FROM E"),
         "length_advice": (
             f"WITH {LEN_CTE}, {tot}, {grid}, {curve}, {opt}, {pack} SELECT {M}::BIGINT AS current_max_length, "
             f"optimal_1pct::BIGINT AS conservative_max_length, optimal_5pct::BIGINT AS balanced_max_length, "
@@ -161,11 +176,12 @@ def _lengths() -> dict[str, str]:
 TAGGED = (f"SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS _id, CASE WHEN l.quality = 1 THEN 'gec' ELSE 'paraphrase' END AS task, "
           f"CASE WHEN {sql_uniform(sql_digest(R.SEED, 'tag', 'd.doc_id'))} < 0.5::DOUBLE THEN 'Fix grammar: ' || d.text "
           f"ELSE d.text END AS src, d.text AS tgt FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
-MULTI = ("SELECT u.conv_id, u.turn, u.text AS sentence, list_concat(CASE WHEN a1.text IS NOT NULL THEN [a1.text] ELSE [] END, "
-         "CASE WHEN a1.text IS NOT NULL AND a2.text IS NOT NULL THEN [a2.text] ELSE [] END) AS corrections "
-         "FROM conversations u LEFT JOIN conversations a1 ON a1.conv_id = u.conv_id AND a1.turn = u.turn + 1 AND a1.role = 'assistant' "
-         "LEFT JOIN conversations a2 ON a2.conv_id = u.conv_id AND a2.turn = u.turn + 2 AND a2.role = 'assistant' "
-         "WHERE u.role = 'user'")
+# each reply belongs to the last row before it that is none, if that is a user's
+MULTI = ("WITH asked AS (SELECT *, max(CASE WHEN role IS DISTINCT FROM 'assistant' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn "
+         "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM conversations) "
+         "SELECT u.conv_id, u.turn, u.text AS sentence, coalesce(list(a.text ORDER BY a.turn, a.text) FILTER (a.text IS NOT NULL), []) AS corrections "
+         "FROM (SELECT *, row_number() OVER () AS r FROM conversations WHERE role = 'user') u LEFT JOIN asked a "
+         "ON a.conv_id IS NOT DISTINCT FROM u.conv_id AND a.at = u.turn AND a.role = 'assistant' GROUP BY u.r, u.conv_id, u.turn, u.text")
 IO = f"SELECT item_id, text AS input, {strip(chr(39) + 'X' + chr(39))} AS output FROM benchmark"
 IO = IO.replace("'X'", f"regexp_replace(text, {q('[' + WS_CLASS + ']+')}, ' ', 'g')")
 CLEAN = "SELECT doc_id, source, text AS original, text AS corrected FROM documents"
@@ -342,6 +358,11 @@ def _runs() -> dict[str, str]:
                         f"{r6(f'avg(CASE WHEN event_type = {loss} THEN value END)')} AS mean_eval_loss FROM events GROUP BY user_id"),
         "metric_history": ("SELECT user_id AS run_id, event_type AS metric, row_number() OVER (PARTITION BY user_id, event_type "
                            "ORDER BY ts, event_id) - 1 AS step, value FROM events"),
+        "metric_history_arrays": (
+            f"WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS step, "
+            f"value FROM events) SELECT user_id AS run_id, event_type AS metric, step // 50 * 50 AS first_step, "
+            f"string_agg(coalesce(CAST(CAST({r6('value')} AS DECIMAL(38,6)) AS VARCHAR), ''), ',' ORDER BY step) AS values "
+            f"FROM s GROUP BY user_id, event_type, step // 50"),
         "early_stop": (f"WITH l AS ({steps}), p AS (SELECT *, min(value) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN "
                        f"UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM l), i AS (SELECT *, CASE WHEN prev_best IS NULL OR "
                        f"(value < prev_best AND abs(value - prev_best) > 0.0::DOUBLE) THEN step END AS imp FROM p), "

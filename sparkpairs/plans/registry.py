@@ -173,6 +173,14 @@ def q_packing_efficiency(spark, d):
                     r6(F.col("memory_savings")).alias("memory_savings"))
 
 
+def q_packing_report(spark, d):
+    """Packing at the configured length and at those of 1 % and 5 % truncation."""
+    p = lengths.packing_at_advised_lengths(_hist(spark, d), DEFAULT_MAX_LENGTH)
+    return p.select("max_length", "is_configured", "is_1pct", "is_5pct", r6(F.col("without_packing")).alias("without_packing"),
+                    r6(F.col("with_packing")).alias("with_packing"), r6(F.col("improvement")).alias("improvement"),
+                    "sequences_without_packing", "sequences_with_packing", r6(F.col("memory_savings")).alias("memory_savings"))
+
+
 def q_length_advice(spark, d):
     a = lengths.length_advice(_hist(spark, d), DEFAULT_MAX_LENGTH)
     return a.select(F.col("current_max_length").cast("bigint").alias("current_max_length"),
@@ -490,6 +498,7 @@ QUERIES = {
     "truncation_curve": q_truncation_curve,
     "optimal_max_length": q_optimal_max_length,
     "packing_efficiency": q_packing_efficiency,
+    "packing_report": q_packing_report,
     "length_advice": q_length_advice,
     "adapt_clean": q_adapt_clean,
     "adapt_tagged": q_adapt_tagged,

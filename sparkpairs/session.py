@@ -24,6 +24,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the error chain is a deep statement, resolved a level per iteration
+    "spark.sql.analyzer.maxIterations": "2000",
     # Python workers (epub parsing, user tokenizers/correctors) get Arrow batches.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
@@ -85,6 +87,16 @@ def plan_barrier(df: DataFrame, tag: str) -> DataFrame:
     return df.observe(f"sparkpairs_{tag}_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
 
 
+def filter_barrier(df: DataFrame, made: list[str]) -> DataFrame:
+    """An optimizer fence around the columns ``made`` only.
+
+    They pass through a generator of one row, behind which no expression is substituted; a predicate on the
+    other columns goes below it, down to the scan."""
+    kept = [F.col(c) for c in df.columns if c not in made]
+    one = F.inline_outer(F.array(F.struct(*made)))
+    return df.select(*kept, one).select(*df.columns)
+
+
 def spread(df: DataFrame, key: str | list[str], per_core: int = 4) -> DataFrame:
     """Hash-distribute rows before CPU-heavy per-row text work when the input
     is narrower than the cluster (few large files or row groups).

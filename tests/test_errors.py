@@ -194,6 +194,32 @@ def test_filter_after_chain_plans(spark):
     assert out.select(F.explode("applied")).count() >= 0
 
 
+def test_filters_on_passing_columns_reach_the_scan(spark, tmp_out):
+    """Behind the chain a filter on what it made stays, one on what passes goes down to the files."""
+    df = spark.createDataFrame([(i, f"s{i % 3}", "The quick brown fox jumps over the lazy dog.") for i in range(60)], "doc_id long, source string, text string")
+    df.write.parquet(f"{tmp_out}/d")
+    cfg = dict(DEFAULT_ERROR_CONFIG, preserve_ratio=0.0, min_chunk_length=0)
+    out = insert_errors(spark.read.parquet(f"{tmp_out}/d"), "text", ["doc_id"], cfg, 42)
+    some = out.where("source = 's1' AND n_errors > 0 AND doc_id < 40")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source,s1)" in plan and "LessThan(doc_id,40)" in plan and "n_errors" not in plan.split("PushedFilters")[1]
+    want = [r for r in out.collect() if r.source == "s1" and r.n_errors > 0 and r.doc_id < 40]
+    assert sorted(map(tuple, some.drop("applied").collect())) == sorted(tuple(x for x in r if not isinstance(x, list)) for r in want) and want
+    one = apply_error(spark.read.parquet(f"{tmp_out}/d"), "dropped_letters", "text", ["doc_id"], 1.0, 7).where("source = 's2'")
+    assert "EqualTo(source,s2)" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 20
+
+
+def test_statements_of_two_threads_leave_the_session_alone(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    key = "spark.sql.analyzer.maxIterations"
+    before = spark.conf.get(key)
+    df = spark.createDataFrame([(i, "Some words, and more of them.") for i in range(5)], "doc_id long, text string")
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda s: insert_errors(df, "text", ["doc_id"], None, s).count(), range(8))) == [5] * 8
+    assert spark.conf.get(key) == before
+
+
 def test_chain_partition_independent_and_corrected_untouched(spark):
     from sparkpairs.functions.constants import PRODUCTION_ERROR_CONFIG
     from sparkpairs.operators.errors import make_pairs

@@ -111,3 +111,32 @@ def test_single_value_and_empty(spark):
     assert lengths.length_summary(empty).first().n is None
     assert lengths.truncation_curve(empty).count() == 1          # only the configured length
     assert lengths.packing_efficiency(empty, 768).first().with_packing is None
+
+
+def packing_loop(values, m):
+    packed = cur = 0
+    for v in sorted(values):
+        v = min(v, m)
+        if cur + v <= m:
+            cur += v
+        else:
+            packed, cur = packed + 1, v
+    return packed + (cur > 0)
+
+
+def test_packing_at_every_length_equals_the_loop(spark):
+    rng = random.Random(4)
+    for values in ([rng.randint(1, 3000) for _ in range(700)], [0] * 20 + [5] * 900 + [768] * 7 + [9000] * 40, [1], [0, 0]):
+        h = hist(spark, values)
+        sizes = [1, 7, 512, 768, 2048, 8192]
+        grid = spark.createDataFrame([(m,) for m in sizes + [512]], "max_len long")
+        got = {r.max_length: r for r in lengths.packing_report(h, grid).collect()}
+        assert sorted(got) == sizes
+        for m in sizes:
+            tokens, n = sum(min(v, m) for v in values), packing_loop(values, m)
+            assert (got[m].sequences_with_packing, got[m].sequences_without_packing) == (n, len(values))
+            assert got[m].with_packing == (tokens / (n * m) if n else None) and got[m].without_packing == tokens / (len(values) * m)
+    report = lengths.packing_at_advised_lengths(hist(spark, [600] * 50 + [3000]), 768).collect()
+    assert {tuple(r[f"is_{u}"] for u in ("configured", "1pct", "5pct")) for r in report} == {(True, False, False), (False, True, False), (False, False, True)} \
+        or sum(r.is_configured for r in report) == 1
+    assert sum(r.is_1pct for r in report) == sum(r.is_5pct for r in report) == 1

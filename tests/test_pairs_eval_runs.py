@@ -102,6 +102,62 @@ def test_batch_correct(spark):
     assert out == ["A", "C", "[ERROR: bad input]"]
 
 
+def test_corrector_batches_and_outputs(spark):
+    """Short, long, raising and non-text outputs become error rows of their own; every other text is corrected, in
+    batches that keep to the budget; other columns pass unchanged."""
+    rows = [(i, None if i == 7 else " ".join(["w"] * (i % 13 + 1)) + f" {i}", None if i % 2 else i) for i in range(60)]
+    bad = {3: "raise", 17: "few", 30: "many", 44: "none"}
+    df = spark.createDataFrame(rows, "k long, original string, extra long").coalesce(1)
+
+    def factory():
+        def correct(texts, max_new_tokens, temperature):
+            assert max_new_tokens == 9 and temperature == 0.3
+            words = max(len(t.split()) for t in texts) * len(texts)
+            if len(texts) > 1 and words > 40 or len(texts) > 8:
+                raise AssertionError("over budget")
+            kinds = {bad.get(int(t.split()[-1])) if t else None for t in texts}
+            if "raise" in kinds:
+                raise RuntimeError("bad input")
+            out = [f" {t.upper()} b{len(texts)} " for t in texts]
+            return out[1:] if "few" in kinds else [*out, "x"] if "many" in kinds else [None] * len(texts) if "none" in kinds else out
+        return correct
+
+    out = evaluation.batch_correct(df, factory, generation={"max_new_tokens": 9, "temperature": 0.3}, batch_tokens=40, batch_rows=8)
+    assert out.schema.simpleString() == "struct<k:bigint,original:string,extra:bigint,generated:string>"
+    got = {r.k: r for r in out.collect()}
+    assert len(got) == 60 and all((got[k].original, got[k].extra) == (t, x) for k, t, x in rows)
+    assert got[3].generated == "[ERROR: bad input]" and got[17].generated == "[ERROR: 0 outputs for 1 texts]"
+    assert got[30].generated == "[ERROR: 2 outputs for 1 texts]" and got[7].generated.startswith("b")
+    broken = {k for k, r in got.items() if r.generated.startswith("[ERROR")}
+    assert set(bad) <= broken and all("not a text" in got[k].generated for k in broken - {3, 17, 30})
+    assert any(r.generated.endswith(" b8") or r.generated.endswith(" b6") for r in got.values() if not r.generated.startswith("["))
+    assert evaluation.batch_correct(df.limit(0), factory).count() == 0
+    again = evaluation.batch_correct(out, factory, generation={"max_new_tokens": 9, "temperature": 0.3}, batch_tokens=40, batch_rows=8)
+    assert again.columns == out.columns  # an output column of that name is replaced
+
+
+def test_masked_match_of_ragged_arrays_decoded_and_as_text(spark):
+    rows = [([5, 1, 2], [-100, 1, 2], True, True), ([1, 2], [1, 2, 3], False, False), ([1, 2, 3, 4], [1, 2, 3], True, True),
+            ([9, 9], [-100, -100], True, True), ([], [], True, True), (None, [4], False, False), ([4], None, True, True),
+            ([1, 0, 2], [1, 2, 0], False, True), ([3, 7], [3, -100], True, True), ([1, 2], [2, 1], False, False)]
+    df = spark.createDataFrame([(i, p, l) for i, (p, l, _, _) in enumerate(rows)], "k int, predictions array<int>, label_ids array<bigint>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def decoder():  # id 0 is a special token that decoding leaves out
+        calls.add(1)
+        return lambda many: [" " + " ".join(str(i) for i in ids if i) + "  " for ids in many]
+
+    ids = {r.k: r.ok for r in evaluation.with_masked_match(df.withColumn("_pairs", F.lit(1)), out="ok").collect()}
+    assert [ids[i] for i in range(len(rows))] == [r[2] for r in rows]
+    texts = {r.k: r.ok for r in evaluation.with_masked_match(df.coalesce(1), decoder=decoder, out="ok").collect()}
+    assert [texts[i] for i in range(len(rows))] == [r[3] for r in rows] and calls.value == 1
+    r = evaluation.masked_exact_match(df, decoder=decoder).first()
+    assert (r.eval_total_predictions, r.eval_correct_predictions) == (10, sum(x[3] for x in rows))
+    plain = spark.createDataFrame([(" a", "a "), ("a", "b"), (None, ""), ("x", None)], "predictions string, label_ids string")
+    assert evaluation.masked_exact_match(plain).first().eval_correct_predictions == 2
+    assert evaluation.masked_exact_match(df.limit(0), decoder=decoder).first().eval_accuracy == 0.0
+
+
 def log(spark, values):
     import datetime as dt
     base = dt.datetime(2024, 1, 1)
