@@ -29,17 +29,18 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpairs.llm.common import FlatWords, plain, slices
 from sparkpairs.llm.components import components
-from sparkpairs.session import materialize
+from sparkpairs.session import materialize, scratch_path
 
 
 WIDTH = 2
@@ -47,6 +48,7 @@ PERCENT = 80
 TOKENS = 128
 RECALL = 0.9999     # of a pair exactly at the threshold, by the depth below
 DEPTH = 4           # levels the recall is stated for; deeper trees go on, at a little less
+FIRST = 2           # levels branched before sizes are counted
 MAX_DEPTH = 12      # a branch still larger than a leaf here is compared in blocks
 LEAF = 32
 BLOCK = 256
@@ -192,13 +194,19 @@ def branches(tok: np.ndarray, paths: np.ndarray, percent: int) -> tuple[np.ndarr
 
 
 def _roots(nodes: DataFrame, trees: int, percent: int) -> DataFrame:
+    """Branches of the first ``FIRST`` levels of all trees (a root holds every node, so its size is no question)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix(np.arange(1, trees + 1, dtype=np.uint64))
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                tok = np.repeat(_token_rows(part.column("tok")), trees, axis=0)
-                yield _children(part.column("node"), np.arange(part.num_rows).repeat(trees), tok, np.tile(roots, part.num_rows), None, percent)
+                tok = _token_rows(part.column("tok"))
+                of, paths = np.arange(part.num_rows).repeat(trees), np.tile(roots, part.num_rows)
+                for _ in range(FIRST):
+                    row, paths = branches(tok[of], paths, percent)
+                    of = of[row]
+                yield _branch_rows(part.column("node"), of, paths, np.zeros(len(of), np.int64))
 
     return nodes.select("node", "tok").mapInArrow(run, "path bigint, node bigint, parent bigint")
 
@@ -211,32 +219,30 @@ def _deeper(nodes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 lists = part.column("paths")
-                n = np.diff(np.asarray(lists.offsets))
                 flat = lists.flatten()
-                paths, sizes = np.asarray(flat.field("path")).view(np.uint64), np.asarray(flat.field("size"))
-                of = np.arange(part.num_rows).repeat(n)
-                yield _children(part.column("node"), of, _token_rows(part.column("tok"))[of], paths, sizes, percent)
+                of = np.arange(part.num_rows).repeat(np.diff(np.asarray(lists.offsets)))
+                row, child = branches(_token_rows(part.column("tok"))[of], np.asarray(flat.field("path")).view(np.uint64), percent)
+                yield _branch_rows(part.column("node"), of[row], child, np.asarray(flat.field("size"))[row])
 
     grouped = live.groupBy("node").agg(F.collect_list(F.struct("path", "size")).alias("paths")).withColumnRenamed("node", "of")
     return nodes.select("node", "tok").join(grouped, F.col("node") == F.col("of")).select("node", "tok", "paths") \
         .mapInArrow(run, "path bigint, node bigint, parent bigint")
 
 
-def _children(node: pa.Array, of: np.ndarray, tok: np.ndarray, paths: np.ndarray, sizes: np.ndarray | None, percent: int) -> pa.RecordBatch:
-    row, child = branches(tok, paths, percent)
-    ids = np.asarray(node)[of[row]]
-    parent = np.zeros(len(row), np.int64) if sizes is None else sizes[row]
-    return pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids), pa.array(parent)], names=["path", "node", "parent"])
+def _branch_rows(node: pa.Array, of: np.ndarray, paths: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(np.asarray(node)[of]), pa.array(parent)],
+                                      names=["path", "node", "parent"])
 
 
-def grow(nodes: DataFrame, trees: int, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def grow(nodes: DataFrame, trees: int, percent: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
     """Small branches (``path, node``) and crowds (``path, node, size``) of all levels."""
     small, crowds = [], []
     children = _roots(nodes, trees, percent)
-    for depth in range(1, MAX_DEPTH + 1):
-        children = materialize(children)
+    for depth in range(FIRST, MAX_DEPTH + 1):
+        children = scratch.store(children)
         sizes = children.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("path", "p")
-        kept = materialize(children.join(sizes, F.col("path") == F.col("p")).select("path", "node", "size", "parent"))
+        kept = scratch.store(children.join(sizes, F.col("path") == F.col("p")).select("path", "node", "size", "parent"))
+        scratch.drop(children)
         small.append(kept.where(F.col("size") <= LEAF).select("path", "node"))
         dense = F.lit(depth == MAX_DEPTH) | ((F.col("parent") > 0) & (2 * F.col("size") > F.col("parent")))
         large = kept.where(F.col("size") > LEAF)
@@ -250,6 +256,28 @@ def grow(nodes: DataFrame, trees: int, percent: int) -> tuple[list[DataFrame], l
     return small, crowds
 
 
+class Scratch:
+    """Tables of one run, written as Parquet in the shared folder (smaller than checkpoints, whose rows are
+    not compressed) and removed when they are of no more use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, f"chosen-path-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        self.remove(id(df))
+
+    def remove(self, key: int) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(key))
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # ---------------------------------------------------------------- comparisons
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sketch places in which the rows of ``a`` and those of ``b`` differ."""
@@ -267,17 +295,17 @@ def _members(b: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
     off, flat = np.asarray(lists.offsets), lists.values
     cols = {f.name: np.asarray(flat.field(f.name)) for f in flat.type}
     sk = np.stack([cols.pop(c).view(np.uint64) for c in SKETCH], axis=1)
-    for a, z in zip(off[:-1], off[1:], strict=True):
-        yield {k: v[a:z] for k, v in cols.items()} | {"sketch": sk[a:z]}
+    for path, a, z in zip(b.column("path").to_pylist(), off[:-1], off[1:], strict=True):
+        yield {k: v[a:z] for k, v in cols.items()} | {"sketch": sk[a:z], "path": path}
 
 
-_PAIR = "a bigint, b bigint, far bigint"
+_PAIR = "path bigint, a bigint, b bigint, far bigint"
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray], far: list[np.ndarray]) -> pa.RecordBatch:
-    cols = [np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64) for c in (a, b, far)]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(cols[0], cols[1])), pa.array(np.maximum(cols[0], cols[1])), pa.array(cols[2])],
-                                      names=["a", "b", "far"])
+def _pairs(path: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray], far: list[np.ndarray]) -> pa.RecordBatch:
+    p, x, y, d = [np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64) for c in (path, a, b, far)]
+    return pa.RecordBatch.from_arrays([pa.array(p), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d)],
+                                      names=["path", "a", "b", "far"])
 
 
 def _fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -291,7 +319,7 @@ def _compare(cells: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, far = [], [], []
+            path, a, b, far = [], [], [], []
             for m in _members(batch):
                 d = _differing(m["sketch"], m["sketch"]).astype(np.int64)
                 ok = (d <= limit) & _fits(m["n"], m["n"], percent)
@@ -307,7 +335,8 @@ def _compare(cells: DataFrame, percent: int) -> DataFrame:
                 a.append(m["node"][i])
                 b.append(m["node"][j])
                 far.append(d[i, j])
-            yield _pairs(a, b, far)
+                path.append(np.full(len(i), m["path"]))
+            yield _pairs(path, a, b, far)
 
     return cells.mapInArrow(run, _PAIR)
 
@@ -316,7 +345,7 @@ def _listed(rows: DataFrame, nodes: DataFrame, keys: list[str], extra: list[str]
     """Members of each cell with size and sketch."""
     at = nodes.select(F.col("node").alias("of"), "n", *SKETCH)
     full = rows.join(at, F.col("node") == F.col("of"))
-    return full.groupBy(*keys).agg(F.collect_list(F.struct("node", "n", *SKETCH, *(extra or []))).alias("members")).select("members")
+    return full.groupBy(*keys).agg(F.collect_list(F.struct("node", "n", *SKETCH, *(extra or []))).alias("members")).select("path", "members").where(F.size("members") > 1)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -330,17 +359,19 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
 
 
-def candidates(nodes: DataFrame, small: DataFrame, crowds: DataFrame | None, percent: int) -> DataFrame:
-    """``a, b, far``: the nearest of each node in its small branches and in the blocks of its crowds."""
-    rows = small.select("path", "node", F.lit(0).cast("bigint").alias("block"))
-    if crowds is not None:
-        k = F.ceil(F.col("size") / BLOCK)
-        u = F.xxhash64("node", "path")
-        dealt = crowds.select("path", "node", F.pmod(u, k).alias("block"))
-        share = F.shiftrightunsigned(u, 1) / F.lit(float(2**63))
-        anchors = crowds.where(share * F.col("size") < ANCHORS).select("path", "node", F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("block"))
-        rows = rows.unionByName(dealt.unionByName(anchors).distinct())
-    return _distinct(_compare(_listed(rows, nodes, ["path", "block"]), percent))
+def in_branches(nodes: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """``path, a, b, far``: the nearest of each node in its small branches."""
+    return _compare(_listed(small, nodes, ["path"]), percent)
+
+
+def in_blocks(nodes: DataFrame, crowds: DataFrame, percent: int) -> DataFrame:
+    """``path, a, b, far``: the nearest of each node in the blocks of its crowds."""
+    k = F.ceil(F.col("size") / BLOCK)
+    u = F.xxhash64("node", "path")
+    dealt = crowds.select("path", "node", F.pmod(u, k).alias("block"))
+    share = F.shiftrightunsigned(u, 1) / F.lit(float(2**63))
+    anchors = crowds.where(share * F.col("size") < ANCHORS).select("path", "node", F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("block"))
+    return _compare(_listed(dealt.unionByName(anchors).distinct(), nodes, ["path", "block"]), percent)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -349,7 +380,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def between(nodes: DataFrame, small: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidates between members of a small branch that are in different components."""
+    """Candidates between members of a branch (``small``: those that have a candidate in it) that are in different components."""
     marked = _labelled(small, labels)
     mixed = marked.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("path").alias("p"))
     rows = marked.join(mixed, F.col("path") == F.col("p"), "left_semi")
@@ -373,7 +404,7 @@ def strangers(nodes: DataFrame, crowds: DataFrame, labels: DataFrame, percent: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, far = [], [], []
+            path, a, b, far = [], [], [], []
             for m in _members(batch):
                 x, y = np.flatnonzero(m["few"]), np.flatnonzero(~m["few"])
                 d = _differing(m["sketch"][x], m["sketch"][y]).astype(np.int64)
@@ -382,7 +413,8 @@ def strangers(nodes: DataFrame, crowds: DataFrame, labels: DataFrame, percent: i
                 a.append(m["node"][x[i]])
                 b.append(m["node"][y[j]])
                 far.append(d[i, j])
-            yield _pairs(a, b, far)
+                path.append(np.full(len(i), m["path"]))
+            yield _pairs(path, a, b, far)
 
     return _distinct(_listed(rows, nodes, ["path", "r", "s"], ["label", "few"]).mapInArrow(run, _PAIR))
 
@@ -455,26 +487,31 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """``id_col, n_shingles, component_id, kept`` of every row."""
     prof = materialize(profiles(docs, id_col, text_col, width))
     nodes = _nodes(prof)
-    branches_, crowded = grow(nodes, trees_for(recall), percent)
+    scratch = Scratch(docs.sparkSession)
+    branches_, crowded = grow(nodes, trees_for(recall), percent, scratch)
     small = _union(branches_)
     crowds = materialize(_union(crowded)) if crowded else None
     if crowds is not None and crowds.isEmpty():
         crowds = None
-    near = materialize(candidates(nodes, small, crowds, percent))
+    found = scratch.store(in_branches(nodes, small, percent))
+    near = materialize(_distinct(found if crowds is None else found.unionByName(in_blocks(nodes, crowds, percent))))
     first = materialize(_nearest(near))
     ends = [near.select(F.col(c).alias("node")) for c in ("a", "b")] + ([crowds.select("node")] if crowds is not None else [])
-    # whatever may be compared later has a candidate now: it is the nearest of its branch to some member
     sets = full_sets(docs, nodes, _union(ends).distinct(), id_col, text_col, width)
     links = materialize(verify(first, sets, percent))
     labels = components(links)
     rest = materialize(_apart(near.select("a", "b"), labels))
     links = materialize(links.unionByName(verify(_untried(rest, first), sets, percent)))
     labels = materialize(components(links))
-    more = between(nodes, small, labels, percent)
+    # what has no candidate in a branch has none there later either
+    active = found.select("path", F.explode(F.array("a", "b")).alias("node")).distinct()
+    more = between(nodes, active, labels, percent)
     if crowds is not None:
         more = _distinct(more.unionByName(strangers(nodes, crowds, labels, percent)))
     tried = first.unionByName(rest)
-    links = links.unionByName(verify(_untried(more.select("a", "b"), tried), sets, percent))
+    links = materialize(links.unionByName(verify(_untried(more.select("a", "b"), tried), sets, percent)))
+    for table in [*scratch.paths]:
+        scratch.remove(table)
     return _result(prof, nodes, components(links), id_col)
 
 

@@ -24,6 +24,7 @@ from sparkpairs.functions.text import SENTENCE_RE, TOKEN_RE, WORD_RE
 from sparkpairs.operators.errors import ErrorConfig
 from sparkpairs.plans import registry as R
 from sparkpairs.plans.oracle_errors import insert_errors_sql, q, single_error_sql
+from sparkpairs.plans.oracle_html import html_sql
 from sparkpairs.sources.html import HTML_RULES
 
 NL = "chr(10)"
@@ -385,7 +386,8 @@ def _pages() -> dict[str, str]:
         rep_sql = rep.replace("$1", "\\1").replace("$2", "\\2")
         expr = f"regexp_replace({expr}, {lit(pat) if chr(10) not in pat else q(pat)}, {lit(rep_sql)}, 'g')"
     return {
-        "html_to_markdown": f"SELECT page_id, {strip(expr)} AS markdown FROM pages",
+        "html_to_markdown": html_sql(),
+        "html_rules": f"SELECT page_id, {strip(expr)} AS markdown FROM pages",
         "chapter_names": (f"SELECT page_id, translate(regexp_extract(url, {q(r'^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/([^?#]*)')}, 1), "
                           f"'/\\', '__') || '.md' AS chapter FROM pages"),
     }

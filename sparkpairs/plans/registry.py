@@ -27,6 +27,7 @@ from sparkpairs.plans import corpus
 from sparkpairs.plans import fixtures as fx
 from sparkpairs.session import materialize, spread
 from sparkpairs.sources.html import chapter_file_name, html_to_markdown, item_name_from_url
+from sparkpairs.sources.html_parser import html_documents
 
 SEED = 42
 SYSTEM_PROMPT = EXPORT_FALLBACK_PROMPT
@@ -471,6 +472,11 @@ def q_rung_survivors(spark, d):
 
 # ---------------------------------------------------------------- pages
 def q_html_to_markdown(spark, d):
+    return html_documents(fx.table(spark, d, "pages").select("page_id", "html"), ["page_id"])
+
+
+def q_html_rules(spark, d):
+    """The one-column rule chain, which also runs on streams."""
     pages = spread(fx.table(spark, d, "pages"), "page_id")
     return pages.select("page_id", html_to_markdown("html").alias("markdown"))
 
@@ -540,5 +546,6 @@ QUERIES = {
     "best_trial": q_best_trial,
     "rung_survivors": q_rung_survivors,
     "html_to_markdown": q_html_to_markdown,
+    "html_rules": q_html_rules,
     "chapter_names": q_chapter_names,
 }

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkpairs.sources.html import chapter_file_name, html_to_markdown
+from sparkpairs.sources.html import chapter_file_name
+from sparkpairs.sources.html_parser import html_documents
 
 ITEM_SCHEMA = "source string, item_name string, html string, error string"
 DOCUMENT_TYPE = "application/xhtml+xml"
@@ -63,6 +64,6 @@ def read_epub(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def epub_to_markdown(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Stage 1 of the corpus build: ``source, chapter, text`` per readable document item
     (``read_epub`` lists the others with their errors)."""
-    items = read_epub(spark, paths).filter("error IS NULL")
-    return items.select("source", chapter_file_name("item_name").alias("chapter"),
-                        html_to_markdown("html").alias("text"))
+    items = read_epub(spark, paths).filter("error IS NULL").select("source", "item_name", "html")
+    texts = html_documents(items, ["source", "item_name"], out="text")
+    return texts.select("source", chapter_file_name("item_name").alias("chapter"), "text")
