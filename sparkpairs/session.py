@@ -8,12 +8,19 @@ tests). Lineage is cut with reliable ``checkpoint()``, never ``localCheckpoint``
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Nodes of a logical plan that run behind an exchange (``Repartition n, false`` is a coalesce).
+_EXCHANGES = re.compile(r"^[ :+-]*(Aggregate|Join|Window|WindowGroupLimit|Sort|GlobalLimit|Distinct|Except|Intersect|RepartitionByExpression|"
+                        r"RebalancePartitions|RepartitionById|Repartition [0-9]+, true)\b", re.MULTILINE)
+
 _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -45,9 +52,25 @@ def get_session(app: str = "sparkpairs", master: str | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, so that it need not be installed on the executors or lie in
+    the folder the driver was started from. A context gets it once."""
+    context = spark.sparkContext
+    if getattr(context, "_sparkpairs_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="sparkpairs-code-"), f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(archive)  # read by the driver, which hands it to the executors
+    context._sparkpairs_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a scratch one only if unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -102,11 +125,12 @@ def spread(df: DataFrame, key: str | list[str], per_core: int = 4) -> DataFrame:
     is narrower than the cluster (few large files or row groups).
 
     Decided at plan time from the scan's partition count: on a large input the
-    scan is already wide and no shuffle is added.
+    scan is already wide and no shuffle is added. An input that comes out of a join, an aggregate or another
+    exchange is left as it is: its partitions would be known only after running it, which this never does.
     """
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= want:
+    if _EXCHANGES.search(df._jdf.queryExecution().optimizedPlan().toString()) or df.rdd.getNumPartitions() >= want:
         return df
     keys = [key] if isinstance(key, str) else list(key)
     return df.repartition(want, *keys)

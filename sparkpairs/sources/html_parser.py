@@ -41,11 +41,16 @@ def _attribute(token: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(token, found, i) for i in (1, 2, 3)])
 
 
+def _table(values: dict[str, str]) -> Column:
+    """A constant map, as one literal."""
+    text = "\x02".join(f"{k}\x03{v}" for k, v in values.items())
+    return F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x03"))
+
+
 def _character(code: Column) -> Column:
     """The character of a code point; U+FFFD for what is none. Codes 128 to 159 are those of Windows-1252, as browsers read them."""
-    old = {i: ord(bytes([i]).decode("cp1252")) for i in range(128, 160) if bytes([i]).decode("cp1252", "ignore")}
-    table = F.create_map(*[F.lit(x) for pair in old.items() for x in pair])
-    code = F.coalesce(F.try_element_at(table, code.cast("int")), code.cast("int"))
+    old = _table({str(i): str(ord(c)) for i in range(128, 160) if (c := bytes([i]).decode("cp1252", "ignore"))})
+    code = F.coalesce(F.try_element_at(old, code.cast("string")).cast("int"), code)
     bad = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | code.isNull()
     good = F.when(bad, F.lit(0xFFFD)).otherwise(code)
     return F.decode(F.unhex(F.lpad(F.hex(good), 8, "0")), "UTF-32")
@@ -53,7 +58,7 @@ def _character(code: Column) -> Column:
 
 def decode_references(text: Column) -> Column:
     """Character references of a text as characters; unknown names stay as they are."""
-    named = F.create_map(*[F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (name, chr(code))])
+    named = _table({name: chr(code) for name, code in {**name2codepoint, "apos": 39}.items()})
 
     def one(piece: Column) -> Column:
         name = F.substring(piece, 2, 40)
@@ -122,22 +127,24 @@ def html_documents(pages: DataFrame, key_cols: list[str], html_col: str = "html"
     inline = {"bold": ("b", "strong"), "italic": ("i", "em"), "code": ("code", "tt", "kbd", "samp"), "link": ("a",)}
     signs = {"bold": "**", "italic": "*", "code": "`"}
     plain = F.col("pre") == 0
-    href = decode_references(_attribute(F.col("token"), "href"))
+    address = F.when(F.col("tag") == "a", _attribute(F.col("token"), "href")).otherwise(_attribute(F.col("token"), "src"))
+    t = t.withColumns({"words": F.when(F.col("tag") == "", decode_references(F.col("token"))),
+                       "target": F.when(F.col("opens") & F.col("tag").isin("a", "img"), decode_references(address)),
+                       "alt": F.when(F.col("opens") & (F.col("tag") == "img"), decode_references(_attribute(F.col("token"), "alt")))})
     is_link = (F.col("tag") != "a") | F.col("closes") | (F.regexp_count("token", F.lit(r"(?i)[\s'\"/]href\s*=")) > 0)
     t = t.withColumns({f"s_{k}": F.sum(change(*tags, where=plain & is_link)).over(b) for k, tags in inline.items()})
     t = t.withColumns({k: _clamped(f"s_{k}", b) for k in inline}).drop(*[f"s_{k}" for k in inline])
     before = Window.partitionBy(*keys, "block").orderBy("pos")
     t = t.withColumns({f"was_{k}": F.coalesce(F.lag(k).over(before), F.lit(0)) for k in inline})
-    t = t.withColumn("href", F.last(F.when(F.col("opens") & (F.col("tag") == "a") & (F.col("link") > F.col("was_link")), href), ignorenulls=True).over(b))
-    target = F.concat(F.lit("]("), F.col("href"), F.lit(")"))
-    white = F.when(plain, F.regexp_replace(decode_references(F.col("token")), WHITE, " ")).otherwise(decode_references(F.col("token")))
-    alt, src = decode_references(_attribute(F.col("token"), "alt")), decode_references(_attribute(F.col("token"), "src"))
+    t = t.withColumn("href", F.last(F.when(F.col("opens") & (F.col("tag") == "a") & (F.col("link") > F.col("was_link")), F.col("target")), ignorenulls=True).over(b))
+    close = F.concat(F.lit("]("), F.col("href"), F.lit(")"))
+    white = F.when(plain, F.regexp_replace("words", WHITE, " ")).otherwise(F.col("words"))
     piece = F.when(F.col("token").isNull() | F.col("token").startswith("<!") | F.col("token").startswith("<?"), "")
     piece = piece.when(F.col("tag") == "", white)
     for k, sign in signs.items():  # marks nested in the same mark add nothing
         piece = piece.when(F.col("tag").isin(*inline[k]), F.when(((F.col(k) == 1) & (F.col(f"was_{k}") == 0)) | ((F.col(k) == 0) & (F.col(f"was_{k}") == 1)), sign).otherwise(""))
-    piece = (piece.when(F.col("tag") == "a", F.when((F.col("link") == 1) & (F.col("was_link") == 0), "[").when((F.col("link") == 0) & (F.col("was_link") == 1), target).otherwise(""))
-             .when(F.col("opens") & (F.col("tag") == "img") & (src != ""), F.concat(F.lit("!["), alt, F.lit("]("), src, F.lit(")")))
+    piece = (piece.when(F.col("tag") == "a", F.when((F.col("link") == 1) & (F.col("was_link") == 0), "[").when((F.col("link") == 0) & (F.col("was_link") == 1), close).otherwise(""))
+             .when(F.col("opens") & (F.col("tag") == "img") & (F.col("target") != ""), F.concat(F.lit("!["), "alt", F.lit("]("), "target", F.lit(")")))
              .when((F.col("tag") == "br") & F.col("opens"), F.when(plain, BREAK).otherwise("\n"))
              .when((F.col("tag") == "hr") & F.col("opens") & F.col("free"), "---")
              .when(F.col("tag").isin("td", "th") & F.col("opens") & (F.col("table") == 1), CELL)
@@ -157,7 +164,7 @@ def html_documents(pages: DataFrame, key_cols: list[str], html_col: str = "html"
         F.max("pre").alias("pre"), F.max("table").alias("table"), last("bold").alias("bold"), last("italic").alias("italic"), last("code").alias("code"),
         last("link").alias("link"), last("href").alias("href"), F.max("item").alias("item"), F.max("head").alias("head"),
         F.max(F.nullif("lang", F.lit(""))).alias("lang"), F.max("at").alias("at"))
-    body = F.concat("body", F.when(F.col("code") > 0, "`").otherwise(""), F.when(F.col("link") > 0, target).otherwise(""),
+    body = F.concat("body", F.when(F.col("code") > 0, "`").otherwise(""), F.when(F.col("link") > 0, close).otherwise(""),
                     F.when(F.col("italic") > 0, "*").otherwise(""), F.when(F.col("bold") > 0, "**").otherwise(""))
     flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, WHITE, " "), f" *{BREAK} *", "  \n"), "^[ \n]+|[ \n]+$", "")
     cells = F.transform(F.slice(F.split(F.replace(flat, F.lit("  \n"), F.lit(" ")), CELL), F.lit(2), F.lit(1 << 20)), lambda c: F.replace(F.trim(c), F.lit("|"), F.lit("\\|")))

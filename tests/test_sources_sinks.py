@@ -232,6 +232,30 @@ def test_spread(spark):
     assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism * 4
     wide = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 4)
     assert spread(wide, "id") is wide
+    # an input behind an exchange is not run to count its partitions
+    seen = spark.sparkContext.accumulator(0)
+    counted = spark.range(100).select(F.udf(lambda x: (seen.add(1), x)[1], "bigint")("id").alias("id")).groupBy("id").count()
+    assert spread(counted, "id") is counted and seen.value == 0
+
+
+def test_workers_get_the_package_outside_its_folder(tmp_out):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from sparkpairs.operators.lengths import token_lengths
+from sparkpairs.operators.evaluation import batch_correct
+from sparkpairs.session import get_session
+spark = get_session("away", master="local[2]", shuffle_partitions=2)
+df = spark.createDataFrame([("a b",)], "original string")
+print("got", batch_correct(df, lambda: (lambda texts: texts)).first().generated)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_out, env=env, capture_output=True, text=True, timeout=300)
+    assert "got a b" in run.stdout, run.stderr[-2000:]
 
 
 def test_named_entities(spark):
