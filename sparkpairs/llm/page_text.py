@@ -9,11 +9,12 @@ the best container, else what holds all <article> elements (either with the <h1>
 if that stands outside), else what holds every text of the page that is neither
 furniture nor mostly links. Votes are counted per
 host in Spark; the paths that win at least ``LEAST_SHARE`` of a host's pages
-are its consensus. Every page is then extracted again. Of its host's winning
-paths those count at which the page has its best container and every heading and
-paragraph of its own container; the one with most text on this page is taken, and
-without such a path the page's own container. All elements at the chosen path are
-extracted whole, whatever they score.
+are its consensus. Every page is then extracted again with the host's path of most
+votes that it has around its best container, so that what a page holds beside it is
+left out. Only a path that misses the page's article (``LEAST_HELD`` of the text of the
+page's own container) is passed over, and a page without any such path is extracted
+with its own container. All elements at the chosen path are extracted whole,
+whatever they score.
 
 Inside the chosen container menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out, by tag, role or class
@@ -22,11 +23,16 @@ marks furniture only as a whole: all its words are furniture words or words of
 place, one at least the former ("cookie-notice", "sidebar-left", not "no-sidebar").
 It never does on html, body, main and article, nor on an element around main, nor
 (comments apart) on one with most of the page's unlinked text unless an article is
-outside it; if all text were furniture by class name, none is.
+outside it; if all text were furniture by class name, none is. A form, a hidden element or
+one with the role of a dialog or form is furniture unless it is around main or around most of the
+page's unlinked headings and paragraphs (a page that a script shows, or wrapped in one form); a header
+inside the article that holds its <h1> belongs to it; a <label> is furniture inside a form.
 
 The table of winning paths is broadcast after its size was checked; beyond
 ``BROADCAST_ROWS`` hosts it is joined by host instead.
 
+Time grows with the size of a page, at any depth; texts of any length are read whole.
+
 Edge cases: null or empty html and pages without text give the empty text; a
 null or odd url belongs to the empty host; unclosed or unknown tags are read the
 way browsers do; repeated rows are extracted one by one; an empty table gives an
@@ -50,6 +56,7 @@ from sparkpairs.llm.common import free_name, plain, slices
 from sparkpairs.session import materialize
 
 LEAST_SHARE = 0.1
+LEAST_HELD = 0.5         # of the text of a page's own container, that the host's path holds
 MOST_PATHS = 10          # paths of one host that reach LEAST_SHARE: ten at most
 BROADCAST_ROWS = 50_000  # hosts; each row holds ten paths at most
 PATH_CHARS = 1000        # longer paths are named by their innermost part and a digest of the whole
@@ -62,9 +69,11 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
 form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td
 tfoot th thead tr ul""".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption ul ol dl summary address hgroup tr td th tbody thead tfoot".split())
-SKIP_TAGS = frozenset("""head nav header footer aside form button select option menu dialog script style noscript template iframe
-textarea title svg math canvas audio video object embed noembed noframes xmp label fieldset legend input""".split())
-SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+SKIP_TAGS = frozenset("""head nav header footer aside button select option menu script style noscript template iframe
+textarea title svg math canvas audio video object embed noembed noframes xmp label legend input""".split())
+STATE_TAGS = frozenset("form fieldset dialog".split())
+SKIP_ROLES = frozenset("navigation banner contentinfo complementary search alert menu menubar toolbar".split())
+STATE_ROLES = frozenset("form dialog alertdialog".split())
 SKIP_WORDS = frozenset("""ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion
 nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc
 header masthead topbar footer colophon copyright sidebar sidebars aside rail widget widgets related recommended recommendations
@@ -86,8 +95,9 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"[a-z]+")
 
 
-# What marks an element as page furniture; the last two are withdrawn where they would take the article.
-NOT, FIRMLY, BY_COMMENT_WORD, BY_WORD = range(4)
+# What marks an element as page furniture; the last three are withdrawn where they would take the article.
+NOT, FIRMLY, BY_COMMENT_WORD, BY_WORD, BY_STATE = range(5)
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 article main blockquote pre li dd".split())
 
 
 def by_word(names: str) -> int:
@@ -110,9 +120,11 @@ def element(tag: str, attrs: str) -> tuple[str, int]:
             found.setdefault(name, value.strip("\"'"))
     names = found.get("class", "")
     style = found.get("style", "").replace(" ", "").lower()
-    firmly = (tag in SKIP_TAGS or found.get("role", "").lower() in SKIP_ROLES
-              or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style)
-    skip = FIRMLY if firmly else NOT if tag in NEVER_BY_WORD else by_word(f"{names} {found.get('id', '')}")
+    role = found.get("role", "").lower()
+    state = (tag in STATE_TAGS or role in STATE_ROLES
+             or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style)
+    skip = (FIRMLY if tag in SKIP_TAGS or role in SKIP_ROLES else BY_STATE if state
+            else NOT if tag in NEVER_BY_WORD else by_word(f"{names} {found.get('id', '')}"))
     classes = sorted({c for c in (re.sub(r"\d+", "", x) for x in names.lower().split()) if c})
     return ".".join([tag, *classes]), skip
 
@@ -128,8 +140,11 @@ class Page:
         self.texts: list[str] = []
         self.owners: list[int] = []   # element of each block
         self.linked: list[int] = []   # characters of the block inside links
+        self.paths: list[str] = []
         self._parse(source)
+        self._index()
         self._withdraw()
+        self._count()
 
     def _parse(self, source: str) -> None:
         stack = [0]
@@ -222,10 +237,12 @@ class Page:
                 continue
             if attrs.rstrip().endswith("/") and tag in ("svg", "path"):
                 continue
+            if tag == "label" and skip == FIRMLY and not any(self.tags[e] == "form" for e in stack):
+                skip = NOT
             if skip and tag not in BLOCK:
                 # furniture inside a line: its text is kept apart from the block around it
                 end = self._past(source, at, tag)
-                if skip == FIRMLY or not _BLOCK_TAG.search(source, at, end):
+                if skip in (FIRMLY, BY_STATE) or not _BLOCK_TAG.search(source, at, end):
                     at = end
                     continue
             self.tags.append(tag)
@@ -252,82 +269,113 @@ class Page:
         nxt = _BLOCK_TAG.search(source, at)
         return nxt.start() if nxt else len(source)
 
+    def _index(self) -> None:
+        """Elements are numbered as they open, so those inside ``e`` are ``e`` to ``last[e]``."""
+        n = len(self.tags)
+        self.last = list(range(n))
+        for e in range(n - 1, 0, -1):
+            up = self.parents[e]
+            self.last[up] = max(self.last[up], self.last[e])
+        self.outermost: dict[str, list[int | None]] = {t: [None] * n for t in ("article", "main", "h1")}
+        for tag, out in self.outermost.items():
+            for e in range(1, n):
+                out[e] = up if (up := out[self.parents[e]]) is not None else e if self.tags[e] == tag else None
+        self.lists = self._link_lists()
+
+    def _inside(self, per_element: list[float]) -> list[float]:
+        """Sums over an element and all inside it."""
+        out = list(per_element)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parents[e]] += out[e]
+        return out
+
+    def _count(self) -> None:
+        """Furniture marks on the way from the root to each element."""
+        self.marks = [0] * len(self.tags)
+        for e in range(1, len(self.tags)):
+            self.marks[e] = self.marks[self.parents[e]] + (bool(self.skips[e]) or e in self.lists)
+
     def _withdraw(self) -> None:
-        """Class names do not make furniture of an element that holds the article."""
+        """Class names and states do not make furniture of an element that holds the article."""
+        n = len(self.tags)
+        for e in range(1, n):  # the article's own header
+            if self.tags[e] == "header" and self.skips[e] == FIRMLY and (self.outermost["article"][e] or self.outermost["main"][e]):
+                if any(self.tags[x] == "h1" for x in range(e, self.last[e] + 1)):
+                    self.skips[e] = NOT
         named = [e for e, skip in enumerate(self.skips) if skip > FIRMLY]
         if not named:
             return
         for e, tag in enumerate(self.tags):
             if tag == "main":
-                for a in self._above(e):
-                    if self.skips[a] > FIRMLY:
-                        self.skips[a] = NOT
-        lists = self.link_lists()
-        inside = dict.fromkeys(named, 0)  # unlinked characters
-        article = dict.fromkeys(named, 0)  # those of them in articles
-        whole = in_articles = 0
+                while e > 0:
+                    self.skips[e] = FIRMLY if self.skips[e] == FIRMLY else NOT
+                    e = self.parents[e]
+        firm, prose = [False] * n, [False] * n
+        for e in range(1, n):
+            firm[e] = firm[self.parents[e]] or self.skips[e] == FIRMLY or e in self.lists
+            prose[e] = prose[self.parents[e]] or self.tags[e] in PROSE
+        unlinked, article, told = [0] * n, [0] * n, [0] * n
         for text, owner, linked in zip(self.texts, self.owners, self.linked, strict=True):
-            above = self._above(owner)
-            if any(self.skips[e] == FIRMLY or e in lists for e in above):
-                continue
-            n = len(text) - linked
-            # an article in furniture (a reader's comment, a teaser) is no sign of the page's article elsewhere
-            a = n if any(self.tags[e] in ("article", "main") for e in above) else 0
-            whole, in_articles = whole + n, in_articles + a
-            for e in above:
-                if e in inside:
-                    inside[e] += n
-                    article[e] += a
+            if not firm[owner]:
+                size = len(text) - linked
+                unlinked[owner] += size
+                told[owner] += size * prose[owner]
+                # an article in furniture (a reader's comment, a teaser) is no sign of the page's article elsewhere
+                if self.outermost["article"][owner] is not None or self.outermost["main"][owner] is not None:
+                    article[owner] += size
+        unlinked, article, told = self._inside(unlinked), self._inside(article), self._inside(told)
         for e in named:
-            if self.skips[e] == BY_WORD and 2 * inside[e] > whole and article[e] == in_articles:
+            most = 2 * (told if self.skips[e] == BY_STATE else unlinked)[e] > unlinked[0]
+            if self.skips[e] in (BY_WORD, BY_STATE) and most and article[e] == article[0]:
                 self.skips[e] = NOT
-        if whole and all(self.furniture(o, 0, lists) for o in self.owners):
+        self._count()
+        if unlinked[0] and all(self.marks[o] for o in self.owners):
             for e in named:
-                self.skips[e] = self.skips[e] if self.skips[e] == FIRMLY else NOT
+                self.skips[e] = NOT if self.skips[e] in (BY_WORD, BY_COMMENT_WORD) else self.skips[e]
 
     # ------------------------------------------------------------ containers
     def path(self, e: int) -> str:
-        parts = []
-        while e > 0:
-            if self.tags[e] != "html":
-                parts.append(self.names[e])
-            e = self.parents[e]
-        path = ">".join(reversed(parts))
-        return path if len(path) <= PATH_CHARS else f"{hashlib.sha256(path.encode('utf-8', 'surrogatepass')).hexdigest()} {path[-PATH_CHARS:]}"
+        """Generalised path of an element; a long one is named by a digest of its outer part and its last name."""
+        while len(self.paths) <= e:
+            x = len(self.paths)
+            if not x or self.tags[x] == "html":
+                self.paths.append("")
+                continue
+            up = self.paths[self.parents[x]]
+            whole = f"{up}>{self.names[x]}" if up else self.names[x]
+            if len(whole) > PATH_CHARS:
+                whole = f"{hashlib.sha256(whole.encode('utf-8', 'surrogatepass')).hexdigest()} {self.names[x][-PATH_CHARS // 2:]}"
+            self.paths.append(whole)
+        return self.paths[e]
 
     def _block_parent(self, e: int) -> int:
         while e > 0 and (self.tags[e] not in BLOCK or self.tags[e] in LEAF):
             e = self.parents[e]
         return e
 
-    def link_lists(self) -> set[int]:
+    def _link_lists(self) -> set[int]:
         """Lists whose text is links, nearly all of it."""
-        total: dict[int, list[int]] = {}
+        n = len(self.tags)
+        total, links, count = [0] * n, [0] * n, [0] * n
         for text, owner, linked in zip(self.texts, self.owners, self.linked, strict=True):
-            e = owner
-            while e > 0:
-                if self.tags[e] in ("ul", "ol", "menu", "dl"):
-                    t = total.setdefault(e, [0, 0, 0])
-                    t[0] += len(text)
-                    t[1] += linked
-                    t[2] += linked > 0
-                e = self.parents[e]
-        return {e for e, (n, linked, count) in total.items() if count >= 2 and linked >= 0.8 * n}
-
-    def furniture(self, e: int, top: int, lists: set[int]) -> bool:
-        """Whether something from ``e`` up to (not including) ``top`` is page furniture."""
-        while e > top:
-            if self.skips[e] or e in lists:
-                return True
-            e = self.parents[e]
-        return e != top
+            total[owner] += len(text)
+            links[owner] += linked
+            count[owner] += linked > 0
+        total, links, count = self._inside(total), self._inside(links), self._inside(count)
+        return {e for e, tag in enumerate(self.tags) if tag in ("ul", "ol", "menu", "dl") and count[e] >= 2 and links[e] >= 0.8 * total[e]}
+
+    def holds(self, top: int, e: int) -> bool:
+        return top <= e <= self.last[top]
+
+    def furniture(self, e: int, top: int) -> bool:
+        """Whether something from ``e`` up to (not including) ``top`` is page furniture, or ``e`` is not inside ``top``."""
+        return not self.holds(top, e) or self.marks[e] > self.marks[top]
 
     def scores(self) -> dict[int, float]:
         """Score of each container that holds text outside page furniture."""
-        lists = self.link_lists()
         out: dict[int, float] = {}
         for text, owner, linked in zip(self.texts, self.owners, self.linked, strict=True):
-            if self.furniture(owner, 0, lists):
+            if self.marks[owner]:
                 continue
             gain = len(text) - 2 * linked
             c = self._block_parent(owner)
@@ -343,36 +391,15 @@ class Page:
 
     def prose(self) -> list[int]:
         """Elements of the blocks outside page furniture that are not mostly links (all such blocks are, if no other is there)."""
-        lists = self.link_lists()
-        kept = [(o, 2 * linked < len(t)) for t, o, linked in zip(self.texts, self.owners, self.linked, strict=True)
-                if not self.furniture(o, 0, lists)]
+        kept = [(o, 2 * linked < len(t)) for t, o, linked in zip(self.texts, self.owners, self.linked, strict=True) if not self.marks[o]]
         return [o for o, good in kept if good] or [o for o, _ in kept]
 
-    def _outermost(self, e: int, tag: str) -> int | None:
-        out = None
-        while e > 0:
-            if self.tags[e] == tag:
-                out = e
-            e = self.parents[e]
-        return out
-
-    def _above(self, e: int) -> set[int]:
-        """An element and those around it."""
-        out = set()
-        while e >= 0:
-            out.add(e)
-            e = self.parents[e]
-        return out
-
     def _common(self, elements: Iterable[int]) -> int:
-        first, *others = elements
-        above = self._above(first)
-        out = first
-        for e in others:
-            while e not in above:
-                e = self.parents[e]
-            out = min(out, e)  # both are around the first; the outer one was opened earlier
-        return out
+        """The lowest element around all of them."""
+        first, final = min(elements), max(elements)
+        while self.last[first] < final:
+            first = self.parents[first]
+        return first
 
     def container(self) -> int | None:
         """The lowest container that holds all of the article, None without text."""
@@ -380,14 +407,15 @@ class Page:
         if best is None:
             return None
         prose = self.prose()
-        top = self._outermost(best, "main")
-        if top is None and self._outermost(best, "article") is not None:
-            top = self._common(sorted({a for o in prose if (a := self._outermost(o, "article")) is not None} | {self._outermost(best, "article")}))
+        articles = self.outermost["article"]
+        top = self.outermost["main"][best]
+        if top is None and articles[best] is not None:
+            top = self._common({a for o in prose if (a := articles[o]) is not None} | {articles[best]})
         if top is None:
-            return self._block_parent(self._common([best, *dict.fromkeys(prose)]))
-        heads = [o for o in prose if self._outermost(o, "h1") is not None]
-        if heads and not any(top in self._above(o) for o in heads):
-            top = self._common([top, heads[0]])
+            return self._block_parent(self._common({best, *prose}))
+        heads = [o for o in prose if self.outermost["h1"][o] is not None]
+        if heads and not any(self.holds(top, o) for o in heads):
+            top = self._common({top, heads[0]})
         return top
 
     def by_path(self) -> dict[str, list[int]]:
@@ -403,21 +431,17 @@ class Page:
                 out.setdefault(self.path(e), []).append(e)
         return out
 
-    def holds(self, tops: list[int], best: int, own: int) -> bool:
-        """Whether ``tops`` hold the best container and all headings and paragraphs of the page's own container."""
-        inside = set(tops)
-        if not inside & self._above(best):
-            return False
-        for o in dict.fromkeys(self.prose()):
-            above = self._above(o)
-            if own in above and not inside & above and any(self.tags[e] in LEAF for e in above):
-                return False
-        return True
+    def held(self, tops: list[int], own: int) -> float:
+        """Share of the own container's text, furniture and links apart, that ``tops`` hold."""
+        whole = part = 0
+        for text, o, linked in zip(self.texts, self.owners, self.linked, strict=True):
+            if not self.furniture(o, own) and 2 * linked < len(text):
+                whole += len(text)
+                part += len(text) * any(self.holds(top, o) for top in tops)
+        return part / whole if whole else 0.0
 
     def extract(self, tops: list[int]) -> str:
-        lists = self.link_lists()
-        return "\n".join(t for t, o in zip(self.texts, self.owners, strict=True)
-                         if any(not self.furniture(o, top, lists) for top in tops))
+        return "\n".join(t for t, o in zip(self.texts, self.owners, strict=True) if any(not self.furniture(o, top) for top in tops))
 
 
 def vote(source: str) -> str | None:
@@ -428,21 +452,18 @@ def vote(source: str) -> str | None:
 
 
 def main_text(source: str, paths: list[str] | None) -> str:
-    """Text of a page's containers at the one of ``paths`` that holds its article and most text, else at the path of its own."""
+    """Text of a page's containers at the first of ``paths`` (most votes first) that holds its article, else at the path of its own."""
     page = Page(source)
     own = page.container()
     if own is None:
         return ""
     by_path = page.by_path()
     best = page.best()
-    chosen = None
     for path in paths or ():
-        tops = by_path.get(path)
-        if tops and page.holds(tops, best, own):
-            text = page.extract(tops)  # a text may be spread over several containers of one path
-            if chosen is None or len(text) > len(chosen):
-                chosen = text
-    return page.extract(by_path.get(page.path(own), [own])) if chosen is None else chosen
+        tops = by_path.get(path)  # a text may be spread over several containers of one path
+        if tops and any(page.holds(top, best) for top in tops) and page.held(tops, own) >= LEAST_HELD:
+            return page.extract(tops)
+    return page.extract(by_path.get(page.path(own), [own]))
 
 
 # ---------------------------------------------------------------- Spark
