@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -380,6 +381,57 @@ def test_page_text_by_hand(spark):
     assert page_text.extract(df.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>The title</h1><p>" + "A first paragraph of the article. " * 4 + "</p><p>" + "A second one follows it. " * 4 + "</p>"
+WHOLE = "The title\n" + ("A first paragraph of the article. " * 4).strip() + "\n" + ("A second one follows it. " * 4).strip()
+NAV = "<nav><ul><li><a href=/>home</a><li><a href=/x>other</a></ul></nav><footer>imprint</footer>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form id=aspnetForm action=.>{NAV}<div>{ARTICLE}</div><input type=hidden></form></body>",
+    f"<body style='display: none'>{NAV}<article>{ARTICLE}</article></body>",
+    f"<body>{NAV}<div aria-hidden=true><div class=post>{ARTICLE}</div></div></body>",
+    f"<body>{NAV}<div role=dialog>{ARTICLE}</div></body>",
+    f"<body>{NAV}<div hidden><main>{ARTICLE}</main></div></body>",
+    f"<body>{NAV}<article><header>{ARTICLE.split('<p>')[0]}</header>{ARTICLE.split('</h1>')[1]}</article></body>",
+    f"<body>{NAV}<article>{ARTICLE.replace('first', '<label>first</label>')}</article></body>",
+    f"<body>{NAV}<article>{ARTICLE}<form><label>Mail</label><input><button>Send</button><p>We mail you.</p></form></article></body>",
+    f"<body>{NAV}<article>{ARTICLE}</article><div style='display:none'><p>Hidden words.</p></div></body>",
+    f"<body>{NAV}<article>{ARTICLE}</article><div role=dialog><p>Stay with us!</p></div></body>",
+])
+def test_wrapped_pages_keep_their_article(page):
+    assert page_text.main_text(page, None) == WHOLE
+
+
+def test_the_host_decides_against_the_page(spark):
+    """Four pages vote for the post; on the fifth a shop box stands beside it, which its own container takes in."""
+    def page(i, beside=""):
+        return f"<body>{NAV}<div class=wrap><div class=post>{ARTICLE.replace('title', f'title {i}')}</div>{beside}</div></body>"
+
+    box = "<div class=delivery><p>Order before noon and we send your parcel on the same day.</p></div>"
+    rows = [(i, "http://shop.example/p", page(i)) for i in range(4)] + [(4, "http://shop.example/p", page(4, box)), (5, "http://other.example/p", page(5, box))]
+    # a page of another layout on that host keeps its whole article, although it has the host's container too
+    odd = f"<body>{NAV}<div class=wrap><div class=post><p>5 min read</p></div><div class=story>{ARTICLE}</div></div></body>"
+    rows.append((6, "http://shop.example/odd", odd))
+    assert "Order before noon" in page_text.main_text(rows[4][2], None)
+    got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == WHOLE.replace("title", f"title {i}")
+    assert "Order before noon" in got[5] and WHOLE in got[6]
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(depth):
+        source = "<body>" + "<div class=a><p>word</p>" * depth + "</div>" * depth
+        at = time.perf_counter()
+        assert page_text.main_text(source, [page_text.vote(source)]).count("word") == depth
+        return time.perf_counter() - at
+
+    seconds(100)
+    assert seconds(8000) < 16 * max(seconds(1000), 0.02)
+
+
 def test_page_columns_of_any_name_stay(spark):
     pages = spark.createDataFrame([(1, "http://h/a", PAGE, "p", "h", "o")], "page_id int, url string, html string, _paths string, _h string, _host string")
     got = page_text.extract(pages).collect()[0]
@@ -477,7 +529,7 @@ def test_model_is_a_distribution_and_scores_each_id_once(texts):
     classes = lm_score.id_classes(seen, ids)
     pairs = np.zeros((lm_score.N_CLASSES + 1, enc.size + 1), np.int64)
     pairs[-1] = seen
-    m = lm_score.fit(classes, np.append(enc.ends, True), pairs, ids, off, steps=20)
+    m, _ = lm_score.learn(lm_score.fresh(classes, np.append(enc.ends, True), pairs), ids, off, first=True)
     base = ids[:40]
     one = lambda x: m.score(np.asarray(x, np.uint32), np.array([0, len(x)]))[0]
     total = 0.0  # probability of every id after a prefix, the end included
@@ -513,19 +565,61 @@ def test_lm_classes_and_network_come_from_all_texts(spark, tmp_path):
     path = str(tmp_path / "words")
     lm_score.word_counts(df).write.parquet(path)
     words_ = spark.read.parquet(path)
+    kept = lm_score.encoded_parts(df, F.lit(True), {}, len(rows), "text", tokens.TOKENIZER).where("n_tokens IS NOT NULL").checkpoint()
     assert (lm_score.id_pairs(words_, np.zeros(enc.size + 1, np.int64), len(rows)).sum(0) == counts).all()
     text = np.repeat(np.arange(len(rows)), np.diff(off))
     feature = lm_score.beside(lm_score.id_ranks(counts)[ids], text[1:] == text[:-1])
-    assert (lm_score.corpus_beside(df, "text", lm_score.id_ranks(counts)) == feature).all()
-    classes = lm_score.corpus_classes(words_, df, len(rows))
+    assert (lm_score.corpus_beside(kept, lm_score.id_ranks(counts)) == feature).all()
+    classes = lm_score.corpus_classes(words_, kept, len(rows))
     assert (classes == lm_score.id_classes(counts, feature=feature)).all()
     pairs = lm_score.id_pairs(words_, classes, len(rows))
-    some = enc.encode(pa.array([common] * 50))  # the sample holds neither the long nor the late texts
-    m = lm_score.fit(classes, np.append(enc.ends, True), pairs, *some, steps=50)
-    after, places = lm_score.fit_all(m, df, "text")
+    some = enc.encode(pa.array([common] * 50))  # the start holds neither the long nor the late texts
+    m, _ = lm_score.learn(lm_score.fresh(classes, np.append(enc.ends, True), pairs), *some, first=True)
+    after, places = lm_score.train_blocks(m, kept, 3)
     assert places == len(ids) + len(rows)
     held = enc.encode(pa.array([late + " " + late]))
     assert after.score(*held)[0] > m.score(*held)[0]
+    again, _ = lm_score.train_blocks(m, kept.repartition(7), 3)  # blocks do not follow from partitions
+    assert all((after.p[k] == again.p[k]).all() for k in after.p)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, docs):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    one, many = ({r.doc_id: r for r in lm_score.score(docs.repartition(n), ~held).collect()} for n in (1, 9))
+    assert set(one) == set(many)
+    for d, r in one.items():
+        assert r.score == pytest.approx(many[d].score, rel=1e-5) and r.base_score == pytest.approx(many[d].base_score, rel=1e-12)
+
+
+def test_lm_score_equals_a_naive_forward_pass():
+    """One id at a time: its context, attention by loops, the softmax over classes and the share in the class."""
+    rng = np.random.default_rng(8)
+    enc = tokens.encoder(tokens.TOKENIZER)
+    texts = ["some words of a text that is longer than a window " * 4, "", "short"]
+    ids, off = enc.encode(pa.array(texts))
+    seen = np.bincount(ids, minlength=enc.size + 1)
+    classes = lm_score.id_classes(seen, ids)
+    pairs = np.zeros((lm_score.N_CLASSES + 1, enc.size + 1), np.int64)
+    pairs[-1] = seen
+    m = lm_score.fresh(classes, np.append(enc.ends, True), pairs)
+    m.p["place"] = rng.normal(0, 0.3, m.p["place"].shape).astype(np.float32)
+    got = m.score(ids, off)
+    for t in range(len(texts)):
+        own = ids[off[t]:off[t + 1]].tolist()
+        inputs, goals = [m.end, *own], [*own, m.end]
+        total = 0.0
+        for i, goal in enumerate(goals):
+            part, place = divmod(i, lm_score.STRIDE)
+            begin = part * lm_score.STRIDE - lm_score.BACK
+            x = {j: m.p["embed"][m.inputs[inputs[j]]].astype(np.float64) for j in range(max(0, begin), i + 1)}
+            q = x[i] @ m.p["q"]
+            w = {j: math.exp(q @ (x[j] @ m.p["k"]) + m.p["place"][place, j - begin]) for j in x}
+            h = sum(w[j] * (x[j] @ m.p["v"]) for j in x) / sum(w.values()) + x[i]
+            logits = h @ m.p["out"] + m.p["bias"]
+            c = classes[goal]
+            before = len(m.share) - 1 if m.starts[inputs[i]] else classes[inputs[i]]
+            total += logits[c] - math.log(np.exp(logits).sum()) + m.share[before, goal]
+        assert got[t] == pytest.approx(total / math.log(10), rel=1e-4)
 
 
 # ---------------------------------------------------------------- 10
