@@ -24,15 +24,16 @@ MARKS = ".,;:!?"
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str) -> Encoder:
-    return Encoder(name)
+def encoder(name: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    return Encoder(name, cache_words)
 
 
 class Encoder:
     """Ids by word, for one tokenizer file of the public tokenizers (their folder is
     found by the installed package, on every executor)."""
 
-    def __init__(self, name: str = TOKENIZER):
+    def __init__(self, name: str = TOKENIZER, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -66,7 +67,7 @@ class Encoder:
 
     def words(self, words: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each word."""
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > self.cache_words:
             self.cache = {"": b""}
         cache = self.cache
         found = list(map(cache.get, words))
