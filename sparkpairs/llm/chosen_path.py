@@ -9,8 +9,8 @@ child in expectation at every level. Branches with at most ``LEAF`` nodes are co
 larger ones branch again. The number of trees follows from the target recall of a pair exactly at
 the threshold (``trees_for``).
 
-A branch that keeps more than half of its parent is a crowd of near copies, which no token splits. It is
-dealt into blocks that share a few anchors.
+A branch that keeps much of its parent, with members that are alike on average, is a crowd of near
+copies, which no token splits. It is dealt into blocks that share a few anchors.
 
 Comparisons use a 256-bit sketch (two bits a token, 4.5 standard deviations of slack); what it lets
 pass is confirmed on the full sets. At first each node names its nearest two in each branch or block, and
@@ -28,6 +28,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -48,7 +49,7 @@ PERCENT = 80
 TOKENS = 128
 RECALL = 0.9999     # of a pair exactly at the threshold, by the depth below
 DEPTH = 4           # levels the recall is stated for; deeper trees go on, at a little less
-FIRST = 2           # levels branched before sizes are counted
+FIRST = 2           # levels branched from one count of sizes to the next
 MAX_DEPTH = 12      # a branch still larger than a leaf here is compared in blocks
 LEAF = 32
 BLOCK = 256
@@ -60,6 +61,9 @@ SLICE = 2 << 20
 #: Sketch places that may differ: those of a similarity of 0.6, 4.5 deviations below 0.8 at 128 tokens.
 SLACK = 0.2
 
+#: Sketch places in which the members of a crowd differ from one of them, on average, at most (a similarity of 0.5).
+CROWD_PLACES = 48
+
 _A = np.random.Generator(np.random.PCG64(12)).integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.Generator(np.random.PCG64(13)).integers(0, 2**63, TOKENS, dtype=np.uint64)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -212,7 +216,7 @@ def _roots(nodes: DataFrame, trees: int, percent: int) -> DataFrame:
 
 
 def _deeper(nodes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """Children of the branches of ``live`` (``path, node, size``)."""
+    """The branches ``FIRST`` levels below those of ``live`` (``path, node, size``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,8 +225,12 @@ def _deeper(nodes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
                 lists = part.column("paths")
                 flat = lists.flatten()
                 of = np.arange(part.num_rows).repeat(np.diff(np.asarray(lists.offsets)))
-                row, child = branches(_token_rows(part.column("tok"))[of], np.asarray(flat.field("path")).view(np.uint64), percent)
-                yield _branch_rows(part.column("node"), of[row], child, np.asarray(flat.field("size"))[row])
+                paths, sizes = np.asarray(flat.field("path")).view(np.uint64), np.asarray(flat.field("size"))
+                tok = _token_rows(part.column("tok"))
+                for _ in range(FIRST):
+                    row, paths = branches(tok[of], paths, percent)
+                    of, sizes = of[row], sizes[row]
+                yield _branch_rows(part.column("node"), of, paths, sizes)
 
     grouped = live.groupBy("node").agg(F.collect_list(F.struct("path", "size")).alias("paths")).withColumnRenamed("node", "of")
     return nodes.select("node", "tok").join(grouped, F.col("node") == F.col("of")).select("node", "tok", "paths") \
@@ -238,24 +246,47 @@ def grow(nodes: DataFrame, trees: int, percent: int, scratch: Scratch) -> tuple[
     """Small branches (``path, node``) and crowds (``path, node, size``) of all levels."""
     small, crowds = [], []
     children = _roots(nodes, trees, percent)
-    for depth in range(FIRST, MAX_DEPTH + 1):
+    for depth in range(FIRST, MAX_DEPTH + 1, FIRST):
         children = scratch.store(children)
         sizes = children.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("path", "p")
         kept = scratch.store(children.join(sizes, F.col("path") == F.col("p")).select("path", "node", "size", "parent"))
         scratch.drop(children)
         small.append(kept.where(F.col("size") <= LEAF).select("path", "node"))
-        dense = F.lit(depth == MAX_DEPTH) | ((F.col("parent") > 0) & (2 * F.col("size") > F.col("parent")))
         large = kept.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        crowds.append(large.where(dense).select("path", "node", "size"))
-        live = large.where(~dense)
-        if depth == MAX_DEPTH or live.isEmpty():
-            break
+        live = large
+        if depth > FIRST:
+            marked = scratch.store(_with_crowds(nodes, large, depth == MAX_DEPTH))
+            crowds.append(marked.where("crowd").select("path", "node", "size"))
+            live = marked.where("NOT crowd").select("path", "node", "size")
+            if live.isEmpty():
+                break
         children = _deeper(nodes, live, percent)
     return small, crowds
 
 
+def _with_crowds(nodes: DataFrame, large: DataFrame, all_: bool) -> DataFrame:
+    """Rows of large branches with whether the branch is a crowd: more than 0.4 of its parent, and its members
+    on average like their first (what shares no more than a passage is split by further tokens)."""
+    if all_:
+        return large.withColumn("crowd", F.lit(True))
+    dense = large.where(5 * F.col("size") > 2 * F.col("parent"))
+    at = nodes.select(F.col("node").alias("of"), *SKETCH)
+    first = dense.groupBy("path").agg(F.min("node").alias("leader")).withColumnRenamed("path", "p")
+    first = first.join(at.select("of", *[F.col(c).alias(f"l{c}") for c in SKETCH]), F.col("leader") == F.col("of")).drop("of", "leader")
+    places = sum(F.bit_count(F.col(a).bitwiseXOR(F.col(f"l{a}")).bitwiseOR(F.col(b).bitwiseXOR(F.col(f"l{b}")))) for a, b in (("s0", "s2"), ("s1", "s3")))
+    like = (dense.join(at, F.col("node") == F.col("of")).join(first, F.col("path") == F.col("p"))
+            .groupBy("path").agg(F.avg(places).alias("far")).where(F.col("far") <= CROWD_PLACES).select(F.col("path").alias("q"), F.lit(True).alias("is")))
+    return large.join(like, F.col("path") == F.col("q"), "left").select("path", "node", "size", F.coalesce("is", F.lit(False)).alias("crowd"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished phases, which it does once the driver drops their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables of one run, written as Parquet in the shared folder (smaller than checkpoints, whose rows are
     not compressed) and removed when they are of no more use."""
@@ -314,7 +345,7 @@ def _fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _compare(cells: DataFrame, percent: int) -> DataFrame:
-    """Candidates inside each cell. Cells without labels: each node's nearest ones; with: all pairs of different labels."""
+    """``path, a, b, far``: each node's nearest candidates inside its cell."""
     limit = most_differing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,15 +354,12 @@ def _compare(cells: DataFrame, percent: int) -> DataFrame:
             for m in _members(batch):
                 d = _differing(m["sketch"], m["sketch"]).astype(np.int64)
                 ok = (d <= limit) & _fits(m["n"], m["n"], percent)
-                if "label" in m:
-                    i, j = np.nonzero(np.triu(ok & (m["label"][:, None] != m["label"][None, :]), 1))
-                else:
-                    np.fill_diagonal(ok, False)
-                    rank = np.where(ok, d, 1 << 20)
-                    j = np.argsort(rank, axis=1, kind="stable")[:, :NEAREST]
-                    i = np.repeat(np.arange(len(d)), j.shape[1])
-                    j = j.ravel()
-                    i, j = i[ok[i, j]], j[ok[i, j]]
+                np.fill_diagonal(ok, False)
+                rank = np.where(ok, d, 1 << 20)
+                j = np.argsort(rank, axis=1, kind="stable")[:, :NEAREST]
+                i = np.repeat(np.arange(len(d)), j.shape[1])
+                j = j.ravel()
+                i, j = i[ok[i, j]], j[ok[i, j]]
                 a.append(m["node"][i])
                 b.append(m["node"][j])
                 far.append(d[i, j])
@@ -379,44 +407,77 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(at, F.col("node") == F.col("l"), "left").select("path", "node", F.coalesce("component", "node").alias("label"))
 
 
-def between(nodes: DataFrame, small: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidates between members of a branch (``small``: those that have a candidate in it) that are in different components."""
+_LISTS = "cell bigint, a array<bigint>, b array<bigint>"
+
+
+def _lists(a: np.ndarray, b: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """Pairs as one row per cell: nodes are dealt into blocks by hash, a cell is a pair of blocks."""
+    x, y = np.minimum(a, b), np.maximum(a, b)
+    of = [(mix(v.view(np.uint64)) % np.uint64(blocks)).astype(np.int64) for v in (x, y)]
+    cell = of[0] * blocks + of[1]
+    order = np.argsort(cell, kind="stable")
+    cells, starts = np.unique(cell[order], return_index=True)
+    off = pa.array([*starts.tolist(), len(order)], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *[pa.ListArray.from_arrays(off, pa.array(v[order], pa.int64())) for v in (x, y)]],
+                                      names=["cell", "a", "b"])
+
+
+def between(nodes: DataFrame, small: DataFrame, labels: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """Candidates between members of a branch (``small``: those that have a candidate in it) that are in
+    different components, listed by cell (``_lists``)."""
+    limit = most_differing(percent)
     marked = _labelled(small, labels)
     mixed = marked.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("path").alias("p"))
     rows = marked.join(mixed, F.col("path") == F.col("p"), "left_semi")
-    return _distinct(_compare(_listed(rows, nodes, ["path"], ["label"]), percent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            a, b = [none], [none]
+            for m in _members(batch):
+                ok = (_differing(m["sketch"], m["sketch"]) <= limit) & _fits(m["n"], m["n"], percent) & (m["label"][:, None] != m["label"][None, :])
+                i, j = np.nonzero(np.triu(ok, 1))
+                a.append(m["node"][i])
+                b.append(m["node"][j])
+            yield _lists(np.concatenate(a), np.concatenate(b), blocks)
+
+    return _listed(rows, nodes, ["path"], ["label"]).mapInArrow(run, _LISTS)
 
 
 def strangers(nodes: DataFrame, crowds: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidates between the members of a crowd outside its largest component and all its members."""
+    """Candidates between the members of a crowd outside its largest component and all its members, listed by
+    cell. Crowds with one largest component (those of several trees are much the same) are one."""
     limit = most_differing(percent)
     marked = materialize(_labelled(crowds, labels))
     per = marked.groupBy("path", "label").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("path").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("c")) \
-        .where("size > c").select(F.col("path").alias("p"), "main", F.ceil((F.col("size") - F.col("c")) / BLOCK).alias("kr"),
-                                  F.ceil(F.col("size") / BLOCK).alias("ks"))
-    full = marked.join(main, F.col("path") == F.col("p"))
+        .where("size > c").select(F.col("path").alias("p"), "main")
+    full = materialize(marked.join(main, F.col("path") == F.col("p")).select(F.col("main").alias("path"), "node", "label").distinct())
+    parts = full.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ks"), F.ceil(F.count_if(F.col("label") != F.col("path")) / BLOCK).alias("kr"))
+    full = full.join(parts.withColumnRenamed("path", "p"), F.col("path") == F.col("p"))
     zero = F.lit(0).cast("bigint")
-    few = full.where("label <> main").withColumn("r", F.pmod(F.xxhash64("node"), "kr")).withColumn("s", F.explode(F.sequence(zero, F.col("ks") - 1)))
+    few = full.where("label <> path").withColumn("r", F.pmod(F.xxhash64("node"), "kr")).withColumn("s", F.explode(F.sequence(zero, F.col("ks") - 1)))
     all_ = full.withColumn("s", F.pmod(F.xxhash64("node"), "ks")).withColumn("r", F.explode(F.sequence(zero, F.col("kr") - 1)))
     cols = ["path", "node", "label", "r", "s"]
     rows = few.select(*cols, F.lit(True).alias("few")).unionByName(all_.select(*cols, F.lit(False).alias("few")))
+    rows = rows.withColumn("path", F.xxhash64("path", "r", "s")).drop("r", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path, a, b, far = [], [], [], []
+            cells, a, b = [], [], []
             for m in _members(batch):
                 x, y = np.flatnonzero(m["few"]), np.flatnonzero(~m["few"])
-                d = _differing(m["sketch"][x], m["sketch"][y]).astype(np.int64)
-                ok = (d <= limit) & _fits(m["n"][x], m["n"][y], percent) & (m["label"][x][:, None] != m["label"][y][None, :])
-                i, j = np.nonzero(ok)
-                a.append(m["node"][x[i]])
-                b.append(m["node"][y[j]])
-                far.append(d[i, j])
-                path.append(np.full(len(i), m["path"]))
-            yield _pairs(path, a, b, far)
+                ok = (_differing(m["sketch"][x], m["sketch"][y]) <= limit) & _fits(m["n"][x], m["n"][y], percent)
+                i, j = np.nonzero(ok & (m["label"][x][:, None] != m["label"][y][None, :]))
+                u, v = m["node"][x[i]], m["node"][y[j]]
+                cells.append(m["path"])
+                a.append(np.minimum(u, v))
+                b.append(np.maximum(u, v))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(a, lists), pa.array(b, lists)], names=["cell", "a", "b"])
 
-    return _distinct(_listed(rows, nodes, ["path", "r", "s"], ["label", "few"]).mapInArrow(run, _PAIR))
+    found = _listed(rows, nodes, ["path"], ["label", "few"]).mapInArrow(run, _LISTS)
+    return found.where(F.size("a") > 0)
 
 
 # ---------------------------------------------------------------- full sets
@@ -447,23 +508,55 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str,
     return materialize(made.join(of, F.col("digest") == F.col("d")).groupBy("node").agg(F.first("hashes").alias("hashes")))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of the pairs whose full sets are similar enough."""
+#: Bytes of sets that a block of nodes holds on average, at most.
+BLOCK_BYTES = 8 << 20
 
-    @F.arrow_udf("boolean")
-    def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x, y in batches:
-            out = []
-            for p, q in zip(x, y, strict=True):
-                u, v = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                out.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.array(out, pa.bool_())
 
-    left = sets.select(F.col("node").alias("l"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("r"), F.col("hashes").alias("y"))
-    full = pairs.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
-    return full.where(similar("x", "y")).select("a", "b")
+def blocks_of(sets: DataFrame) -> int:
+    """Blocks that the nodes are dealt into: of ``BLOCK`` nodes, fewer if their sets are large."""
+    n, size = sets.agg(F.count(F.lit(1)), F.sum(F.octet_length("hashes"))).first()
+    return max(1, n // BLOCK, (size or 0) // BLOCK_BYTES)
+
+
+def by_cell(pairs: DataFrame, blocks: int) -> DataFrame:
+    """Pairs ``a, b`` listed by cell."""
+    x, y = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in ("a", "b"))
+    grouped = pairs.groupBy((x * blocks + y).cast("bigint").alias("cell")).agg(F.collect_list(F.struct("a", "b")).alias("p"))
+    return grouped.select("cell", F.transform("p", lambda p: p["a"]).alias("a"), F.transform("p", lambda p: p["b"]).alias("b"))
+
+
+def verify(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the pairs whose full sets are similar enough.
+
+    A set goes once to each cell that has a pair of its node; a cell holds the sets of two blocks at most."""
+    need = lists.select("cell", F.explode(F.array_distinct(F.concat("a", "b"))).alias("of")).distinct()
+    none = F.lit(None)
+    held = need.join(sets, F.col("of") == F.col("node")).select("cell", F.lit(0).alias("kind"), "node", "hashes",
+                                                                none.cast("array<bigint>").alias("a"), none.cast("array<bigint>").alias("b"))
+    rows = held.unionByName(lists.select("cell", F.lit(1).alias("kind"), none.cast("bigint").alias("node"), none.cast("binary").alias("hashes"), "a", "b"))
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, found, seen = None, {}, set()
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            kinds, cells = b.column("kind").to_pylist(), b.column("cell").to_pylist()
+            for i, (kind, c) in enumerate(zip(kinds, cells, strict=True)):
+                if c != cell:
+                    cell, found, seen = c, {}, set()
+                if kind == 0:
+                    found[b.column("node")[i].as_py()] = np.frombuffer(b.column("hashes")[i].as_py(), np.uint64)
+                    continue
+                for x, y in set(zip(b.column("a")[i].as_py(), b.column("b")[i].as_py(), strict=True)) - seen:
+                    seen.add((x, y))
+                    u, v = found[x], found[y]
+                    both = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
+                    if 100 * both >= percent * (len(u) + len(v) - both):
+                        out.append((x, y))
+            a, z = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+
+    return rows.repartition(n, "cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "a bigint, b bigint")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -487,7 +580,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """``id_col, n_shingles, component_id, kept`` of every row."""
     prof = materialize(profiles(docs, id_col, text_col, width))
     nodes = _nodes(prof)
-    scratch = Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     branches_, crowded = grow(nodes, trees_for(recall), percent, scratch)
     small = _union(branches_)
     crowds = materialize(_union(crowded)) if crowded else None
@@ -498,20 +592,23 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     first = materialize(_nearest(near))
     ends = [near.select(F.col(c).alias("node")) for c in ("a", "b")] + ([crowds.select("node")] if crowds is not None else [])
     sets = full_sets(docs, nodes, _union(ends).distinct(), id_col, text_col, width)
-    links = materialize(verify(first, sets, percent))
+    blocks = blocks_of(sets)
+    release(spark)
+    links = materialize(verify(by_cell(first, blocks), sets, percent))
     labels = components(links)
-    rest = materialize(_apart(near.select("a", "b"), labels))
-    links = materialize(links.unionByName(verify(_untried(rest, first), sets, percent)))
+    rest = materialize(_untried(_apart(near.select("a", "b"), labels), first))
+    links = materialize(links.unionByName(verify(by_cell(rest, blocks), sets, percent)))
     labels = materialize(components(links))
+    release(spark)
     # what has no candidate in a branch has none there later either
     active = found.select("path", F.explode(F.array("a", "b")).alias("node")).distinct()
-    more = between(nodes, active, labels, percent)
+    more = between(nodes, active, labels, percent, blocks)
     if crowds is not None:
-        more = _distinct(more.unionByName(strangers(nodes, crowds, labels, percent)))
-    tried = first.unionByName(rest)
-    links = materialize(links.unionByName(verify(_untried(more.select("a", "b"), tried), sets, percent)))
+        more = more.unionByName(strangers(nodes, crowds, labels, percent))
+    links = materialize(links.unionByName(verify(scratch.store(more), sets, percent)))
     for table in [*scratch.paths]:
         scratch.remove(table)
+    release(spark)
     return _result(prof, nodes, components(links), id_col)
 
 
