@@ -61,13 +61,15 @@ def join_paragraphs(arr, sep: str = "\n\n") -> Column:
 def sentences(text, splitter_factory=None) -> Column:
     """sentence pieces; ``array_join(pieces, '') == text``.
 
-    By default a rule (a regex, JVM-side). ``splitter_factory`` plugs in a
-    user segmenter: it returns ``split(texts) -> list of piece lists`` and is
+    By default a rule (a regex, JVM-side). ``splitter_factory`` may be ``segments.Abbreviations`` learnt from
+    the corpus (built-in functions too), or plugs in a user segmenter: it returns ``split(texts) -> list of piece lists`` and is
     loaded once per Python worker, running on Arrow batches. Pieces must
     concatenate back to the text (whitespace stays attached).
     """
     if splitter_factory is None:
         return F.regexp_extract_all(col_(text), F.lit(SENTENCE_RE), 0)
+    if hasattr(splitter_factory, "sentences"):
+        return splitter_factory.sentences(col_(text))
     return _user_sentences(col_(text), splitter_factory)
 
 

@@ -20,7 +20,7 @@ from sparkpairs.functions.constants import (
     DEFAULT_SEED,
     DEFAULT_TEST_SIZE,
 )
-from sparkpairs.operators import chunking, errors, pairs, sampling
+from sparkpairs.operators import chunking, errors, pairs, sampling, segments
 from sparkpairs.session import materialize, spread
 from sparkpairs.sinks import writers
 
@@ -37,16 +37,17 @@ class CorpusSettings:
     error_config: dict | errors.ErrorConfig | None = None
     subsample: float | None = None
     extra_sources: list[DataFrame] = field(default_factory=list)  # adapted (source, original, corrected, split)
-    sentence_splitter: object = None  # optional factory for a user sentence segmenter
+    sentence_splitter: object = None  # optional: segments.Abbreviations, or a factory for a user sentence segmenter
+    learn_abbreviations: bool = False  # learn them from the documents of the build
 
 
 def clean_chunks(docs: DataFrame, s: CorpusSettings, key_cols=("source", "chapter")) -> DataFrame:
     """Stage 2: ``source, chapter, chunk_no, sub_no, text`` plus an exact split.
 
     The chunks are materialised, as the split counts their keys before it marks them."""
+    splitter = segments.learn(docs) if s.learn_abbreviations and s.sentence_splitter is None else s.sentence_splitter
     docs = spread(docs, list(key_cols))
-    chunks = chunking.chunk_corpus(docs, "text", list(key_cols), s.npara, s.max_words, s.seed, s.sep,
-                                   splitter_factory=s.sentence_splitter)
+    chunks = chunking.chunk_corpus(docs, "text", list(key_cols), s.npara, s.max_words, s.seed, s.sep, splitter_factory=splitter)
     chunks = materialize(chunks.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_no", "sub_no")}))
     return sampling.train_test_split(chunks, s.test_size, s.seed, [*key_cols, "chunk_no", "sub_no"])
 

@@ -22,6 +22,7 @@ from sparkpairs.functions.constants import (
 from sparkpairs.functions.rand import sql_digest, sql_uniform
 from sparkpairs.functions.text import SENTENCE_RE, TOKEN_RE, WORD_RE
 from sparkpairs.operators.errors import ErrorConfig
+from sparkpairs.operators.segments import DOTTED_RE, LAST_RE
 from sparkpairs.plans import registry as R
 from sparkpairs.plans.oracle_errors import insert_errors_sql, q, single_error_sql
 from sparkpairs.plans.oracle_html import html_sql
@@ -174,6 +175,14 @@ def _lengths() -> dict[str, str]:
     }
 
 
+ABBREVIATIONS = (
+    f"W AS (SELECT unnest(regexp_extract_all(text, {q(DOTTED_RE)})) AS w FROM documents), "
+    f"N AS (SELECT lower(rtrim(w, '.')) AS word, count(*) AS n, count(*) FILTER (ends_with(w, '.')) AS n_stop FROM W GROUP BY 1), "
+    f"T AS (SELECT sum(n_stop)::DOUBLE / sum(n)::DOUBLE AS p FROM N), "
+    f"L AS (SELECT word, n, n_stop, (length(word) - length(replace(word, '.', '')))::DOUBLE AS inner_stops, length(replace(word, '.', ''))::DOUBLE AS letters, "
+    f"-2 * ((n_stop * ln(p) + (n - n_stop) * ln(1 - p)) - (n_stop * ln(0.99::DOUBLE) + (n - n_stop) * ln(0.01::DOUBLE))) AS ratio FROM N CROSS JOIN T), "
+    f"A AS (SELECT word, n, n_stop, ratio * exp(-letters) * (inner_stops + 1) * pow(letters, -(n - n_stop)::DOUBLE) AS score FROM L "
+    f"WHERE n_stop > 0 AND ratio * exp(-letters) * (inner_stops + 1) * pow(letters, -(n - n_stop)::DOUBLE) >= 0.3)")
 TAGGED = (f"SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS _id, CASE WHEN l.quality = 1 THEN 'gec' ELSE 'paraphrase' END AS task, "
           f"CASE WHEN {sql_uniform(sql_digest(R.SEED, 'tag', 'd.doc_id'))} < 0.5::DOUBLE THEN 'Fix grammar: ' || d.text "
           f"ELSE d.text END AS src, d.text AS tgt FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
@@ -266,6 +275,14 @@ def _chunking() -> dict[str, str]:
         "chunk_windows": WINDOWS,
         "sentence_pieces": (f"SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS sent_no, unnest(s) AS sentence "
                             f"FROM (SELECT doc_id, regexp_extract_all(text, {q(SENTENCE_RE)}) AS s FROM documents)"),
+        "abbreviations": f"WITH {ABBREVIATIONS} SELECT word, n, n_stop, {r6('score')} AS score FROM A",
+        "learnt_sentences": (
+            f"WITH {ABBREVIATIONS}, P AS (SELECT doc_id, unnest(s) AS p, generate_subscripts(s, 1) AS i FROM "
+            f"(SELECT doc_id, regexp_extract_all(text, {q(SENTENCE_RE)}) AS s FROM documents)), "
+            f"E AS (SELECT *, regexp_extract(p, {q(LAST_RE)}, 1) AS w FROM P), "
+            f"B AS (SELECT E.*, NOT (w <> '' AND (regexp_matches(w, '^\\p{{Lu}}$') OR A.word IS NOT NULL)) AS ends FROM E LEFT JOIN A ON A.word = lower(w)), "
+            f"G AS (SELECT *, count(*) FILTER (ends) OVER (PARTITION BY doc_id ORDER BY i) - ends::BIGINT AS sent_no FROM B) "
+            f"SELECT doc_id, sent_no, string_agg(p, '' ORDER BY i) AS sentence FROM G GROUP BY doc_id, sent_no"),
         "word_counts": f"SELECT doc_id, len(regexp_extract_all(text, {q(WORD_RE)}))::BIGINT AS n_words FROM documents",
         "max_word_split": (f"WITH s AS (SELECT doc_id, {split_words_sql('text')} AS pieces FROM documents), "
                            f"e AS (SELECT doc_id, CAST(generate_subscripts(pieces, 1) - 1 AS BIGINT) AS sub_no, unnest(pieces) AS text FROM s) "

@@ -22,7 +22,7 @@ from sparkpairs.functions.constants import (
 )
 from sparkpairs.functions.rand import digest, uniform
 from sparkpairs.functions.text import WORD_RE, paragraphs, posexplode_rows, sentences, token_count, word_count
-from sparkpairs.operators import chunking, errors, evaluation, lengths, pairs, profile, runs, sampling
+from sparkpairs.operators import chunking, errors, evaluation, lengths, pairs, profile, runs, sampling, segments
 from sparkpairs.plans import corpus
 from sparkpairs.plans import fixtures as fx
 from sparkpairs.session import materialize, spread
@@ -277,6 +277,18 @@ def q_sentence_pieces(spark, d):
     return s.select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "sentence")
 
 
+def q_abbreviations(spark, d):
+    a = segments.abbreviations(docs(spark, d))
+    return a.select("word", "n", "n_stop", r6(F.col("score")).alias("score"))
+
+
+def q_learnt_sentences(spark, d):
+    """Sentences with the abbreviations learnt from the same documents."""
+    t = docs(spark, d).select("doc_id", "text")
+    s = segments.sentence_rows(t, segments.abbreviations(t), ["doc_id"])
+    return s.select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "sentence")
+
+
 def q_word_counts(spark, d):
     return docs(spark, d).select("doc_id", word_count("text").cast("bigint").alias("n_words"))
 
@@ -521,6 +533,8 @@ QUERIES = {
     "chunk_windows": q_chunk_windows,
     "max_word_split": q_max_word_split,
     "sentence_pieces": q_sentence_pieces,
+    "abbreviations": q_abbreviations,
+    "learnt_sentences": q_learnt_sentences,
     "word_counts": q_word_counts,
     "poisson_sizes": q_poisson_sizes,
     "chunk_corpus": q_chunk_corpus,
