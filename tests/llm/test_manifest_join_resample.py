@@ -282,3 +282,13 @@ def test_gain_table_maps_every_byte():
     for b in range(256):
         low = b + 32 if 65 <= b <= 90 else b
         assert resample.TABLE[b] == (low if low in keep else 32)
+
+
+#: One row on a side: totals of the budget tree.
+NESTED_LOOPS = {"op6_mixing"}
+
+
+@pytest.mark.parametrize("name", ["op1_topk", "op2_chat_trees", "op5_simhash", "op6_mixing", "op11_merkle", "op12_near_copies", "op13_resample"])
+def test_no_cartesian(spark, name):
+    plan = E.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and ("NestedLoopJoin" not in plan or name in NESTED_LOOPS)
