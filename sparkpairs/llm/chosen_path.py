@@ -14,7 +14,7 @@ copies, which no token splits. It is dealt into blocks that share a few anchors.
 
 Comparisons use a 256-bit sketch (two bits a token, 4.5 standard deviations of slack); what it lets
 pass is confirmed on the full sets. At first each node names its nearest two in each branch or block, and
-the components of the links among those are found. Then every branch is compared again, but only
+the components of the links among the nearest of those are found. Then every branch is compared again, but only
 between members of different components (of a crowd: between the members outside its largest one and
 all), so that a group of copies costs pairs in proportion to its members and no link between components
 is missed. Full sets are made from the texts of candidates only.
@@ -54,7 +54,8 @@ MAX_DEPTH = 12      # a branch still larger than a leaf here is compared in bloc
 LEAF = 32
 BLOCK = 256
 ANCHORS = 16
-NEAREST = 2
+NEAREST = 2         # candidates that a node names in each of its branches and blocks
+CHECKED = 4         # of all those it named, the nearest are checked before components are compared
 BROADCAST_IDS = 1 << 20
 #: Bytes of text whose sets are held at a time.
 SLICE = 2 << 20
@@ -567,10 +568,11 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """Each node's nearest candidate."""
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """Each node's ``k`` nearest candidates (it has a few in each of its branches)."""
     both = pairs.select("a", "b", "far").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-    best = both.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    best = both.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "b"))), 1, k).alias("best"))
+    best = best.select("a", F.explode("best.b").alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -588,15 +590,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     if crowds is not None and crowds.isEmpty():
         crowds = None
     found = scratch.store(in_branches(nodes, small, percent))
-    near = materialize(_distinct(found if crowds is None else found.unionByName(in_blocks(nodes, crowds, percent))))
-    first = materialize(_nearest(near))
-    ends = [near.select(F.col(c).alias("node")) for c in ("a", "b")] + ([crowds.select("node")] if crowds is not None else [])
+    every = materialize(_distinct(found if crowds is None else found.unionByName(in_blocks(nodes, crowds, percent))))
+    first, near = materialize(_nearest(every, 1)), materialize(_nearest(every, CHECKED))
+    ends = [every.select(F.col(c).alias("node")) for c in ("a", "b")] + ([crowds.select("node")] if crowds is not None else [])
     sets = full_sets(docs, nodes, _union(ends).distinct(), id_col, text_col, width)
     blocks = blocks_of(sets)
     release(spark)
     links = materialize(verify(by_cell(first, blocks), sets, percent))
     labels = components(links)
-    rest = materialize(_untried(_apart(near.select("a", "b"), labels), first))
+    rest = materialize(_untried(_apart(near, labels), first))
     links = materialize(links.unionByName(verify(by_cell(rest, blocks), sets, percent)))
     labels = materialize(components(links))
     release(spark)

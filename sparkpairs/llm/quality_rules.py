@@ -7,6 +7,8 @@ estimated on a sample, rules are ordered by rejection per cost, and a rule is
 evaluated only on the texts that every earlier rule passed. The order changes
 the work, never the verdict (a text is kept if no rule rejects it).
 
+Texts are judged a slice at a time, each whole whatever its length.
+
 Edge cases: a null or empty text has no words, counts zero, ``base_failed`` and
 is not kept; repeated rows are judged one by one; an empty table gives an empty
 result; extra columns are ignored (``quality``) or carried (``keep_good``).
@@ -119,7 +121,8 @@ class Texts:
     def per_word(self, rows: np.ndarray, value: Callable[[pa.Array], pa.Array]) -> np.ndarray:
         """Sum over the words of the chosen texts of a value of the distinct word."""
         codes, offsets = self.positions(rows)
-        return segment_sums(np.asarray(value(self.flat.dictionary)).astype(np.int64)[codes], offsets)
+        used, at = np.unique(codes, return_inverse=True)  # only the words of these texts are looked at
+        return segment_sums(np.asarray(value(self.flat.dictionary.take(pa.array(used)))).astype(np.int64)[at], offsets)
 
 
 # ---------------------------------------------------------------- rules
@@ -137,8 +140,11 @@ def _symbols(t: Texts, rows):
 
 
 def _dup_line_share(t: Texts, rows):
-    lines = np.asarray(pc.add(pc.count_substring(t.texts, "\n"), 1)).astype(np.int64)[rows]
-    return (t.n_dup_lines[rows] >= 3) & (2 * t.n_dup_lines[rows] > lines)
+    out = t.n_dup_lines[rows] >= 3
+    some = rows[out]
+    lines = np.asarray(pc.add(pc.count_substring(t.texts.take(pa.array(some)), "\n"), 1)).astype(np.int64)
+    out[out] = 2 * t.n_dup_lines[some] > lines
+    return out
 
 
 def _shouting(t: Texts, rows):
@@ -180,9 +186,10 @@ def _few_kinds(t: Texts, rows):
 
 def _stutter(t: Texts, rows):
     """At least a third of the words repeat the word before them."""
-    same = np.concatenate([[False], t.flat.codes[1:] == t.flat.codes[:-1]])
-    same[t.flat.offsets[:-1][t.n_words > 0]] = False
-    return 3 * segment_sums(same.astype(np.int64), t.flat.offsets)[rows] > t.n_words[rows]
+    codes, offsets = t.positions(rows)
+    same = np.concatenate([[False], codes[1:] == codes[:-1]])[: len(codes)]
+    same[offsets[:-1][np.diff(offsets) > 0]] = False
+    return 3 * segment_sums(same.astype(np.int64), offsets) > t.n_words[rows]
 
 
 RULES: dict[str, Callable[[Texts, np.ndarray], np.ndarray]] = {
@@ -202,10 +209,13 @@ def order_rules(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMP
     """Rule names by rejections per second, estimated on at most ``sample_docs`` texts of at
     most ``sample_chars`` characters.
 
-    The sample is the head of the table (as many partitions as it takes); it decides only
+    The sample is a share of the texts by their hash, whatever the order of the table; it decides only
     in which order the rules run, never a verdict. Ties go by name.
     """
-    head = docs.where(F.length(text_col) <= sample_chars).select(F.col(text_col).alias("t")).take(sample_docs)
+    share = -(-1_000_000 * sample_docs // max(1, docs.count()))
+    text = F.col(text_col)
+    head = (docs.where((F.length(text) <= sample_chars) & (F.pmod(F.xxhash64(text), F.lit(1_000_000)) < share))
+            .select(text.alias("t")).limit(sample_docs).collect())
     rejected, seconds = dict.fromkeys(RULES, 0), dict.fromkeys(RULES, 1e-9)
     for part in slices(pa.array([r.t for r in head], pa.large_string())):
         t = Texts(part)
