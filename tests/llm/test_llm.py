@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -669,6 +670,57 @@ def test_quality_counts_and_verdict_do_not_depend_on_order(spark, texts, odd):
     assert quality_rules.keep_good(odd).columns == odd.columns
 
 
+def naive_rules(text):
+    """Each rule of the cascade on one text, word by word."""
+    w = words(text)
+    n, chars = len(w), sum(map(len, w))
+    lines = (text or "").split("\n")
+    dup = sum(bool(words(x)) and x in lines[:i] for i, x in enumerate(lines))
+    upper, lower = (sum(len(regex.findall(p, x)) for x in w) for p in (r"\p{Lu}", r"\p{Ll}"))
+    widths = [w[i:i + 1000] for i in range(max(1, n - 999))]
+    return {"long_words": chars > 20 * n, "short_words": chars < 2 * n, "symbols": 10 * sum((text or "").count(c) for c in "#*$%&|<>") > n,
+            "dup_lines": dup >= 3 and 2 * dup > len(lines), "shouting": upper > lower, "exclaiming": 4 * (text or "").count("!!") > n,
+            "few_letters": 2 * sum(bool(regex.search(r"\p{L}", x)) for x in w) < n,
+            "few_kinds": n >= 100 and sum(map(len, widths)) > 10 * sum(len(set(x)) for x in widths),
+            "stutter": 3 * sum(a == b for a, b in zip(w, w[1:])) > n}
+
+
+def test_every_rule_equals_brute_force_on_any_rows(texts):
+    some = [*list(texts.values())[:60], *ODD, "WORD " * 30, "a b " * 60, "x y " * 700, "!! " * 25 + "a", "1 2 3 " * 9, "w" * 500 + " x",
+            "same line\n" * 9, "# $ % & " * 5 + "word " * 8, "go go go stop " * 9, "LOUD and quiet " * 8]
+    t = quality_rules.Texts(plain(pa.array(some)))
+    every = np.arange(len(some))
+    want = [naive_rules(x) for x in some]
+    assert all(any(w[name] for w in want) for name in quality_rules.RULES)  # no rule goes untested
+    for name, rule in quality_rules.RULES.items():
+        for rows in (every, every[::3], every[-7:], every[:1]):
+            assert rule(t, rows).tolist() == [want[i][name] for i in rows], name
+    failed = quality_rules.base_failed(t)
+    for order in (sorted(quality_rules.RULES), sorted(quality_rules.RULES, reverse=True)):
+        got = quality_rules.judge(plain(pa.array(some)), order).to_pylist()
+        assert [g["kept"] for g in got] == [not failed[i] and not any(want[i].values()) for i in every]
+
+
+def test_a_rule_costs_what_its_rows_cost(texts):
+    """The cascade is a short circuit: one row in play costs a small part of all rows."""
+    import time
+
+    t = quality_rules.Texts(plain(pa.array(list(texts.values()) * 6)))
+    every = np.arange(len(texts) * 6)
+
+    def seconds(rule, rows):
+        return min(_timed(time, rule, t, rows) for _ in range(5))
+
+    for name in ("shouting", "few_letters", "stutter", "few_kinds", "exclaiming"):
+        assert seconds(quality_rules.RULES[name], every[:1]) < 0.5 * seconds(quality_rules.RULES[name], every), name
+
+
+def _timed(time, rule, t, rows):
+    at = time.perf_counter()
+    rule(t, rows)
+    return time.perf_counter() - at
+
+
 def test_quality_of_an_empty_table(none):
     assert quality_rules.with_quality(none).count() == 0
 
