@@ -17,7 +17,8 @@ component, take no part; vectors of different lengths are compared over their
 common leading components; rows of one id are candidates each on its own, and a
 repeated query id is searched once (its smallest vector); ties go to the smaller
 id; an empty table or no query gives an empty result; other columns are ignored.
-Scores are exact while every sum of products stays below 2**53.
+Scores are exact: where a sum of products could reach 2**53 (by the norms of query and row), the search
+raises instead. Vectors of any length are read whole, a block of rows at a time.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkpairs.session import scratch_path
+from sparkpairs.session import materialize, scratch_path
 
 QUERY_BLOCK = 4096
 ROW_BLOCK = 1024
@@ -77,6 +78,8 @@ class Search:
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         x = rows[self.order]
         x_left = self._norms(x)
+        if self.q_left.size and x_left.size and self.q_left[0].max() * x_left[0].max() >= 2.0**53:
+            raise ValueError("scores of 2**53 and more are not exact in doubles: choose a smaller scale")
         score = np.zeros((len(self.ids), len(ids)))
         alive = self.ids[:, None] != ids[None, :]
         pairs = None
@@ -113,7 +116,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_
     spark = rows.sparkSession
     r = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & _valid("v"))
     q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & _valid("v"))
-    q = q.groupBy("id").agg(F.min("v").alias("v"))
+    q = materialize(q.groupBy("id").agg(F.min("v").alias("v")))  # the blocks are dealt from it, not from the table
     blocks = max(1, -(-2 * q.count() // block))
     while True:  # blocks of the ids' hash, none of which is longer than `block`
         dealt = q.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
