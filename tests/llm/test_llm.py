@@ -89,6 +89,13 @@ def test_topk_brute_force_ties_and_odd_rows(spark):
         assert got[q] == [(i, -s) for s, i in scores]
 
 
+def test_topk_refuses_inexact_scores(spark):
+    df = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 2.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="not exact"):
+        topk.top_k(df, df, k=1, scale=256).collect()
+    assert topk.top_k(df, df, k=1, scale=1e-4).count() == 2
+
+
 def test_topk_empty(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk.top_k(df, df).collect() == []
