@@ -9,8 +9,8 @@ child in expectation at every level. Branches with at most ``LEAF`` nodes are co
 larger ones branch again. The number of trees follows from the target recall of a pair exactly at
 the threshold (``trees_for``).
 
-A branch that keeps much of its parent, with members that are alike on average, is a crowd of near
-copies, which no token splits. It is dealt into blocks that share a few anchors.
+A larger branch whose members are alike on average is a crowd of near copies, which no token splits. It is dealt
+into blocks that share a few anchors.
 
 Comparisons use a 256-bit sketch (two bits a token, 4.5 standard deviations of slack); what it lets
 pass is confirmed on the full sets. At first each node names its nearest two in each branch or block, and
@@ -55,7 +55,7 @@ LEAF = 32
 BLOCK = 256
 ANCHORS = 16
 NEAREST = 2         # candidates that a node names in each of its branches and blocks
-CHECKED = 4         # of all those it named, the nearest are checked before components are compared
+CHECKED = 2         # of all those it named, the nearest are checked before components are compared
 BROADCAST_IDS = 1 << 20
 #: Bytes of text whose sets are held at a time.
 SLICE = 2 << 20
@@ -211,36 +211,34 @@ def _roots(nodes: DataFrame, trees: int, percent: int) -> DataFrame:
                 for _ in range(FIRST):
                     row, paths = branches(tok[of], paths, percent)
                     of = of[row]
-                yield _branch_rows(part.column("node"), of, paths, np.zeros(len(of), np.int64))
+                yield _branch_rows(part.column("node"), of, paths)
 
-    return nodes.select("node", "tok").mapInArrow(run, "path bigint, node bigint, parent bigint")
+    return nodes.select("node", "tok").mapInArrow(run, "path bigint, node bigint")
 
 
 def _deeper(nodes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """The branches ``FIRST`` levels below those of ``live`` (``path, node, size``)."""
+    """The branches ``FIRST`` levels below those of ``live`` (``path, node``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 lists = part.column("paths")
-                flat = lists.flatten()
+                paths = np.asarray(lists.flatten()).view(np.uint64)
                 of = np.arange(part.num_rows).repeat(np.diff(np.asarray(lists.offsets)))
-                paths, sizes = np.asarray(flat.field("path")).view(np.uint64), np.asarray(flat.field("size"))
                 tok = _token_rows(part.column("tok"))
                 for _ in range(FIRST):
                     row, paths = branches(tok[of], paths, percent)
-                    of, sizes = of[row], sizes[row]
-                yield _branch_rows(part.column("node"), of, paths, sizes)
+                    of = of[row]
+                yield _branch_rows(part.column("node"), of, paths)
 
-    grouped = live.groupBy("node").agg(F.collect_list(F.struct("path", "size")).alias("paths")).withColumnRenamed("node", "of")
+    grouped = live.groupBy("node").agg(F.collect_list("path").alias("paths")).withColumnRenamed("node", "of")
     return nodes.select("node", "tok").join(grouped, F.col("node") == F.col("of")).select("node", "tok", "paths") \
-        .mapInArrow(run, "path bigint, node bigint, parent bigint")
+        .mapInArrow(run, "path bigint, node bigint")
 
 
-def _branch_rows(node: pa.Array, of: np.ndarray, paths: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(np.asarray(node)[of]), pa.array(parent)],
-                                      names=["path", "node", "parent"])
+def _branch_rows(node: pa.Array, of: np.ndarray, paths: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(np.asarray(node)[of])], names=["path", "node"])
 
 
 def grow(nodes: DataFrame, trees: int, percent: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -250,34 +248,31 @@ def grow(nodes: DataFrame, trees: int, percent: int, scratch: Scratch) -> tuple[
     for depth in range(FIRST, MAX_DEPTH + 1, FIRST):
         children = scratch.store(children)
         sizes = children.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("path", "p")
-        kept = scratch.store(children.join(sizes, F.col("path") == F.col("p")).select("path", "node", "size", "parent"))
+        kept = scratch.store(children.join(sizes, F.col("path") == F.col("p")).select("path", "node", "size"))
         scratch.drop(children)
         small.append(kept.where(F.col("size") <= LEAF).select("path", "node"))
         large = kept.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        live = large
-        if depth > FIRST:
-            marked = scratch.store(_with_crowds(nodes, large, depth == MAX_DEPTH))
-            crowds.append(marked.where("crowd").select("path", "node", "size"))
-            live = marked.where("NOT crowd").select("path", "node", "size")
-            if live.isEmpty():
-                break
+        marked = scratch.store(_with_crowds(nodes, large, depth == MAX_DEPTH))
+        crowds.append(marked.where("crowd").select("path", "node", "size"))
+        live = marked.where("NOT crowd").select("path", "node", "size")
+        if live.isEmpty():
+            break
         children = _deeper(nodes, live, percent)
     return small, crowds
 
 
 def _with_crowds(nodes: DataFrame, large: DataFrame, all_: bool) -> DataFrame:
-    """Rows of large branches with whether the branch is a crowd: more than 0.4 of its parent, and its members
-    on average like their first (what shares no more than a passage is split by further tokens)."""
+    """Rows of large branches with whether the branch is a crowd: its members are on average like their first
+    (what shares no more than a passage is split by further tokens)."""
     if all_:
         return large.withColumn("crowd", F.lit(True))
-    dense = large.where(5 * F.col("size") > 2 * F.col("parent"))
     at = nodes.select(F.col("node").alias("of"), *SKETCH)
-    first = dense.groupBy("path").agg(F.min("node").alias("leader")).withColumnRenamed("path", "p")
+    first = large.groupBy("path").agg(F.min("node").alias("leader")).withColumnRenamed("path", "p")
     first = first.join(at.select("of", *[F.col(c).alias(f"l{c}") for c in SKETCH]), F.col("leader") == F.col("of")).drop("of", "leader")
     places = sum(F.bit_count(F.col(a).bitwiseXOR(F.col(f"l{a}")).bitwiseOR(F.col(b).bitwiseXOR(F.col(f"l{b}")))) for a, b in (("s0", "s2"), ("s1", "s3")))
-    like = (dense.join(at, F.col("node") == F.col("of")).join(first, F.col("path") == F.col("p"))
+    like = (large.join(at, F.col("node") == F.col("of")).join(first, F.col("path") == F.col("p"))
             .groupBy("path").agg(F.avg(places).alias("far")).where(F.col("far") <= CROWD_PLACES).select(F.col("path").alias("q"), F.lit(True).alias("is")))
     return large.join(like, F.col("path") == F.col("q"), "left").select("path", "node", "size", F.coalesce("is", F.lit(False)).alias("crowd"))
 
@@ -560,14 +555,6 @@ def verify(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(n, "cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "a bigint, b bigint")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component."""
-    for end, name in (("a", "ca"), ("b", "cb")):
-        at = labels.select(F.col("node").alias("n_"), F.col("component").alias(name))
-        pairs = pairs.join(at, F.col(end) == F.col("n_"), "left").drop("n_")
-    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     """Each node's ``k`` nearest candidates (it has a few in each of its branches)."""
     both = pairs.select("a", "b", "far").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
@@ -591,15 +578,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         crowds = None
     found = scratch.store(in_branches(nodes, small, percent))
     every = materialize(_distinct(found if crowds is None else found.unionByName(in_blocks(nodes, crowds, percent))))
-    first, near = materialize(_nearest(every, 1)), materialize(_nearest(every, CHECKED))
     ends = [every.select(F.col(c).alias("node")) for c in ("a", "b")] + ([crowds.select("node")] if crowds is not None else [])
+    # whatever may be compared later has a candidate now: it is the nearest of its branch to some member
     sets = full_sets(docs, nodes, _union(ends).distinct(), id_col, text_col, width)
     blocks = blocks_of(sets)
     release(spark)
-    links = materialize(verify(by_cell(first, blocks), sets, percent))
-    labels = components(links)
-    rest = materialize(_untried(_apart(near, labels), first))
-    links = materialize(links.unionByName(verify(by_cell(rest, blocks), sets, percent)))
+    links = materialize(verify(by_cell(_nearest(every, CHECKED), blocks), sets, percent))
     labels = materialize(components(links))
     release(spark)
     # what has no candidate in a branch has none there later either
@@ -614,11 +598,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return _result(prof, nodes, components(links), id_col)
 
 
-def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    t = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    return pairs.join(t, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-
-
 def _result(prof: DataFrame, nodes: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     at = labels.select(F.col("node").alias("l"), "component")
     rooted = materialize(nodes.select("node", "id", "digest").join(at, F.col("node") == F.col("l"), "left")
