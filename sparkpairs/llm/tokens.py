@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from sparkpairs.llm.common import FlatWords, plain
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 600_000  # words kept per Python worker; beyond it the cache starts anew
+CACHE_WORDS = 300_000  # words kept per Python worker; beyond it the cache starts anew
 CHUNK = 256            # words encoded as one text
 MARKS = ".,;:!?"
 
