@@ -16,7 +16,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from sparkpairs.plans.registry import QUERIES  # noqa: E402
 from sparkpairs.session import get_session  # noqa: E402
 
 
@@ -34,9 +34,9 @@ def main() -> None:
              "side has a size bound by construction (see README).", "",
              "| query | jobs | stages | tasks | broadcasts | windows | python | checkpoint reads | columns read |",
              "| --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
-    for name in sorted(E.queries()):
+    for name in sorted(QUERIES):
         sc.setJobGroup(name, name)
-        df = E.queries()[name](spark, sf)
+        df = QUERIES[name](spark, sf)
         df.collect()
         plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
         jobs = tracker.getJobIdsForGroup(name)
