@@ -11,8 +11,7 @@ the next id; an id's share of its class comes from the corpus counts, so the
 probabilities of all ids sum to one. Every text is tokenised once and its ids are written.
 Training texts are dealt into blocks of about ``BLOCK_IDS`` ids by the hash of text and
 doc_id. The network starts from one pass over the first block; from there every block
-learns from all its texts (of their windows every ``TRAIN_EVERY``-th, spread over the
-whole text), and the blocks' weights are averaged in the order of the blocks, an
+learns from every window of all its texts, and the blocks' weights are averaged in the order of the blocks, an
 embedding row by how often each block met it. Blocks, their order and the order inside them
 follow from the texts alone, so a score does not depend on the partitions of the
 input. A text's ids are scored in windows of ``WINDOW`` ids that overlap by ``WINDOW - STRIDE``:
@@ -53,9 +52,9 @@ DIM = 16
 INPUTS = 4096          # embedding rows: the most frequent ids have their own
 SINGLE, GROUPS, BANDS = 40, 20, 4   # classes: frequent ids alone, clusters of ids, frequency bands
 BLOCK_IDS = 4_000_000  # ids of a block of training texts
-TRAIN_EVERY = 4        # of the windows of each block every so-manyth is trained on
 RATE, LEAST = 0.03, 0.1   # step size at the start, and its part left at its end and after it
 START_BATCH, PASS_BATCH = 256, 1024   # windows of a step at the start, and in the pass over all blocks
+PART_WINDOWS = 64      # windows worked on at a time
 SLICE = 2 << 20        # bytes of text worked on at a time
 SCORE_IDS = 1 << 18    # ids scored at a time
 WORKER_WORDS = 150_000  # words whose ids a worker keeps
@@ -151,7 +150,7 @@ class Model:
         np.exp(np.minimum(s, 60, out=s), out=s)
         return q, s, s.sum(-1, keepdims=True)
 
-    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = 512) -> np.ndarray:
+    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = PART_WINDOWS) -> np.ndarray:
         """log10 probability of each text, its end included."""
         source, target, first, text = self.layout(ids, off)
         is_first = np.zeros(len(text), bool)
@@ -162,11 +161,12 @@ class Model:
         within = self.share[before, target]
         view = np.lib.stride_tricks.sliding_window_view
         out = np.vstack([self.p["out"], self.p["bias"]])
+        ones = np.ones(out.shape[1], np.float32)
         for i in range(0, len(text), batch):
             n = min(batch, len(text) - i)
             span = slice(i * STRIDE, (i + n) * STRIDE + BACK)
             here = slice(i * STRIDE + BACK, (i + n) * STRIDE + BACK)
-            x = self.p["embed"][self.inputs[source[span]]]
+            x = self.p["embed"].take(self.inputs[source[span]], axis=0)
             win = [view(m, WINDOW, axis=0)[::STRIDE].transpose(0, 2, 1) for m in (x, x @ self.p["k"], x @ self.p["v"])]
             _, s, sums = self.attend(*win, np.flatnonzero(is_first[i:i + n]))
             h = (s @ win[2]) / sums + win[0][:, BACK:]
@@ -174,7 +174,7 @@ class Model:
             logits = h @ out
             got = logits[np.arange(len(logits)), classes[here]]
             with np.errstate(over="ignore"):
-                sums = np.exp(logits, out=logits).sum(-1)
+                sums = np.exp(logits, out=logits) @ ones
             if not np.isfinite(sums).all():  # a logit past the range of exp
                 logits = h @ out
                 most = logits.max(-1, keepdims=True)
@@ -216,14 +216,14 @@ def fresh(classes: np.ndarray, starts: np.ndarray, pairs: np.ndarray, seed: int
     return Model(inputs, classes, starts, shares(pairs, classes), {k: v.astype(np.float32) for k, v in p.items()})
 
 
-def learn(start: Model, ids: np.ndarray, off: np.ndarray, block: int = 0, first: bool = False) -> tuple[Model, int]:
-    """``start`` after the texts of a block (``first``: the whole of it, in small and shrinking steps), and the
-    windows it was trained on."""
+def learn(start: Model, ids: np.ndarray, off: np.ndarray, first: bool = False) -> tuple[Model, int]:
+    """``start`` after every window of the texts of a block (``first``: in small and shrinking steps), and the
+    number of windows."""
     m = Model(start.inputs, start.classes, start.starts, start.share, {k: v.copy() for k, v in start.p.items()})
     trainer, rng = Trainer(m), np.random.default_rng(5)
     data = trainer.windows(ids, off)
-    every, batch = (1, START_BATCH) if first else (TRAIN_EVERY, PASS_BATCH)
-    order = rng.permutation(np.arange(block % every if len(data[2]) > every else 0, len(data[2]), every))
+    batch = START_BATCH if first else PASS_BATCH
+    order = rng.permutation(len(data[2]))
     steps = -(-len(order) // batch)
     for i in range(steps):
         rate = RATE * min(1, (i + 1) / 30) * (1 - (1 - LEAST) * (i + 1) / steps) if first else RATE * LEAST
@@ -240,50 +240,68 @@ class Trainer:
         self.second = {k: np.zeros_like(v) for k, v in m.p.items()}
 
     def windows(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embedding rows and target classes (-1: padding) of each window, and whether it begins a text."""
         source, target, begin, text = self.m.layout(ids, off)
         fresh = np.zeros(len(text), bool)
         fresh[begin] = True
-        return source, target, fresh
+        rows = self.m.inputs[source].astype(np.uint16)  # INPUTS at most; 16 bits are sorted fast
+        goal = np.where(target >= 0, self.m.classes[target], -1).astype(np.int16)
+        return np.lib.stride_tricks.sliding_window_view(rows, WINDOW)[::STRIDE], goal[BACK:].reshape(-1, STRIDE), fresh
 
     def step(self, data: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, rate: float) -> None:
-        """One step on the windows ``at``."""
-        m, (source, target, fresh) = self.m, data
+        """One step on the windows ``at``; their gradients are added up ``PART_WINDOWS`` at a time, which fit a core's cache."""
+        p, (rows, goals, fresh) = self.m.p, data
         self.steps += 1
-        batch = len(at)
-        rows = at[:, None] * STRIDE + np.arange(WINDOW)
-        x_ids, goal = m.inputs[source[rows]], target[rows[:, BACK:]].ravel()
-        x = m.p["embed"][x_ids]
-        k, v = x @ m.p["k"], x @ m.p["v"]
-        q, s, sums = m.attend(x, k, v, np.flatnonzero(fresh[at]))
-        a = s / sums
-        h = (a @ v + x[:, BACK:]).reshape(-1, DIM)
-        logits = h @ m.p["out"] + m.p["bias"]
-        e = np.exp(logits - logits.max(-1, keepdims=True))
-        e /= e.sum(-1, keepdims=True)
-        ok = goal >= 0
-        e[np.arange(len(goal)), m.classes[goal]] -= 1
-        e *= (ok[:, None] / np.float32(max(1, ok.sum()))).astype(np.float32)
-        g = {"out": h.T @ e, "bias": e.sum(0)}
-        dh = (e @ m.p["out"].T).reshape(batch, STRIDE, DIM)
-        da = dh @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat = x.reshape(-1, DIM)
-        g["place"] = ds.sum(0)
-        g["q"] = x[:, BACK:].reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-        g["k"], g["v"] = flat.T @ dk.reshape(-1, DIM), flat.T @ dv.reshape(-1, DIM)
-        dx = dk @ m.p["k"].T + dv @ m.p["v"].T
-        dx[:, BACK:] += dq @ m.p["q"].T + dh
+        x_ids, goal = rows[at], goals[at]
+        scale = np.float32(1 / max(1, (goal >= 0).sum()))
+        dx = np.empty((len(at), WINDOW, DIM), np.float32)
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        for i in range(0, len(at), PART_WINDOWS):
+            here = slice(i, i + PART_WINDOWS)
+            self._gradients(g, dx[here], x_ids[here], goal[here].ravel(), np.flatnonzero(fresh[at[here]]), scale)
         order = np.argsort(x_ids.ravel(), kind="stable")
-        met, begins = np.unique(x_ids.ravel()[order], return_index=True)
-        g["embed"] = np.zeros((INPUTS, DIM), np.float32)
-        g["embed"][met] = np.add.reduceat(dx.reshape(-1, DIM)[order], begins, axis=0)
-        for name, w in m.p.items():
+        sorted_ids = x_ids.ravel()[order]
+        begins = np.flatnonzero(np.diff(sorted_ids, prepend=sorted_ids[0] + np.uint16(1)))
+        g["embed"][sorted_ids[begins]] = np.add.reduceat(dx.reshape(-1, DIM)[order], begins, axis=0)
+        much, little = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / np.sqrt(1 - 0.99**self.steps))
+        for name, w in p.items():
             first, second = self.first[name], self.second[name]
-            first += 0.1 * (g[name] - first)
-            second += 0.01 * (g[name] ** 2 - second)
-            w -= (rate * (first / (1 - 0.9**self.steps)) / (np.sqrt(second / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+            first += np.float32(0.1) * (g[name] - first)
+            second += np.float32(0.01) * (g[name] ** 2 - second)
+            w -= much * first / (np.sqrt(second) * little + np.float32(1e-8))
+
+    def _gradients(self, g: dict[str, np.ndarray], dx: np.ndarray, x_ids: np.ndarray, goal: np.ndarray, fresh: np.ndarray, scale: np.float32) -> None:
+        """Adds the gradients of some windows to ``g`` and writes those of their inputs to ``dx``."""
+        m, p = self.m, self.m.p
+        flat = p["embed"].take(x_ids.ravel(), axis=0)
+        x = flat.reshape(*x_ids.shape, DIM)
+        k, v = (flat @ p["k"]).reshape(x.shape), (flat @ p["v"]).reshape(x.shape)
+        q, a, sums = m.attend(x, k, v, fresh)
+        a /= sums
+        h = (a @ v + x[:, BACK:]).reshape(-1, DIM)
+        e = h @ p["out"]
+        e += p["bias"]
+        if e.max() > 60:  # near the range of exp
+            e -= e.max(-1, keepdims=True)
+        np.exp(e, out=e)
+        ok = goal >= 0
+        e *= (ok * scale / (e @ np.ones(e.shape[1], np.float32)))[:, None]
+        on = np.flatnonzero(ok)
+        e[on, goal[on]] -= scale
+        g["out"] += h.T @ e
+        g["bias"] += np.ones(len(e), np.float32) @ e
+        dh = (e @ p["out"].T).reshape(q.shape)
+        ds = dh @ v.transpose(0, 2, 1)
+        dv = (a.transpose(0, 2, 1) @ dh).reshape(-1, DIM)
+        ds -= np.einsum("nij,nij->ni", ds, a)[:, :, None]
+        ds *= a
+        dq, dk = ds @ k, (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+        g["place"] += ds.sum(0)
+        g["q"] += x[:, BACK:].reshape(-1, DIM).T @ dq.reshape(-1, DIM)
+        g["k"] += flat.T @ dk
+        g["v"] += flat.T @ dv
+        dx[:] = (dk @ p["k"].T + dv @ p["v"].T).reshape(x.shape)
+        dx[:, BACK:] += (dq.reshape(-1, DIM) @ p["q"].T).reshape(dh.shape) + dh
 
 
 def flat_lists(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -344,7 +362,7 @@ def train_blocks(m: Model, texts: DataFrame, blocks: int, first: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = held.value
         for block, ids, off in _by_block(batches):
-            mine, windows = learn(start, ids, off, block, first)
+            mine, windows = learn(start, ids, off, first)
             uses = np.bincount(mine.inputs[ids], minlength=INPUTS)
             uses[mine.inputs[mine.end]] += len(off) - 1
             total = _pack(mine, max(1, windows), uses, len(ids) + len(off) - 1)

@@ -164,6 +164,51 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
+def test_toxicity_learns_from_long_texts_and_every_block(spark):
+    """Only texts past 20,000 characters show what marks a toxic one; blocks, thresholds and the model cover all rows."""
+    rng = np.random.default_rng(4)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    def text(i):
+        w = list(rng.choice(vocab, 4000 if i % 10 == 0 else 40))
+        return " ".join([*w, "zzyxq"] if i % 5 == 0 else w)
+    rows = [(i, text(i), "en") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    long = docs.where("length(text) > 20000")
+    one = toxicity.train(long.unionByName(docs.where("doc_id % 5 != 0")), labels)  # all toxic texts are long ones
+    assert one.embedding is not None and one.prior == 0.0
+    model = toxicity.train(docs, labels, block_chars=200_000)  # several blocks
+    again = toxicity.train(docs.repartition(7), labels, block_chars=200_000)
+    assert (model.embedding == again.embedding).all() and model.thresholds == again.thresholds and "en" in model.thresholds
+    got = toxicity.with_toxicity(docs, model).select("doc_id", "toxicity.predicted").collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(r.predicted == int(r.doc_id % 5 == 0) for r in held) / len(held) > 0.95
+
+
+def test_toxicity_counts_every_text_and_weighs_thresholds(spark):
+    rows = [(f"bad w{i} w{i}", 1.0) if i % 3 == 0 else (f"good w{i}", 0.0) for i in range(200)]
+    words_, grams = toxicity.evidence(spark.createDataFrame(rows, "text string, toxic double").repartition(5))
+    bucket, _, _ = toxicity.word_features(plain(pa.array(["bad", "good"])))
+    assert words_[:, bucket[0]].tolist() == [67, 0] and words_[:, bucket[1]].tolist() == [0, 133]
+    flat = toxicity.FlatWords(pa.array([t for t, _ in rows]))
+    w, g = toxicity.text_counts(flat, np.arange(200), np.array([y for _, y in rows]), toxicity.word_features(flat.dictionary))
+    assert (w == words_).all() and (g == grams).all()
+    s, y, lang = np.array([0.1, 0.2, 0.2, 0.7, 0.9]), np.array([0, 0, 1, 0, 1]), ["x"] * 5
+    n = np.array([9, 3, 2, 7, 4])
+    spread = [np.repeat(v, n) for v in (s, y, np.array(lang))]
+    assert toxicity.calibrate(s, y, lang, counts=n) == toxicity.calibrate(spread[0], spread[1], spread[2].tolist()) != {}
+
+
+def test_toxicity_pools_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    t = [" ".join(rng.choice(["a", "bad", "c", "dd"], 500)) for _ in range(40)]
+    y = np.array([x.count("bad") > 125 for x in t], float)
+    whole = toxicity.fit(plain(pa.array(t)), y, [None] * 40, steps=20, batch=1)
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 60)
+    pieces = toxicity.fit(plain(pa.array(t)), y, [None] * 40, steps=20, batch=1)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole.filters, pieces.filters, strict=True))
+
+
 def test_toxicity_odd_rows_and_no_labels(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.train(odd, labels)
@@ -555,6 +600,44 @@ def test_model_is_a_distribution_and_scores_each_id_once(texts):
     assert np.allclose(both, [one(ids[off[0]:off[1]]), one(ids[off[1]:off[2]])], rtol=1e-5)
 
 
+def test_lm_learns_from_every_window(texts):
+    enc = tokens.encoder(tokens.TOKENIZER)
+    ids, off = enc.encode(pa.array(list(texts.values())))
+    seen = np.bincount(ids, minlength=enc.size + 1)
+    pairs = np.zeros((lm_score.N_CLASSES + 1, enc.size + 1), np.int64)
+    pairs[-1] = seen
+    start = lm_score.fresh(lm_score.id_classes(seen, ids), np.append(enc.ends, True), pairs)
+    windows = sum(-(-(n + 1) // lm_score.STRIDE) for n in np.diff(off).tolist())
+    for first in (True, False):
+        m, n = lm_score.learn(start, ids, off, first=first)
+        assert n == windows and m.score(ids, off).sum() > start.score(ids, off).sum()
+
+
+def test_lm_gradients_follow_the_score(texts):
+    """The first Adam moment after one step holds a tenth of the gradient of the mean class loss."""
+    enc = tokens.encoder(tokens.TOKENIZER)
+    ids, off = enc.encode(pa.array(list(texts.values())[:40]))
+    seen = np.bincount(ids, minlength=enc.size + 1)
+    pairs = np.zeros((lm_score.N_CLASSES + 1, enc.size + 1), np.int64)
+    pairs[-1] = seen
+    m = lm_score.fresh(lm_score.id_classes(seen, ids), np.append(enc.ends, True), pairs)
+    trainer = lm_score.Trainer(m)
+    data = trainer.windows(ids, off)
+    places = len(ids) + len(off) - 1
+    start = {k: v.copy() for k, v in m.p.items()}
+    trainer.step(data, np.arange(len(data[2])), 0.0)
+    rng = np.random.default_rng(2)
+    for name in ("embed", "place", "q", "k", "v", "out", "bias"):
+        move = rng.normal(0, 1, start[name].shape).astype(np.float32)
+        slope = []
+        for sign in (1, -1):
+            m.p[name] = (start[name] + sign * 1e-2 * move / np.sqrt(move.size)).astype(np.float32)
+            slope.append(m.score(ids, off).sum() * math.log(10) / places)
+        m.p[name] = start[name]
+        told = -10 * float((trainer.first[name] * move).sum()) / np.sqrt(move.size)
+        assert (slope[0] - slope[1]) / 2e-2 == pytest.approx(told, rel=0.05, abs=2e-4), name
+
+
 def test_lm_odd_rows_and_empty(spark, odd, none):
     got = lm_score.score(odd, F.lit(True)).orderBy("doc_id").collect()
     assert [r.n_tokens for r in got] == [len(words(t)) + 1 for t in ODD]
