@@ -6,7 +6,7 @@ preformatted text (a close without an open does not go below zero), the list tha
 belongs to and its number there, and the block that a token falls into. Inline marks pair up
 inside their block: what is open at its end is closed there, a close without an open is dropped.
 Tokens of a block are joined, then the blocks of a page. Everything is built-in functions; a
-page's tokens meet in one task, pages are spread by their key.
+page's tokens meet in one task, pages are spread by their key over partitions that grow in number with the table.
 
 Covered: headings, paragraphs and other block elements, line breaks and rules, nested ordered
 (``start``) and unordered lists with several blocks per item, quotes, fenced code with its
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkpairs.functions.names import free_names
+from sparkpairs.session import partitions_for
 
 #: Elements whose content is no text of the page.
 DROPPED = ("head", "script", "style", "template", "noscript", "iframe", "textarea", "svg")
@@ -32,6 +33,8 @@ BLOCKS = ("address", "article", "aside", "blockquote", "body", "caption", "cente
           "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section",
           "summary", "table", "tr", "ul")
 TOKEN = r"<!--[\s\S]*?-->|<[!?][^>]*>|</?[A-Za-z](?:[^'\">]+|\"[^\"]*\"|'[^']*')*>|[^<]+|<"
+#: Bytes of stored pages whose tokens one task sorts: memory of a task does not grow with the table.
+PAGE_BYTES = 512 << 10
 BREAK, CELL = "\ue000", "\ue001"  # of the private use area: they stand for a line break and the start of a cell
 WHITE = "[ \\t\\n\\r\\f]+"
 
@@ -85,6 +88,7 @@ def html_documents(pages: DataFrame, key_cols: list[str], html_col: str = "html"
         text = F.regexp_replace(text, rf"(?is)<{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>|$)", " ")
     rows = pages.select(*key_cols, F.monotonically_increasing_id().alias(row), F.col(html_col).isNull().alias(null),
                         F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    rows = rows.repartition(partitions_for(pages, PAGE_BYTES), *keys)  # before the tokens become rows; all windows keep it
     t = rows.select(*keys, null, F.posexplode_outer("tokens").alias("pos", "token"))
     tag = F.lower(F.regexp_extract("token", "^</?([A-Za-z][A-Za-z0-9]*)", 1))
     t = t.withColumn("tag", tag).withColumn("opens", F.col("tag") != "").withColumn("closes", F.col("token").startswith("</"))

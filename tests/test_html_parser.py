@@ -83,3 +83,19 @@ def test_long_pages_and_rows_of_one_key(spark):
 def test_references_of_a_column(spark):
     df = spark.createDataFrame([("&lt;&#x3c;&#60;&lt",), (None,), ("",)], "t string")
     assert [r.t for r in df.select(decode_references(F.col("t")).alias("t")).collect()] == ["<<<&lt", None, ""]
+
+
+def test_partitions_grow_with_the_stored_pages(spark, tmp_path, monkeypatch):
+    """A task's memory follows from its pages: twice the stored bytes come in more partitions, not in larger ones."""
+    import random
+
+    from sparkpairs.sources import html_parser
+
+    draw = random.Random(3)
+    rows = [(i, "<p>" + "".join(draw.choices("abcdefghij klmnop", k=2000)) + f"</p><ul><li>{i}</li></ul>") for i in range(300)]
+    spark.createDataFrame(rows, "k bigint, html string").repartition(2).write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    monkeypatch.setattr(html_parser, "PAGE_BYTES", 20_000)
+    got = html_parser.html_documents(pages, ["k"])
+    assert got.rdd.getNumPartitions() >= 8  # the session's shuffle partitions are 4
+    assert {r.k: r.markdown for r in got.collect()} == {i: " ".join(h[3:h.index("</p>")].split()) + f"\n\n- {i}" for i, h in rows}
