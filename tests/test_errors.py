@@ -239,3 +239,16 @@ def test_gate_frequency(spark):
     out = apply_error(df, "quote_spaces", "text", ["doc_id"], 0.3, 7)
     fired = out.filter(F.col("n_errors") == 1).count() / 3000
     assert abs(fired - 0.3) < 0.03
+
+
+def test_homophones_need_letters_in_any_case_and_one_set_lookup(spark):
+    from sparkpairs.functions.constants import HOMOPHONES
+
+    word = next(iter(HOMOPHONES))
+    rows = [(0, f"x {word} y"), (1, f"x {word.upper()} y"), (2, f"x {word}1 y"), (3, "x qqq y"), (4, ""), (5, None)]
+    out = apply_error(spark.createDataFrame(rows, "doc_id bigint, text string"), "homophones", key_cols=("doc_id",))
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i].n_errors for i in range(6)] == [1, 1, 0, 0, 0, 0]
+    assert got[0].text.split()[1] in HOMOPHONES[word] and got[1].text.split()[1][0].isupper()
+    assert [got[i].text for i in (2, 3, 4, 5)] == [rows[i][1] for i in (2, 3, 4, 5)]
+    assert "INSET" in out._jdf.queryExecution().optimizedPlan().toString()  # hashed, not compared word by word
