@@ -1,8 +1,8 @@
 """Target-distribution importance resampling by hashed n-grams (operator 13).
 
 A 256-byte table lower-cases A-Z and blanks every separator in the UTF-8 bytes; ``bytes.split``
-gives the words; the CRC of an n-gram is chained from that of its first n-1 words, and Counters
-add up the features. The corpus and the target are counted in one pass each; the counts of the
+gives the words; the CRC of an n-gram is chained from that of its first n-1 words, and numpy
+adds up the features, ``COUNT_AT`` at a time. The corpus and the target are counted in one pass each; the counts of the
 ``buckets`` (a fixed number of rows) give each bucket's gain, the log ratio of the smoothed target
 and corpus shares. A second pass adds the gains of each document's features, a keyed Gumbel draw
 is added, and the highest scores are drawn without replacement.
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +35,8 @@ from sparkpairs.session import materialize
 
 #: Bytes of a text that are split at a time.
 PART = 1 << 20
+#: Features counted at a time.
+COUNT_AT = 1 << 16
 #: Lower-case A-Z; keep 0-9, a-z and all bytes of characters beyond ASCII; blank the rest.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -72,7 +73,7 @@ def features(text: bytes, max_n: int) -> Iterator[tuple[int, list[int]]]:
 
 
 def _texts(arr: pa.Array) -> Iterator[bytes]:
-    for part in slices(plain(arr)):
+    for part in slices(plain(arr), PART):
         yield from part.cast(pa.large_binary()).to_pylist()
 
 
@@ -81,25 +82,23 @@ def bucket_counts(df: DataFrame, s: ResampleSettings = ResampleSettings(), text_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(s.buckets, np.int64)
+        waiting: list[int] = []
         for b in batches:
-            seen: Counter[int] = Counter()
             for text in _texts(b.column(0)):
                 for _, crcs in features(text, s.max_n):
-                    seen.update(crcs)
-                if len(seen) > 1 << 18:  # a bounded number of distinct features at a time
-                    _add(total, seen)
-                    seen.clear()
-            _add(total, seen)
+                    waiting += crcs
+                    if len(waiting) > COUNT_AT:  # a bounded number of features at a time
+                        _add(total, waiting)
+                        waiting = []
+        _add(total, waiting)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["bucket", "n"])
 
     return df.select(text_col).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def _add(total: np.ndarray, seen: Counter) -> None:
-    if seen:
-        crcs = np.fromiter(seen.keys(), np.int64, len(seen))
-        np.add.at(total, crcs % len(total), np.fromiter(seen.values(), np.int64, len(seen)))
+def _add(total: np.ndarray, crcs: list[int]) -> None:
+    total += np.bincount(np.fromiter(crcs, np.int64, len(crcs)) % len(total), minlength=len(total))
 
 
 def gains(corpus: dict[int, int], target: dict[int, int], buckets: int) -> np.ndarray:

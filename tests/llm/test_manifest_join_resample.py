@@ -292,3 +292,16 @@ NESTED_LOOPS = {"op6_mixing"}
 def test_no_cartesian(spark, name):
     plan = E.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and ("NestedLoopJoin" not in plan or name in NESTED_LOOPS)
+
+
+def test_features_are_counted_a_bounded_number_at_a_time(spark):
+    """Distinct words of many short texts do not gather in a worker."""
+    total = np.zeros(50, np.int64)
+    resample._add(total, list(range(120)))
+    assert total.tolist() == [3] * 20 + [2] * 30
+    rows = [(" ".join(f"w{i}x{j}" for j in range(2000)),) for i in range(60)]  # more than COUNT_AT
+    assert resample.COUNT_AT < 60 * 2000
+    want = Counter(zlib.crc32(w.encode()) % 50 for (t,) in rows for w in t.split())
+    s = resample.ResampleSettings(buckets=50)
+    got = {r.bucket: r.n for r in resample.bucket_counts(spark.createDataFrame(rows, "text string"), s).collect()}
+    assert got == want
