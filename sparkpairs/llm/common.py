@@ -74,10 +74,12 @@ class FlatWords:
         offsets = np.asarray(lists.offsets).astype(np.int64)
         offsets = offsets - offsets[0]
         self.dictionary = enc.dictionary
-        lengths = np.asarray(pc.binary_length(enc.dictionary))
-        keep = lengths[codes] > 0 if len(codes) else np.zeros(0, bool)
-        self.codes = codes[keep]
-        self.offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        empty = np.flatnonzero(np.asarray(pc.binary_length(enc.dictionary)) == 0)
+        self.codes, self.offsets = codes, offsets
+        if len(empty):  # beside white space at the ends of a text
+            gone = np.flatnonzero(codes == empty[0])
+            self.codes = np.delete(codes, gone)
+            self.offsets = offsets - np.searchsorted(gone, offsets)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
