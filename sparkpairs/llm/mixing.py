@@ -89,8 +89,11 @@ def share(children: DataFrame, parent: list[str], child: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, s: MixSettings) -> DataFrame:
-    """``leaves`` (levels, ``tokens``) with ``amount``: the tokens that each leaf gives."""
+    """``leaves`` (levels, ``tokens``) with ``amount``: the tokens that each leaf gives.
+
+    Each level's budgets are materialised, so that no plan holds more than one level; the budget of the root is one number."""
     levels = list(s.levels)
+    leaves = materialize(leaves)
     tree = leaves
     for lv in levels:
         tree = tree.withColumn(f"w_{lv}", _weight(lv, s))
@@ -98,18 +101,18 @@ def budgets(leaves: DataFrame, s: MixSettings) -> DataFrame:
     for lv in levels:  # below a weight of zero nothing can be used
         usable = F.when(F.col(f"w_{lv}") > 0, usable).otherwise(0)
     tree = tree.withColumn("cap0", usable)
-    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(s.budget_share)).cast("bigint").alias("want"))
-    top = tree.agg(F.coalesce(F.sum("cap0"), F.lit(0)).alias("most"))
-    upper = total.withColumn("one", F.lit(1)).join(top.withColumn("one", F.lit(1)), "one").select(F.least("want", "most").alias("budget"))
+    want = F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(s.budget_share)).cast("bigint")
+    root = tree.agg(F.least(want, F.coalesce(F.sum("cap0"), F.lit(0))).alias("budget")).first()["budget"]
+    upper = None
     parent: list[str] = []
     for lv in levels:
         here = [*parent, lv]
         nodes = tree.groupBy(*here).agg(F.sum("cap0").alias("cap"), F.max(f"w_{lv}").alias("w"))
         if parent:
             nodes = nodes.join(upper, parent)
-        else:  # one row
-            nodes = nodes.withColumn("one", F.lit(1)).join(upper.withColumn("one", F.lit(1)), "one").withColumn("root", F.lit("")).drop("one")
-        upper = share(nodes, parent or ["root"], lv).select(*here, F.col("amount").alias("budget"))
+        else:
+            nodes = nodes.withColumn("budget", F.lit(root).cast("bigint")).withColumn("root", F.lit(""))
+        upper = materialize(share(nodes, parent or ["root"], lv).select(*here, F.col("amount").alias("budget")))
         parent = here
     return leaves.join(upper.select(*levels, F.col("budget").alias("amount")), levels).where("amount > 0")
 
@@ -136,7 +139,7 @@ def plan(docs: DataFrame, s: MixSettings = MixSettings(), text_col: str = "text"
               .withColumn("bucket", F.substring("h", 1, 3)))
     in_leaf = Window.partitionBy(*levels).orderBy("bucket")  # at most 4096 rows a leaf
     sums = seeded.groupBy(*levels, "bucket", "rest").agg(F.sum("n").alias("m")).withColumn("upto", F.sum("m").over(in_leaf))
-    cut = sums.where("upto >= rest AND upto - m < rest").select(*levels, "bucket", (F.col("upto") - F.col("m")).alias("before"))
+    cut = materialize(sums.where("upto >= rest AND upto - m < rest").select(*levels, "bucket", (F.col("upto") - F.col("m")).alias("before")))
     in_bucket = Window.partitionBy(*levels).orderBy("h", "k")
     last = (seeded.join(cut, [*levels, "bucket"]).withColumn("upto", F.col("before") + F.sum("n").over(in_bucket))
             .where("upto >= rest AND upto - n < rest")

@@ -25,11 +25,13 @@ import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpairs.llm.common import FlatWords, crc_fold, free_name, plain, slices, with_struct
@@ -99,7 +101,7 @@ def _segment_max(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass
+@dataclass(eq=False)
 class Model:
     """``prior``: score without training (then the other fields are not used)."""
 
@@ -420,9 +422,9 @@ def _train_blocks(m: Model, rows: DataFrame, blocks: int, steps: int) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(mine)], pa.binary())], names=["model"])
 
     made = (rows.where("block = 0").repartition(1).sortWithinPartitions("h", "text", "toxic")
-            .mapInArrow(first, "model binary").collect())
-    held.unpersist()
-    start = pickle.loads(made[0]["model"]) if made else m
+            .mapInArrow(first, "model binary").toArrow())  # batches as they come: rows would be copied several times in the driver
+    held.destroy()
+    start = _model(made) if made.num_rows else m
     if blocks == 1:
         return start
     begun = spark.sparkContext.broadcast(start)
@@ -464,9 +466,14 @@ def _train_blocks(m: Model, rows: DataFrame, blocks: int, steps: int) -> Model:
     learned = rows.repartition(n, "block").sortWithinPartitions("block", "h", "text", "toxic").mapInArrow(run, schema)
     # sums of the blocks of one remainder in their order, then of these few: the same however the blocks were learned
     sums = learned.repartitionById(ADDERS, F.pmod("block", F.lit(ADDERS)).cast("int")).sortWithinPartitions("block").mapInArrow(add, schema)
-    made = sums.repartition(1).sortWithinPartitions("block").mapInArrow(mean, "model binary").collect()
-    begun.unpersist()
-    return pickle.loads(made[0]["model"])
+    made = sums.repartition(1).sortWithinPartitions("block").mapInArrow(mean, "model binary").toArrow()
+    begun.destroy()
+    return _model(made)
+
+
+def _model(made: pa.Table) -> Model:
+    """The model that a task made; its weights can be changed in place."""
+    return pickle.loads(made.column("model")[0].as_buffer())
 
 
 def _dense(m: Model) -> list[np.ndarray]:
@@ -478,13 +485,22 @@ def _sums(block: int, sums: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pickle.dumps(sums)], pa.binary())], names=["block", "sums"])
 
 
+_HELD: WeakKeyDictionary = WeakKeyDictionary()  # broadcasts of models in use
+
+
+def _held(spark: SparkSession, m: Model) -> Broadcast:
+    """The broadcast model, one for all that score with it; thresholds are not read from it."""
+    if m not in _HELD or _HELD[m][0] is not spark.sparkContext:
+        _HELD[m] = spark.sparkContext, spark.sparkContext.broadcast(m)
+    return _HELD[m][1]
+
+
 def _thresholds(m: Model, rows: DataFrame) -> dict[str, float]:
     """``calibrate`` on all rows (``text, toxic, lang``); counts by language, class and rounded score reach the driver."""
-    held = rows.sparkSession.sparkContext.broadcast(m)
+    held = _held(rows.sparkSession, m)
     scored = with_struct(rows, "text", "s", "score double", lambda t: pa.StructArray.from_arrays([pa.array(held.value.score(t))], names=["score"]))
     got = (scored.where("lang IS NOT NULL").groupBy("lang", (F.col("toxic") > 0).alias("bad"), F.round(F.col("s.score") * SCORE_STEPS).alias("step"))
            .agg(F.count(F.lit(1)).alias("n")).collect())
-    held.unpersist()
     return calibrate(np.array([r["step"] / SCORE_STEPS for r in got]), np.array([float(r["bad"]) for r in got]), [r["lang"] for r in got],
                      counts=np.array([r["n"] for r in got]))
 
@@ -522,7 +538,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, steps: int = 400,
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a struct ``out``: score, predicted (score >= 0.5) and flagged
     (score at or above the threshold calibrated for the row's ``lang``, else 0.5)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BITS and DIM
+    held = _held(docs.sparkSession, model)  # bounded by BITS and DIM
 
     def work(texts: pa.Array) -> pa.StructArray:
         s = held.value.score(texts)

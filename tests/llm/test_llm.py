@@ -831,3 +831,16 @@ def test_pipeline_stages(spark, docs):
         have[r.doc_id] += r.length
     assert dict(have) == want
     json.dumps([r.asDict() for r in packed[:1]])
+
+
+# ---------------------------------------------------------------- size of the driver's share, word cache
+def test_mixing_budgets_hold_one_level_per_plan(spark):
+    leaves = spark.createDataFrame([("d0", "en", "a", 60), ("d0", "de", "b", 30), ("d1", "en", "c", 10)], "domain string, lang string, source string, tokens bigint")
+    got = mixing.budgets(leaves, mixing.MixSettings())
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r.amount for r in got.collect()) == 80
+
+
+def test_toxicity_model_is_broadcast_once(spark):
+    m = toxicity.Model(prior=0.25)
+    assert toxicity._held(spark, m) is toxicity._held(spark, m) is not toxicity._held(spark, toxicity.Model(prior=0.25))
