@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkpairs.llm.common import FlatWords, plain, segment_sums, slices
-from sparkpairs.llm.tokens import TOKENIZER, encoder, keeps_case
+from sparkpairs.llm.tokens import TOKENIZER, encoder, keeps_case, strings
 from sparkpairs.session import scratch_path
 
 HEAD_WORDS = 131_072
@@ -425,7 +425,7 @@ def id_pairs(words: DataFrame, classes: np.ndarray, texts: int, tokenizer: str =
         enc = encoder(tokenizer, WORKER_WORDS)
         total = np.zeros((N_CLASSES + 1) * len(classes), np.int64)
         for b in batches:
-            parts = enc.words(b.column("word").to_pylist())
+            parts = enc.words(strings(plain(b.column("word"))))
             lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
             ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
             before = np.concatenate([[N_CLASSES], classes[ids[:-1]]])[: len(ids)]
@@ -482,7 +482,7 @@ def encoded_parts(docs: DataFrame, training, head: dict[str, int], n_train: int,
             for part in slices(plain(b.column("t")), SLICE):
                 n = len(part)
                 flat = FlatWords(pc.ascii_lower(part))
-                names = flat.dictionary.to_pylist()
+                names = strings(flat.dictionary)
                 ids, off = enc.encode(part) if keeps_case(part) else enc.gather(flat, names)
                 c = np.fromiter((head.get(w, 0) for w in names), np.int64, len(names))
                 per_word = c[flat.codes]

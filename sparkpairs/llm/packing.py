@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkpairs.llm.common import plain, slices
-from sparkpairs.llm.tokens import TOKENIZER, encoder
+from sparkpairs.llm.tokens import SLICE, TOKENIZER, encoder
 from sparkpairs.session import scratch_path
 
 CAPACITY = 2048
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, ca
         enc = encoder(tokenizer)
         for b in batches:
             at = 0
-            for part in slices(plain(b.column("t"))):
+            for part in slices(plain(b.column("t")), SLICE):
                 ids, off = enc.encode(part)
                 n = len(part)
                 data = np.insert(ids, off[1:], np.uint32(end_id))  # the end id after each text

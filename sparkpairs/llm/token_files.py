@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkpairs.llm.common import plain, slices
-from sparkpairs.llm.tokens import TOKENIZER, encoder
+from sparkpairs.llm.tokens import SLICE, TOKENIZER, encoder
 from sparkpairs.session import scratch_path
 
 END_ID = 2
@@ -48,7 +48,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
         before = 0  # a partition is a file
         for b in batches:
             at = 0
-            for part in slices(plain(b.column("t"))):
+            for part in slices(plain(b.column("t")), SLICE):
                 ids, off = enc.encode(part)
                 n = len(part)
                 data = np.insert(ids, off[1:], np.uint32(end_id)).astype(np.int32)

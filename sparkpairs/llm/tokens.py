@@ -9,6 +9,7 @@ are gathered for all words with numpy.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -18,9 +19,12 @@ import pyarrow.compute as pc
 from sparkpairs.llm.common import FlatWords, plain
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 300_000  # words kept per Python worker; beyond it the cache starts anew
+CACHE_WORDS = 250_000  # words kept per Python worker, in two generations: a full one replaces the older one
 CHUNK = 256            # words encoded as one text
+SLICE = 4 << 20        # bytes of text encoded at a time
+GATHERED = 32_768      # words whose ids are copied at a time, in a core's cache
 MARKS = ".,;:!?"
+_PIECES = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")  # of printable ASCII without apostrophes
 
 
 @lru_cache(maxsize=2)
@@ -44,31 +48,56 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def _whole(self, words: list[str]) -> list[bytes]:
+    def _single(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _whole(self, words: list[str]) -> list[bytes]:
+        """Ids of any words. The pieces of plain ASCII are known without encoding it; other words are encoded one by one."""
+        simple = [w for w in words if w.isascii() and w.isprintable() and "'" not in w and "<|" not in w]
+        found = dict(zip(simple, self._joined(simple, [len(_PIECES.findall(w)) for w in simple]), strict=True))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._single(rest), strict=True))
+        return [found[w] for w in words]
+
     def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only: each is one piece, whose last id ends a word."""
+        """Ids of words of letters only: each is one piece."""
+        return self._joined(words, [1] * len(words))
+
+    def _joined(self, words: list[str], pieces: list[int]) -> list[bytes]:
+        """Ids of words of so many pieces, many in one text; a piece's last id ends a word."""
         texts = [" ".join(words[i:i + CHUNK]) for i in range(0, len(words), CHUNK)]
         out: list[bytes] = []
         for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            part = words[k * CHUNK:(k + 1) * CHUNK]
+            part, last = words[k * CHUNK:(k + 1) * CHUNK], np.cumsum(pieces[k * CHUNK:(k + 1) * CHUNK])
             ids = np.array(e.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part) or (len(cuts) and cuts[-1] != len(ids)):
-                out += self._whole(part)
+            if len(cuts) != last[-1] or cuts[-1] != len(ids):
+                out += self._single(part)
                 continue
             data, at = ids.tobytes(), 0
-            for cut in (4 * cuts).tolist():
+            for cut in (4 * cuts[last - 1]).tolist():
                 out.append(data[at:cut])
                 at = cut
         return out
 
+    def _unkept(self, words: set[str]) -> list[str]:
+        """Those of ``words`` whose ids are not at hand; ids of the older generation move to the newer one."""
+        cache, older = self.cache, self.older
+        out = []
+        for w in words:
+            if w not in cache:
+                if (ids := older.get(w)) is None:
+                    out.append(w)
+                else:
+                    cache[w] = ids
+        return out
+
     def words(self, words: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each word."""
-        if len(self.cache) > self.cache_words:
-            self.cache = {"": b""}
+        if len(self.cache) > self.cache_words // 2:
+            self.older, self.cache = self.cache, {"": b""}
         cache = self.cache
         found = list(map(cache.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
@@ -76,10 +105,10 @@ class Encoder:
             return found
         # a word of letters and closing marks is two pieces: its letters and its marks
         stems = [s if (s := words[i].rstrip(MARKS)).isalpha() else "" for i in missing]
-        letters = [s for s in set(stems) if s not in cache]
+        letters = self._unkept(set(stems))
         cache.update(zip(letters, self._letters(letters), strict=True))
         ends = [words[i][len(s):] for i, s in zip(missing, stems, strict=True)]
-        rest = [x for x in set(ends) if x not in cache]
+        rest = self._unkept(set(ends))
         cache.update(zip(rest, self._whole(rest), strict=True))
         for i, s, x in zip(missing, stems, ends, strict=True):
             found[i] = cache[s] + cache[x]
@@ -92,15 +121,23 @@ class Encoder:
 
     def gather(self, flat: FlatWords, words: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts already split into words (``words``: their distinct words, if at hand)."""
-        parts = self.words(flat.dictionary.to_pylist() if words is None else words)
+        parts = self.words(strings(flat.dictionary) if words is None else words)
         lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         ids = np.frombuffer(b"".join(parts), "<u4")
         starts = np.cumsum(lens) - lens
-        n = lens[flat.codes]
-        ends = np.cumsum(n)
-        at = np.repeat(starts[flat.codes] - (ends - n), n)
-        at += np.arange(len(at))
-        return ids[at], np.concatenate([[0], ends])[flat.offsets]
+        ends = np.concatenate([[0], np.cumsum(lens[flat.codes])])
+        out = np.empty(ends[-1], ids.dtype)
+        for i in range(0, len(flat.codes), GATHERED):
+            codes, edges = flat.codes[i:i + GATHERED], ends[i:i + GATHERED + 1]
+            at = np.repeat(starts[codes] - (edges[:-1] - edges[0]), lens[codes])
+            at += np.arange(len(at))
+            ids.take(at, out=out[edges[0]:edges[-1]], mode="clip")  # all are in range; "raise" would copy
+        return out, ends[flat.offsets]
+
+
+def strings(arr: pa.Array) -> list[str]:
+    """The values of a string array without nulls."""
+    return np.asarray(arr).tolist()
 
 
 def keeps_case(texts: pa.Array) -> bool:

@@ -844,3 +844,24 @@ def test_mixing_budgets_hold_one_level_per_plan(spark):
 def test_toxicity_model_is_broadcast_once(spark):
     m = toxicity.Model(prior=0.25)
     assert toxicity._held(spark, m) is toxicity._held(spark, m) is not toxicity._held(spark, toxicity.Model(prior=0.25))
+
+
+def test_word_cache_keeps_the_older_generation():
+    enc, asked = tokens.Encoder(cache_words=8), []
+    joined = enc._joined
+    enc._joined = lambda words, pieces: asked.extend(words) or joined(words, pieces)
+    first = enc.words(["alpha", "beta", "gamma", "delta", "omega"])
+    enc.words(["sigma"])  # the cache is full: a new generation begins
+    assert enc.words(["alpha", "beta", "gamma", "delta", "omega"]) == first
+    assert sorted(w for w in asked if w) == ["alpha", "beta", "delta", "gamma", "omega", "sigma"]
+
+
+def test_words_encoded_together_get_their_own_ids():
+    words = ["a$$$", "68.18.101.23", "(737)", "555-3887", "\"55cf1b\"", "x_1y2--z", "it's", "'s", "<|endoftext|>", "<|", "café²", "éa", " ",
+             "a b", "\x1c", "\x7f", "☃☃", "A1B2", "a.,;", "...", "9", "İ", "١٢", "z" * 300, "0" * 300]
+    enc = tokens.Encoder()
+    one = [bytes(np.array(enc.tokenizer.encode(w, add_special_tokens=False).ids, "<u4")) for w in words]
+    assert enc.words(words) == one
+    ids, off = enc.encode(pa.array([" ".join(words[:8] * 6000), None, "", "a$$$ b"]))
+    assert off.tolist()[1:] == [len(b"".join(one[:8])) // 4 * 6000] * 3 + [len(ids)]
+    assert ids[:off[1]].tobytes() == b"".join(one[:8]) * 6000
