@@ -425,9 +425,8 @@ def id_pairs(words: DataFrame, classes: np.ndarray, texts: int, tokenizer: str =
         enc = encoder(tokenizer, WORKER_WORDS)
         total = np.zeros((N_CLASSES + 1) * len(classes), np.int64)
         for b in batches:
-            parts = enc.words(strings(plain(b.column("word"))))
-            lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
+            ids, lens = enc.parts(b.column("word"))
+            ids = ids.astype(np.int64)
             before = np.concatenate([[N_CLASSES], classes[ids[:-1]]])[: len(ids)]
             before[1:][enc.ends[ids[:-1]]] = N_CLASSES  # a word of several pieces, and the next word
             before[(np.cumsum(lens) - lens)[lens > 0]] = N_CLASSES
@@ -483,7 +482,7 @@ def encoded_parts(docs: DataFrame, training, head: dict[str, int], n_train: int,
                 n = len(part)
                 flat = FlatWords(pc.ascii_lower(part))
                 names = strings(flat.dictionary)
-                ids, off = enc.encode(part) if keeps_case(part) else enc.gather(flat, names)
+                ids, off = enc.encode(part) if keeps_case(part) else enc.gather(flat)
                 c = np.fromiter((head.get(w, 0) for w in names), np.int64, len(names))
                 per_word = c[flat.codes]
                 known = segment_sums((per_word > 0).astype(np.int64), flat.offsets) + (n_train > 0)

@@ -865,3 +865,22 @@ def test_words_encoded_together_get_their_own_ids():
     ids, off = enc.encode(pa.array([" ".join(words[:8] * 6000), None, "", "a$$$ b"]))
     assert off.tolist()[1:] == [len(b"".join(one[:8])) // 4 * 6000] * 3 + [len(ids)]
     assert ids[:off[1]].tobytes() == b"".join(one[:8]) * 6000
+
+
+def test_marks_of_any_kind_are_pieces_of_their_own():
+    words = ["alpha***", "alpha", "beta###", "alpha)\"", "beta", "İ.", "aİ,!", "क़.", "क़", "é$$$", "é'", "a'.", "a<|", "<|endoftext|>."]
+    enc, asked = tokens.Encoder(), []
+    joined = enc._joined
+    enc._joined = lambda words, pieces: asked.extend(words) or joined(words, pieces)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.words(words)] == reference_ids(words)
+    assert [asked.count(w) for w in ("alpha", "beta", "alpha***", "beta###")] == [1, 1, 0, 0]
+
+
+def test_small_cache_gives_the_same_ids(texts):
+    some = list(texts.values())[:30]
+    small, large = tokens.Encoder(cache_words=20), tokens.Encoder()
+    for t in some:
+        assert small.encode(pa.array([t]))[0].tolist() == large.encode(pa.array([t]))[0].tolist()
+        assert len(small.names) <= 20
+    assert [x.tolist() for x in small.encode(pa.array([], pa.string()))] == [[], [0]]
+    assert [x.tolist() for x in small.encode(pa.array([None, " \t"]))] == [[], [0, 0, 0]]
