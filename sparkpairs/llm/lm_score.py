@@ -141,14 +141,15 @@ class Model:
         source[at + 1] = ids  # never past the text's last part: its end is predicted there
         return source, target, first, np.repeat(np.arange(len(lens)), parts)
 
-    def attend(self, x: np.ndarray, k: np.ndarray, v: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Attention of the last STRIDE places of each window; ``fresh``: windows that begin a text."""
-        q = x[:, BACK:] @ self.p["q"]
-        s = q @ k.transpose(0, 2, 1)
+    def attend(self, q: np.ndarray, k: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Attention of the last STRIDE places of each window, and its sums; ``fresh``: windows that begin a text."""
+        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))  # a transposed view is multiplied more slowly
         s += np.where(_CAUSAL, self.p["place"], np.float32(-1e9))
         s[fresh, :, :BACK] = -1e9
-        np.exp(np.minimum(s, 60, out=s), out=s)
-        return q, s, s.sum(-1, keepdims=True)
+        if s.max() > 60:
+            np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        return s, (s @ _ONES[:WINDOW])[:, :, None]
 
     def score(self, ids: np.ndarray, off: np.ndarray, batch: int = PART_WINDOWS) -> np.ndarray:
         """log10 probability of each text, its end included."""
@@ -159,22 +160,25 @@ class Model:
         classes = self.classes[target]
         before = np.where(self.starts[source], len(self.share) - 1, self.classes[source])
         within = self.share[before, target]
-        view = np.lib.stride_tricks.sliding_window_view
+        rows = np.lib.stride_tricks.sliding_window_view(self.inputs[source], WINDOW)[::STRIDE]
+        embed = self.p["embed"]
+        q, k, v = (embed @ self.p[name] for name in "qkv")  # of every row once, then looked up
         out = np.vstack([self.p["out"], self.p["bias"]])
-        ones = np.ones(out.shape[1], np.float32)
         for i in range(0, len(text), batch):
             n = min(batch, len(text) - i)
-            span = slice(i * STRIDE, (i + n) * STRIDE + BACK)
             here = slice(i * STRIDE + BACK, (i + n) * STRIDE + BACK)
-            x = self.p["embed"].take(self.inputs[source[span]], axis=0)
-            win = [view(m, WINDOW, axis=0)[::STRIDE].transpose(0, 2, 1) for m in (x, x @ self.p["k"], x @ self.p["v"])]
-            _, s, sums = self.attend(*win, np.flatnonzero(is_first[i:i + n]))
-            h = (s @ win[2]) / sums + win[0][:, BACK:]
-            h = np.concatenate([h.reshape(-1, DIM), np.ones((n * STRIDE, 1), np.float32)], axis=1)
+            at = rows[i:i + n]
+            mine = np.ascontiguousarray(at[:, BACK:])
+            s, sums = self.attend(q.take(mine, axis=0), k.take(at, axis=0), np.flatnonzero(is_first[i:i + n]))
+            h = np.empty((n * STRIDE, DIM + 1), np.float32)  # and a one, for the bias
+            seen = s @ v.take(at, axis=0)
+            seen /= sums
+            np.add(seen.reshape(-1, DIM), embed.take(mine.ravel(), axis=0), out=h[:, :DIM])
+            h[:, DIM] = 1
             logits = h @ out
             got = logits[np.arange(len(logits)), classes[here]]
             with np.errstate(over="ignore"):
-                sums = np.exp(logits, out=logits) @ ones
+                sums = np.exp(logits, out=logits) @ _ONES[:N_CLASSES]
             if not np.isfinite(sums).all():  # a logit past the range of exp
                 logits = h @ out
                 most = logits.max(-1, keepdims=True)
@@ -188,6 +192,7 @@ BACK = WINDOW - STRIDE
 #: Scored place i of a window sees the window up to itself.
 _CAUSAL = np.arange(WINDOW)[None, :] <= np.arange(BACK, WINDOW)[:, None]
 N_CLASSES = SINGLE + GROUPS + BANDS
+_ONES = np.ones(max(WINDOW, N_CLASSES), np.float32)  # rows are added up by a product with it
 
 
 def shares(pairs: np.ndarray, classes: np.ndarray, strength: float = 30.0) -> np.ndarray:
@@ -238,6 +243,7 @@ class Trainer:
         self.m, self.steps = m, 0
         self.first = {k: np.zeros_like(v) for k, v in m.p.items()}
         self.second = {k: np.zeros_like(v) for k, v in m.p.items()}
+        self.buffers = np.empty((2, 0, WINDOW, DIM), np.float32)  # gradients of a step's inputs, and sorted by id
 
     def windows(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Embedding rows and target classes (-1: padding) of each window, and whether it begins a text."""
@@ -254,7 +260,9 @@ class Trainer:
         self.steps += 1
         x_ids, goal = rows[at], goals[at]
         scale = np.float32(1 / max(1, (goal >= 0).sum()))
-        dx = np.empty((len(at), WINDOW, DIM), np.float32)
+        if self.buffers.shape[1] < len(at):
+            self.buffers = np.empty((2, len(at), WINDOW, DIM), np.float32)
+        dx, moved = self.buffers[:, :len(at)]
         g = {k: np.zeros_like(v) for k, v in p.items()}
         for i in range(0, len(at), PART_WINDOWS):
             here = slice(i, i + PART_WINDOWS)
@@ -262,7 +270,8 @@ class Trainer:
         order = np.argsort(x_ids.ravel(), kind="stable")
         sorted_ids = x_ids.ravel()[order]
         begins = np.flatnonzero(np.diff(sorted_ids, prepend=sorted_ids[0] + np.uint16(1)))
-        g["embed"][sorted_ids[begins]] = np.add.reduceat(dx.reshape(-1, DIM)[order], begins, axis=0)
+        dx.reshape(-1, DIM).take(order, axis=0, out=moved.reshape(-1, DIM), mode="clip")  # all are in range; "raise" would copy
+        g["embed"][sorted_ids[begins]] = np.add.reduceat(moved.reshape(-1, DIM), begins, axis=0)
         much, little = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / np.sqrt(1 - 0.99**self.steps))
         for name, w in p.items():
             first, second = self.first[name], self.second[name]
@@ -276,32 +285,45 @@ class Trainer:
         flat = p["embed"].take(x_ids.ravel(), axis=0)
         x = flat.reshape(*x_ids.shape, DIM)
         k, v = (flat @ p["k"]).reshape(x.shape), (flat @ p["v"]).reshape(x.shape)
-        q, a, sums = m.attend(x, k, v, fresh)
-        a /= sums
-        h = (a @ v + x[:, BACK:]).reshape(-1, DIM)
-        e = h @ p["out"]
-        e += p["bias"]
+        q = x[:, BACK:] @ p["q"]
+        a, sums = m.attend(q, k, fresh)
+        seen = a @ v
+        seen /= sums
+        h = np.empty((len(goal), DIM + 1), np.float32)  # and a one, for the bias
+        h[:, :DIM] = (seen + x[:, BACK:]).reshape(-1, DIM)
+        h[:, DIM] = 1
+        e = h @ np.vstack([p["out"], p["bias"]])
         if e.max() > 60:  # near the range of exp
             e -= e.max(-1, keepdims=True)
         np.exp(e, out=e)
+        # rows of e, of h and of the gradients stay unscaled where a column of weights can be put on the narrower side
+        total = e @ _ONES[:N_CLASSES]
         ok = goal >= 0
-        e *= (ok * scale / (e @ np.ones(e.shape[1], np.float32)))[:, None]
+        weight = (ok * scale / total)[:, None]
         on = np.flatnonzero(ok)
-        e[on, goal[on]] -= scale
-        g["out"] += h.T @ e
-        g["bias"] += np.ones(len(e), np.float32) @ e
-        dh = (e @ p["out"].T).reshape(q.shape)
-        ds = dh @ v.transpose(0, 2, 1)
-        dv = (a.transpose(0, 2, 1) @ dh).reshape(-1, DIM)
-        ds -= np.einsum("nij,nij->ni", ds, a)[:, :, None]
+        e[on, goal[on]] -= total[on]
+        h *= weight
+        out = h.T @ e
+        g["out"] += out[:DIM]
+        g["bias"] += out[DIM]
+        dh = e @ np.ascontiguousarray(p["out"].T)
+        dh *= weight
+        dh = dh.reshape(q.shape)
+        ahead = dh / sums
+        ds = ahead @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        dv = (a.transpose(0, 2, 1) @ ahead).reshape(-1, DIM)
+        ds -= np.einsum("nij,nij->ni", ahead, seen)[:, :, None]
         ds *= a
-        dq, dk = ds @ k, (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+        dq, dk = (ds @ k).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
         g["place"] += ds.sum(0)
-        g["q"] += x[:, BACK:].reshape(-1, DIM).T @ dq.reshape(-1, DIM)
+        g["q"] += x[:, BACK:].reshape(-1, DIM).T @ dq
         g["k"] += flat.T @ dk
         g["v"] += flat.T @ dv
-        dx[:] = (dk @ p["k"].T + dv @ p["v"].T).reshape(x.shape)
-        dx[:, BACK:] += (dq.reshape(-1, DIM) @ p["q"].T).reshape(dh.shape) + dh
+        dk = dk @ p["k"].T
+        dk += dv @ p["v"].T
+        dx[:] = dk.reshape(x.shape)
+        dh += (dq @ p["q"].T).reshape(dh.shape)
+        dx[:, BACK:] += dh
 
 
 def flat_lists(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -884,3 +884,26 @@ def test_small_cache_gives_the_same_ids(texts):
         assert len(small.names) <= 20
     assert [x.tolist() for x in small.encode(pa.array([], pa.string()))] == [[], [0]]
     assert [x.tolist() for x in small.encode(pa.array([None, " \t"]))] == [[], [0, 0, 0]]
+
+
+def test_lm_parts_and_buffers_do_not_show(texts, monkeypatch):
+    """Steps of other sizes on one trainer, and windows worked on in other parts, give the same weights and scores."""
+    enc = tokens.encoder(tokens.TOKENIZER)
+    ids, off = enc.encode(pa.array(list(texts.values())[:60]))
+    seen = np.bincount(ids, minlength=enc.size + 1)
+    pairs = np.zeros((lm_score.N_CLASSES + 1, enc.size + 1), np.int64)
+    pairs[-1] = seen
+    got = []
+    for part in (64, 7):
+        monkeypatch.setattr(lm_score, "PART_WINDOWS", part)
+        m = lm_score.fresh(lm_score.id_classes(seen, ids), np.append(enc.ends, True), pairs)
+        trainer = lm_score.Trainer(m)
+        data = trainer.windows(ids, off)
+        for n in (300, 20, 150):
+            trainer.step(data, np.arange(n), 0.01)
+        assert trainer.buffers.shape[1] == 300
+        got.append((m, m.score(ids, off, batch=part)))
+    (a, one), (b, two) = got
+    assert np.allclose(one, two, rtol=1e-4) and all(np.allclose(a.p[k], b.p[k], atol=1e-3) for k in a.p)
+    a.p["place"] = a.p["place"] + np.float32(100)  # attention past the range of exp
+    assert np.isfinite(a.score(ids, off)).all()
