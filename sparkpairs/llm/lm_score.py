@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkpairs.llm.common import FlatWords, plain, segment_sums, slices
-from sparkpairs.llm.tokens import TOKENIZER, encoder, keeps_case, strings
+from sparkpairs.llm.tokens import TOKENIZER, encoder, keeps_case
 from sparkpairs.session import scratch_path
 
 HEAD_WORDS = 131_072
@@ -60,7 +60,7 @@ SCORE_IDS = 1 << 18    # ids scored at a time
 WORKER_WORDS = 150_000  # words whose ids a worker keeps
 ADDERS = 16            # tasks that add up the weights of the others; so many sums reach the driver
 COMMON, BESIDE = 2000, 64   # ids that are clustered, by the ids beside them
-PARTS = ("row bigint, word string, n bigint, doc_id bigint, n_tokens bigint, known bigint, base double, h bigint, train boolean, ids array<int>")
+PARTS = ("row bigint, word string, n bigint, doc_id bigint, n_tokens bigint, known bigint, base double, h bigint, train boolean, ids binary")
 
 
 # ---------------------------------------------------------------- model
@@ -246,13 +246,21 @@ class Trainer:
         self.buffers = np.empty((2, 0, WINDOW, DIM), np.float32)  # gradients of a step's inputs, and sorted by id
 
     def windows(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Embedding rows and target classes (-1: padding) of each window, and whether it begins a text."""
-        source, target, begin, text = self.m.layout(ids, off)
-        fresh = np.zeros(len(text), bool)
-        fresh[begin] = True
-        rows = self.m.inputs[source].astype(np.uint16)  # INPUTS at most; 16 bits are sorted fast
-        goal = np.where(target >= 0, self.m.classes[target], -1).astype(np.int16)
-        return np.lib.stride_tricks.sliding_window_view(rows, WINDOW)[::STRIDE], goal[BACK:].reshape(-1, STRIDE), fresh
+        """Embedding rows and target classes (-1: padding) of each window, and whether it begins a text: those of ``layout``,
+        written text by text, as a block's places would take many times its ids."""
+        m, lens = self.m, np.diff(off) + 1
+        parts = -(-lens // STRIDE)
+        first = np.cumsum(parts) - parts
+        n = int(parts.sum())
+        fresh = np.zeros(n, bool)
+        fresh[first] = True
+        rows = np.full(BACK + STRIDE * n, m.inputs[m.end], np.uint16)  # INPUTS at most; 16 bits are sorted fast
+        goal = np.full(STRIDE * n, -1, np.int16)
+        for a, b, at in zip(off[:-1].tolist(), off[1:].tolist(), (STRIDE * first).tolist(), strict=True):
+            rows[BACK + at + 1:BACK + at + 1 + b - a] = m.inputs[ids[a:b]]
+            goal[at:at + b - a] = m.classes[ids[a:b]]
+            goal[at + b - a] = m.classes[m.end]
+        return np.lib.stride_tricks.sliding_window_view(rows, WINDOW)[::STRIDE], goal.reshape(-1, STRIDE), fresh
 
     def step(self, data: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, rate: float) -> None:
         """One step on the windows ``at``; their gradients are added up ``PART_WINDOWS`` at a time, which fit a core's cache."""
@@ -326,30 +334,52 @@ class Trainer:
         dx[:, BACK:] += dh
 
 
-def flat_lists(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets (from 0) of a list array."""
-    off = np.asarray(arr.offsets).astype(np.int64)
-    return np.asarray(arr.values)[off[0]:off[-1]], off - off[0]
+def id_type(size: int) -> np.dtype:
+    """Little-endian type that ids below ``size`` are written in."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def binary_ids(ids: np.ndarray, off: np.ndarray, size: int) -> pa.Array:
+    """``ids[off[i]:off[i+1]]`` as binary values: Spark copies them whole, not id by id."""
+    of = id_type(size)
+    bounds, data = (pa.py_buffer(np.ascontiguousarray(x)) for x in (off.astype(np.int32) * np.int32(of.itemsize), ids.astype(of)))
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, bounds, data])
+
 
+def flat_ids(arr: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets (from 0) of an array of ``binary_ids``."""
+    of = id_type(size)
+    wide = np.int64 if pa.types.is_large_binary(arr.type) else np.int32
+    off = np.frombuffer(arr.buffers()[1], wide)[arr.offset:arr.offset + len(arr) + 1].astype(np.int64) if len(arr) else np.zeros(1, np.int64)
+    data = arr.buffers()[2]
+    ids = np.frombuffer(data, np.uint8)[off[0]:off[-1]].view(of) if data is not None else np.zeros(0, of)
+    return ids, (off - off[0]) // of.itemsize
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+
+def _by_block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Block, ids and offsets of one block after the other, from rows sorted by block."""
+
+    def whole() -> tuple[int, np.ndarray, np.ndarray]:
+        out = block, np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lens))])
+        ids.clear()  # they hold whole batches
+        lens.clear()
+        return out
+
     block, ids, lens = None, [], []
     for b in batches:
         blocks = np.asarray(b.column("block"))
-        values, off = flat_lists(b.column("ids"))
+        values, off = flat_ids(b.column("ids"), size)
         cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             if x == y:
                 continue
             if block is not None and blocks[x] != block:
-                yield block, np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lens))])
-                ids, lens = [], []
+                yield whole()
             block = int(blocks[x])
             ids.append(values[off[x]:off[y]])
             lens.append(np.diff(off[x:y + 1]))
     if block is not None:
-        yield block, np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lens))])
+        yield whole()
 
 
 def _pack(m: Model, windows: int, uses: np.ndarray, places: int) -> bytes:
@@ -376,16 +406,17 @@ def _unpack(total: np.ndarray, m: Model) -> tuple[Model, int]:
 def train_blocks(m: Model, texts: DataFrame, blocks: int, first: bool = False) -> tuple[Model, int]:
     """``m`` after the texts (``h, ids``) of all blocks (``first``: of the first one), and the ids they gave it (ends included)."""
     spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(m)
+    held = spark.sparkContext.broadcast(Model(m.inputs, m.classes, m.starts, m.share[:0], m.p))  # learning needs no shares
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts.select(F.pmod("h", F.lit(blocks)).cast("bigint").alias("block"), "h", "ids")
     rows = rows.where("block = 0").repartition(1) if first else rows.repartition(n, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = held.value
-        for block, ids, off in _by_block(batches):
+        for block, ids, off in _by_block(batches, start.end):
             mine, windows = learn(start, ids, off, first)
-            uses = np.bincount(mine.inputs[ids], minlength=INPUTS)
+            uses = sum((np.bincount(mine.inputs[ids[i:i + SCORE_IDS]], minlength=INPUTS) for i in range(0, len(ids), SCORE_IDS)),
+                       np.zeros(INPUTS, np.int64))
             uses[mine.inputs[mine.end]] += len(off) - 1
             total = _pack(mine, max(1, windows), uses, len(ids) + len(off) - 1)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([total], pa.binary())], names=["block", "total"])
@@ -438,25 +469,40 @@ def head_count(words: DataFrame, most: int = HEAD_WORDS) -> int:
     return out
 
 
+def word_ids(words: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``words`` (``word, c``) and the ids of each word."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, WORKER_WORDS)
+        for b in batches:
+            ids, lens = enc.parts(b.column("word"))
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), binary_ids(ids, np.concatenate([[0], np.cumsum(lens)]), enc.size)],
+                                             names=["word", "c", "ids"])
+
+    return words.select("word", "c").mapInArrow(work, "word string, c bigint, ids binary")
+
+
 def id_pairs(words: DataFrame, classes: np.ndarray, texts: int, tokenizer: str = TOKENIZER) -> np.ndarray:
     """Occurrences of each subword id by the class of the id before it in its word (last
-    row: at a word's start), from the counted words; the end once for each of ``texts``.
-    At most classes x vocabulary numbers reach the driver."""
+    row: at a word's start), from the counted words (encoded here if they come without ``ids``); the end once for
+    each of ``texts``. At most classes x vocabulary numbers reach the driver."""
+    if "ids" not in words.columns:
+        words = word_ids(words, tokenizer)
+    ends = encoder(tokenizer).ends
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, WORKER_WORDS)
         total = np.zeros((N_CLASSES + 1) * len(classes), np.int64)
         for b in batches:
-            ids, lens = enc.parts(b.column("word"))
-            ids = ids.astype(np.int64)
+            ids, off = flat_ids(b.column("ids"), len(ends))
+            ids, lens = ids.astype(np.int64), np.diff(off)
             before = np.concatenate([[N_CLASSES], classes[ids[:-1]]])[: len(ids)]
-            before[1:][enc.ends[ids[:-1]]] = N_CLASSES  # a word of several pieces, and the next word
+            before[1:][ends[ids[:-1]]] = N_CLASSES  # a word of several pieces, and the next word
             before[(np.cumsum(lens) - lens)[lens > 0]] = N_CLASSES
             np.add.at(total, before * len(classes) + ids, np.repeat(np.asarray(b.column("c")), lens))
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], names=["pair", "n"])
 
-    rows = words.select("word", "c").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = words.select("ids", "c").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((N_CLASSES + 1) * len(classes), np.int64)
     out[np.asarray(rows.column("pair"))] = np.asarray(rows.column("n"))
     out[-1] += texts
@@ -470,7 +516,7 @@ def corpus_beside(texts: DataFrame, ranks: np.ndarray) -> np.ndarray:
         total = np.zeros(COMMON * 2 * BESIDE, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                ids, off = flat_lists(b.column(0).slice(at, 500))
+                ids, off = flat_ids(b.column(0).slice(at, 500), len(ranks) - 1)
                 text = np.repeat(np.arange(len(off) - 1), np.diff(off))
                 total += beside(ranks[ids], text[1:] == text[:-1]).ravel()
         on = np.flatnonzero(total)
@@ -493,31 +539,31 @@ def corpus_classes(words: DataFrame, texts: DataFrame, n_texts: int, tokenizer:
 def encoded_parts(docs: DataFrame, training, head: dict[str, int], n_train: int, text_col: str, tokenizer: str) -> DataFrame:
     """``PARTS`` rows of all documents, from one pass over their texts: a row per text with its ids, its number of
     tokens and the part of its base score that the words of ``head`` give; and one for each of its other words."""
-    held = docs.sparkSession.sparkContext.broadcast(head)  # HEAD_WORDS at most
+    names, counts = pa.array(list(head), pa.large_string()), np.array([*head.values(), 0], np.int64)  # and a zero for all others
+    held = docs.sparkSession.sparkContext.broadcast((names, counts))  # HEAD_WORDS at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = held.value
+        names, counts = held.value
         enc = encoder(tokenizer, WORKER_WORDS)
         for b in batches:
             at = 0
             for part in slices(plain(b.column("t")), SLICE):
                 n = len(part)
                 flat = FlatWords(pc.ascii_lower(part))
-                names = strings(flat.dictionary)
                 ids, off = enc.encode(part) if keeps_case(part) else enc.gather(flat)
-                c = np.fromiter((head.get(w, 0) for w in names), np.int64, len(names))
+                c = counts[np.asarray(pc.fill_null(pc.index_in(flat.dictionary, value_set=names), len(names)))]
                 per_word = c[flat.codes]
                 known = segment_sums((per_word > 0).astype(np.int64), flat.offsets) + (n_train > 0)
                 base = segment_sums(np.log10(c + 1.0)[flat.codes], flat.offsets) + math.log10(n_train + 1)
                 rows = np.asarray(b.column("row").slice(at, n))
                 # words outside the head: one row for each text and word
                 rare = per_word == 0
-                pairs, times = np.unique(flat.doc_of()[rare] * (len(names) + 1) + flat.codes[rare], return_counts=True)
-                doc, code = pairs // (len(names) + 1), pairs % (len(names) + 1)
-                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                pairs, times = np.unique(flat.doc_of()[rare] * (len(c) + 1) + flat.codes[rare], return_counts=True)
+                doc, code = pairs // (len(c) + 1), pairs % (len(c) + 1)
                 yield _parts(word=pa.array([f" {r}" for r in rows.tolist()], pa.string()),  # a key that is no word (words hold no space)
                              row=rows, doc_id=b.column("id").slice(at, n), n_tokens=flat.counts() + 1, known=known, base=base,
-                             h=b.column("h").slice(at, n), train=b.column("train").slice(at, n), ids=lists)
+                             h=b.column("h").slice(at, n), train=b.column("train").slice(at, n),
+                             ids=binary_ids(ids, off, enc.size))
                 yield _parts(row=rows[doc], word=flat.dictionary.take(pa.array(code)).cast(pa.string()), n=times)
                 at += n
 
@@ -528,7 +574,7 @@ def encoded_parts(docs: DataFrame, training, head: dict[str, int], n_train: int,
 
 
 _PART_TYPES = {"row": pa.int64(), "word": pa.string(), "n": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(),
-               "base": pa.float64(), "h": pa.int64(), "train": pa.bool_(), "ids": pa.list_(pa.int32())}
+               "base": pa.float64(), "h": pa.int64(), "train": pa.bool_(), "ids": pa.binary()}
 
 
 def _parts(**columns) -> pa.RecordBatch:
@@ -544,7 +590,7 @@ def model_scores(texts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
-            ids, off = flat_lists(b.column("ids"))
+            ids, off = flat_ids(b.column("ids"), model.end)
             rows, at, out = b.column("row"), 0, []
             while at < len(off) - 1:
                 end = max(at + 1, int(np.searchsorted(off, off[at] + SCORE_IDS, "right")) - 1)
@@ -561,8 +607,8 @@ def score(docs: DataFrame, training, text_col: str = "text", tokenizer: str = TO
     spark = docs.sparkSession
     train = docs.where(training)
     path, kept = (scratch_path(spark, f"{x}-{uuid.uuid4().hex}") for x in ("words", "ids"))
-    word_counts(train, text_col).write.parquet(path)
-    words = spark.read.schema("word string, c bigint").parquet(path)
+    word_ids(word_counts(train, text_col), tokenizer).write.parquet(path)
+    words = spark.read.schema("word string, c bigint, ids binary").parquet(path)
     n_train = train.count()
     got = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = got["n"] + n_train, got["v"] + (n_train > 0)
@@ -581,7 +627,7 @@ def score(docs: DataFrame, training, text_col: str = "text", tokenizer: str = TO
 
     keyed = model_scores(texts, model).select("row", F.concat(F.lit(" "), F.col("row").cast("string")).alias("word"), "score")
     rows = parts.select("row", "word", "n", "doc_id", "n_tokens", "known", "base").unionByName(keyed, allowMissingColumns=True)
-    joined = rows.join(words, "word", "left")
+    joined = rows.join(words.select("word", "c"), "word", "left")
     hit = F.col("n").isNotNull() & F.col("c").isNotNull()
     out = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"),
